@@ -46,13 +46,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offs
 
 
-def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets from 0) of runs of rows of about `size` bytes; a longer text stands alone."""
+def slices(column: pa.Array, size: int = SLICE_BYTES, most: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets from 0) of runs of rows of about `size` bytes; a longer text stands alone; at most `most` rows."""
     data, offs = text_buffers(column)
     row, rows = 0, len(offs) - 1
     while row < rows:
         stop = int(np.searchsorted(offs, offs[row] + size, "right")) - 1
-        stop = min(rows, max(stop, row + 1), row + 4096)
+        stop = min(rows, max(stop, row + 1), row + most)
         yield row, stop, data[offs[row] : offs[stop]], offs[row : stop + 1] - offs[row]
         row = stop
 

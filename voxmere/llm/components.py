@@ -1,0 +1,27 @@
+"""Connected components of a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voxmere.llm.common import cut
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+    """(node, component) for each node of a link; component is the smallest node that is reachable.
+
+    Each round a node takes the smallest label among its neighbours' and its own, then the label of that label,
+    so labels travel twice as far every round. Rounds end when no label changes. Nodes without links are absent.
+    """
+    edges = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v")).where("u <> v")).distinct())
+    labels = cut(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
+    for _ in range(most_rounds):
+        near = edges.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("n"))
+        moved = labels.join(near, "u", "left").select("u", F.col("c").alias("old"), F.least("c", F.coalesce("n", "c")).alias("c"))
+        of_label = labels.select(F.col("u").alias("c"), F.col("c").alias("cc"))
+        after = cut(moved.join(of_label, "c", "left").select("u", "old", F.least("c", F.coalesce("cc", "c")).alias("c")))
+        if after.where("c <> old").isEmpty():
+            return after.select(F.col("u").alias("node"), F.col("c").alias("component"))
+        labels = after.select("u", "c")
+    raise RuntimeError(f"labels still change after {most_rounds} rounds")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from voxmere.llm import langid, quality, sharding, toxicity
+from voxmere.llm import langid, neardup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_language": langid.op3_language,
     "op6_histogram_sort": sharding.op6_histogram_sort,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES: dict[str, str] = {}

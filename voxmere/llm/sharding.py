@@ -12,6 +12,7 @@ At any size a round moves only the counts: shards x probes numbers from each par
 from __future__ import annotations
 
 import bisect
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,23 +22,27 @@ from pyspark.sql import functions as F
 
 from voxmere.llm.common import cut, table
 
-_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
-#: The two halves of a key, hash and id, as one ordered integer of 128 bits.
-_SPAN = 1 << 64
+_LOW = -(1 << 63)
 
 
-def _join(high: int, low: int) -> int:
-    return (high - _LOW) * _SPAN + (low - _LOW)
+@dataclass(frozen=True)
+class Keys:
+    """Keys (hash, id) as one ordered integer: the ids from `first` on, `span` of them, under each hash."""
 
+    first: int
+    span: int
 
-def _split(key: int) -> tuple[int, int]:
-    high, low = divmod(key, _SPAN)
-    return high + _LOW, low + _LOW
+    @property
+    def end(self) -> int:
+        return (1 << 64) * self.span
 
+    def split(self, key: int) -> tuple[int, int]:
+        high, low = divmod(key, self.span)
+        return high + _LOW, low + self.first
 
-def _bucket(high: np.ndarray, low: np.ndarray, keys: list[int]) -> np.ndarray:
-    """How many of the sorted keys are at most (high, low)."""
-    halves = [_split(k) for k in keys]
+
+def _bucket(high: np.ndarray, low: np.ndarray, halves: list[tuple[int, int]]) -> np.ndarray:
+    """How many of the sorted probes are at most (high, low)."""
     pair = np.dtype([("h", np.int64), ("l", np.int64)])
     probes = np.array(halves, dtype=pair)
     heads = probes["h"]
@@ -50,7 +55,7 @@ def _bucket(high: np.ndarray, low: np.ndarray, keys: list[int]) -> np.ndarray:
     return place
 
 
-def bytes_below(keyed: DataFrame, probes: list[int]) -> tuple[list[int], list[int]]:
+def bytes_below(keyed: DataFrame, probes: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     """Exact bytes and rows of the keys below each probe, summed over all partitions."""
 
     def count(batches):
@@ -70,15 +75,15 @@ def bytes_below(keyed: DataFrame, probes: list[int]) -> tuple[list[int], list[in
     return below[0].tolist(), below[1].tolist()
 
 
-def find_cuts(keyed: DataFrame, targets: list[int], total: int, tolerance: int, probes: int = 16, rounds: int = 40) -> list[int]:
+def find_cuts(keyed: DataFrame, keys: Keys, targets: list[int], total: int, tolerance: int, probes: int = 16, rounds: int = 40) -> list[int]:
     """For each target a key with about that many bytes below it, in rising order.
 
     Each round puts `probes` keys into every open interval: evenly, since hashes are even. An interval that
     holds a single hash value is a group of copies, and evenly means by id there. A cut is done once the bytes
     below it miss the target by at most `tolerance`, or its interval holds no further key.
     """
-    low = {t: (_join(_LOW, _LOW), 0) for t in targets}
-    high = {t: (_join(_HIGH, _HIGH) + 1, total) for t in targets}
+    low = {t: (0, 0) for t in targets}
+    high = {t: (keys.end, total) for t in targets}
     done: dict[int, int] = {}
     for _ in range(rounds):
         still = [t for t in targets if t not in done]
@@ -91,12 +96,12 @@ def find_cuts(keyed: DataFrame, targets: list[int], total: int, tolerance: int,
             width = max(1, (b - a) // probes)
             near = max(1, (b - a) // (probes * probes))
             candidates |= {k for k in [a + i * width for i in range(1, probes)] + [guess + i * near for i in range(-probes // 2, probes // 2)] if a < k < b}
-        keys = sorted(candidates)
-        if not keys:
+        ordered = sorted(candidates)
+        if not ordered:
             break
-        below, _ = bytes_below(keyed, keys)
+        below, _ = bytes_below(keyed, [keys.split(k) for k in ordered])
         for t in still:
-            for k, n in zip(keys, below):
+            for k, n in zip(ordered, below):
                 if low[t][0] < k and n <= t:
                     low[t] = (k, n)
                 if n >= t and k < high[t][0]:
@@ -123,17 +128,19 @@ def shard_by_bytes(df: DataFrame, shards: int, text: str = "text", id_col: str =
     rows = df.drop("size", "shard", "slot").withColumn("size", size).withColumn("key_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     rows = rows.withColumn("key_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)))
     keyed = cut(rows.select("key_hash", "key_id", "size"))
-    total = keyed.agg(F.sum("size")).first()[0] or 0
+    total, low, high = keyed.agg(F.sum("size"), F.min("key_id"), F.max("key_id")).first()
     if not total:
         return rows.drop("key_hash", "key_id").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+    keys = Keys(low, high - low + 1)
     fine = shards * parts
     exact, loose = max(1, int(tolerance * total / shards)), max(1, int(0.25 * total / fine))
     at_shard = [total * i // shards for i in range(1, shards)]
     within = [total * i // fine for i in range(1, fine) if i % parts]
-    main = find_cuts(keyed, sorted(set(at_shard)), total, exact)
-    finer = find_cuts(keyed, sorted(set(within) - set(at_shard)), total, loose, probes=4, rounds=12)
+    main = find_cuts(keyed, keys, sorted(set(at_shard)), total, exact)
+    finer = find_cuts(keyed, keys, sorted(set(within) - set(at_shard)), total, loose, probes=4)
     cuts = sorted({*main, *finer})
-    _, below = bytes_below(keyed, cuts)
+    halves = [keys.split(k) for k in cuts]
+    _, below = bytes_below(keyed, halves)
     starts = [0, *below]
     shard_of, first_of = [], {}
     edges = sorted(main)
@@ -145,7 +152,7 @@ def shard_by_bytes(df: DataFrame, shards: int, text: str = "text", id_col: str =
 
     @F.pandas_udf("int")
     def cut_of(key_hash: pd.Series, key_id: pd.Series) -> pd.Series:
-        return pd.Series(_bucket(key_hash.to_numpy(), key_id.to_numpy(), cuts).astype(np.int32))
+        return pd.Series(_bucket(key_hash.to_numpy(), key_id.to_numpy(), halves).astype(np.int32))
 
     placed = rows.withColumn("cut", cut_of("key_hash", "key_id"))
     levels = spark.createDataFrame([(i, s, b) for i, (s, b) in enumerate(zip(shard_of, base))], "cut int, shard int, base long")

@@ -27,8 +27,10 @@ from voxmere.llm.textvec import LOWER, SPACE, U64, mix, run_hashes, runs, slices
 TRAIN_ROWS = 10000
 #: The letters that a character is used for.
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-#: Log probabilities of the channel: a character read as another, a separator or symbol inserted, a letter repeated in a long run or doubled.
-AS_OTHER, INSERTED, REPEATED, DOUBLED = -1.0, -0.7, -0.4, -4.0
+#: Log probabilities of the channel: a character read as another, a separator inserted, a look-alike inserted, a letter repeated in a long run or doubled.
+AS_OTHER, SEPARATED, INSERTED, REPEATED, DOUBLED = -1.0, -0.7, -3.0, -0.4, -4.0
+#: A word is taken as evidence if it explains at least this share of the toxic texts, and three of them.
+LEAST_SHARE = 0.006
 SYMBOLS = 28  # boundary, a to z, any other letter
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -95,7 +97,7 @@ def restore(word: str, gain) -> str:
             drop = (REPEATED if run >= 3 else DOUBLED) if i and word[i - 1] == c else None
         else:
             options = [(x, AS_OTHER) for x in READINGS.get(c, "")]
-            drop = INSERTED
+            drop = INSERTED if options else SEPARATED
         after: dict[tuple, tuple[float, str]] = {}
         for (last, a, b), (score, letters) in paths.items():
             if drop is not None:
@@ -258,7 +260,7 @@ def fit(labelled: DataFrame, corpus: DataFrame, text: str = "text", label: str =
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([texts[1]], pa.int64()), pa.array([texts[0]], pa.int64())], names=["word", "toxic", "other"])
 
     sums = sample.select("label", "text").mapInArrow(count, "word long, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("other").alias("c"))
-    found = sums.where("word is null or (t >= 3 and t >= c)").collect()  # far fewer than the sample's words
+    found = sums.where("word is null or (t >= 3 and t >= 5 * c)").collect()  # far fewer than the sample's words
     n_toxic, n_other = next(((r["t"], r["c"]) for r in found if r["word"] is None), (0, 0))
     if not n_toxic + n_other:
         return Toxicity(characters, np.zeros(0, U64), np.zeros(0), 0.0)
@@ -268,11 +270,48 @@ def fit(labelled: DataFrame, corpus: DataFrame, text: str = "text", label: str =
     expected_t, expected_c = (t + c) * share, (t + c) * (1 - share)
     ratio = 2 * (t * np.log(np.maximum(t, 1) / np.maximum(expected_t, 1e-9)) + np.where(c > 0, c * np.log(np.maximum(c, 1) / np.maximum(expected_c, 1e-9)), 0))
     odds = np.log((t + 0.5) / (c + 0.5))
-    keep = (ratio > 2 * np.log(max(10, len(words)) * 20) + 4) & (odds > 0)
-    words, odds = words[keep], odds[keep]
     order = np.argsort(words)
+    order = order[(ratio > 2 * np.log(max(10, len(words)) * 20) + 4)[order]]
+    words, odds, ratio = words[order], odds[order], ratio[order]
+    chosen = explaining(sample, words, odds, shared)
     base = np.log((0.1 * n_toxic + 0.5) / (n_other + 1))
-    return Toxicity(characters, words[order], odds[order], float(min(base, -0.5)))
+    return Toxicity(characters, words[chosen], odds[chosen], float(min(base, -0.5)))
+
+
+def explaining(sample: DataFrame, words: np.ndarray, odds: np.ndarray, characters) -> np.ndarray:
+    """Which of the (sorted) words explain toxic texts that stronger ones leave unexplained.
+
+    Words that merely stand beside toxic ones, as in copies of one text, would be evidence too; so the words are
+    taken in turn, the one found in most texts not yet explained first, until none adds enough. The driver gets
+    the candidates of the sample's toxic texts, each distinct text once.
+    """
+    if not len(words):
+        return np.zeros(0, np.int64)
+    model = sample.sparkSession.sparkContext.broadcast(words)
+
+    def candidates(batches):
+        restorer = Restorer(characters.value)
+        for batch in batches:
+            for first, last, data, offs in slices(batch["text"]):
+                row, h = evidence(data, offs, restorer)
+                at = np.minimum(np.searchsorted(model.value, h), len(model.value) - 1)
+                hit = model.value[at] == h
+                row, at = row[hit], at[hit]
+                yield pa.RecordBatch.from_arrays([pa.array([np.unique(at[row == r]).tolist() for r in range(last - first)], pa.list_(pa.int32()))], names=["words"])
+
+    toxic = sample.where("label <> 0").select("text").mapInArrow(candidates, "words array<int>").distinct().collect()
+    open_texts = [set(r["words"]) for r in toxic if r["words"]]
+    chosen, least = [], max(3, LEAST_SHARE * len(open_texts))
+    while open_texts:
+        n = np.zeros(len(words))
+        for w in open_texts:
+            n[list(w)] += 1
+        best = int(np.argmax(n * (1 + 1e-3 * odds)))
+        if n[best] < least:
+            break
+        chosen.append(best)
+        open_texts = [w for w in open_texts if best not in w]
+    return np.array(sorted(chosen), np.int64)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxmere.llm import langid, neardup, quality, sharding, toxicity
+from voxmere.llm import langid, neardup, quality, repeats, sharding, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_histogram_sort": sharding.op6_histogram_sort,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_repeats": repeats.op10_repeats,
 }
 ORACLES: dict[str, str] = {}

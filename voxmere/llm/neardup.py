@@ -7,10 +7,11 @@ agreements is a bit count, and taking off the agreements due to chance gives the
 1. Texts with the same set collapse to the one with the smallest id.
 2. Bands of whole minima give buckets. In every bucket each member is paired with one hub; pairs whose estimate
    is far too low go, the others are confirmed on the full sets; confirmed links give components.
-3. A bucket whose members are still in several components is compared further, its smaller components against
-   all of it, in blocks of bounded size: first the best estimates only, then, for what is still apart, all pairs
-   whose estimate is in reach of the threshold. So no link between components stays unexamined, and pairs inside
-   a component are never listed.
+3. Keys whose buckets hang together form a cluster, so any two that share a bucket are in one. A cluster whose
+   members are still in several components is compared further, its smaller components against all of it, in
+   blocks of bounded size; what is estimated in reach of the threshold is confirmed on the full sets, and only
+   links that join components are kept. So no link between components stays unexamined, and the pairs inside a
+   component are never listed.
 """
 
 from __future__ import annotations
@@ -169,50 +170,55 @@ def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def _block_pairs(buckets: DataFrame, threshold: float, best: int | None) -> DataFrame:
-    """Pairs (a, b) from different components of a bucket whose estimate is in reach.
+def _apart(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of a cluster: for any two that are linked, some pair of a chain of links.
 
-    buckets: (bucket, key, component, signature). The bucket's largest component is compared with the others,
+    members: (cluster, key, component, signature). A cluster's largest component is compared with the others,
     these also among themselves; both sides are dealt to blocks of about BLOCK members, and each task gets one
-    block of each. With `best`, a member keeps only so many partners of each component and block.
+    block of each. Whoever is estimated in reach is confirmed on the full sets, unless the two are joined already.
     """
-    counts = buckets.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
-    shape = counts.groupBy("bucket").agg(F.sum("m").alias("all"), F.max_by("component", F.struct("m", "component")).alias("largest"), F.max("m").alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    shape = shape.select("bucket", "largest", F.ceil(F.col("all") / BLOCK).cast("int").alias("g"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("s"))
-    members = buckets.join(shape, "bucket")
-    everyone = members.select("bucket", "key", "component", "signature", F.lit(False).alias("minor"), F.pmod(F.xxhash64("key"), F.col("g")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"))
-    minors = members.where("component <> largest").select("bucket", "key", "component", "signature", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i"), F.pmod(F.xxhash64("key"), F.col("s")).cast("int").alias("j"))
-    least = in_reach(threshold)
+    counts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("m"))
+    shape = counts.groupBy("cluster").agg(F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
+    shape = shape.where("kinds > 1 and all > 2")  # the two of a pair have been compared as hub and member
+    shape = shape.select("cluster", F.col("top.component").alias("largest"), F.ceil(F.col("all") / BLOCK).cast("int").alias("g"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("s"))
+    mixed = members.join(cut(shape), "cluster").join(texts, "key")
+    everyone = mixed.select("cluster", "key", "component", "signature", "text", F.lit(False).alias("minor"), F.pmod(F.xxhash64("key"), F.col("g")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"))
+    minors = mixed.where("component <> largest").select("cluster", "key", "component", "signature", "text", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i"), F.pmod(F.xxhash64("key"), F.col("s")).cast("int").alias("j"))
+    least = in_reach(percent / 100)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        minor = pdf["minor"].to_numpy()
+        minor, key = pdf["minor"].to_numpy(), pdf["key"].to_numpy()
+        sig = np.array(pdf["signature"].tolist(), np.int64).view(np.uint64)
+        _, comp = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+        row, h = shingle_sets(*_rows(pa.array(pdf["text"].tolist(), pa.large_string())), size)
+        n = np.bincount(row, minlength=len(pdf))
+        at = np.searchsorted(row, np.arange(len(pdf) + 1))
+        by_hash = np.argsort(h, kind="stable")
+        there, half, chance = np.flatnonzero(~minor), WORDS // BITS, 2.0**-BITS
         out_a, out_b = [], []
-        if minor.any() and not minor.all():
-            sig = np.array(pdf["signature"].tolist(), np.int64).view(np.uint64)
-            key, comp = pdf["key"].to_numpy(), pdf["component"].to_numpy()
-            there = np.flatnonzero(~minor)
-            half = WORDS // BITS
-            chance = 2.0**-BITS
-            for i in np.flatnonzero(minor):
-                x = sig[there] ^ sig[i]
-                differ = x[:, :half].copy()
-                for p in range(1, BITS):
-                    differ |= x[:, p * half : (p + 1) * half]
-                est = (1 - np.bitwise_count(differ).sum(axis=1) / HASHES - chance) / (1 - chance)
-                hit = np.flatnonzero((est >= least) & (comp[there] != comp[i]))
-                if best is not None and len(hit) > best:
-                    hit = hit[np.lexsort((-est[hit], comp[there[hit]]))]
-                    c = comp[there[hit]]
-                    start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                    rank = np.arange(len(hit)) - np.repeat(start, np.diff(np.append(start, len(hit))))
-                    hit = hit[rank < best]
-                other = key[there[hit]]
-                out_a.append(np.minimum(key[i], other))
-                out_b.append(np.maximum(key[i], other))
-        z = np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate([z, *out_a]), "b": np.concatenate([z, *out_b])})
-
-    return everyone.unionByName(minors).groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        for i in np.flatnonzero(minor):
+            x = sig[there] ^ sig[i]
+            differ = x[:, :half].copy()
+            for p in range(1, BITS):
+                differ |= x[:, p * half : (p + 1) * half]
+            est = (1 - np.bitwise_count(differ).sum(axis=1) / HASHES - chance) / (1 - chance)
+            near = there[(est >= least) & (comp[there] != comp[i])]
+            if not len(near):
+                continue
+            own = h[at[i] : at[i + 1]]
+            first = np.searchsorted(h, own, "left", sorter=by_hash)
+            much = np.searchsorted(h, own, "right", sorter=by_hash) - first
+            hits = np.repeat(first - (np.cumsum(much) - much), much) + np.arange(int(much.sum()))
+            both = np.bincount(row[by_hash[hits]], minlength=len(pdf))[near]
+            for k in near[(both > 0) & (100 * both >= percent * (n[i] + n[near] - both))]:
+                if comp[k] != comp[i]:
+                    comp[comp == comp[k]] = comp[i]
+                    out_a.append(min(key[i], key[k]))
+                    out_b.append(max(key[i], key[k]))
+        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return everyone.unionByName(minors).repartition(parts, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
@@ -229,20 +235,17 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     banded = reps.select("key", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min_by("key", F.struct(F.xxhash64("key"), "key")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "hub")
-    crowded = cut(banded.join(hubs, "bucket"))  # only the keys that have company in a bucket
+    crowded = banded.join(hubs, "bucket")  # only the keys that have company in a bucket
     signed = sketch.select("key", "signature")
-    pairs = crowded.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    pairs = pairs.join(signed.select(F.col("key").alias("a"), F.col("signature").alias("sa")), "a").join(signed.select(F.col("key").alias("b"), F.col("signature").alias("sb")), "b")
+    stars = cut(crowded.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
+    pairs = stars.join(signed.select(F.col("key").alias("a"), F.col("signature").alias("sa")), "a").join(signed.select(F.col("key").alias("b"), F.col("signature").alias("sb")), "b")
     links = cut(confirm(pairs.where(estimate(F.col("sa"), F.col("sb")) >= in_reach(threshold)).select("a", "b"), texts, size, percent))
     labels = connected_components(links)
-    for best in (4, None):
-        named = crowded.join(labels, crowded["key"] == labels["node"], "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        buckets = named.join(mixed, "bucket", "left_semi").join(signed, "key")
-        more = cut(confirm(_block_pairs(cut(buckets), threshold, best), texts, size, percent))
-        if not more.isEmpty():
-            links = cut(links.unionByName(more))
-            labels = connected_components(links)
+    clusters = connected_components(stars).withColumnRenamed("component", "cluster")
+    named = cut(clusters.join(labels, "node", "left").select("cluster", F.col("node").alias("key"), F.coalesce("component", "node").alias("component")))
+    more = cut(_apart(named.join(signed, "key"), texts, size, percent))
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(more))
     of_set = sets.join(labels, sets["rep"] == labels["node"], "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
     joined = sketch.select("key", "n", "set_a", "set_b").join(cut(of_set), ["set_a", "set_b", "n"], "left")
     return joined.select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))

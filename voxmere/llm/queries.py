@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from voxmere.llm import langid, neardup, quality, repeats, sharding, toxicity
+from voxmere.llm import langid, neardup, packing, quality, repeats, sharding, toxicity, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_webp": webp.op2_webp,
     "op3_language": langid.op3_language,
     "op6_histogram_sort": sharding.op6_histogram_sort,
+    "op7_packing": packing.op7_packing,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_repeats": repeats.op10_repeats,

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,37 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
         return df
     share = int(rows / total * (1 << 30))
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < share)
+
+
+#: Largest bit map that `likely` sends to the tasks, in bits.
+MOST_BITS = 1 << 27
+
+
+def likely(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of df whose key is in `wanted`, and some others: a sieve before a join, so that it moves few texts.
+
+    The keys' hashes mark bits of a map with 16 bits for each wanted key. The map never exceeds MOST_BITS; with more
+    keys than that allows it lets more rows through, but never stops a wanted one.
+    """
+    n = wanted.count()
+    bits = min(MOST_BITS, 1 << max(16, (16 * n).bit_length()))
+    spot = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    marked = wanted.select(F.pmod(F.xxhash64(F.col(wanted_key)), F.lit(bits)).alias("spot")).withColumn("part", F.shiftright("spot", 16))
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        there = np.zeros(1 << 16, bool)
+        there[pdf["spot"].to_numpy() & 0xFFFF] = True
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [np.packbits(there).tobytes()]})
+
+    parts = marked.groupBy("part").applyInPandas(mark, "part long, bits binary").collect()
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        whole[r["part"] << 13 : (r["part"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def may_be(at: pd.Series) -> pd.Series:
+        i = at.to_numpy(np.int64, na_value=0)
+        return pd.Series((shared.value[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 > 0)
+
+    return df.where(may_be(spot))

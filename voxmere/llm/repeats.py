@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import cut, table, written
+from voxmere.llm.common import cut, likely, table, written
 from voxmere.llm.textvec import U64, mix, slices, text_buffers
 
 GRAM, SHALLOW, HOT = 32, 96, 4096
@@ -312,8 +312,8 @@ def _runs(h: np.ndarray, about: int):
         a = int(b)
 
 
-def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = 200, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(key, start, end) byte ranges, overlapping ones too, of all strings of `length` bytes that start at more than one place in the texts' UTF-8."""
+def _spans(df: DataFrame, text: str, key: str, length: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts (key, text), the spans (key, start, end) found between texts that differ, and (key, n_bytes) of texts that go as a whole."""
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = written(_find_anchors(source, length, gram))
     long_enough = found.where(F.col("n_bytes") >= length)
@@ -322,14 +322,23 @@ def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     places = reps.select("key", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("key", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
     twice = cut(places.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     named = written(places.join(twice, "hash").groupBy("key", (F.col("m") > hot).alias("is_hot")).agg(F.collect_list("place").alias("places")))
-    with_text = named.join(source, "key")
-    contexts = _contexts(with_text.where("not is_hot").select("key", "text", "places"), length, gram)
-    ordinary = _judge(contexts.repartition("hash").sortWithinPartitions("hash"), length, gram)
-    strings = cut(_strings(with_text.where("is_hot").select("key", "text", "places"), length, gram))
+
+    def with_text(is_hot: bool) -> DataFrame:
+        mine = named.where(F.col("is_hot") == is_hot).select("key", "places")
+        return mine.join(likely(source, "key", mine, "key"), "key").select("key", "text", "places")
+
+    ordinary = _judge(_contexts(with_text(False), length, gram).repartition("hash").sortWithinPartitions("hash"), length, gram)
+    strings = cut(_strings(with_text(True), length, gram))
     again = cut(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h1", "h2"))
     frequent = strings.join(again, ["h1", "h2"]).select("key", "start", (F.col("start") + length).alias("end"))
-    whole = long_enough.select("key", "digest", "n_bytes").join(copies.where("m > 1").select("digest"), "digest").select("key", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
-    return ordinary.unionByName(frequent).unionByName(whole)
+    whole = cut(long_enough.select("key", "digest", "n_bytes").join(copies.where("m > 1").select("digest"), "digest").select("key", "n_bytes"))
+    return source, ordinary.unionByName(frequent), whole
+
+
+def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = 200, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """(key, start, end) byte ranges, overlapping ones too, of all strings of `length` bytes that start at more than one place in the texts' UTF-8."""
+    _, spans, whole = _spans(df, text, key, length, gram, hot)
+    return spans.unionByName(whole.select("key", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,19 +355,15 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     Null counts as empty; texts shorter than `length` stay. Keys are distinct integers; rows with a null key are
     left out.
     """
-    spans = cut(repeated_spans(df, text, key, length).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source, found, whole = _spans(df, text, key, length, GRAM, HOT)
+    spans = cut(found.join(whole.select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
     def strip(batches):
         for batch in batches:
             data, offs = text_buffers(batch["text"])
-            spans = batch["spans"].to_pylist()
             out = []
-            for i, found in enumerate(spans):
+            for i, found in enumerate(batch["spans"].to_pylist()):
                 own = data[offs[i] : offs[i + 1]].tobytes()
-                if not found:
-                    out.append((len(own), 0, 0, own))
-                    continue
                 a, b = merged(np.array([x["start"] for x in found]), np.array([x["end"] for x in found]))
                 kept = b"".join(own[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(own)]))
                 out.append((len(own), len(own) - len(kept), len(a), kept))
@@ -366,7 +371,14 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
                 batch["key"], *(pa.array([r[k] for r in out], pa.int64()) for k in range(3)), pa.array([r[3] if with_bytes else None for r in out], pa.binary()), pa.array([hashlib.sha256(r[3]).hexdigest() for r in out], pa.string()),
             ], names=["key", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return source.join(spans, "key", "left").mapInArrow(strip, "key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    schema = "key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    cut_up = likely(source, "key", spans, "key").join(spans, "key").mapInArrow(strip, schema)
+    nothing = F.lit(0).cast("long")
+    gone = whole.select("key", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"" if with_bytes else None).cast("binary").alias("kept"), F.sha2(F.lit(b""), 256).alias("kept_sha256"))
+    binary = F.col("text").cast("binary")
+    touched = spans.select("key").unionByName(whole.select("key"))
+    intact = source.select("key", F.octet_length("text").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), (binary if with_bytes else F.lit(None).cast("binary")).alias("kept"), F.sha2(binary, 256).alias("kept_sha256")).join(touched, "key", "left_anti")
+    return cut_up.unionByName(gone).unionByName(intact)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

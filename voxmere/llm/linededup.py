@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import cut, table, written
+from voxmere.llm.common import cut, likely, table, written
 
 #: Lines with fewer characters always stay: short ones are alike by chance.
 MIN_CHARS = 24
@@ -75,8 +75,8 @@ def _near(docs: DataFrame, unique: DataFrame) -> DataFrame:
     keys = unique.select("first", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("number", "half"))
     shared = cut(keys.groupBy("half").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("half"))
     sieved = keys.join(shared, "half").groupBy("first").agg(F.bit_or(F.expr("shiftleft(1, number)")).alias("mask"))
-    wanted = sieved.groupBy(F.col("first.doc").alias("doc")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("first.no"), F.col("mask")))).alias("masks"))
-    lines = _lines(docs.join(wanted, "doc").select(F.struct("doc", "masks").alias("doc"), "text")).select(F.col("doc.doc").alias("doc"), "no", "line", F.expr("doc.masks[no]").alias("mask")).where("mask is not null")
+    wanted = cut(sieved.groupBy(F.col("first.doc").alias("doc")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("first.no"), F.col("mask")))).alias("masks")))
+    lines = _lines(likely(docs, "doc", wanted, "doc").join(wanted, "doc").select(F.struct("doc", "masks").alias("doc"), "text")).select(F.col("doc.doc").alias("doc"), "no", "line", F.expr("doc.masks[no]").alias("mask")).where("mask is not null")
     lines = written(lines.withColumn("chars", F.length("line")))
     variants = lines.withColumn("whole", F.xxhash64("line")).select("doc", "no", F.explode(F.expr(_variants())).alias("x")).select(F.struct("doc", "no").alias("at"), "x.*")
     meet = cut(variants.groupBy("n", "i", "v").agg(F.min("at").alias("earliest"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))

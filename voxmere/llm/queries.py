@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from voxmere.llm import langid, neardup, packing, quality, repeats, sharding, toxicity, webp
+from voxmere.llm import langid, linededup, neardup, packing, quality, repeats, sharding, toxicity, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_webp": webp.op2_webp,
     "op3_language": langid.op3_language,
+    "op4_line_dedup": linededup.op4_line_dedup,
     "op6_histogram_sort": sharding.op6_histogram_sort,
     "op7_packing": packing.op7_packing,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_repeats": repeats.op10_repeats,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": linededup.ORACLE,
+}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from voxmere.llm.common import cut, likely, table, written
 from voxmere.llm.textvec import U64, mix, slices, text_buffers
 
-GRAM, SHALLOW, HOT = 32, 96, 4096
+GRAM, SHALLOW, HOT = 32, 96, 32768  # a bucket of HOT anchors takes about 60 MB in a task
 _STEP = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -197,9 +197,12 @@ def judged(group: np.ndarray, left: np.ndarray, right: np.ndarray, low: np.ndarr
 
 def _bytes_matrix(data: np.ndarray, start: np.ndarray, count: np.ndarray, width: int, step: int) -> np.ndarray:
     """Rows of `width` bytes: count of them from start on in steps of 1 or -1, then zeros."""
-    at = start[:, None] + step * np.arange(width)[None, :]
-    there = np.arange(width)[None, :] < count[:, None]
-    return np.where(there, data[np.where(there, at, 0)], 0).astype(np.uint8)
+    out = np.zeros((len(start), width), np.uint8)
+    for k in range(0, len(start), 4096):
+        at = start[k : k + 4096, None] + step * np.arange(width)[None, :]
+        there = np.arange(width)[None, :] < count[k : k + 4096, None]
+        out[k : k + 4096] = np.where(there, data[np.where(there, at, 0)], 0)
+    return out
 
 
 def _find_anchors(df: DataFrame, length: int, gram: int) -> DataFrame:

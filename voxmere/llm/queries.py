@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from voxmere.llm import langid, linededup, neardup, packing, quality, repeats, sharding, toxicity, webp
+from voxmere.llm import decontam, langid, linededup, neardup, packing, quality, repeats, sharding, toxicity, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_webp": webp.op2_webp,
     "op3_language": langid.op3_language,
     "op4_line_dedup": linededup.op4_line_dedup,
+    "op5_decontamination": decontam.op5_decontamination,
     "op6_histogram_sort": sharding.op6_histogram_sort,
     "op7_packing": packing.op7_packing,
     "op8_near_duplicates": neardup.op8_near_duplicates,

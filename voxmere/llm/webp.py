@@ -263,26 +263,35 @@ def distance_of(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
+_EIGHT = np.arange(8)[None, :]
+_COUNTING = [np.arange(1 << 16)]
+
+
+def _counting(n: int) -> np.ndarray:
+    if n > len(_COUNTING[0]):
+        _COUNTING[0] = np.arange(2 * n)
+    return _COUNTING[0][:n]
+
+
 def _read_lengths_at_once(bits: Bits, codes: list[Code], width: int, pixels: int) -> np.ndarray:
     """Pixels (RGBA rows) where one group of codes holds throughout and no colour cache is used."""
     green, red, blue, alpha, distance = codes
     origin = bits.at >> 3
-    raw = np.frombuffer(bits.data, np.uint8)[origin:]
-    raw = np.concatenate([raw, np.zeros(16, np.uint8)]).astype(np.uint32)
-    word = raw[:-2] | (raw[1:-1] << np.uint32(8)) | (raw[2:] << np.uint32(16))
-    window = (word[:, None] >> np.arange(8, dtype=np.uint32)[None, :]).ravel().astype(np.int64)
+    raw = np.frombuffer(bits.data[origin:] + bytes(16), np.uint8).astype(np.int64)
+    word = raw[:-2] | (raw[1:-1] << 8) | (raw[2:] << 16)
+    window = (word[:, None] >> _EIGHT).ravel()
     last = len(window) - 64
-    size: list[np.ndarray] = []
-    for k, c in enumerate(codes[:4]):
-        size.append(size[-1] if k and c is codes[k - 1] else c.length[window & ((1 << c.bits) - 1)])
-    at = np.arange(last)
-    to_red = at + size[0][:last]
+    at_green = window & ((1 << green.bits) - 1)
+    size = [green.length[at_green]]
+    for k, c in enumerate(codes[1:4]):
+        size.append(size[-1] if k and c is codes[k] else c.length[window & ((1 << c.bits) - 1)])
+    to_red = size[0][:last] + _counting(last)
     to_blue = to_red + size[1][to_red]
     to_alpha = to_blue + size[2][to_blue]
     after = to_alpha + size[3][to_alpha]
-    symbol = green.symbol[window[:last] & ((1 << green.bits) - 1)]
+    symbol = green.symbol[at_green[:last]]
     after[symbol >= LITERALS] = -1
-    step = after.tolist()
+    step = memoryview(after)  # few of its places are visited
     base = origin * 8
     here, done = bits.at - base, 0
     literal: list[int] = []
@@ -504,14 +513,12 @@ def _write_pixels(out: Writer, flat: np.ndarray, outer: bool) -> bytes:
             keep[a:b] = False
             copies += [(i, min(4096, b - i)) for i in range(a, b, 4096)]
     at = [i for i, _ in copies]
-    tokens = np.concatenate([np.flatnonzero(keep), np.array(at, np.int64)])
-    order = np.argsort(tokens, kind="stable")
-    literal = flat[keep]
+    literal = flat[keep] if copies else flat
     lengths_coded = [prefix_of(m) for _, m in copies]
     green = np.bincount(literal[:, 1], minlength=LITERALS + LENGTHS)
+    rest = np.bincount(literal.ravel(), minlength=256) - green[:LITERALS]
     for s, _, _ in lengths_coded:
         green[LITERALS + s] += 1
-    rest = np.bincount(literal[:, [0, 2, 3]].ravel(), minlength=256)
     size_g, size_x = code_lengths(green), code_lengths(rest)
     out.put(0, 1)
     if outer:
@@ -533,7 +540,10 @@ def _write_pixels(out: Writer, flat: np.ndarray, outer: bool) -> bytes:
         values[:m, k], sizes[:m, k] = code_x[literal[:, channel]], bits_x[literal[:, channel]]
     for k, (s, extra, count) in enumerate(lengths_coded):
         values[m + k, :2], sizes[m + k, :2] = (code_g[LITERALS + s], extra), (bits_g[LITERALS + s], count)
-    values, sizes = values[order].ravel(), sizes[order].ravel()
+    if copies and at[0] < m:  # otherwise all copies stand at the end
+        order = np.argsort(np.concatenate([np.flatnonzero(keep), np.array(at, np.int64)]), kind="stable")
+        values, sizes = values[order], sizes[order]
+    values, sizes = values.ravel(), sizes.ravel()
     offset = out.n + np.cumsum(sizes) - sizes
     total = (out.n + int(sizes.sum()) + 7) // 8 + 3
     shifted, byte = values << (offset & 7), offset >> 3
@@ -614,7 +624,7 @@ def with_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFra
 
     @F.arrow_udf("binary")
     def write(column: pa.Array) -> pa.Array:
-        return pa.array([store(payload_of((x or "").encode())) for x in column.to_pylist()], pa.binary())
+        return pa.array([store(payload_of(x or b"")) for x in column.cast(pa.binary()).to_pylist()], pa.binary())
 
     return df.withColumn(out, write(F.col(text)))
 

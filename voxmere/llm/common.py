@@ -63,12 +63,12 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < share)
 
 
-#: Largest bit map that `likely` sends to the tasks, in bits.
+#: Largest bit map that `may_be_in` sends to the tasks, in bits.
 MOST_BITS = 1 << 27
 
 
-def likely(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """The rows of df whose key is in `wanted`, and some others: a sieve before a join, so that it moves few texts.
+def may_be_in(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> Column:
+    """True for the rows of df whose key is in `wanted`, and for some others: a sieve before a join, so that it moves few texts.
 
     The keys' hashes mark bits of a map with 16 bits for each wanted key. The map never exceeds MOST_BITS; with more
     keys than that allows it lets more rows through, but never stops a wanted one.
@@ -94,4 +94,18 @@ def likely(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataF
         i = at.to_numpy(np.int64, na_value=0)
         return pd.Series((shared.value[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 > 0)
 
-    return df.where(may_be(spot))
+    return may_be(spot)
+
+
+def likely(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of df whose key is in `wanted`, and some others."""
+    return df.where(may_be_in(df, key, wanted, wanted_key))
+
+
+def without(df: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFrame:
+    """The rows of df whose key is not in `gone` (a table that is cheap to read again); only the rows that may be in it are moved."""
+    maybe = may_be_in(df, key, gone, gone_key)
+    sieved = df.withColumn("_maybe", maybe)
+    ids = gone.select(F.col(gone_key).alias("_gone")).distinct()
+    sure = sieved.where("not _maybe").drop("_maybe")
+    return sure.unionByName(sieved.where("_maybe").drop("_maybe").join(ids, F.col(key) == F.col("_gone"), "left_anti"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import cut, likely, table, written
+from voxmere.llm.common import cut, likely, may_be_in, table, written
 
 #: Lines with fewer characters always stay: short ones are alike by chance.
 MIN_CHARS = 24
@@ -89,11 +89,13 @@ def _near(docs: DataFrame, unique: DataFrame) -> DataFrame:
 
 def without_duplicate_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
     """df with the duplicate lines taken out of its texts; rows left with nothing are dropped, others stay as they are."""
-    removed = duplicate_lines(df, text, key, min_chars, max_edits).withColumnRenamed("doc", "_doc").withColumnRenamed("removed", "_removed")
-    joined = df.join(cut(removed), F.col(key).cast("long") == F.col("_doc"), "left")
+    removed = written(duplicate_lines(df, text, key, min_chars, max_edits).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")))
+    sieved = df.withColumn("_maybe", may_be_in(df, key, removed, "_doc"))
+    joined = sieved.where("_maybe").drop("_maybe").join(removed, F.col(key).cast("long") == F.col("_doc"), "left")
     kept = F.expr(f"array_join(filter(split(`{text}`, '\\n', -1), (x, i) -> not array_contains(_removed, i)), '\\n')")
     lost = F.col("_removed").isNotNull()
-    return joined.withColumn(text, F.when(lost, kept).otherwise(F.col(text))).where(~lost | (F.trim(text) != "")).select(*df.columns)
+    cleaned = joined.withColumn(text, F.when(lost, kept).otherwise(F.col(text))).where(~lost | (F.trim(text) != "")).select(*df.columns)
+    return sieved.where("not _maybe or _maybe is null").drop("_maybe").unionByName(cleaned)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ only the variants in the half that may differ, take part. All of it is DataFrame
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmere.llm.common import cut, likely, may_be_in, table, written
@@ -26,6 +26,17 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
 
 
+def _at() -> Column:
+    """A line's place as one number that orders by document, then line; a fixed-width type, so that its minimum needs no sort."""
+    return (F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("no").cast("decimal(11,0)")).cast("decimal(38,0)")
+
+
+def _place(at: str) -> list[Column]:
+    """doc and no of such a number."""
+    no = F.pmod(F.col(at), F.lit(1 << 31).cast("decimal(38,0)")).cast("int")
+    return [F.expr(f"cast(({at} - pmod({at}, {1 << 31})) div {1 << 31} as bigint)").alias("doc"), no.alias("no")]
+
+
 def _halves() -> list[str]:
     """Hash keys of a line's halves, for partners as long as it and for one that is longer by one; the bit is the key's number."""
     keys = []
@@ -58,33 +69,32 @@ def duplicate_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_
         raise ValueError("max_edits must be 0 or 1")
     docs = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     lines = _lines(docs).withColumn("chars", F.length("line")).where(F.col("chars") >= min_chars)
-    named = lines.select("doc", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *(F.expr(k).alias(f"k{i}") for i, k in enumerate(_halves())))
-    unique = written(named.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("first"), F.count(F.lit(1)).alias("m"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))))
+    named = lines.select("doc", "no", _at().alias("at"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *(F.expr(k).alias(f"k{i}") for i, k in enumerate(_halves())))
+    unique = written(named.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("m"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))))
     repeated = unique.where("m > 1").select("h1", "h2", "first", F.lit(False).alias("near"))
     if max_edits:
         near = cut(_near(docs, unique))
-        first = unique.select("h1", "h2", "first", F.col("first.doc").alias("doc"), F.col("first.no").alias("no"))
-        edited = first.join(near, ["doc", "no"]).select("h1", "h2", "first", F.lit(True).alias("near"))
+        edited = unique.select("h1", "h2", "first").join(near, "first").select("h1", "h2", "first", F.lit(True).alias("near"))
         repeated = repeated.unionByName(edited).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("near").alias("near"))
-    gone = named.select("doc", "no", "h1", "h2").join(cut(repeated), ["h1", "h2"]).where("near or doc <> first.doc or no <> first.no")
+    gone = named.select("doc", "no", "at", "h1", "h2").join(cut(repeated), ["h1", "h2"]).where("near or at <> first")
     return gone.groupBy("doc").agg(F.array_sort(F.collect_list("no")).alias("removed"))
 
 
 def _near(docs: DataFrame, unique: DataFrame) -> DataFrame:
-    """(doc, no) of the first occurrences of lines that have an earlier line within one edit."""
+    """The first occurrences (`first`) of lines that have an earlier line within one edit."""
     keys = unique.select("first", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("number", "half"))
     shared = cut(keys.groupBy("half").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("half"))
     sieved = keys.join(shared, "half").groupBy("first").agg(F.bit_or(F.expr("shiftleft(1, number)")).alias("mask"))
-    wanted = cut(sieved.groupBy(F.col("first.doc").alias("doc")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("first.no"), F.col("mask")))).alias("masks")))
+    wanted = cut(sieved.select(*_place("first"), "mask").groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("no", "mask"))).alias("masks")))
     lines = _lines(likely(docs, "doc", wanted, "doc").join(wanted, "doc").select(F.struct("doc", "masks").alias("doc"), "text")).select(F.col("doc.doc").alias("doc"), "no", "line", F.expr("doc.masks[no]").alias("mask")).where("mask is not null")
-    lines = written(lines.withColumn("chars", F.length("line")))
-    variants = lines.withColumn("whole", F.xxhash64("line")).select("doc", "no", F.explode(F.expr(_variants())).alias("x")).select(F.struct("doc", "no").alias("at"), "x.*")
+    lines = written(lines.select(_at().alias("at"), "line", F.length("line").alias("chars"), "mask"))
+    variants = lines.withColumn("whole", F.xxhash64("line")).select("at", F.explode(F.expr(_variants())).alias("x")).select("at", "x.*")
     meet = cut(variants.groupBy("n", "i", "v").agg(F.min("at").alias("earliest"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
     pairs = variants.join(meet, ["n", "i", "v"]).where("at > earliest").select("at", "earliest").distinct()
-    early = lines.select(F.struct("doc", "no").alias("earliest"), F.col("line").alias("early_line"))
-    late = lines.select(F.struct("doc", "no").alias("at"), F.col("line").alias("late_line"))
+    early = lines.select(F.col("at").alias("earliest"), F.col("line").alias("early_line"))
+    late = lines.select("at", F.col("line").alias("late_line"))
     close = pairs.join(early, "earliest").join(late, "at").where(F.levenshtein("early_line", "late_line", 1).between(0, 1))
-    return close.select("at.doc", "at.no").distinct()
+    return close.select(F.col("at").alias("first")).distinct()
 
 
 def without_duplicate_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from voxmere.plans import atlas_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**atlas_queries.QUERIES}
+ORACLES: dict[str, str] = {**atlas_queries.ORACLES}

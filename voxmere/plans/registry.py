@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmere.plans import atlas_queries
+from voxmere.plans import atlas_queries, volume_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**atlas_queries.QUERIES}
-ORACLES: dict[str, str] = {**atlas_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**atlas_queries.QUERIES, **volume_queries.QUERIES}
+ORACLES: dict[str, str] = {**atlas_queries.ORACLES, **volume_queries.ORACLES}

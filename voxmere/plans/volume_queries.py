@@ -71,7 +71,7 @@ def _vectors(s, d):
     return P.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(G.dot(a, b), 6).alias("dot"), F.round(x["z"], 6).alias("cz"), F.round(x["y"], 6).alias("cy"), F.round(x["x"], 6).alias("cx"), F.round(G.length(G.projection(a, b)), 6).alias("projected"), F.round(G.mod(a, G.vec(7.0, 7.0, 7.0))["z"], 6).alias("remainder"))
 
 
-_PATCHES = "axes(k, s, w) as (values (0, 30, 40)), grid as (select a.k as kz, b.k as ky, c.k as kx, (a.k * 2 + b.k) * 6 + c.k as patch_id from (select unnest(range(2)) as k) a, (select unnest(range(2)) as k) b, (select unnest(range(6)) as k) c)"
+_PATCHES = "grid as (select a.k as kz, b.k as ky, c.k as kx, (a.k * 2 + b.k) * 6 + c.k as patch_id from (select unnest(range(2)) as k) a, (select unnest(range(2)) as k) b, (select unnest(range(6)) as k) c)"
 _BACK = f"with {P.VOXELS}, slab as (select * from voxels where {_SLAB}), grid as (select a.k as kz, b.k as ky, c.k as kx, (a.k * 2 + b.k) * 2 + c.k as patch_id from (select unnest(range(2)) as k) a, (select unnest(range(2)) as k) b, (select unnest(range(2)) as k) c), back as (select z, y, x, z - kz * 6 as pz, y - ky * 20 as py, x - kx * 30 as px, v + patch_id % 7 / 10 as v, patch_id from slab, grid where z between kz * 6 and kz * 6 + 7 and y between ky * 20 and ky * 20 + 29 and x between kx * 30 and kx * 30 + 39)"
 _L = "pow((({0} + 1) / {1}::double) * (1 - ({0} + 1) / {1}::double), -1.5)"
 _LABELS = f"""with recursive {P.VOXELS}, hot as (select z, y, x, v, (z::bigint * 40 + y) * 1000000 + x as p from voxels where v >= 0.85),
@@ -167,7 +167,7 @@ ORACLES = {
     "w7_halo": f"with {P.VOXELS} select c as chunk, count(*) as n from voxels, (select unnest(range(-1, 5))::int as c) where z >= c * 20 - 3 and z < c * 20 + 23 and c >= 0 group by 1",
     "p5_owned": f"with {P.VOXELS} select z // 20 as chunk, count(*) as n from voxels group by 1",
     "w1_patch_grid": "select ((a.k * 2 + b.k) * 2 + c.k)::int as patch_id, (a.k * 2)::int as z0, (b.k * 2)::int as y0, (c.k * 2)::int as x0 from (select unnest(range(3)) as k) a, (select unnest(range(2)) as k) b, (select unnest(range(2)) as k) c",
-    "w2_patches": f"with {P.VOXELS}, {_PATCHES} select patch_id, z - kz * 30 as pz, y - ky * 20 as py, x - kx * 100 as px, v from voxels, grid where z between kz * 30 and kz * 30 + 39 and y between ky * 20 and ky * 20 + 29 and x between kx * 100 and kx * 100 + 119",
+    "w2_patches": f"with {P.VOXELS}, {_PATCHES} select patch_id::int as patch_id, (z - kz * 30)::int as pz, (y - ky * 20)::int as py, (x - kx * 100)::int as px, v from voxels, grid where z between kz * 30 and kz * 30 + 39 and y between ky * 20 and ky * 20 + 29 and x between kx * 100 and kx * 100 + 119",
     "w3_max_merge": f"{_BACK} select z, y, x, max(v) as v from back group by 1, 2, 3",
     "w5_blend": f"{_BACK} select z, y, x, round(avg(v), 6) as v from back group by 1, 2, 3",
     "w5_overwrite": f"{_BACK} select z, y, x, round(max_by(v, patch_id), 6) as v from back group by 1, 2, 3",

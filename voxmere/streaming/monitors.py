@@ -77,3 +77,22 @@ def merge_patches(stream: DataFrame, folder: str, checkpoint: str):
         batch.groupBy("z", "y", "x").agg(F.max("v").alias("v")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def as_table(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there now and returns its result; each micro-batch is written where all executors can read it.
+
+    With `complete` the last batch is the result, with `append` all of them are.
+    """
+    last: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
+        last.append(number)
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    kept = last if mode == "append" else last[-1:]
+    return spark.read.schema(stream.schema).parquet(*(f"{folder}/result/batch={n}" for n in kept))

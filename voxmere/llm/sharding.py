@@ -125,12 +125,12 @@ def shard_by_bytes(df: DataFrame, shards: int, text: str = "text", id_col: str =
     """
     spark = df.sparkSession
     size = (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long")
-    rows = df.drop("size", "shard", "slot").withColumn("size", size).withColumn("key_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.withColumn("key_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)))
-    keyed = cut(rows.select("key_hash", "key_id", "size"))
+    rows = df.drop("size", "shard", "slot").withColumn("size", size).withColumn("_key_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.withColumn("_key_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)))
+    keyed = cut(rows.select(F.col("_key_hash").alias("key_hash"), F.col("_key_id").alias("key_id"), "size"))
     total, low, high = keyed.agg(F.sum("size"), F.min("key_id"), F.max("key_id")).first()
     if not total:
-        return rows.drop("key_hash", "key_id").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+        return rows.drop("_key_hash", "_key_id").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     keys = Keys(low, high - low + 1)
     fine = shards * parts
     exact, loose = max(1, int(tolerance * total / shards)), max(1, int(0.25 * total / fine))
@@ -154,10 +154,10 @@ def shard_by_bytes(df: DataFrame, shards: int, text: str = "text", id_col: str =
     def cut_of(key_hash: pd.Series, key_id: pd.Series) -> pd.Series:
         return pd.Series(_bucket(key_hash.to_numpy(), key_id.to_numpy(), halves).astype(np.int32))
 
-    placed = rows.withColumn("cut", cut_of("key_hash", "key_id"))
-    levels = spark.createDataFrame([(i, s, b) for i, (s, b) in enumerate(zip(shard_of, base))], "cut int, shard int, base long")
-    order = Window.partitionBy("cut").orderBy("key_hash", "key_id")
-    return placed.withColumn("rank", F.row_number().over(order)).join(F.broadcast(levels), "cut").withColumn("slot", F.col("base") + F.col("rank") - 1).drop("cut", "base", "rank", "key_hash", "key_id")
+    placed = rows.withColumn("_cut", cut_of("_key_hash", "_key_id"))
+    levels = spark.createDataFrame([(i, s, b) for i, (s, b) in enumerate(zip(shard_of, base))], "_cut int, shard int, _base long")
+    order = Window.partitionBy("_cut").orderBy("_key_hash", "_key_id")
+    return placed.withColumn("_rank", F.row_number().over(order)).join(F.broadcast(levels), "_cut").withColumn("slot", F.col("_base") + F.col("_rank") - 1).drop("_cut", "_base", "_rank", "_key_hash", "_key_id")
 
 
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,7 @@ _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[192:] = 27
 _PREFIXES = (4, 5, 6)
+_INNER = range(4, 13)  # lengths of words looked for in letters that were spread out
 
 
 def trigram_counts(data: np.ndarray) -> np.ndarray:
@@ -180,8 +181,10 @@ def plain_and_restored(data: np.ndarray, offs: np.ndarray, restorer: Restorer) -
         for part in np.split(spaced, np.flatnonzero((np.diff(spaced) != 1) | (np.diff(row[spaced]) != 0)) + 1):
             joined = b".".join(view[start[i] : end[i]] for i in part)
             if len(set(joined)) > 2:  # not one letter again and again
-                forms.append(restorer(joined))
-                rows.append(row[part[0]])
+                whole = restorer(joined)
+                inner = {whole[i : i + n] for n in _INNER for i in range(len(whole) - n + 1)}  # neighbours such as "a" may run into it
+                forms += [whole, *sorted(inner)]
+                rows += [row[part[0]]] * (1 + len(inner))
     if forms:
         lens = np.array([len(f) for f in forms])
         ends = np.cumsum(lens)
@@ -299,7 +302,8 @@ def explaining(sample: DataFrame, words: np.ndarray, odds: np.ndarray, character
                 row, at = row[hit], at[hit]
                 yield pa.RecordBatch.from_arrays([pa.array([np.unique(at[row == r]).tolist() for r in range(last - first)], pa.list_(pa.int32()))], names=["words"])
 
-    toxic = sample.where("label <> 0").select("text").mapInArrow(candidates, "words array<int>").distinct().collect()
+    texts = sample.where("label <> 0").select("text", F.xxhash64("text").alias("h")).dropDuplicates(["h"]).select("text")
+    toxic = texts.mapInArrow(candidates, "words array<int>").collect()
     open_texts = [set(r["words"]) for r in toxic if r["words"]]
     chosen, least = [], max(3, LEAST_SHARE * len(open_texts))
     while open_texts:

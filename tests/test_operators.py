@@ -255,3 +255,54 @@ def test_follow_objects(spark, tmp_path):
     assert sorted((r.z_first, r.z_last, r.n_planes) for r in got) == [(0, 2, 3), (1, 1, 1)]
 
 
+
+
+def test_edges_outlines_and_filling(spark):
+    from pyspark.sql import functions as F
+
+    from voxmere.operators import edges
+
+    block = [("a", 1, y, x, 1.0) for y in range(4, 9) for x in range(3, 10)]
+    v = spark.createDataFrame(block, "volume_id string, z int, y int, x int, v double")
+    c = edges.contours(components.label(v, 20, 20)).first()
+    assert (c.area, c.perimeter) == (24.0, 20.0) and len(c.pts) == 4
+    found = edges.contours(components.label(v, 20, 20))
+    assert edges.largest_contour(found, 20).count() == 1 and edges.largest_contour(found, 25).count() == 0
+    inside = edges.filled(found.select("z", F.transform("pts", lambda p: F.struct((p["y"] + 0.5).alias("y"), (p["x"] - 0.5).alias("x"))).alias("pts")))
+    assert {(r.y, r.x) for r in inside.collect()} == {(y, x) for y in range(5, 9) for x in range(3, 9)}
+    rim = {(r.y, r.x) for r in edges.gradient_edges(v, 20, 20, 1.0, 2.0).collect()}
+    assert rim and all(3 <= y <= 9 and 2 <= x <= 10 for y, x in rim) and (6, 6) not in rim
+
+
+def test_inference_round_trip(spark):
+    from voxmere.operators import inference
+
+    v = P.voxels(spark, SF).where("z < 10 and x < 20").select("z", "y", "x", "v")
+    shape, stride, window = (10, 40, 20), (5, 20, 10), (7, 24, 12)
+    patches = inference.dense_patches(v, shape, stride, window)
+    out = windows.bump_blended(inference.infer(patches, window, lambda a: a * 2), window)
+    got, want = ({(r.z, r.y, r.x): r.v for r in d.collect()} for d in (out, v))
+    want = {k: 2 * x for k, x in want.items() if x}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    r = inference.mapped(spark.createDataFrame([("1",), ("x",)], "item string"), lambda s: str(int(s) + 1)).orderBy("item").collect()
+    assert r[0].result == "2" and "ValueError" in r[1].error
+
+
+def test_tiff(spark, tmp_path):
+    from voxmere.sources import tiff
+
+    a = np.random.default_rng(1).integers(0, 60000, (5, 7)).astype("<u2")
+    entries = [(256, 4, 1, 7), (257, 4, 1, 5), (258, 3, 1, 16), (259, 3, 1, 1), (273, 4, 1, 8), (277, 3, 1, 1), (279, 4, 1, a.nbytes)]
+    body = b"II" + struct.pack("<HI", 42, 8 + a.nbytes) + a.tobytes() + struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
+    (tmp_path / "p.tif").write_bytes(body)
+    got = {(r.y, r.x): r.v for r in tiff.tiff_voxels(spark, str(tmp_path)).collect()}
+    assert got == {(y, x): float(a[y, x]) for y, x in np.ndindex(a.shape) if a[y, x]}
+
+
+def test_cell_pipeline(spark):
+    from voxmere.plans import pipelines
+
+    cells = pipelines.detect_cells(P.voxels(spark, SF), 40, 100_000, 0.85, size=(1, 100))
+    assert cells.count() > 100 and cells.where("no_voxels < 1 or sphericity > 1 or intensity < 0.85").isEmpty()
+    nodes, links = pipelines.network(P.structures(spark, SF), pipelines.structure_totals(P.brain_masses(spark, SF), P.structures(spark, SF)))
+    assert nodes.count() == links.count() + 1

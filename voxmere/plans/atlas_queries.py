@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxmere.operators import atlas, cohort, ontology
+from voxmere.plans import pipelines
 from voxmere.plans import projections as P
 
 _DIMS = (60, 40, 20)
@@ -76,6 +77,9 @@ QUERIES = {
     "h6_level_slice": lambda s, d: ontology.level_slice(_closed(s, d), P.structures(s, d), 0, 2),
     "h7_prune_leaves": lambda s, d: ontology.prune_leaves(P.structures(s, d).where("id < 10000"), P.annotation(s, d)).select("id", "name"),
     "v19_consolidate": lambda s, d: ontology.consolidate(P.annotation(s, d), _closed(s, d), P.structures(s, d).where("id between 1000 and 1003")),
+    "h9_level_totals": lambda s, d: pipelines.structure_totals(P.brain_masses(s, d), P.structures(s, d), ancestor=0, level=2),
+    "h9_named_totals": lambda s, d: pipelines.structure_totals(P.brain_masses(s, d), P.structures(s, d), containing="1"),
+    "g7_counts": lambda s, d: pipelines.count_in_atlas(P.points(s, d), P.annotation(s, d), P.structures(s, d), (62, 42, 22), (62, 42, 22), ("0", "1", "2"), [[[1, 0, 0, 1], [0, 1, 0, -2], [0, 0, 1, 0], [0, 0, 0, 1]]]).select("id", "cell_count"),
     "h13_sunburst": _sunburst,
     "h11_score_edges": _edges,
     "a15_effect_size": _effect,
@@ -119,6 +123,9 @@ ORACLES = {
     "h7_prune_leaves": f"with {P.STRUCTURES}, {P.ANNOTATION}, s as (select * from structures where id < 10000) select id, name from s where exists (select 1 from s c where c.parent_structure_id = s.id) or id in (select id from annotation)",
     "v19_consolidate": f"{_C}, {P.ANNOTATION}, p as (select id, floor(row_number() over (order by id) * 255.0 / count(*) over ())::int as v from structures where id between 1000 and 1003) select z, y, x, v from annotation a join closure c on c.descendant_id = a.id join p on p.id = c.ancestor_id",
     "h13_sunburst": f"{_C}, {P.MASSES}, t as (select ancestor_id as id, coalesce(sum(cell_count), 0) as total from closure c left join masses m on m.id = c.descendant_id group by 1), u as (select id, parent_structure_id, total, sum(total) over (partition by parent_structure_id order by id) as upto, sum(total) over (partition by parent_structure_id) as whole from t join structures using (id)) select id, parent_structure_id, total::bigint as total, round(((upto - total) / nullif(whole, 0))::double, 9) as arc_from, round((upto / nullif(whole, 0))::double, 9) as arc_to from u",
+    "h9_level_totals": f"{_C}, {P.BRAIN_MASSES}, t as (select b.brain, ancestor_id as id, coalesce(sum(cell_count), 0)::bigint as total from closure c cross join (select distinct brain from brain_masses) b left join brain_masses m on m.id = c.descendant_id and m.brain = b.brain group by 1, 2) select brain, id, name, total from t join structures using (id) where id in (select descendant_id from closure where ancestor_id = 0 and depth = 2)",
+    "h9_named_totals": f"{_C}, {P.BRAIN_MASSES}, t as (select b.brain, ancestor_id as id, coalesce(sum(cell_count), 0)::bigint as total from closure c cross join (select distinct brain from brain_masses) b left join brain_masses m on m.id = c.descendant_id and m.brain = b.brain group by 1, 2) select brain, id, name, total from t join structures using (id) where contains(name, '1')",
+    "g7_counts": f"with {P.POINTS}, {P.ANNOTATION}, {P.STRUCTURES}, l as (select a.id from points p join annotation a on a.z = trunc(p.z + 1)::int and a.y = trunc(p.y - 2)::int and a.x = trunc(p.x)::int where a.id <> 0) select s.id, count(l.id) as cell_count from structures s left join l using (id) group by 1",
     "h11_score_edges": "with l as (select n_name as a, (n_nationkey + n_regionkey)::double as v from nation), r as (select s_name as b, (s_suppkey % 50)::double as v from supplier where s_suppkey <= 200) select a, b, round((l.v / (select max(v) from l) + r.v / (select max(v) from r)) / 2, 9) as score from l, r where l.v > 0 and r.v > 0 and (l.v / (select max(v) from l) + r.v / (select max(v) from r)) / 2 > 0.8",
     "a15_effect_size": "with v as (select l_returnflag, l_linenumber % 2 as g, log10(l_quantity - 1) as q from lineitem where l_quantity <> 1), s as (select l_returnflag, count(q) filter (where g = 0) as na, count(q) filter (where g = 1) as nb, avg(q) filter (where g = 0) as ma, avg(q) filter (where g = 1) as mb, var_samp(q) filter (where g = 0) as va, var_samp(q) filter (where g = 1) as vb from v group by 1) select l_returnflag, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) as d from s",
     "a18_matrix_product": "with l as (select l_linenumber as b, 'n' || (l_suppkey % 25)::varchar as i, count(*)::double as v from lineitem group by 1, 2), r as (select l_linenumber as b, 'p' || (l_partkey % 10)::varchar as j, count(*)::double as v from lineitem group by 1, 2) select i, j, sum(l.v * r.v) as value from l join r using (b) group by 1, 2",

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxmere.operators.graph import cut  # noqa: F401  (used by the operators)
+
 #: Rows of a text column are handled in slices of about this many bytes inside a task, so that numpy's
 #: intermediate arrays stay small whatever the length of the Arrow batch.
 SLICE_BYTES = 1 << 21
@@ -31,12 +33,6 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a reliable checkpoint; for narrow tables."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """Ends the lineage with a Parquet table in the shared folder; for tables with texts or other wide columns."""
     spark = df.sparkSession

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def release(spark: SparkSession) -> None:
+    """Between phases of many jobs: lets Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more, and the driver give back memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """Ends the lineage with a Parquet table in the shared folder; for tables with texts or other wide columns."""
     spark = df.sparkSession

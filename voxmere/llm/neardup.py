@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import cut, table, written
+from voxmere.llm.common import cut, release, table, written
 from voxmere.llm.textvec import LOWER, U64, Tokens, grams, mix, slices, text_buffers, words
 from voxmere.operators.graph import connected_components
 
@@ -241,12 +241,14 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     pairs = stars.join(signed.select(F.col("key").alias("a"), F.col("signature").alias("sa")), "a").join(signed.select(F.col("key").alias("b"), F.col("signature").alias("sb")), "b")
     links = cut(confirm(pairs.where(estimate(F.col("sa"), F.col("sb")) >= in_reach(threshold)).select("a", "b"), texts, size, percent))
     labels = connected_components(links, "a", "b")
-    named = crowded.select(F.col("key").alias("node")).distinct().join(labels, "node", "left").select(F.col("node").alias("key"), F.coalesce("component", "node").alias("component"))
-    named = cut(named)
+    release(df.sparkSession)
+    nodes = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = cut(nodes.join(labels, "node", "left").select(F.col("node").alias("key"), F.coalesce("component", "node").alias("component")))
     end = lambda c: named.select(F.col("key").alias(c), F.col("component").alias(f"c{c}"))
     apart = stars.join(end("a"), "a").join(end("b"), "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
     clusters = connected_components(apart, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("cluster"))
     named = cut(named.join(clusters, "component"))  # components that share buckets with others
+    release(df.sparkSession)
     more = cut(_apart(named.join(signed, "key"), texts, size, percent))
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more), "a", "b")

@@ -27,7 +27,7 @@ def _averages(s: SparkSession, d: str) -> DataFrame:
 
 
 def _hours(s: SparkSession, d: str) -> DataFrame:
-    counted = monitors.as_table(monitors.windowed(_events(s, d), "ts", "1 day", "1 hour", None, "event_type"), _folder(s))
+    counted = monitors.as_table(monitors.windowed(_events(s, d).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", "1 hour", None, "event_type"), _folder(s))
     return counted.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
 
 

@@ -41,10 +41,15 @@ def release(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a Parquet table in the shared folder; for tables with texts or other wide columns."""
+    """Ends the lineage with a Parquet table in the shared folder; for tables with texts or other wide columns.
+
+    The table goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/voxmere-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

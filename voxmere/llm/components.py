@@ -16,12 +16,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
     """
     edges = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v")).where("u <> v")).distinct())
     labels = cut(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
+    moved_last = labels
     for _ in range(most_rounds):
-        near = edges.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("n"))
+        # only labels that changed in the last round can be news to a neighbour
+        near = edges.join(moved_last.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("n"))
         moved = labels.join(near, "u", "left").select("u", F.col("c").alias("old"), F.least("c", F.coalesce("n", "c")).alias("c"))
         of_label = labels.select(F.col("u").alias("c"), F.col("c").alias("cc"))
         after = cut(moved.join(of_label, "c", "left").select("u", "old", F.least("c", F.coalesce("cc", "c")).alias("c")))
-        if after.where("c <> old").isEmpty():
-            return after.select(F.col("u").alias("node"), F.col("c").alias("component"))
-        labels = after.select("u", "c")
+        labels, moved_last = after.select("u", "c"), after.where("c <> old").select("u", "c")
+        if moved_last.isEmpty():
+            return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
     raise RuntimeError(f"labels still change after {most_rounds} rounds")

@@ -529,6 +529,17 @@ def test_benchmark_paraphrase_and_odd_inputs(spark, odd, empty):
     assert decontam.contaminated(odd, bench).where("doc_id < 7").count() == 0
 
 
+def test_benchmark_words_of_one_document(spark):
+    """A passage whose words stand in a single document of many is found, so the latent space knows all documents' words."""
+    common, rng = [f"common{i}" for i in range(300)], np.random.default_rng(3)
+    prose = lambda n: " ".join(rng.choice(common, n))
+    items = [" ".join(f"rare{k}x{i}" for i in range(24)) + "." for k in range(8)]
+    rows = [(i, prose(20)) for i in range(6000)] + [(10_000 + k, f"{prose(20)} {item} {prose(20)}") for k, item in enumerate(items)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(10_000 + k, k) for k in range(8)}
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------
 
 

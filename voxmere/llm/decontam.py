@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Words' document frequencies are counted over all documents. A randomised SVD of the TF-IDF matrix of passages
-   (of a bounded sample of documents) gives every hashed word a place in a latent space; each of its rounds is one
+1. Words' document frequencies are counted over all documents. A randomised SVD of the TF-IDF matrix of the
+   passages of all documents gives every hashed word a place in a latent space; each of its rounds is one
    distributed product of the matrix and its transpose with a thin block of vectors.
 2. Every document is read in overlapping windows of WINDOW words, every benchmark item in pieces of as many. A
    window of which enough weight lies in words of the benchmark is compared with all pieces by the cosine of
@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import bounded_sample, table, written
+from voxmere.llm.common import table
 from voxmere.llm.textvec import LOWER, U64, Tokens, run_hashes, runs, slices, text_buffers
 
 BITS, RANK, EXTRA, ROUNDS = 14, 64, 8, 3
 WINDOW, STRIDE, PASSAGE = 16, 8, 32
-#: Bound of the documents that the latent space is fitted on, and of the benchmark.
-SAMPLE_DOCS, MOST_ITEMS = 2000, 100_000
+#: Bound of the benchmark.
+MOST_ITEMS = 100_000
 #: Least share of a window's weight in benchmark words, cosine, share of a window's weight in the piece's words, share of the item and of its answer in common order.
 MASS, COSINE, OVERLAP, LEAST, LEAST_ANSWER = 0.5, 0.6, 0.5, 0.7, 0.5
 _BLOCK = 4096
@@ -95,7 +95,7 @@ def gram_times(texts: DataFrame, idf: np.ndarray, block: np.ndarray) -> np.ndarr
 
     def product(batches):
         weight, x = shared.value
-        out = np.zeros(x.shape, np.float32)
+        out = np.zeros(x.shape)
         for batch in batches:
             for _, _, data, offs in slices(batch.column(0)):
                 t = plain_words(data, offs)
@@ -105,7 +105,7 @@ def gram_times(texts: DataFrame, idf: np.ndarray, block: np.ndarray) -> np.ndarr
                 n = b - a
                 start = np.cumsum(n) - n
                 passage = np.repeat(np.arange(len(a)), n)
-                bucket = _buckets(t.hash)[np.repeat(a - start, n) + np.arange(int(n.sum()))]
+                bucket = _buckets(t.hash)[np.repeat(a - start, n) + np.arange(int(n.sum()))].astype(np.uint16)  # numpy sorts short numbers by radix
                 value = weight[bucket]
                 value = (value / np.maximum(np.sqrt(np.bincount(passage, value * value, len(a))), 1e-9)[passage]).astype(np.float32)
                 y = np.add.reduceat(x[bucket] * value[:, None], start, axis=0)
@@ -113,14 +113,15 @@ def gram_times(texts: DataFrame, idf: np.ndarray, block: np.ndarray) -> np.ndarr
                 first = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
                 out[bucket[order][first]] += np.add.reduceat(y[passage[order]] * value[order][:, None], first, axis=0)
         for k in range(0, len(out), _BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([out[k : k + _BLOCK].tobytes()], pa.binary())], names=["part", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([out[k : k + _BLOCK].astype(np.float32).tobytes()], pa.binary())], names=["part", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(s, np.float32) for s in pdf["sums"])
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "sums": [total.tobytes()]})
+        total = sum(np.frombuffer(s, np.float32).astype(float) for s in pdf["sums"])
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "sums": [total.astype(np.float32).tobytes()]})
 
     out = np.zeros(block.shape, np.float32)
-    for r in texts.mapInArrow(product, "part long, sums binary").groupBy("part").applyInPandas(add, "part long, sums binary").collect():
+    few = texts.coalesce(4 * texts.sparkSession.sparkContext.defaultParallelism)  # every partition's sums are as large as the block
+    for r in few.mapInArrow(product, "part long, sums binary").groupBy("part").applyInPandas(add, "part long, sums binary").collect():
         out[r["part"] : r["part"] + _BLOCK] = np.frombuffer(r["sums"], np.float32).reshape(-1, block.shape[1])
     return out
 
@@ -165,6 +166,7 @@ class Benchmark:
     piece_item: np.ndarray
     pieces: np.ndarray
     inside: np.ndarray  # pieces x vocabulary
+    placeless: np.ndarray  # pieces whose latent vector is zero
 
     @classmethod
     def of(cls, rows: list, idf: np.ndarray, space: np.ndarray) -> Benchmark:
@@ -180,7 +182,7 @@ class Benchmark:
         inside = np.zeros((len(a), len(vocabulary) + 1), bool)
         for k, (x, y) in enumerate(zip(a, b)):
             inside[k, at[x:y]] = True
-        return cls([r["item_id"] for r in rows], items, answers, vocabulary, [np.searchsorted(vocabulary, np.array(i, U64)) for i in items], idf, space, t.row[a], embed(t, a, b, space), inside)
+        return cls([r["item_id"] for r in rows], items, answers, vocabulary, [np.searchsorted(vocabulary, np.array(i, U64)) for i in items], idf, space, t.row[a], pieces := embed(t, a, b, space), inside, np.flatnonzero(~pieces.any(axis=1)))
 
     def search(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, words of the item, common words in order, common words of the answer) of each verified pair."""
@@ -200,7 +202,11 @@ class Benchmark:
         bounds = np.searchsorted(t.row, np.arange(len(offs)))
         for k in range(0, len(near), 2048):
             some = near[k : k + 2048]
-            w, piece = np.nonzero(embed(t, a[some], b[some], self.space) @ self.pieces.T >= COSINE)
+            latent = embed(t, a[some], b[some], self.space)
+            close = latent @ self.pieces.T >= COSINE
+            close[~latent.any(axis=1)] = True  # without a place in the space the overlap decides
+            close[:, self.placeless] = True
+            w, piece = np.nonzero(close)
             if not len(w):
                 continue
             w = some[w]
@@ -256,8 +262,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     if not rows or not n:
         return docs.sparkSession.createDataFrame([], schema)
     idf = np.log((1 + n) / (1 + df)) + 0.01
-    sample = written(bounded_sample(source, "doc_id", SAMPLE_DOCS).select("text").repartition(6))
-    shared = docs.sparkSession.sparkContext.broadcast(Benchmark.of(rows, idf, latent_words(sample, idf)))
+    shared = docs.sparkSession.sparkContext.broadcast(Benchmark.of(rows, idf, latent_words(source.select("text"), idf)))
 
     def find(batches):
         bench = shared.value

@@ -529,6 +529,16 @@ def test_benchmark_paraphrase_and_odd_inputs(spark, odd, empty):
     assert decontam.contaminated(odd, bench).where("doc_id < 7").count() == 0
 
 
+def test_benchmark_short_items(spark):
+    """Items of three to twelve words among words as rare as theirs are found, wherever they stand."""
+    items = {k: " ".join(f"item{k}x{i}" for i in range(k)) + "." for k in range(3, 13)}
+    around = lambda d, n: " ".join(f"own{d}x{i}" for i in range(n))
+    rows = [(100 * k + shift, f"{around(100 * k + shift, 11 + shift)} {item} {around(-100 * k - shift, 30)}") for k, item in items.items() for shift in range(8)]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(d, d // 100) for d, _ in rows}
+
+
 def test_benchmark_words_of_one_document(spark):
     """A passage whose words stand in a single document of many is found, so the latent space knows all documents' words."""
     common, rng = [f"common{i}" for i in range(300)], np.random.default_rng(3)

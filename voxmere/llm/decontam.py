@@ -3,10 +3,11 @@
 1. Words' document frequencies are counted over all documents. A randomised SVD of the TF-IDF matrix of the
    passages of all documents gives every hashed word a place in a latent space; each of its rounds is one
    distributed product of the matrix and its transpose with a thin block of vectors.
-2. Every document is read in overlapping windows of WINDOW words, every benchmark item in pieces of as many. A
+2. Every document is read in overlapping windows of WINDOW words, every benchmark item in pieces of as many; for
+   items of fewer words also in windows of just their length, which are compared with those items alone. A
    window of which enough weight lies in words of the benchmark is compared with all pieces by the cosine of
    their latent vectors (sums over their words).
-3. Candidates that share enough weight with the piece are verified: the longest common subsequence of the item and
+3. Candidates that share enough of the lesser of both weights are verified: the longest common subsequence of the item and
    the words around the window must cover `least` of the item, and of its answer (its last sentence).
 The benchmark is a table of bounded size (MOST_ITEMS); it is the stated query set, held in every task.
 """
@@ -29,8 +30,8 @@ BITS, RANK, EXTRA, ROUNDS = 14, 64, 8, 3
 WINDOW, STRIDE, PASSAGE = 16, 8, 32
 #: Bound of the benchmark.
 MOST_ITEMS = 100_000
-#: Least share of a window's weight in benchmark words, cosine, share of a window's weight in the piece's words, share of the item and of its answer in common order.
-MASS, COSINE, OVERLAP, LEAST, LEAST_ANSWER = 0.5, 0.6, 0.5, 0.7, 0.5
+#: Least share of a window's weight in benchmark words, cosine, share of the window's or the piece's weight, whichever is less, in words of both, share of the item and of its answer in common order.
+MASS, COSINE, OVERLAP, LEAST, LEAST_ANSWER = 0.45, 0.5, 0.45, 0.7, 0.5
 _BLOCK = 4096
 
 
@@ -166,7 +167,9 @@ class Benchmark:
     piece_item: np.ndarray
     pieces: np.ndarray
     inside: np.ndarray  # pieces x vocabulary
-    placeless: np.ndarray  # pieces whose latent vector is zero
+    piece_mass: np.ndarray
+    sizes: list[tuple[int, np.ndarray, np.ndarray]]  # words of a window, the pieces compared with such windows, whether each word of the vocabulary is in them
+    placeless: np.ndarray  # whether a piece's latent vector is zero
 
     @classmethod
     def of(cls, rows: list, idf: np.ndarray, space: np.ndarray) -> Benchmark:
@@ -182,57 +185,60 @@ class Benchmark:
         inside = np.zeros((len(a), len(vocabulary) + 1), bool)
         for k, (x, y) in enumerate(zip(a, b)):
             inside[k, at[x:y]] = True
-        return cls([r["item_id"] for r in rows], items, answers, vocabulary, [np.searchsorted(vocabulary, np.array(i, U64)) for i in items], idf, space, t.row[a], pieces := embed(t, a, b, space), inside, np.flatnonzero(~pieces.any(axis=1)))
+        mass = np.add.reduceat(idf[_buckets(t.hash)[np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange(int((b - a).sum()))]], np.cumsum(b - a) - (b - a)) if len(a) else np.zeros(0)
+        sizes = [(int(n), mine, inside[mine].any(axis=0)) for n in np.unique(b - a) for mine in [np.flatnonzero(b - a == n)]]
+        return cls([r["item_id"] for r in rows], items, answers, vocabulary, [np.searchsorted(vocabulary, np.array(i, U64)) for i in items], idf, space, t.row[a], pieces := embed(t, a, b, space), inside, mass, sizes, ~pieces.any(axis=1))
 
     def search(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, words of the item, common words in order, common words of the answer) of each verified pair."""
         t = plain_words(data, offs)
-        a, b = windows(t.row, WINDOW, STRIDE)
-        if not len(a) or not len(self.vocabulary):
+        if not len(t.row) or not len(self.vocabulary):
             return []
         at = np.minimum(np.searchsorted(self.vocabulary, t.hash), len(self.vocabulary) - 1)
         at = np.where(self.vocabulary[at] == t.hash, at, len(self.vocabulary))
-        known = at < len(self.vocabulary)
         weight = self.idf[_buckets(t.hash)]
-        of = lambda x: (lambda c: c[b] - c[a])(np.concatenate([[0.0], np.cumsum(x)]))
-        mass = np.maximum(of(weight), 1e-9)
-        near = np.flatnonzero(of(weight * known) >= MASS * mass)
         out: dict[tuple[int, int], tuple] = {}
         hashes, there_now = t.hash, np.zeros(len(self.vocabulary) + 1, bool)
         bounds = np.searchsorted(t.row, np.arange(len(offs)))
-        for k in range(0, len(near), 2048):
-            some = near[k : k + 2048]
-            latent = embed(t, a[some], b[some], self.space)
-            close = latent @ self.pieces.T >= COSINE
-            close[~latent.any(axis=1)] = True  # without a place in the space the overlap decides
-            close[:, self.placeless] = True
-            w, piece = np.nonzero(close)
-            if not len(w):
-                continue
-            w = some[w]
-            spread = np.minimum(a[w][:, None] + np.arange(WINDOW)[None, :], len(at) - 1)
-            there = np.arange(WINDOW)[None, :] < (b[w] - a[w])[:, None]
-            shared = (self.inside[piece[:, None], at[spread]] * there * weight[spread]).sum(axis=1)
-            enough = shared >= OVERLAP * mass[w]
-            for x, item in sorted(set(zip(w[enough].tolist(), self.piece_item[piece[enough]].tolist()))):
-                row, own = int(t.row[a[x]]), self.items[item]
-                before = out.get((row, item))
-                if before and before[2] >= 0.95 * len(own):
-                    continue
-                n = max(len(own), WINDOW)
-                lo, hi = max(int(bounds[row]), int(a[x]) - n + STRIDE), min(int(bounds[row + 1]), int(b[x]) + n - STRIDE)
-                there_now[at[lo:hi]] = True  # no subsequence is longer than the number of the item's words that are there at all
-                possible = int(there_now[self.places[item]].sum())
-                there_now[at[lo:hi]] = False
-                if possible < LEAST * len(own):
-                    continue
-                region = hashes[lo:hi].tolist()
-                common = lcs(own, region)
-                if common < LEAST * len(own):
+        for size, mine, wanted in self.sizes:
+            stride = STRIDE if size == WINDOW else max(1, size // 4)
+            a, b = windows(t.row, size, stride)
+            of = lambda x: (lambda c: c[b] - c[a])(np.concatenate([[0.0], np.cumsum(x)]))
+            mass = np.maximum(of(weight), 1e-9)
+            near = np.flatnonzero(of(weight * wanted[at]) >= MASS * mass)
+            for k in range(0, len(near), 2048):
+                some = near[k : k + 2048]
+                latent = embed(t, a[some], b[some], self.space)
+                close = latent @ self.pieces[mine].T >= COSINE
+                close[~latent.any(axis=1)] = True  # without a place in the space the overlap decides
+                close[:, self.placeless[mine]] = True
+                w, piece = np.nonzero(close)
+                if not len(w):
                     continue
-                answer = lcs(self.answers[item], region)
-                if answer >= LEAST_ANSWER * len(self.answers[item]) and (before is None or common > before[2]):
-                    out[(row, item)] = (row, len(own), common, answer)
+                w, piece = some[w], mine[piece]
+                spread = np.minimum(a[w][:, None] + np.arange(size)[None, :], len(at) - 1)
+                there = np.arange(size)[None, :] < (b[w] - a[w])[:, None]
+                shared = (self.inside[piece[:, None], at[spread]] * there * weight[spread]).sum(axis=1)
+                enough = shared >= OVERLAP * np.minimum(mass[w], self.piece_mass[piece])
+                for x, item in sorted(set(zip(w[enough].tolist(), self.piece_item[piece[enough]].tolist()))):
+                    row, own = int(t.row[a[x]]), self.items[item]
+                    before = out.get((row, item))
+                    if before and before[2] >= 0.95 * len(own):
+                        continue
+                    n = max(len(own), size)
+                    lo, hi = max(int(bounds[row]), int(a[x]) - n + stride), min(int(bounds[row + 1]), int(b[x]) + n - stride)
+                    there_now[at[lo:hi]] = True  # no subsequence is longer than the number of the item's words that are there at all
+                    possible = int(there_now[self.places[item]].sum())
+                    there_now[at[lo:hi]] = False
+                    if possible < LEAST * len(own):
+                        continue
+                    region = hashes[lo:hi].tolist()
+                    common = lcs(own, region)
+                    if common < LEAST * len(own):
+                        continue
+                    answer = lcs(self.answers[item], region)
+                    if answer >= LEAST_ANSWER * len(self.answers[item]) and (before is None or common > before[2]):
+                        out[(row, item)] = (row, len(own), common, answer)
         return [(row, item, n, common, answer) for (row, item), (_, n, common, answer) in out.items()]
 
 

@@ -446,6 +446,21 @@ def test_restore(word, expected):
     assert toxicity.restore(word, _gain().tolist()) == expected
 
 
+def test_toxicity_finds_disguises_at_the_ends(spark):
+    """Look-alikes at either end or in all places, spread look-alikes and doubled letters reach the lattice through with_score."""
+    rng = np.random.default_rng(1)
+    vocab = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ten") for b in ("ra", "so", "vi") for c in ("", "n", "de")]
+    bad = ["idiot", "loser", "stupid", "asshole"]
+    rows = [(i, " ".join([*rng.choice(vocab, 30), *([bad[i // 5 % 4]] if i % 5 == 0 else []), *rng.choice(vocab, 30)]), int(i % 5 == 0)) for i in range(800)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.fit(train, train)
+    toxic = ["1d107", "$7up1d", "@$$hole", "1d1o7", "10$3r", "(1d107).", "l0$€r", "i d 1 o t", "1 d 1 0 t", "i d i o t!", "idiiot", "1d107!"]
+    fine = ["kara", "2019", "1 2 3 4 5", "lo!", "(miso)", "tenso kara"]
+    texts = [f"miso {w} loson" for w in toxic + fine]
+    got = quality.with_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert {texts[r.doc_id] for r in got if r.score >= 0.5} == set(texts[: len(toxic)])
+
+
 def test_toxicity_finds_disguises(spark):
     rng = np.random.default_rng(1)
     vocab = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ten") for b in ("ra", "so", "vi") for c in ("", "n", "de")]

@@ -36,6 +36,12 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _LEADING = np.zeros(256, bool)
 _LEADING[[ord(c) for c in "0123456789@$!|+("]] = True
+_LOOK = np.zeros(256, bool)
+_LOOK[[ord(c) for c in READINGS if c < "\x80"]] = True
+_PUNCTUATION = b"\"'()[]{}<>.,;:?!-*_"  # what may stand around a word; "(" and "!" are look-alikes as well
+_SOFT = bytes(c for c in _PUNCTUATION if not _LOOK[c])
+_AROUND = np.zeros(256, bool)
+_AROUND[list(_PUNCTUATION)] = True
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[192:] = 27
@@ -87,7 +93,8 @@ def _symbol(c: str) -> int:
 def restore(word: str, gain) -> str:
     """The likeliest letters behind a word; gain is CharModel.gain as nested lists.
 
-    Paths are joined where their last two letters agree, so the work is in proportion to the word's length.
+    Paths are joined where their last two letters agree and all of these states are kept, so the work is in
+    proportion to the word's length.
     """
     word = word.lower()
     paths = {("", 0, 0): (0.0, "")}  # (last letter, symbols of the last two) -> score, letters
@@ -110,7 +117,7 @@ def restore(word: str, gain) -> str:
                 key, total = (x, b, s), score + cost + gain[a][b][s]
                 if key not in after or after[key][0] < total:
                     after[key] = (total, letters + x)
-        paths = dict(sorted(after.items(), key=lambda p: -p[1][0])[:24]) if len(after) > 24 else after
+        paths = after
     return max(((score + gain[a][b][0], letters) for (_, a, b), (score, letters) in paths.items()), default=(0, ""))[1]
 
 
@@ -129,36 +136,62 @@ class Restorer:
         return found
 
 
+def look_alikes(low: np.ndarray) -> np.ndarray:
+    """True for the bytes of characters that are used for letters."""
+    look = _LOOK[low]
+    for c in READINGS:
+        if c >= "\x80":
+            own = np.frombuffer(c.encode(), np.uint8)
+            here = np.ones(max(0, len(low) - len(own) + 1), bool)
+            for k, byte in enumerate(own):
+                here &= low[k : k + len(here)] == byte
+            at = np.flatnonzero(here)
+            for k in range(len(own)):
+                look[at + k] = True
+    return look
+
+
 def plain_and_restored(data: np.ndarray, offs: np.ndarray, restorer: Restorer) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, start, end, row) of the letters of plain words, and of the restored forms of the others.
 
     A word is plain if nothing but letters stands between its first and last letter, no letter is there three
-    times in a row, no look-alike leads it, and it is not one of three or more single letters in a row.
+    times in a row, no look-alike leads it, and it is not one of three or more single letters or look-alikes in a
+    row. A word that holds a look-alike anywhere is also restored as a whole, with and without the punctuation around
+    it, and one that holds a letter twice in a row is restored besides being plain.
     """
     low = LOWER[data]
     start, end, row = runs(~SPACE[low], offs)
     if not len(start):
         return []
-    letter = _LETTER[low]
-    before = np.concatenate([[0], np.cumsum(letter)])
-    count = before[end] - before[start]
-    # the first and the last letter of each word that has one
-    places = np.flatnonzero(letter)
-    some = count > 0
-    start, end, row, count = start[some], end[some], row[some], count[some]
+    look = look_alikes(low)
+    letter = _LETTER[low] & ~look
+    sums = lambda x: np.concatenate([[0], np.cumsum(x)])
+    before = sums(letter)
+    count, looks = before[end] - before[start], sums(look)
+    looks = looks[end] - looks[start]
+    some = (count > 0) | (looks > 0)
+    start, end, row, count, looks = start[some], end[some], row[some], count[some], looks[some]
     if not len(start):
         return []
-    first, last = places[before[start]], places[before[end] - 1] + 1
-    noisy = (last - first) != count
+    # the first and the last letter of each word that has one
+    places = np.append(np.flatnonzero(letter), 0)
+    lettered = count > 0
+    first = np.where(lettered, places[before[start]], start)
+    last = np.where(lettered, places[before[end] - 1] + 1, end)
+    noisy = lettered & ((last - first) != count)
     lead = np.maximum(first - 1, 0)
     noisy |= (first - start == 1) & _LEADING[low[lead]] & (count >= 2)
     trail = np.minimum(last, len(low) - 1)
     noisy |= (end - last == 1) & np.isin(low[trail], (36, 64)) & (count >= 2)
-    triple = np.zeros(len(low) + 1, np.int64)
+    double, triple = np.zeros(len(low) + 1, np.int64), np.zeros(len(low) + 1, np.int64)
     if len(low) > 2:
+        double[2:] = np.cumsum((low[1:] == low[:-1]) & letter[1:])
         triple[3:] = np.cumsum((low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & letter[2:])
-    noisy |= triple[last] - triple[np.minimum(first + 2, last)] > 0
-    single = (count == 1) & (end - start == 1)
+    noisy |= lettered & (triple[last] - triple[np.minimum(first + 2, last)] > 0)
+    doubled = lettered & (double[last] - double[np.minimum(first + 1, last)] > 0)
+    firm, around = sums(letter | look & ~_AROUND[low]), sums(_AROUND[low])
+    bare = (firm[end] - firm[start] == 1) & (around[end] - around[start] == end - start - 1)
+    single = bare | ((end - start == 1) & (looks == 1))
     in_run = np.zeros(len(start), bool)
     if single.any():
         edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
@@ -167,29 +200,38 @@ def plain_and_restored(data: np.ndarray, offs: np.ndarray, restorer: Restorer) -
                 mine = np.flatnonzero(row[a:b] == r) + a
                 if len(mine) >= 3:
                     in_run[mine] = True
-    plain = ~noisy & ~in_run
+    plain = lettered & ~noisy & ~in_run
     out = [(low, first[plain], last[plain], row[plain])]
-    forms, rows = [], []
+    forms: list[tuple[bytes, np.ndarray]] = []  # and the rows they are in
     view = low.tobytes()
-    for i in np.flatnonzero(noisy & ~in_run):
-        a = first[i] - (first[i] - start[i] == 1)
-        b = last[i] + (end[i] - last[i] == 1 and view[last[i]] in b"$@")
-        forms.append(restorer(view[a:b]))
-        rows.append(row[i])
+    # the trimmed form of noisy and doubled words, and all of a word with look-alikes; each distinct one is restored once
+    trimmed = np.flatnonzero(lettered & (noisy | doubled) & ~in_run)
+    whole = np.flatnonzero((looks > 0) & ~in_run)
+    a = np.concatenate([first[trimmed] - (first[trimmed] - start[trimmed] == 1), start[whole]])
+    b = np.concatenate([last[trimmed] + ((end[trimmed] - last[trimmed] == 1) & np.isin(low[trail[trimmed]], (36, 64))), end[whole]])
+    if len(a):
+        row_of = np.concatenate([row[trimmed], row[whole]])
+        _, one, which = np.unique(run_hashes(low, a, b), return_index=True, return_inverse=True)
+        order = np.argsort(which, kind="stable")
+        for i, own in zip(one, np.split(row_of[order], np.cumsum(np.bincount(which))[:-1])):
+            word = view[a[i] : b[i]]
+            found = {restorer(w) for w in {word, word.strip(_SOFT), word.strip(_PUNCTUATION)}}
+            for form in found - {b""}:
+                forms.append((form, own))
     spaced = np.flatnonzero(in_run)
     if len(spaced):
         for part in np.split(spaced, np.flatnonzero((np.diff(spaced) != 1) | (np.diff(row[spaced]) != 0)) + 1):
-            joined = b".".join(view[start[i] : end[i]] for i in part)
+            joined = b".".join(view[start[i] : end[i]] if end[i] - start[i] == 1 else view[start[i] : end[i]].strip(_PUNCTUATION) for i in part)
             if len(set(joined)) > 2:  # not one letter again and again
-                whole = restorer(joined)
-                inner = {whole[i : i + n] for n in _INNER for i in range(len(whole) - n + 1)}  # neighbours such as "a" may run into it
-                forms += [whole, *sorted(inner)]
-                rows += [row[part[0]]] * (1 + len(inner))
+                read = restorer(joined)
+                inner = {read[i : i + n] for n in _INNER for i in range(len(read) - n + 1)}  # neighbours such as "a" may run into it
+                own = row[part[:1]]
+                forms += [(form, own) for form in {read, *inner} - {b""}]
     if forms:
-        lens = np.array([len(f) for f in forms])
-        ends = np.cumsum(lens)
-        some = lens > 0
-        out.append((np.frombuffer(b"".join(forms), np.uint8), (ends - lens)[some], ends[some], np.array(rows)[some]))
+        ends = np.cumsum([len(f) for f, _ in forms])
+        begins = np.concatenate([[0], ends[:-1]])
+        times = np.array([len(own) for _, own in forms])
+        out.append((np.frombuffer(b"".join(f for f, _ in forms), np.uint8), np.repeat(begins, times), np.repeat(ends, times), np.concatenate([own for _, own in forms])))
     return out
 
 

@@ -264,6 +264,29 @@ def test_local_search_empties_a_bin():
     assert all(sum(lengths[i] for i in b) <= 10 for b in bins)
 
 
+def test_local_search_of_few_lengths():
+    """Thousands of pieces of four lengths, for which best fit leaves all bins underfull."""
+    lengths = [1030, 524, 518, 500, 500] * 1638
+    bins = packing.local_search(packing.best_fit(lengths, 2048), lengths, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert max(sum(lengths[i] for i in b) for b in bins) <= 2048
+    assert len(bins) == 2457
+
+
+@given(st.lists(st.integers(1, 20), max_size=40))
+@settings(deadline=None)
+def test_local_search_ends_where_no_exchange_helps(lengths):
+    bins = packing.local_search(packing.best_fit(lengths, 20), lengths, 20)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    assert max(fill, default=0) <= 20
+    for a, mine in enumerate(bins):
+        for b, theirs in enumerate(bins):
+            if a != b and fill[a] <= fill[b]:
+                gives = [lengths[i] for i in mine] + [lengths[i] + lengths[j] for k, i in enumerate(mine) for j in mine[k + 1 :]]
+                assert not any(0 < x - y <= 20 - fill[b] for x in gives for y in [0, *(lengths[i] for i in theirs)])
+
+
 def test_packing_odd_inputs(spark, odd, empty):
     rows = packing.pack_documents(odd, sequence=2048).collect()
     assert {r.key for r in rows} == set(range(1, 11)) and {r.length for r in rows if r.key in (1, 2)} == {1}

@@ -2,8 +2,8 @@
 
 Documents are tokenised where they are read; a document longer than a sequence is cut so that only its first
 piece may be shorter. Pieces that fill a sequence stand alone. The others are dealt to groups of bounded size by a
-hash; each group is filled best-fit decreasing, then its underfull bins are improved: documents move, swap one for
-one or two for one between two bins whenever that makes the sum of squared fills larger, which drives the bins
+hash; each group is filled best-fit decreasing, then all of its underfull bins are improved: documents move, swap one for
+one or two for one between two bins until none of that makes the sum of squared fills larger, which drives the bins
 apart until some are full and others empty. A second pass takes the bins that are still underfull of all groups
 and packs their documents together, so what groups leave over is at most a bin in each group of the second pass.
 """
@@ -11,8 +11,10 @@ and packs their documents together, so what groups leave over is at most a bin i
 from __future__ import annotations
 
 import bisect
+import heapq
 import json
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -24,8 +26,8 @@ from voxmere.llm.common import cut, table
 from voxmere.llm.textvec import slices
 
 SEQUENCE = 2048
-#: Pieces of a group on average, and bounds of the local search on its underfull bins.
-GROUP, UNDERFULL, ROUNDS = 8192, 24, 4
+#: Pieces of a group on average.
+GROUP = 8192
 _CODECS: dict = {}
 
 
@@ -104,51 +106,95 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], size: int, underfull: int = UNDERFULL, rounds: int = ROUNDS) -> list[list[int]]:
+class _Givers:
+    """Underfull bins by the lengths that they can give, one piece or two; for each length the least fill of such a bin."""
+
+    def __init__(self, size: int):
+        self.heaps: list[list[list[tuple[int, int, int]]]] = [[[] for _ in range(size + 1)] for _ in range(2)]
+        self.least = np.full((2, size + 1), size + 1)
+        self.version: dict[int, int] = {}
+        self.listed: dict[int, tuple[set[int], set[int]]] = {}
+
+    def add(self, b: int, fill: int, lengths: Counter) -> None:
+        """Lists bin b; its entries stand until it is removed."""
+        kinds = sorted(lengths)
+        pairs = {x + y for i, x in enumerate(kinds) for y in kinds[i:] if x != y or lengths[x] > 1}
+        self.listed[b] = set(kinds), pairs
+        version = self.version.setdefault(b, 0)
+        for k, sums in enumerate(self.listed[b]):
+            for n in sums:
+                heapq.heappush(self.heaps[k][n], (fill, b, version))
+                self.least[k, n] = self.heaps[k][n][0][0]
+
+    def remove(self, b: int) -> None:
+        self.version[b] += 1
+        for k, sums in enumerate(self.listed.pop(b)):
+            for n in sums:
+                heap = self.heaps[k][n]
+                while heap and heap[0][2] != self.version[heap[0][1]]:
+                    heapq.heappop(heap)
+                self.least[k, n] = heap[0][0] if heap else len(self.least[k])
+
+    def best(self, fill: int, size: int, lengths: Counter) -> tuple[int, int, int, int]:
+        """(gain, pieces given - 1, their length, length given back or 0) of the exchange that fills a bin most; the giver is no fuller."""
+        found, free = (0, 0, 0, 0), size - fill
+        for back in (0, *lengths):
+            for k in (0, 1) if back else (0,):
+                at = np.flatnonzero(self.least[k, back + found[0] + 1 : back + free + 1] <= fill)
+                if len(at):
+                    gain = found[0] + 1 + int(at[-1])
+                    found = gain, k, back + gain, back
+        return found
+
+
+def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
     """Moves, one-for-one and two-for-one swaps between underfull bins that raise the sum of squared fills; empty bins go.
 
-    The `underfull` emptiest bins take part, for at most `rounds` passes; both bound the time, not what is packed.
+    All underfull bins take part until no exchange raises the sum. It is a whole number and bounded, so this ends.
     """
+    held: list[dict[int, list[int]]] = []  # pieces of each bin by length
+    for b in bins:
+        held.append({})
+        for i in b:
+            held[-1].setdefault(lengths[i], []).append(i)
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        open_bins = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < size), key=lambda b: fill[b])[:underfull]
+    count = lambda b: Counter({n: len(x) for n, x in held[b].items()})
+    givers = _Givers(size)
+    for b in range(len(bins)):
+        if 0 < fill[b] < size:
+            givers.add(b, fill[b], count(b))
+
+    def hand(a: int, b: int, n: int) -> None:
+        i = held[a][n].pop()
+        if not held[a][n]:
+            del held[a][n]
+        held[b].setdefault(n, []).append(i)
+        fill[a], fill[b] = fill[a] - n, fill[b] + n
+
+    changed = True
+    while changed:
         changed = False
-        for a in open_bins:  # the emptier one gives to the fuller one
-            for b in reversed(open_bins):
-                if a == b or not bins[a] or fill[b] >= size or fill[a] > fill[b]:
-                    continue
-                free = size - fill[b]
-                move = max((i for i in bins[a] if lengths[i] <= free), key=lambda i: lengths[i], default=None)
-                best = (lengths[move], [move], []) if move is not None else (0, [], [])
-                for give in bins[a]:  # one of a for one of b that is shorter
-                    least = lengths[give] - free
-                    for back in bins[b]:
-                        gain = lengths[give] - lengths[back]
-                        if gain > best[0] and lengths[back] >= least:
-                            best = (gain, [give], [back])
-                if best[0] < free and len(bins[a]) > 1:  # two of a for one of b
-                    mine = sorted(bins[a], key=lambda i: lengths[i])
-                    sums = [lengths[i] for i in mine]
-                    for back in bins[b]:
-                        limit = free + lengths[back]
-                        hi = len(mine) - 1
-                        for lo in range(len(mine)):
-                            while hi > lo and sums[lo] + sums[hi] > limit:
-                                hi -= 1
-                            if hi <= lo:
-                                break
-                            gain = sums[lo] + sums[hi] - lengths[back]
-                            if gain > best[0]:
-                                best = (gain, [mine[lo], mine[hi]], [back])
-                gain, out, back = best
-                if gain > 0:  # with b at least as full as a, moving tokens to b raises the sum of squares
-                    bins[a] = [i for i in bins[a] if i not in out] + back
-                    bins[b] = [i for i in bins[b] if i not in back] + out
-                    fill[a], fill[b] = fill[a] - gain, fill[b] + gain
-                    changed = True
-        if not changed:
-            break
-    return [b for b in bins if b]
+        for b in sorted(givers.listed, key=lambda b: (-fill[b], b)):
+            if b not in givers.listed:
+                continue
+            givers.remove(b)
+            while 0 < fill[b] < size:
+                gain, two, n, back = givers.best(fill[b], size, held[b])
+                if not gain:
+                    break
+                a = givers.heaps[two][n][0][1]
+                givers.remove(a)
+                out = [n] if not two else next([x, n - x] for x in held[a] if n - x in held[a] and (n != 2 * x or len(held[a][x]) > 1))
+                for x in out:
+                    hand(a, b, x)
+                if back:
+                    hand(b, a, back)
+                if fill[a]:
+                    givers.add(a, fill[a], count(a))
+                changed = True
+            if fill[b] < size:
+                givers.add(b, fill[b], count(b))
+    return [[i for x in b.values() for i in x] for b in held if b]
 
 
 def _packed(df: DataFrame, groups: int, salt: int, sequence: int) -> DataFrame:

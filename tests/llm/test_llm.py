@@ -233,6 +233,16 @@ def test_same_ids_as_tokenizers(text):
     assert packing.named_codec("byte_bpe_50k.json").encode_ordinary(text) == _reference_ids(text)
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>é", "<|endoftext", "plain"])
+def test_same_pieces_as_tokenizers_with_added_tokens(spark, text):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    ids = np.array([*Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 0], "<u4")
+    row = packing.pieces_of(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text", "doc_id", "byte_bpe_50k.json").first()
+    assert (row.length, row.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_packing(spark, texts):
     rows = queries.QUERIES["op7_packing"](spark, SF).collect()
     by, places = collections.defaultdict(list), collections.defaultdict(list)

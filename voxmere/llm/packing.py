@@ -15,6 +15,7 @@ import heapq
 import json
 import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ SEQUENCE = 2048
 #: Pieces of a group on average.
 GROUP = 8192
 _CODECS: dict = {}
+_ENCODERS: dict = {}
 
 
 def byte_symbols() -> dict[str, int]:
@@ -60,17 +62,40 @@ def named_codec(name: str):
     return codec(public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
+def encoder_of(name: str) -> Callable[[str], list[int]]:
+    """The ids that `tokenizers` gives without special tokens added; texts that spell out one of the file's added tokens go to that library itself."""
+    import public_tokenizers
+
+    if name not in _ENCODERS:
+        path = public_tokenizers.path(name)
+        with open(path, encoding="utf-8") as f:
+            added = [x["content"] for x in json.load(f).get("added_tokens") or []]
+        plain, exact = named_codec(name).encode_ordinary, []
+
+        def encode(text: str) -> list[int]:
+            if not any(x in text for x in added):
+                return plain(text)
+            if not exact:
+                from tokenizers import Tokenizer
+
+                exact.append(Tokenizer.from_file(path))
+            return exact[0].encode(text, add_special_tokens=False).ids
+
+        _ENCODERS[name] = encode
+    return _ENCODERS[name]
+
+
 def pieces_of(df: DataFrame, text: str, key: str, tokenizer: str, sequence: int = SEQUENCE, end: int = 0) -> DataFrame:
     """(key, piece, start, length, ids_crc32) of each document: its token ids, then `end`."""
 
     def tokenise(batches):
-        encoder = named_codec(tokenizer)
+        encode = encoder_of(tokenizer)
         for batch in batches:
             keys, piece, start, length, crc = [], [], [], [], []
             column, names = batch["text"], batch["key"].to_pylist()
             for first, last, _, _ in slices(column):
                 for k, own in zip(names[first:last], column.slice(first, last - first).to_pylist()):
-                    ids = np.array([*encoder.encode_ordinary(own or ""), end], "<u4")
+                    ids = np.array([*encode(own or ""), end], "<u4")
                     head = (len(ids) - 1) % sequence + 1
                     at = [0, *range(head, len(ids) + 1, sequence)]
                     for i, (a, b) in enumerate(zip(at, at[1:])):

@@ -205,6 +205,12 @@ def test_shards_are_even(spark, texts):
         assert (r["size"], r["text_crc32"]) == (len(raw) + 16, zlib.crc32(raw))
 
 
+def test_shards_move_the_texts(spark):
+    """The digest is taken from what arrives in the shards."""
+    plan = queries.QUERIES["op6_histogram_sort"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("crc32(") < plan.index("Window")
+
+
 def test_shards_with_one_text(spark, odd, empty):
     df = spark.createDataFrame([(i, "same") for i in range(5000)] + [(5000 + i, f"t{i}") for i in range(100)], "doc_id long, text string")
     sizes = _check_shards(sharding.shard_by_bytes(df, 8).collect(), 8)
@@ -240,7 +246,7 @@ def test_same_pieces_as_tokenizers_with_added_tokens(spark, text):
 
     ids = np.array([*Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 0], "<u4")
     row = packing.pieces_of(spark.createDataFrame([(1, text)], "doc_id long, text string"), "text", "doc_id", "byte_bpe_50k.json").first()
-    assert (row.length, row.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    assert (row.length, row.ids) == (len(ids), ids.tolist())
 
 
 def test_packing(spark, texts):
@@ -267,6 +273,13 @@ def test_packing(spark, texts):
     assert len(places) <= math.ceil(sum(r.length for r in rows) / 2048) + 1
 
 
+def test_packed_sequences_hold_the_ids(spark, texts):
+    packed = packing.pack_documents(spark.read.parquet(f"{SF}/documents.parquet").limit(40)).collect()
+    for r in packed:
+        assert r.ids == [*_reference_ids(texts[r.key] or ""), 0][r.start : r.start + r.length]
+    assert len(packed) >= 40
+
+
 def test_local_search_empties_a_bin():
     lengths = [6, 4, 5, 5, 3, 7]
     bins = packing.local_search([[0], [1, 4], [2], [3], [5]], lengths, 10)

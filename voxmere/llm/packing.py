@@ -20,10 +20,10 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import cut, table
+from voxmere.llm.common import cut, table, written
 from voxmere.llm.textvec import slices
 
 SEQUENCE = 2048
@@ -86,24 +86,37 @@ def encoder_of(name: str) -> Callable[[str], list[int]]:
 
 
 def pieces_of(df: DataFrame, text: str, key: str, tokenizer: str, sequence: int = SEQUENCE, end: int = 0) -> DataFrame:
-    """(key, piece, start, length, ids_crc32) of each document: its token ids, then `end`."""
+    """(key, piece, start, length, ids) of each document: its token ids, then `end`."""
 
     def tokenise(batches):
         encode = encoder_of(tokenizer)
         for batch in batches:
-            keys, piece, start, length, crc = [], [], [], [], []
             column, names = batch["text"], batch["key"].to_pylist()
             for first, last, _, _ in slices(column):
+                keys, piece, start, length, held = [], [], [], [], []
                 for k, own in zip(names[first:last], column.slice(first, last - first).to_pylist()):
-                    ids = np.array([*encode(own or ""), end], "<u4")
+                    ids = np.array([*encode(own or ""), end], np.int32)
                     head = (len(ids) - 1) % sequence + 1
                     at = [0, *range(head, len(ids) + 1, sequence)]
+                    held.append(ids)
                     for i, (a, b) in enumerate(zip(at, at[1:])):
-                        keys.append(k), piece.append(i), start.append(a), length.append(b - a), crc.append(zlib.crc32(ids[a:b].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["key", "piece", "start", "length", "ids_crc32"])
+                        keys.append(k), piece.append(i), start.append(a), length.append(b - a)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(np.concatenate(held), pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), lists], names=["key", "piece", "start", "length", "ids"])
 
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return source.mapInArrow(tokenise, "key long, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(tokenise, "key long, piece int, start long, length long, ids array<int>")
+
+
+def crc32_of(ids: Column) -> Column:
+    """crc32 of an array of ids as little-endian 32-bit numbers."""
+
+    @F.arrow_udf("long")
+    def crc32(column: pa.Array) -> pa.Array:
+        values, at = column.values.to_numpy(zero_copy_only=False).astype("<u4"), column.offsets.to_pylist()
+        return pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip(at, at[1:])], pa.int64())
+
+    return crc32(ids)
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -245,12 +258,12 @@ def _packed(df: DataFrame, groups: int, salt: int, sequence: int) -> DataFrame:
 
 
 def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str = "byte_bpe_50k.json", sequence: int = SEQUENCE, group: int = GROUP) -> DataFrame:
-    """(key, piece, start, length, ids_crc32, sequence_id, offset) of each piece of each document.
+    """(key, piece, start, length, ids, sequence_id, offset) of each piece of each document.
 
     A null text counts as empty and gives the end id alone. Keys are distinct integers; rows with a null key are
     left out.
     """
-    pieces = cut(pieces_of(df, text, key, tokenizer, sequence))
+    pieces = written(pieces_of(df, text, key, tokenizer, sequence))
     short = pieces.where(F.col("length") < sequence).select("key", "piece", "length")
     count = short.count()
     first = cut(_packed(short, max(1, round(count / group)), 1, sequence))
@@ -265,4 +278,4 @@ def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", token
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return packed.withColumnRenamed("key", "doc_id")
+    return packed.select(F.col("key").alias("doc_id"), "piece", "start", "length", crc32_of(F.col("ids")).alias("ids_crc32"), "sequence_id", "offset")

@@ -162,6 +162,5 @@ def shard_by_bytes(df: DataFrame, shards: int, text: str = "text", id_col: str =
 
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    digest = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    sharded = shard_by_bytes(digest, 40)
+    sharded = shard_by_bytes(docs, 40).withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

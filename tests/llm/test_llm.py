@@ -611,6 +611,39 @@ def test_benchmark_words_of_one_document(spark):
     assert got == {(10_000 + k, k) for k in range(8)}
 
 
+def _altered(rng, words, share, vocabulary):
+    """The words with that share of them, rounded down, replaced by others at random places."""
+    out = list(words)
+    for i in rng.choice(len(out), int(share * len(out)), replace=False):
+        out[i] = rng.choice(vocabulary)
+    return out
+
+
+def test_benchmark_recall_and_brute_force(spark):
+    """Every item planted in prose, word by word and with 10, 20 and 30 % of its words replaced; the search finds what a comparison of all windows with all items finds."""
+    rng = np.random.default_rng(11)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    vocabulary = np.array([w for r in docs.where("text is not null").collect() for w in r.text.split()][:50_000])
+    prose = lambda: rng.choice(vocabulary, rng.integers(0, 300)).tolist()
+    planted = [(share, r.item_id, " ".join(prose() + _altered(rng, r.text.split(), share, vocabulary) + prose())) for share in (0.0, 0.1, 0.2, 0.3) for r in bench.collect()]
+    rows = spark.createDataFrame([(1_000_000 + k, t) for k, (_, _, t) in enumerate(planted)], "doc_id long, text string")
+    both = docs.unionByName(rows)
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(both, bench).collect()}
+    for share in (0.0, 0.1, 0.2, 0.3):
+        mine = [(1_000_000 + k, item) for k, (s, item, _) in enumerate(planted) if s == share]
+        assert sum(m in got for m in mine) >= 0.95 * len(mine), share
+    every = {(r.doc_id, r.item_id) for r in decontam.contaminated(both, bench, cosine=-1.0).collect()}
+    assert got <= every and len(every - got) <= 0.02 * len(every)
+
+
+def test_benchmark_repeated_ids_and_clashing_names(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"), (1, "omicron pi rho sigma tau upsilon phi chi psi omega one two three four")], "item_id long, text string")
+    rows = [(7, "so alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi it is", 3, 0.5)] * 2 + [(8, "omicron pi rho sigma tau upsilon phi chi psi omega one two three four", None, None), (None, "alpha", 1, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long, sums double")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()) == [(7, 1), (7, 1), (8, 1)]
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------
 
 

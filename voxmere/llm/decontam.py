@@ -1,14 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Words' document frequencies are counted over all documents. A randomised SVD of the TF-IDF matrix of the
-   passages of all documents gives every hashed word a place in a latent space; each of its rounds is one
-   distributed product of the matrix and its transpose with a thin block of vectors.
-2. Every document is read in overlapping windows of WINDOW words, every benchmark item in pieces of as many; for
-   items of fewer words also in windows of just their length, which are compared with those items alone. A
-   window of which enough weight lies in words of the benchmark is compared with all pieces by the cosine of
-   their latent vectors (sums over their words).
-3. Candidates that share enough of the lesser of both weights are verified: the longest common subsequence of the item and
-   the words around the window must cover `least` of the item, and of its answer (its last sentence).
+1. Words' document frequencies are counted over all documents.
+2. A randomised SVD of the TF-IDF matrix of the passages of all documents gives every hashed word a place in a
+   latent space. It is of the sketching kind: every passage is added, with a random sign, to one of SKETCH rows (a
+   sparse random matrix times the passages), partitions' rows are summed, and the singular vectors of what is left
+   are those of the passages up to the sketch's error. That is one pass over the corpus. A word's place is its row
+   of the leading right singular vectors at length 1, times its inverse document frequency.
+3. Every document is read in overlapping windows, every benchmark item in pieces of as many words, and the cosine
+   of their latent vectors (sums over their words) alone decides which windows are candidates for which items. An
+   item of few words is one piece, compared with windows of about its size (SCALES).
+4. Candidates are verified: the longest common subsequence of the item and the words around the window must cover
+   `LEAST` of the item, and `LEAST_ANSWER` of its answer (its last sentence, or as many words at its end as that
+   takes to hold ANSWER_WORDS).
 The benchmark is a table of bounded size (MOST_ITEMS); it is the stated query set, held in every task.
 """
 
@@ -20,19 +23,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmere.llm.common import table
-from voxmere.llm.textvec import LOWER, U64, Tokens, run_hashes, runs, slices, text_buffers
+from voxmere.llm.textvec import LOWER, U64, Tokens, mix, run_hashes, runs, slices, text_buffers
 
-BITS, RANK, EXTRA, ROUNDS = 14, 64, 8, 3
-WINDOW, STRIDE, PASSAGE = 16, 8, 32
-#: Bound of the benchmark.
-MOST_ITEMS = 100_000
-#: Least share of a window's weight in benchmark words, cosine, share of the window's or the piece's weight, whichever is less, in words of both, share of the item and of its answer in common order.
-MASS, COSINE, OVERLAP, LEAST, LEAST_ANSWER = 0.45, 0.5, 0.45, 0.7, 0.5
-_BLOCK = 4096
+BITS, RANK, SKETCH, PASSAGE = 14, 64, 128, 32
+#: Bound of the benchmark. At about five pieces an item every task then holds 26 MB of latent vectors.
+MOST_ITEMS = 20_000
+#: Words of a window, and the shortest item it is used for; windows overlap by half.
+SCALES = ((16, 12), (8, 6), (4, 1))
+#: Least cosine of a candidate, share of the item and of its answer in common order, and words of an answer.
+COSINE, LEAST, LEAST_ANSWER, ANSWER_WORDS = 0.55, 0.6, 0.5, 12
+#: Rows of the sketch that are summed as one value, and the groups in which partitions' values are summed first.
+_PART, _GROUPS = 64, 16
 
 
 def _buckets(h: np.ndarray) -> np.ndarray:
@@ -90,15 +96,21 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return df, int(n[bucket < 0].sum())
 
 
-def gram_times(texts: DataFrame, idf: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """A'(A block), A being the passages' normalised TF-IDF; partitions' products are added up in parts of the vocabulary."""
-    shared = texts.sparkSession.sparkContext.broadcast((idf, block.astype(np.float32)))
+def sketched(texts: DataFrame, idf: np.ndarray, rows: int = SKETCH) -> np.ndarray:
+    """Words x rows: the transposed sketch of the normalised TF-IDF of the passages of all texts (doc_id, text).
 
-    def product(batches):
-        weight, x = shared.value
-        out = np.zeros(x.shape)
+    The row and the sign of a passage follow from the document's id and the passage's number, so copies are dealt
+    apart and a repeated task gives the same sums. Partitions' sums are added up in two steps, in parts of the
+    vocabulary; the driver gets words x rows numbers.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
+
+    def add_up(batches):
+        weight = shared.value
+        out = np.zeros(len(weight) * rows, np.float32)
         for batch in batches:
-            for _, _, data, offs in slices(batch.column(0)):
+            ids = batch["doc_id"].to_numpy()
+            for at, _, data, offs in slices(batch["text"]):
                 t = plain_words(data, offs)
                 a, b = windows(t.row, PASSAGE, PASSAGE)
                 if not len(a):
@@ -106,38 +118,40 @@ def gram_times(texts: DataFrame, idf: np.ndarray, block: np.ndarray) -> np.ndarr
                 n = b - a
                 start = np.cumsum(n) - n
                 passage = np.repeat(np.arange(len(a)), n)
-                bucket = _buckets(t.hash)[np.repeat(a - start, n) + np.arange(int(n.sum()))].astype(np.uint16)  # numpy sorts short numbers by radix
+                bucket = _buckets(t.hash)[np.repeat(a - start, n) + np.arange(int(n.sum()))]
                 value = weight[bucket]
-                value = (value / np.maximum(np.sqrt(np.bincount(passage, value * value, len(a))), 1e-9)[passage]).astype(np.float32)
-                y = np.add.reduceat(x[bucket] * value[:, None], start, axis=0)
-                order = np.argsort(bucket, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
-                out[bucket[order][first]] += np.add.reduceat(y[passage[order]] * value[order][:, None], first, axis=0)
-        for k in range(0, len(out), _BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([out[k : k + _BLOCK].astype(np.float32).tobytes()], pa.binary())], names=["part", "sums"])
+                value = value / np.maximum(np.sqrt(np.bincount(passage, value * value, len(a))), 1e-9).astype(np.float32)[passage]
+                with np.errstate(over="ignore"):
+                    drawn = mix(ids[at + t.row[a]].view(U64) * U64(0x9FB21C651E98DF25) + np.arange(len(a), dtype=U64) - np.searchsorted(t.row[a], t.row[a]).astype(U64) + U64(1))
+                sign = np.where(drawn & U64(1), np.float32(1), np.float32(-1))
+                np.add.at(out, bucket * rows + ((drawn >> U64(1)) % U64(rows)).astype(np.int64)[passage], value * sign[passage])
+        context = TaskContext.get()
+        group = context.partitionId() % _GROUPS if context else 0
+        parts = out.reshape(-1, _PART * rows)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), group)), pa.array(np.arange(len(parts))), pa.array([x.tobytes() for x in parts], pa.binary())], names=["salt", "part", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(s, np.float32).astype(float) for s in pdf["sums"])
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "sums": [total.astype(np.float32).tobytes()]})
-
-    out = np.zeros(block.shape, np.float32)
-    few = texts.coalesce(4 * texts.sparkSession.sparkContext.defaultParallelism)  # every partition's sums are as large as the block
-    for r in few.mapInArrow(product, "part long, sums binary").groupBy("part").applyInPandas(add, "part long, sums binary").collect():
-        out[r["part"] : r["part"] + _BLOCK] = np.frombuffer(r["sums"], np.float32).reshape(-1, block.shape[1])
+        total = np.zeros(_PART * rows)
+        for s in pdf["sums"]:
+            total += np.frombuffer(s, np.float32)
+        return pd.DataFrame({"salt": pdf["salt"].iloc[:1], "part": pdf["part"].iloc[:1], "sums": [total.astype(np.float32).tobytes()]})
+
+    kinds = "salt long, part long, sums binary"
+    few = texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism)  # every partition's sums are as large as the sketch
+    sums = few.mapInArrow(add_up, kinds).groupBy("salt", "part").applyInPandas(add, kinds).groupBy("part").applyInPandas(add, kinds).collect()
+    out = np.zeros((len(idf), rows), np.float32)
+    for r in sums:
+        out[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["sums"], np.float32).reshape(_PART, rows)
     return out
 
 
-def latent_words(texts: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Words x rank: each word's weight times its row of the right singular vectors, scaled so that all directions count alike."""
-    block = np.random.default_rng(7).standard_normal((len(idf), rank + EXTRA), np.float32)
-    for k in range(ROUNDS):
-        product = gram_times(texts, idf, block)
-        if k < ROUNDS - 1:
-            block, _ = np.linalg.qr(product)
-    square, turn = np.linalg.eigh(block.T @ product)
+def latent_words(sketch: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Words x rank: each word's place in the space. Words that no passage has are at zero, and no document has them either."""
+    square, turn = np.linalg.eigh(sketch.T.astype(float) @ sketch)
     top = np.argsort(square)[::-1][:rank]
-    scale = np.sqrt(np.sqrt(np.maximum(square[top], 1e-9)))
-    return (idf[:, None] * (block @ turn[:, top]) / scale).astype(np.float32)
+    vectors = sketch @ turn[:, top] / np.maximum(square[top], 1e-9)  # right singular vectors over their values
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return (idf[:, None] * vectors / np.where(length > 0, length, 1)).astype(np.float32)
 
 
 def lcs(pattern: list[int], text: list[int]) -> int:
@@ -153,6 +167,34 @@ def lcs(pattern: list[int], text: list[int]) -> int:
     return len(pattern) - v.bit_count()
 
 
+def blocks(row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the blocks of `size` words that each row is cut into (its last one may be shorter), and their rows."""
+    if not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    n = -(np.append(first[1:], len(row)) - first) // -size
+    begin = np.repeat(first - size * (np.cumsum(n) - n), n) + size * np.arange(int(n.sum()))
+    return begin, row[begin]
+
+
+def latent_windows(t: Tokens, space: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and unit latent vectors of windows of two neighbouring half-sized blocks; a row of one block is one window."""
+    begin, row = blocks(t.row, size // 2)
+    if not len(begin):
+        return begin, np.zeros((0, space.shape[1]), np.float32)
+    bucket, ends = _buckets(t.hash), np.append(begin[1:], len(t.row))
+    sums = np.empty((len(begin), space.shape[1]), np.float32)
+    for k in range(0, len(begin), 2048):
+        lo, hi = begin[k], ends[min(k + 2048, len(begin)) - 1]
+        sums[k : k + 2048] = np.add.reduceat(space[bucket[lo:hi]], begin[k : k + 2048] - lo, axis=0)
+    last = np.append(row[1:] != row[:-1], True)
+    alone = last & np.insert(last[:-1], 0, True)
+    sums[:-1] += np.where(last[:-1], 0, 1).astype(np.float32)[:, None] * sums[1:]
+    kept = np.flatnonzero(~last | alone)
+    x = sums[kept]
+    return begin[kept], x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
 @dataclass
 class Benchmark:
     """The items' words, their answers, and their pieces in the latent space."""
@@ -162,32 +204,29 @@ class Benchmark:
     answers: list[list[int]]
     vocabulary: np.ndarray  # sorted hashes
     places: list[np.ndarray]  # of the items' words in the vocabulary
-    idf: np.ndarray
     space: np.ndarray
-    piece_item: np.ndarray
-    pieces: np.ndarray
-    inside: np.ndarray  # pieces x vocabulary
-    piece_mass: np.ndarray
-    sizes: list[tuple[int, np.ndarray, np.ndarray]]  # words of a window, the pieces compared with such windows, whether each word of the vocabulary is in them
-    placeless: np.ndarray  # whether a piece's latent vector is zero
+    pieces: list[tuple[int, np.ndarray, np.ndarray]]  # words of a window, the items of the pieces compared with it, their latent vectors
+    cosine: float
 
     @classmethod
-    def of(cls, rows: list, idf: np.ndarray, space: np.ndarray) -> Benchmark:
+    def of(cls, rows: list, space: np.ndarray, cosine: float = COSINE) -> Benchmark:
         texts = [r["text"] for r in rows]
         t = tokens_of(texts)
-        of_row = lambda t, n: [t.hash[t.row == i].tolist() for i in range(n)]
-        items = of_row(t, len(texts))
-        last = [([s for s in re.split(r"(?<=[.?!])\s+|\n", x or "") if s.strip()] or [""])[-1] for x in texts]
-        answers = of_row(tokens_of(last), len(texts))
-        a, b = windows(t.row, WINDOW, STRIDE)
+        words = lambda t: np.split(t.hash, np.searchsorted(t.row, np.arange(1, len(texts))))
+        own = words(t)
+        last = words(tokens_of([([s for s in re.split(r"(?<=[.?!])\s+|\n", x or "") if s.strip()] or [""])[-1] for x in texts]))
+        answers = [x[-max(len(y), ANSWER_WORDS) :].tolist() for x, y in zip(own, last)]
         vocabulary = np.unique(t.hash)
-        at = np.searchsorted(vocabulary, t.hash)
-        inside = np.zeros((len(a), len(vocabulary) + 1), bool)
-        for k, (x, y) in enumerate(zip(a, b)):
-            inside[k, at[x:y]] = True
-        mass = np.add.reduceat(idf[_buckets(t.hash)[np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange(int((b - a).sum()))]], np.cumsum(b - a) - (b - a)) if len(a) else np.zeros(0)
-        sizes = [(int(n), mine, inside[mine].any(axis=0)) for n in np.unique(b - a) for mine in [np.flatnonzero(b - a == n)]]
-        return cls([r["item_id"] for r in rows], items, answers, vocabulary, [np.searchsorted(vocabulary, np.array(i, U64)) for i in items], idf, space, t.row[a], pieces := embed(t, a, b, space), inside, mass, sizes, ~pieces.any(axis=1))
+        pieces, longest = [], None
+        for size, least in SCALES:
+            mine = np.array([i for i, x in enumerate(own) if len(x) >= least and (longest is None or len(x) < longest)], np.int64)
+            longest = least
+            kept = np.isin(t.row, mine)
+            part = Tokens(t.start[kept], t.end[kept], t.row[kept], t.hash[kept])
+            begin, vectors = latent_windows(part, space, size)
+            if len(begin):
+                pieces.append((size, part.row[begin], vectors))
+        return cls([r["item_id"] for r in rows], [x.tolist() for x in own], answers, vocabulary, [np.searchsorted(vocabulary, x) for x in own], space, pieces, cosine)
 
     def search(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, words of the item, common words in order, common words of the answer) of each verified pair."""
@@ -196,43 +235,27 @@ class Benchmark:
             return []
         at = np.minimum(np.searchsorted(self.vocabulary, t.hash), len(self.vocabulary) - 1)
         at = np.where(self.vocabulary[at] == t.hash, at, len(self.vocabulary))
-        weight = self.idf[_buckets(t.hash)]
         out: dict[tuple[int, int], tuple] = {}
-        hashes, there_now = t.hash, np.zeros(len(self.vocabulary) + 1, bool)
+        there_now = np.zeros(len(self.vocabulary) + 1, bool)
         bounds = np.searchsorted(t.row, np.arange(len(offs)))
-        for size, mine, wanted in self.sizes:
-            stride = STRIDE if size == WINDOW else max(1, size // 4)
-            a, b = windows(t.row, size, stride)
-            of = lambda x: (lambda c: c[b] - c[a])(np.concatenate([[0.0], np.cumsum(x)]))
-            mass = np.maximum(of(weight), 1e-9)
-            near = np.flatnonzero(of(weight * wanted[at]) >= MASS * mass)
-            for k in range(0, len(near), 2048):
-                some = near[k : k + 2048]
-                latent = embed(t, a[some], b[some], self.space)
-                close = latent @ self.pieces[mine].T >= COSINE
-                close[~latent.any(axis=1)] = True  # without a place in the space the overlap decides
-                close[:, self.placeless[mine]] = True
-                w, piece = np.nonzero(close)
-                if not len(w):
-                    continue
-                w, piece = some[w], mine[piece]
-                spread = np.minimum(a[w][:, None] + np.arange(size)[None, :], len(at) - 1)
-                there = np.arange(size)[None, :] < (b[w] - a[w])[:, None]
-                shared = (self.inside[piece[:, None], at[spread]] * there * weight[spread]).sum(axis=1)
-                enough = shared >= OVERLAP * np.minimum(mass[w], self.piece_mass[piece])
-                for x, item in sorted(set(zip(w[enough].tolist(), self.piece_item[piece[enough]].tolist()))):
-                    row, own = int(t.row[a[x]]), self.items[item]
+        for size, item_of, vectors in self.pieces:
+            begin, latent = latent_windows(t, self.space, size)
+            at_once = max(1, (1 << 22) // len(item_of))
+            for k in range(0, len(begin), at_once):
+                w, piece = np.nonzero(latent[k : k + at_once] @ vectors.T >= self.cosine)
+                for x, item in sorted(set(zip(begin[k + w].tolist(), item_of[piece].tolist()))):
+                    row, own = int(t.row[x]), self.items[item]
                     before = out.get((row, item))
                     if before and before[2] >= 0.95 * len(own):
                         continue
                     n = max(len(own), size)
-                    lo, hi = max(int(bounds[row]), int(a[x]) - n + stride), min(int(bounds[row + 1]), int(b[x]) + n - stride)
+                    lo, hi = max(int(bounds[row]), x - n), min(int(bounds[row + 1]), x + size + n)
                     there_now[at[lo:hi]] = True  # no subsequence is longer than the number of the item's words that are there at all
                     possible = int(there_now[self.places[item]].sum())
                     there_now[at[lo:hi]] = False
                     if possible < LEAST * len(own):
                         continue
-                    region = hashes[lo:hi].tolist()
+                    region = t.hash[lo:hi].tolist()
                     common = lcs(own, region)
                     if common < LEAST * len(own):
                         continue
@@ -242,22 +265,13 @@ class Benchmark:
         return [(row, item, n, common, answer) for (row, item), (_, n, common, answer) in out.items()]
 
 
-def embed(t: Tokens, a: np.ndarray, b: np.ndarray, space: np.ndarray) -> np.ndarray:
-    """Unit latent vectors of the windows a to b (of at least one word)."""
-    if not len(a):
-        return np.zeros((0, space.shape[1]), np.float32)
-    n = b - a
-    start = np.cumsum(n) - n
-    at = np.repeat(a - start, n) + np.arange(int(n.sum()))
-    x = np.add.reduceat(space[_buckets(t.hash)[at]], start, axis=0)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", cosine: float = COSINE) -> DataFrame:
     """(doc_id, item_id, n_words, n_common, n_answer) of each document and benchmark item found in it.
 
-    Null or empty texts and items without words match nothing. Keys and item ids are integers. Raises if the
-    benchmark has more than MOST_ITEMS rows, since every task holds it.
+    Null or empty texts and items without words match nothing; rows with a null key or item id are left out. Keys
+    and item ids are integers. A key or an item id that is repeated gives a row for each of its rows. Equal texts
+    have equal results. Raises if the benchmark has more than MOST_ITEMS rows, since every task holds it. With
+    `cosine` -1 every window is a candidate for every item.
     """
     rows = benchmark.select("item_id", "text").where("item_id is not null and trim(coalesce(text, '')) <> ''").orderBy("item_id").limit(MOST_ITEMS + 1).collect()
     if len(rows) > MOST_ITEMS:
@@ -268,7 +282,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     if not rows or not n:
         return docs.sparkSession.createDataFrame([], schema)
     idf = np.log((1 + n) / (1 + df)) + 0.01
-    shared = docs.sparkSession.sparkContext.broadcast(Benchmark.of(rows, idf, latent_words(source.select("text"), idf)))
+    shared = docs.sparkSession.sparkContext.broadcast(Benchmark.of(rows, latent_words(sketched(source, idf), idf), cosine))
 
     def find(batches):
         bench = shared.value

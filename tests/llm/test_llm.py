@@ -149,6 +149,29 @@ def test_deep_shallow_sorts():
         assert common[k] == expected
 
 
+@pytest.mark.parametrize("hot", [2, 40])
+def test_repeats_one_passage_in_many_texts(spark, hot):
+    """A passage that stands in far more texts than a task sorts at once, with other words around it, cut short in some and spoilt in others."""
+    rng = np.random.default_rng(4)
+    passage = "".join(chr(97 + x) for x in rng.integers(0, 26, 600))
+    own = lambda n: "".join(chr(65 + x) for x in rng.integers(0, 26, n))
+    texts = {i: own(rng.integers(0, 300)) + passage + own(rng.integers(0, 300)) for i in range(150)}
+    texts |= {200 + i: own(50) + passage[: 180 + 7 * i] + own(120) for i in range(20)}
+    texts |= {300 + i: passage[: 250 + i] + "#" + passage[251 + i :] for i in range(0, 60, 3)}
+    texts[400] = "ab" * 3000 + passage[300:520] + "ab" * 90
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.key: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df, hot=hot).collect()}
+    assert got == brute_repeats(texts, 200)
+
+
+def test_repeats_of_rows_and_ids(spark):
+    """Rows that repeat an id are judged each for itself; repeated rows are copies."""
+    a, b = ("".join(chr(97 + (i * i * k + i) % 26) for i in range(700)) for k in (7, 11))
+    rows = [(1, a[:300]), (1, b + "0"), (2, "1" + b), (3, a), (3, a), (4, "short"), (4, "short"), (None, a)]
+    got = sorted((r.key, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=2).collect())
+    assert got == [(1, 300, 300), (1, 701, 700), (2, 701, 700), (3, 700, 700), (3, 700, 700), (4, 5, 0), (4, 5, 0)]
+
+
 def test_repeats_odd_inputs(spark, odd, empty):
     got = {r.key: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(odd).collect()}
     assert got[1] == got[2] == got[4] == (0, 0) and got[7][0] > 300_000 and len(got) == 10

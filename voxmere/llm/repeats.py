@@ -13,8 +13,11 @@ at anchors, and only at those whose GRAM bytes occur more than once:
    are still equal there. The reversed prefixes before the anchors are sorted likewise. With the common prefix
    lengths of neighbours in the two orders, strings around two anchors are equal exactly if they fall in the same
    run of both orders; so every string in the bucket is judged without comparing pairs.
-4. A bucket with more than HOT anchors, as of a passage in very many documents, is not brought to one task: the
-   digests of its strings are counted by partial aggregation, and those that occur twice are joined back.
+4. Anchors whose surroundings are equal throughout need no sorting among themselves: all their strings repeat, and
+   one of them stands for the others. A bucket with more than HOT anchors, as of a passage in very many documents,
+   is brought down in that way and then split: strings that begin far before the anchor share the bytes before it,
+   the others those after it, so either half of the distances has a longer common string, by which it falls into
+   smaller groups. Halving goes on until every group is small enough for step 3 or a single string.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +34,8 @@ from voxmere.llm.common import cut, likely, table, written
 from voxmere.llm.textvec import U64, mix, slices, text_buffers
 
 GRAM, SHALLOW, HOT = 32, 96, 32768  # a bucket of HOT anchors takes about 60 MB in a task
+#: A row is known by its id and a hash of its text, so rows that repeat an id stay apart.
+KEY = "struct<id:bigint,tag:bigint>"
 _STEP = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -218,7 +224,7 @@ def _find_anchors(df: DataFrame, length: int, gram: int) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array(at), pa.array((place - offs[row]).astype(np.int32))),
                 ], names=["key", "n_bytes", "digest", "hashes", "places"])
 
-    return df.mapInArrow(find, "key long, n_bytes long, digest binary, hashes array<long>, places array<int>")
+    return df.mapInArrow(find, f"key {KEY}, n_bytes long, digest binary, hashes array<long>, places array<int>")
 
 
 def _selected(batch: pa.RecordBatch, length: int, gram: int):
@@ -232,45 +238,88 @@ def _selected(batch: pa.RecordBatch, length: int, gram: int):
         yield first, data, offs, row[mine], place[mine], h[mine], a[mine], b[mine]
 
 
-def _contexts(df: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row for each named anchor: its hash, where it is, the distances of its strings, and the bytes they cover."""
-
-    def find(batches):
-        for batch in batches:
-            for first, data, offs, row, place, h, a, b in _selected(batch, length, gram):
-                view = data.tobytes()
-                around = [view[x : y + length] for x, y in zip(a.tolist(), b.tolist())]
-                key = batch["key"].slice(first, len(offs) - 1).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), key, pa.array(place - offs[row]), pa.array((place - b).astype(np.int32)), pa.array((place - a).astype(np.int32)), pa.array(around, pa.binary())], names=["hash", "key", "place", "low", "high", "around"])
+def _alike(data: np.ndarray, start: np.ndarray, size: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
+    """For each range of bytes the first one that equals it and agrees in all `groups` (a range alone: itself)."""
+    h = Rolling(data)(start, size)
+    order = np.lexsort((start, h, *groups))
+    new = np.ones(len(order), bool)
+    if len(order) > 1:
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (h, *groups)], axis=0)
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    for k in range(0, len(order), 4096):  # equal hashes are not taken for equal bytes
+        mine, own = order[k : k + 4096], first[k : k + 4096]
+        differ = np.zeros(len(mine), bool)
+        for i in np.flatnonzero(mine != own):
+            n = size[mine[i]]
+            differ[i] = not np.array_equal(data[start[mine[i]] : start[mine[i]] + n], data[start[own[i]] : start[own[i]] + n])
+        own[differ] = mine[differ]
+        first[k : k + 4096] = own
+    out = np.empty(len(order), np.int64)
+    out[order] = first
+    return out
 
-    return df.mapInArrow(find, "hash long, key long, place long, low int, high int, around binary")
 
+def _contexts(df: DataFrame, length: int, gram: int) -> DataFrame:
+    """One row for each named anchor: its hash, where it is, the distances of its strings, and the bytes they cover.
 
-def _strings(df: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row for each string of the named anchors: two hashes and where it starts."""
+    Of a slice's anchors with equal surroundings one has such a row; the spans of them all come as rows without
+    bytes (see _judge), merged to runs. So a long text of one pattern has few rows.
+    """
 
     def find(batches):
         for batch in batches:
-            for first, data, offs, row, _, _, a, b in _selected(batch, length, gram):
-                n = b - a + 1
-                start = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                row = np.repeat(row, n)
-                rolling = Rolling(data)
-                h1, h2 = rolling(start, length), mix(rolling(start, length // 2) * U64(3) + rolling(start + length // 2, length - length // 2))
-                for i in range(0, max(1, len(start)), 100_000):
-                    part = slice(i, i + 100_000)
-                    key = batch["key"].slice(first, len(offs) - 1).take(pa.array(row[part]))
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[part].view(np.int64)), pa.array(h2[part].view(np.int64)), key, pa.array(start[part] - offs[row[part]])], names=["h1", "h2", "key", "start"])
-
-    return df.mapInArrow(find, "h1 long, h2 long, key long, start long")
+            for first, data, offs, row, place, h, a, b in _selected(batch, length, gram):
+                view = data.tobytes()
+                low, high = place - b, place - a
+                stand_in = _alike(data, a, b - a + length, [low, high, h]) if len(a) else np.zeros(0, np.int64)
+                many = np.bincount(stand_in, minlength=len(a)) > 1
+                shown = np.flatnonzero(stand_in == np.arange(len(a)))
+                sure = np.flatnonzero(many[stand_in])
+                around: list = [view[x : y + length] for x, y in zip(a[shown].tolist(), b[shown].tolist())]
+                start, end = merged(a[sure], b[sure] + length, row[sure])
+                rows = np.concatenate([row[shown], np.searchsorted(offs, start, "right") - 1])
+                at = np.concatenate([place[shown], start]) - offs[rows]
+                lows, highs = np.concatenate([low[shown], start + length - end]), np.concatenate([high[shown], np.zeros(len(start), np.int64)])
+                keys = batch["key"].slice(first, len(offs) - 1).take(pa.array(rows))
+                hashes = np.concatenate([h[shown], mix(start.astype(U64) + U64(len(view)))]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), keys, pa.array(at), pa.array(lows.astype(np.int32)), pa.array(highs.astype(np.int32)), pa.array(around + [None] * len(start), pa.binary())], names=["hash", "key", "place", "low", "high", "around"])
+
+    return df.mapInArrow(find, f"hash long, key {KEY}, place long, low int, high int, around binary")
+
+
+def _split(contexts: DataFrame, length: int, hot: int) -> DataFrame:
+    """The contexts of large buckets in groups (`hash`) of at most `hot` different ones, and rows without bytes for the spans found on the way."""
+    names = ["hash", "key", "place", "low", "high", "around"]
+    found = contexts.where("around is null").select(*names)
+    work = contexts.where("around is not null").withColumns({"from": F.lit(0), "to": F.lit(length)})
+    while True:
+        ranged = work.withColumns({"e0": F.greatest("low", "from"), "e1": F.least("high", "to")}).where("e0 <= e1")
+        core = F.expr(f"concat(substring(around, high - `from` + 1, `from`), substring(around, high + 1, {length} - `to`))")
+        whole = F.expr(f"substring(around, high - e1 + 1, e1 + {length} - e0)")
+        work = cut(ranged.select("key", "place", "from", "to", "e0", "e1", F.xxhash64("hash", "from", "to", core).alias("hash"), F.md5(whole).alias("own"), whole.alias("around")))
+        alike = work.groupBy("hash", "e0", "e1", "own").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "place")).alias("stand_in"))
+        known = cut(work.join(alike, ["hash", "e0", "e1", "own"]))
+        found = found.unionByName(known.where("m > 1").select("hash", "key", "place", F.col("e0").alias("low"), F.col("e1").alias("high"), F.lit(None).cast("binary").alias("around")))
+        different = known.where(F.struct("key", "place") == F.col("stand_in")).dropDuplicates(["hash", "e0", "e1", "own"]).select("hash", "key", "place", "from", "to", F.col("e0").alias("low"), F.col("e1").alias("high"), "around")
+        sizes = different.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        grouped = cut(different.join(sizes, "hash"))
+        found = found.unionByName(grouped.where(F.col("n") <= hot).select(*names))
+        large = grouped.where(F.col("n") > hot)
+        if large.isEmpty():
+            return found
+        middle = F.expr("(greatest(`from`, 0) + `to`) div 2").cast("int")
+        halves = F.explode(F.array(F.struct(F.col("from"), middle.alias("to")), F.struct((middle + 1).alias("from"), F.col("to"))))
+        work = large.select(*names, halves.alias("half")).select(*names, "half.from", "half.to")
 
 
 def _judge(contexts: DataFrame, length: int, gram: int, rows_at_once: int = 8192) -> DataFrame:
-    """(key, start, end) of the runs of strings that occur twice; buckets are whole within a partition and sorted by hash."""
+    """(key, start, end) of the runs of strings that occur twice; buckets are whole within a partition and sorted by hash. Rows without bytes are spans already: place - high to place - low + length."""
     reach = (length - gram + 7) // 8 * 8
     width = (length + 7) // 8 * 8
 
     def judge(table_: pa.Table):
+        bare = table_["around"].is_null().combine_chunks()
+        spans, table_ = table_.filter(bare), table_.filter(pa.compute.invert(bare))
         group = table_["hash"].to_numpy()
         low, high, place = (table_[c].to_numpy() for c in ("low", "high", "place"))
         data, offs = text_buffers(table_["around"])
@@ -281,7 +330,10 @@ def _judge(contexts: DataFrame, length: int, gram: int, rows_at_once: int = 8192
         hit = np.concatenate([np.zeros((len(hit), 1), bool), hit, np.zeros((len(hit), 1), bool)], axis=1)
         row, d = np.nonzero(hit[:, 1:] != hit[:, :-1])
         row, near, far = row[::2], d[::2], d[1::2] - 1
-        return pa.RecordBatch.from_arrays([table_["key"].combine_chunks().take(pa.array(row)), pa.array(place[row] - far), pa.array(place[row] - near + length)], names=["key", "start", "end"])
+        at = spans["place"].to_numpy()
+        keys = pa.concat_arrays([table_["key"].combine_chunks().take(pa.array(row)), spans["key"].combine_chunks()])
+        start, end = np.concatenate([place[row] - far, at - spans["high"].to_numpy()]), np.concatenate([place[row] - near + length, at - spans["low"].to_numpy() + length])
+        return pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(end)], names=["key", "start", "end"])
 
     def find(batches):
         held: list[pa.RecordBatch] = []
@@ -302,7 +354,7 @@ def _judge(contexts: DataFrame, length: int, gram: int, rows_at_once: int = 8192
             for a, b in _runs(whole["hash"].to_numpy(), rows_at_once):
                 yield judge(whole.slice(a, b - a))
 
-    return contexts.mapInArrow(find, "key long, start long, end long")
+    return contexts.mapInArrow(find, f"key {KEY}, start long, end long")
 
 
 def _runs(h: np.ndarray, about: int):
@@ -317,49 +369,55 @@ def _runs(h: np.ndarray, about: int):
 
 def _spans(df: DataFrame, text: str, key: str, length: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The texts (key, text), the spans (key, start, end) found between texts that differ, and (key, n_bytes) of texts that go as a whole."""
-    source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = F.coalesce(F.col(text), F.lit(""))
+    source = df.where(F.col(key).isNotNull()).select(F.struct(F.col(key).cast("long").alias("id"), F.xxhash64(own).alias("tag")).alias("key"), own.alias("text"))
     found = written(_find_anchors(source, length, gram))
     long_enough = found.where(F.col("n_bytes") >= length)
     copies = cut(long_enough.groupBy("digest").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("m")))
     reps = long_enough.join(copies.select(F.col("rep").alias("key")), "key", "left_semi")
     places = reps.select("key", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("key", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
     twice = cut(places.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    named = written(places.join(twice, "hash").groupBy("key", (F.col("m") > hot).alias("is_hot")).agg(F.collect_list("place").alias("places")))
+    named = written(places.join(twice, "hash").groupBy("key", (F.col("m") > hot).alias("is_hot")).agg(F.collect_set("place").alias("places")))
 
-    def with_text(is_hot: bool) -> DataFrame:
+    def contexts(is_hot: bool) -> DataFrame:
         mine = named.where(F.col("is_hot") == is_hot).select("key", "places")
-        return mine.join(likely(source, "key", mine, "key"), "key").select("key", "text", "places")
+        return _contexts(likely(source, "key", mine, "key").join(mine, "key").select("key", "text", "places"), length, gram)
 
-    ordinary = _judge(_contexts(with_text(False), length, gram).repartition("hash").sortWithinPartitions("hash"), length, gram)
-    strings = cut(_strings(with_text(True), length, gram))
-    again = cut(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h1", "h2"))
-    frequent = strings.join(again, ["h1", "h2"]).select("key", "start", (F.col("start") + length).alias("end"))
+    groups = contexts(False)
+    if not named.where("is_hot").isEmpty():
+        groups = groups.unionByName(_split(cut(contexts(True)), length, hot))
+    spans = _judge(groups.repartition("hash").sortWithinPartitions("hash"), length, gram)
     whole = cut(long_enough.select("key", "digest", "n_bytes").join(copies.where("m > 1").select("digest"), "digest").select("key", "n_bytes"))
-    return source, ordinary.unionByName(frequent), whole
+    return source, spans, whole
 
 
 def repeated_spans(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = 200, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(key, start, end) byte ranges, overlapping ones too, of all strings of `length` bytes that start at more than one place in the texts' UTF-8."""
     _, spans, whole = _spans(df, text, key, length, gram, hot)
-    return spans.unionByName(whole.select("key", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    every = spans.unionByName(whole.select("key", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    return every.select(F.col("key.id").alias("key"), "start", "end")
 
 
-def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of the union of ranges; ranges that touch are one."""
+def merged(start: np.ndarray, end: np.ndarray, row: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of the union of ranges; ranges that touch are one, unless their rows differ (ranges of rows lie apart and in order)."""
+    if not len(start):
+        return start, end
     order = np.argsort(start, kind="stable")
     start, reach = start[order], np.maximum.accumulate(end[order])
     new = np.concatenate([[True], start[1:] > reach[:-1]])
+    if row is not None:
+        new[1:] |= row[order][1:] != row[order][:-1]
     return start[new], reach[np.append(np.flatnonzero(new)[1:], len(start)) - 1]
 
 
-def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = 200, with_bytes: bool = True) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = 200, with_bytes: bool = True, hot: int = HOT) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept, kept_sha256) of each row; kept is binary, as a cut may part a character, and null without `with_bytes`.
 
-    Null counts as empty; texts shorter than `length` stay. Keys are distinct integers; rows with a null key are
-    left out.
+    Null counts as empty; texts shorter than `length` stay. Keys are integers; rows that repeat a key are judged
+    each for itself, and repeated rows are copies of each other. Rows with a null key are left out.
     """
-    source, found, whole = _spans(df, text, key, length, GRAM, HOT)
-    spans = cut(found.join(whole.select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    source, found, whole = _spans(df, text, key, length, GRAM, hot)
+    spans = cut(found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(whole.select("key"), "key", "left_anti"))
 
     def strip(batches):
         for batch in batches:
@@ -374,14 +432,14 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
                 batch["key"], *(pa.array([r[k] for r in out], pa.int64()) for k in range(3)), pa.array([r[3] if with_bytes else None for r in out], pa.binary()), pa.array([hashlib.sha256(r[3]).hexdigest() for r in out], pa.string()),
             ], names=["key", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    schema = "key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    schema = f"key {KEY}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     cut_up = likely(source, "key", spans, "key").join(spans, "key").mapInArrow(strip, schema)
     nothing = F.lit(0).cast("long")
     gone = whole.select("key", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"" if with_bytes else None).cast("binary").alias("kept"), F.sha2(F.lit(b""), 256).alias("kept_sha256"))
     binary = F.col("text").cast("binary")
     touched = spans.select("key").unionByName(whole.select("key"))
     intact = source.select("key", F.octet_length("text").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), (binary if with_bytes else F.lit(None).cast("binary")).alias("kept"), F.sha2(binary, 256).alias("kept_sha256")).join(touched, "key", "left_anti")
-    return cut_up.unionByName(gone).unionByName(intact)
+    return cut_up.unionByName(gone).unionByName(intact).withColumn("key", F.col("key.id"))
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,81 @@ def test_near_duplicates_odd_inputs(spark, odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab1@!.lli", min_size=1, max_size=9), st.integers(0, 5))
+def test_restoring_is_the_best_of_all_paths(word, seed):
+    gain = (np.random.default_rng(seed).standard_normal((28, 28, 28)) * 2).tolist()
+    every = {x: s for s, x in _all_readings(word, gain)}
+    assert every[toxicity.restore(word, gain)] == pytest.approx(max(every.values()))
+
+
+def _all_readings(word, gain):
+    """Every string of letters that a path through the lattice reads, with its best score."""
+    import itertools
+
+    found = {}
+    for keep in itertools.product((0, 1, 2), repeat=len(word)):
+        letters, score, a, b, fits = "", 0.0, 0, 0, True
+        for i, (c, k) in enumerate(zip(word, keep)):
+            if c.isalpha():
+                run = 1 + sum(all(0 <= j < len(word) and word[j] == c for j in js) for js in ([i - 1], [i + 1], [i - 1, i - 2], [i + 1, i + 2]))
+                if k == 0:
+                    x, cost = c, 0.0
+                elif k == 1 and i and word[i - 1] == c:
+                    x, cost = "", toxicity.REPEATED if run >= 3 else toxicity.DOUBLED
+                else:
+                    fits = False
+                    break
+            else:
+                options = toxicity.READINGS.get(c, "")
+                if k < len(options):
+                    x, cost = options[k], toxicity.AS_OTHER
+                elif k == 2:
+                    x, cost = "", toxicity.INSERTED if options else toxicity.SEPARATED
+                else:
+                    fits = False
+                    break
+            score += cost
+            if x:
+                s = ord(x) - 96
+                score, a, b, letters = score + gain[a][b][s], b, s, letters + x
+        if fits:
+            found[letters] = max(found.get(letters, -1e9), score + gain[a][b][0])
+    return [(s, x) for x, s in found.items()]
+
+
+def _restorer(texts):
+    n = np.zeros(28**3)
+    for t in texts:
+        n += toxicity.trigram_counts(np.frombuffer(t.encode(), np.uint8))
+    n = n.reshape(28, 28, 28) + 0.1
+    return toxicity.Restorer(toxicity.CharModel(np.log(n / n.sum(axis=2, keepdims=True) * 28)))
+
+
+@pytest.mark.parametrize("noisy", ["you i d 1 o t", "you 1 d i 0 t there", "1d107", "id1ot!", "idiiiot", "i.d.1.0.t", "i-d-i-o-t now", "IDIOT", "(1d10t)"])
+def test_disguised_words_are_restored(noisy, texts):
+    data = np.frombuffer(noisy.encode(), np.uint8)
+    parts = toxicity.plain_and_restored(data, np.array([0, len(data)]), _restorer(t for t in texts.values() if t))
+    assert "idiot" in {low[a:b].tobytes().decode() for low, first, last, _ in parts for a, b in zip(first, last)}
+
+
+def test_restoring_a_long_word_takes_linear_time(texts):
+    import time
+
+    gain = _restorer(t for t in texts.values() if t).gain
+    begin = time.time()
+    assert len(toxicity.restore("ab1c@d0e" * (1 << 17), gain)) > 1 << 19
+    assert time.time() - begin < 30
+
+
+def test_toxicity_recall_and_false_alarms(spark):
+    """Of held-out labels, of which some are wrong by design."""
+    sf = f"{DATA}/sf0.1"
+    scored = queries.QUERIES["op9_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null"), "doc_id").collect()
+    toxic, clean = [r for r in scored if r.toxic == 1], [r for r in scored if r.toxic == 0]
+    assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
+
+
 # --- repeated strings ---------------------------------------------------------------------------------------
 
 

@@ -21,16 +21,21 @@ from pyspark.sql import functions as F
 
 from voxmere.llm.common import bounded_sample, held_out, table
 from voxmere.llm.quality import with_score
-from voxmere.llm.textvec import LOWER, SPACE, U64, mix, run_hashes, runs, slices
+from voxmere.llm.textvec import LOWER, SPACE, U64, grams, mix, run_hashes, runs, slices
+from voxmere.llm.textvec import words as split_words
 
 #: Bound of the labelled rows that are learned from.
 TRAIN_ROWS = 10000
 #: The letters that a character is used for.
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: Log probabilities of the channel: a character read as another, a separator inserted, a look-alike inserted, a letter repeated in a long run or doubled.
-AS_OTHER, SEPARATED, INSERTED, REPEATED, DOUBLED = -1.0, -0.7, -3.0, -0.4, -4.0
+AS_OTHER, SEPARATED, INSERTED, REPEATED, DOUBLED = -1.0, -0.7, -7.0, -0.4, -4.0
 #: A word is taken as evidence if it explains at least this share of the toxic texts, and three of them.
 LEAST_SHARE = 0.006
+#: A word is evidence on its own if it is so many times as frequent in toxic texts as in others.
+SURE = 12
+#: Least hashes of word runs by which near copies are told.
+LIKENESSES = 4
 SYMBOLS = 28  # boundary, a to z, any other letter
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -93,11 +98,11 @@ def _symbol(c: str) -> int:
 def restore(word: str, gain) -> str:
     """The likeliest letters behind a word; gain is CharModel.gain as nested lists.
 
-    Paths are joined where their last two letters agree and all of these states are kept, so the work is in
-    proportion to the word's length.
+    Paths are joined where their last two letters agree, and the best of each state is kept: an exact Viterbi search,
+    whose work and memory are in proportion to the word's length. Of equal paths the first read stays.
     """
     word = word.lower()
-    paths = {("", 0, 0): (0.0, "")}  # (last letter, symbols of the last two) -> score, letters
+    paths: dict[tuple, tuple] = {("", 0, 0): (0.0, None)}  # (last letter, symbols of the last two) -> score, chain of letters
     for i, c in enumerate(word):
         if c.isalpha():
             run = 1 + (i > 0 and word[i - 1] == c) + (i + 1 < len(word) and word[i + 1] == c) + (i > 1 and word[i - 2] == c == word[i - 1]) + (i + 2 < len(word) and word[i + 1] == c == word[i + 2])
@@ -106,19 +111,23 @@ def restore(word: str, gain) -> str:
         else:
             options = [(x, AS_OTHER) for x in READINGS.get(c, "")]
             drop = INSERTED if options else SEPARATED
-        after: dict[tuple, tuple[float, str]] = {}
-        for (last, a, b), (score, letters) in paths.items():
-            if drop is not None:
-                key = (last, a, b)
-                if key not in after or after[key][0] < score + drop:
-                    after[key] = (score + drop, letters)
+        after: dict[tuple, tuple] = {}
+        for key, (score, chain) in paths.items():
+            if drop is not None and (key not in after or after[key][0] < score + drop):
+                after[key] = (score + drop, chain)
+            _, a, b = key
             for x, cost in options:
                 s = _symbol(x)
-                key, total = (x, b, s), score + cost + gain[a][b][s]
-                if key not in after or after[key][0] < total:
-                    after[key] = (total, letters + x)
+                to, total = (x, b, s), score + cost + gain[a][b][s]
+                if to not in after or after[to][0] < total:
+                    after[to] = (total, (chain, x))
         paths = after
-    return max(((score + gain[a][b][0], letters) for (_, a, b), (score, letters) in paths.items()), default=(0, ""))[1]
+    _, chain = max(((score + gain[a][b][0], chain) for (_, a, b), (score, chain) in paths.items()), key=lambda x: x[0], default=(0, None))
+    letters = []
+    while chain:
+        chain, x = chain
+        letters.append(x)
+    return "".join(reversed(letters))
 
 
 class Restorer:
@@ -312,23 +321,49 @@ def fit(labelled: DataFrame, corpus: DataFrame, text: str = "text", label: str =
     words = np.array([r["word"] for r in found if r["word"] is not None], np.int64).view(U64)
     t, c = (np.array([r[k] for r in found if r["word"] is not None], float) for k in "tc")
     share = n_toxic / max(1, n_toxic + n_other)
-    expected_t, expected_c = (t + c) * share, (t + c) * (1 - share)
-    ratio = 2 * (t * np.log(np.maximum(t, 1) / np.maximum(expected_t, 1e-9)) + np.where(c > 0, c * np.log(np.maximum(c, 1) / np.maximum(expected_c, 1e-9)), 0))
+    ratio = likelihood_ratio(t, c, share)
     odds = np.log((t + 0.5) / (c + 0.5))
     order = np.argsort(words)
-    order = order[(ratio > 2 * np.log(max(10, len(words)) * 20) + 4)[order]]
-    words, odds, ratio = words[order], odds[order], ratio[order]
-    chosen = explaining(sample, words, odds, shared)
+    order = order[(ratio > beyond_chance(len(words)))[order]]
+    words, odds = words[order], odds[order]
+    chosen = explaining(sample, words, odds, c[order], share, shared)
     base = np.log((0.1 * n_toxic + 0.5) / (n_other + 1))
     return Toxicity(characters, words[chosen], odds[chosen], float(min(base, -0.5)))
 
 
-def explaining(sample: DataFrame, words: np.ndarray, odds: np.ndarray, characters) -> np.ndarray:
-    """Which of the (sorted) words explain toxic texts that stronger ones leave unexplained.
+def likelihood_ratio(t: np.ndarray, c: np.ndarray, share: float) -> np.ndarray:
+    """Twice the log likelihood ratio of counts in toxic and other texts against the share of toxic texts."""
+    some = lambda n, expected: np.where(n > 0, n * np.log(np.maximum(n, 1) / np.maximum(expected, 1e-9)), 0)
+    return 2 * (some(t, (t + c) * share) + some(c, (t + c) * (1 - share)))
 
-    Words that merely stand beside toxic ones, as in copies of one text, would be evidence too; so the words are
-    taken in turn, the one found in most texts not yet explained first, until none adds enough. The driver gets
-    the candidates of the sample's toxic texts, each distinct text once.
+
+def beyond_chance(words: int) -> float:
+    """A likelihood ratio that none of so many words reaches by chance."""
+    return 2 * np.log(max(10, words) * 20) + 4
+
+
+def likenesses(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Rows x LIKENESSES: the least hashes of each row's runs of five words (of three, of one in shorter rows); near copies share most of them."""
+    tokens = split_words(LOWER[data], offs)
+    out = np.full((len(offs) - 1, LIKENESSES), np.iinfo(np.int64).max)
+    for size in (1, 3, 5):
+        row, h = grams(tokens, size)
+        if not len(row):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        for k in range(LIKENESSES):
+            out[row[first], k] = np.minimum.reduceat(mix(h + U64(k)), first).view(np.int64)
+    return out
+
+
+def explaining(sample: DataFrame, words: np.ndarray, odds: np.ndarray, others: np.ndarray, share: float, characters) -> np.ndarray:
+    """Which of the (sorted) words are evidence themselves and not just neighbours of such words.
+
+    Words that merely stand beside toxic ones, as in copies of one text, would be evidence too. A word is taken if
+    its count is beyond chance even when near copies count once (texts that share a likeness; the least number of
+    different ones is taken), or if it explains toxic texts that stronger words leave unexplained: the one found in
+    most texts not yet explained first, until none adds enough. The driver gets the candidates of the sample's
+    toxic texts, each distinct text once.
     """
     if not len(words):
         return np.zeros(0, np.int64)
@@ -342,12 +377,19 @@ def explaining(sample: DataFrame, words: np.ndarray, odds: np.ndarray, character
                 at = np.minimum(np.searchsorted(model.value, h), len(model.value) - 1)
                 hit = model.value[at] == h
                 row, at = row[hit], at[hit]
-                yield pa.RecordBatch.from_arrays([pa.array([np.unique(at[row == r]).tolist() for r in range(last - first)], pa.list_(pa.int32()))], names=["words"])
+                yield pa.RecordBatch.from_arrays([pa.array([np.unique(at[row == r]).tolist() for r in range(last - first)], pa.list_(pa.int32())), pa.array(likenesses(data, offs).tolist(), pa.list_(pa.int64()))], names=["words", "likenesses"])
 
     texts = sample.where("label <> 0").select("text", F.xxhash64("text").alias("h")).dropDuplicates(["h"]).select("text")
-    toxic = texts.mapInArrow(candidates, "words array<int>").collect()
-    open_texts = [set(r["words"]) for r in toxic if r["words"]]
-    chosen, least = [], max(3, LEAST_SHARE * len(open_texts))
+    toxic = [r for r in texts.mapInArrow(candidates, "words array<int>, likenesses array<long>").collect() if r["words"]]
+    kinds: list[list[set]] = [[set() for _ in range(LIKENESSES)] for _ in words]
+    for r in toxic:
+        for w in r["words"]:
+            for seen, x in zip(kinds[w], r["likenesses"]):
+                seen.add(x)
+    apart = np.array([min(map(len, x)) for x in kinds], float)
+    chosen = set(np.flatnonzero((likelihood_ratio(apart, others, share) > beyond_chance(len(words))) & (apart + 0.5 >= SURE * (others + 0.5))).tolist())
+    open_texts = [set(r["words"]) for r in toxic if not chosen.intersection(r["words"])]
+    least = max(3, LEAST_SHARE * len(toxic))
     while open_texts:
         n = np.zeros(len(words))
         for w in open_texts:
@@ -355,7 +397,7 @@ def explaining(sample: DataFrame, words: np.ndarray, odds: np.ndarray, character
         best = int(np.argmax(n * (1 + 1e-3 * odds)))
         if n[best] < least:
             break
-        chosen.append(best)
+        chosen.add(best)
         open_texts = [w for w in open_texts if best not in w]
     return np.array(sorted(chosen), np.int64)
 

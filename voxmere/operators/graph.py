@@ -1,36 +1,50 @@
-"""Connected components of a table of links (H1)."""
+"""Connected components of a table of links (H1), and the reliable checkpoints that iterations need."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names. Only a local session may do without; it gets a temporary one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    current = context._jsc.sc().getCheckpointDir()
+    if named or current.isDefined():
+        return named or current.get()
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-voxmere-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a reliable checkpoint in spark.checkpoint.dir (a temporary folder where none is set, as in tests)."""
+    """Ends the lineage with a reliable checkpoint in spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-voxmere-"))
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
-    """(node, component): component is the smallest reachable node. Nodes without links are absent.
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+    """(node, component) for each node of a link; component is the smallest node that is reachable.
 
-    A node takes the smallest label of itself and its neighbours, then the label of that label, so labels travel
-    twice as far each round; a count of changes ends the loop.
+    Each round a node takes the smallest label among its neighbours' and its own, then the label of that label, so
+    labels travel twice as far every round; only labels that changed in the last round are news to a neighbour.
+    Rounds end when no label changes. Nodes without links are absent.
     """
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b), F.col(a))).where("u <> v").distinct()
-    edges = cut(both)
+    one_way = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    edges = cut(one_way.union(one_way.select("v", "u")).distinct())
     labels = cut(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
+    news = labels
     for _ in range(most_rounds):
-        least = edges.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("near"))
-        stepped = labels.join(least, "u").select("u", F.col("c").alias("was"), F.least("c", "near").alias("l"))
-        after = cut(stepped.join(labels.select(F.col("u").alias("l"), F.col("c").alias("of_l")), "l").select("u", "was", F.least("l", "of_l").alias("c")))
-        labels = after.select("u", "c")
-        if after.where("c <> was").isEmpty():
+        near = edges.join(news.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("n"))
+        stepped = labels.join(near, "u", "left").select("u", F.col("c").alias("old"), F.least("c", F.coalesce("n", "c")).alias("c"))
+        of_label = labels.select(F.col("u").alias("c"), F.col("c").alias("cc"))
+        after = cut(stepped.join(of_label, "c", "left").select("u", "old", F.least("c", F.coalesce("cc", "c")).alias("c")))
+        labels, news = after.select("u", "c"), after.where("c <> old").select("u", "c")
+        if news.isEmpty():
             return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
     raise RuntimeError(f"labels still change after {most_rounds} rounds")

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxmere.operators.graph import checkpoint_dir
 from voxmere.plans import projections as P
 from voxmere.streaming import monitors
 
 
 def _folder(s: SparkSession) -> str:
-    shared = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-voxmere-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(s).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.operators.graph import cut  # noqa: F401  (used by the operators)
+from voxmere.operators.graph import checkpoint_dir, cut  # noqa: F401  (used by the operators)
 
 #: Rows of a text column are handled in slices of about this many bytes inside a task, so that numpy's
 #: intermediate arrays stay small whatever the length of the Arrow batch.
@@ -23,21 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the one the cluster names, or a new temporary one where none is set (tests)."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named:
-        current = context._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-voxmere-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(named)
+    """The folder all executors share: the one the cluster names. Only a local session may do without; it gets a temporary one."""
+    named = checkpoint_dir(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
-def release(spark: SparkSession) -> None:
-    """Between phases of many jobs: lets Spark's cleaner remove the shuffle files and checkpoints that nothing refers to any more, and the driver give back memory."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -112,8 +108,8 @@ def likely(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataF
 
 def without(df: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFrame:
     """The rows of df whose key is not in `gone` (a table that is cheap to read again); only the rows that may be in it are moved."""
-    maybe = may_be_in(df, key, gone, gone_key)
-    sieved = df.withColumn("_maybe", maybe)
-    ids = gone.select(F.col(gone_key).alias("_gone")).distinct()
-    sure = sieved.where("not _maybe").drop("_maybe")
-    return sure.unionByName(sieved.where("_maybe").drop("_maybe").join(ids, F.col(key) == F.col("_gone"), "left_anti"))
+    maybe, own = unused(df, "maybe"), unused(df, "gone")
+    sieved = df.withColumn(maybe, may_be_in(df, key, gone, gone_key))
+    ids = gone.select(F.col(gone_key).alias(own)).distinct()
+    sure = sieved.where(~F.coalesce(F.col(maybe), F.lit(False))).drop(maybe)
+    return sure.unionByName(sieved.where(F.col(maybe)).drop(maybe).join(ids, F.col(key) == F.col(own), "left_anti"))

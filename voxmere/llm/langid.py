@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import held_out, table
+from voxmere.llm.common import held_out, table, unused
 from voxmere.llm.textvec import slices
 
 DIMS = 4096
@@ -35,14 +35,12 @@ def counts(data: np.ndarray, offs: np.ndarray, dims: int = DIMS) -> np.ndarray:
         return np.zeros((rows, dims))
     b = _LETTER[data]
     code = ((b[:-2] | (b[1:-1] << np.uint32(8)) | (b[2:] << np.uint32(16))) * np.uint32(2654435761)) >> np.uint32(32 - int(dims).bit_length() + 1)
-    lens = np.maximum(0, np.diff(offs) - 2)
     keep = np.ones(len(code), bool)
     for k in (1, 2):  # trigrams that reach into the next row
         cross = offs[1:-1] - k
         keep[cross[(cross >= 0) & (cross < len(code))]] = False
     keep &= (b[:-2] != 32) | (b[1:-1] != 32)
     row = np.repeat(np.arange(rows), np.diff(offs))[: len(code)]
-    del lens
     return np.bincount(row[keep] * dims + code[keep], minlength=rows * dims).reshape(rows, dims).astype(np.float64)
 
 
@@ -111,7 +109,11 @@ class Centroids:
 
 
 def fit(training: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, k: int = CENTROIDS, dims: int = DIMS) -> Centroids:
-    """Learns from rows with text and language; document frequencies from all of them, centroids from about `rows` of each language."""
+    """Learns from rows with text and language; document frequencies from all of them, centroids from about `rows` of each language.
+
+    Which rows follows from a hash of their key, so rows that repeat one are taken or left together. Rows with a null
+    text or language teach nothing.
+    """
     known = training.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     df, n = document_frequencies(known.select("text"), dims)
     idf = np.log((1 + n) / (1 + df)) + 0.05
@@ -139,7 +141,9 @@ def with_language(df: DataFrame, model: Centroids, text: str = "text") -> DataFr
     """df with lang_pred, score and rejected.
 
     `und` with score 0, rejected, where the text is null or has no letter, or nothing was learned. A text with
-    letters but no trigram gets the most frequent language with score 0.
+    letters but no trigram gets the most frequent language with score 0. Of equally near centroids that of the more
+    frequent language wins, then the name's order. Rows that repeat an id or a text are predicted each for itself,
+    equal texts alike. Columns named lang_pred, score or rejected are replaced; all others stay.
     """
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if not model.langs:
@@ -151,12 +155,13 @@ def with_language(df: DataFrame, model: Centroids, text: str = "text") -> DataFr
         lang, score, rejected = shared.value.predict(column)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["lang", "score", "rejected"])
 
-    found = df.withColumn("_near", nearest(F.col(text))).withColumn("_letter", has_letter)
+    near, letter = unused(df, "near"), unused(df, "letter")
+    found = df.withColumn(near, nearest(F.col(text))).withColumn(letter, has_letter)
     return found.withColumns({
-        "lang_pred": F.when(F.col("_letter"), F.col("_near.lang")).otherwise("und"),
-        "score": F.when(F.col("_letter"), F.col("_near.score")).otherwise(0.0),
-        "rejected": ~F.col("_letter") | F.col("_near.rejected"),
-    }).drop("_near", "_letter")
+        "lang_pred": F.when(F.col(letter), F.col(f"{near}.lang")).otherwise("und"),
+        "score": F.when(F.col(letter), F.col(f"{near}.score")).otherwise(0.0),
+        "rejected": ~F.col(letter) | F.col(f"{near}.rejected"),
+    }).drop(near, letter)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import cut, likely, may_be_in, table, written
+from voxmere.llm.common import cut, likely, may_be_in, table, unused, written
 
 #: Lines with fewer characters always stay: short ones are alike by chance.
 MIN_CHARS = 24
@@ -98,14 +98,21 @@ def _near(docs: DataFrame, unique: DataFrame) -> DataFrame:
 
 
 def without_duplicate_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
-    """df with the duplicate lines taken out of its texts; rows left with nothing are dropped, others stay as they are."""
-    removed = written(duplicate_lines(df, text, key, min_chars, max_edits).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")))
-    sieved = df.withColumn("_maybe", may_be_in(df, key, removed, "_doc"))
-    joined = sieved.where("_maybe").drop("_maybe").join(removed, F.col(key).cast("long") == F.col("_doc"), "left")
-    kept = F.expr(f"array_join(filter(split(`{text}`, '\\n', -1), (x, i) -> not array_contains(_removed, i)), '\\n')")
-    lost = F.col("_removed").isNotNull()
-    cleaned = joined.withColumn(text, F.when(lost, kept).otherwise(F.col(text))).where(~lost | (F.trim(text) != "")).select(*df.columns)
-    return sieved.where("not _maybe or _maybe is null").drop("_maybe").unionByName(cleaned)
+    """df with the duplicate lines taken out of its texts; rows left with nothing are dropped, others stay as they are.
+
+    Keys are distinct integers (of rows that repeat one the first line of each number stands for the others); rows
+    with a null key or text stay.
+    """
+    doc, gone, maybe = unused(df, "doc"), unused(df, "removed"), unused(df, "maybe")
+    removed = written(duplicate_lines(df, text, key, min_chars, max_edits).select(F.col("doc").alias(doc), F.col("removed").alias(gone)))
+    sieved = df.withColumn(maybe, F.coalesce(may_be_in(df, key, removed, doc), F.lit(False)))
+    lines = sieved.where(F.col(maybe)).drop(maybe).withColumn(text, F.split(text, "\n", -1))  # before the join, so that a text is split once
+    joined = lines.join(removed, F.col(key).cast("long") == F.col(doc), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(text) - 1), F.coalesce(gone, F.array().cast("array<int>")))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(text, i)), "\n")
+    whole = F.array_join(text, "\n")
+    cleaned = joined.withColumn(text, F.when(F.col(gone).isNull(), whole).otherwise(kept)).where(F.col(gone).isNull() | (F.trim(text) != ""))
+    return sieved.where(~F.col(maybe)).drop(maybe).unionByName(cleaned.drop(doc, gone).select(*(f"`{c}`" for c in df.columns)))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

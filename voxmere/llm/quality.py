@@ -110,7 +110,8 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", rows: int = TRAIN_ROWS, shards: int = SHARDS, bits: int = BITS) -> Linear:
     """Learns from at most about `rows` rows of (key, text, label 0 or 1); rows with a null label are left out.
 
-    With no labelled rows every score is 0.5. The driver gets one vector of 2**bits + 1 numbers from each shard.
+    With no labelled rows every score is 0.5. Rows of which the order is the same by the key's hash, as repeated rows,
+    are learned from one after the other. The driver gets one vector of 2**bits + 1 numbers from each shard.
     """
     sample = bounded_sample(labelled.where(F.col(label).isNotNull()).select(key, label, text), key, rows)
 
@@ -133,7 +134,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
 
 
 def with_score(df: DataFrame, model, text: str = "text", out: str = "score") -> DataFrame:
-    """df with the model's score of each whole text; a null or empty text has no features, so its score is the intercept's."""
+    """df with the model's score of each whole text; a null or empty text has no features, so its score is the intercept's.
+
+    Equal texts have equal scores, whatever their ids. A column named `out` is replaced: name another one to keep it.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import cut, table
+from voxmere.llm.common import cut, table, unused
 
 _LOW = -(1 << 63)
 
@@ -75,75 +75,77 @@ def bytes_below(keyed: DataFrame, probes: list[tuple[int, int]]) -> tuple[list[i
     return below[0].tolist(), below[1].tolist()
 
 
-def find_cuts(keyed: DataFrame, keys: Keys, targets: list[int], total: int, tolerance: int, probes: int = 16, rounds: int = 40) -> list[int]:
-    """For each target a key with about that many bytes below it, in rising order.
+def find_cuts(keyed: DataFrame, keys: Keys, targets: dict[int, int], total: int, probes: int = 16, rounds: int = 100) -> dict[int, int]:
+    """For each target (bytes: tolerance) a key with about that many bytes below it.
 
-    Each round puts `probes` keys into every open interval: evenly, since hashes are even. An interval that
-    holds a single hash value is a group of copies, and evenly means by id there. A cut is done once the bytes
-    below it miss the target by at most `tolerance`, or its interval holds no further key.
+    Each round puts keys into every open interval, half of them evenly and half around where the target lies if
+    bytes are spread evenly, since hashes are. An interval that holds a single hash value is a group of copies, and
+    evenly means by id there. A cut is done once the bytes below it miss the target by at most its tolerance, or its
+    interval holds no further key. Every round divides the intervals by `probes` at least, so it ends long before
+    `rounds`; raises otherwise.
     """
-    low = {t: (0, 0) for t in targets}
-    high = {t: (keys.end, total) for t in targets}
+    low, high = {t: (0, 0) for t in targets}, {t: (keys.end, total) for t in targets}
     done: dict[int, int] = {}
     for _ in range(rounds):
         still = [t for t in targets if t not in done]
         if not still:
-            break
+            return done
         candidates: set[int] = set()
         for t in still:
             (a, below_a), (b, below_b) = low[t], high[t]
-            guess = a + (b - a) * (t - below_a) // max(1, below_b - below_a)  # where the target lies if bytes are spread evenly
-            width = max(1, (b - a) // probes)
-            near = max(1, (b - a) // (probes * probes))
+            guess = a + (b - a) * (t - below_a) // max(1, below_b - below_a)
+            width, near = max(1, (b - a) // probes), max(1, (b - a) // (probes * probes))
             candidates |= {k for k in [a + i * width for i in range(1, probes)] + [guess + i * near for i in range(-probes // 2, probes // 2)] if a < k < b}
         ordered = sorted(candidates)
-        if not ordered:
-            break
-        below, _ = bytes_below(keyed, [keys.split(k) for k in ordered])
+        below, _ = bytes_below(keyed, [keys.split(k) for k in ordered]) if ordered else ([], [])
         for t in still:
-            for k, n in zip(ordered, below):
-                if low[t][0] < k and n <= t:
-                    low[t] = (k, n)
-                if n >= t and k < high[t][0]:
-                    high[t] = (k, n)
+            at = bisect.bisect_right(below, t) - 1
+            if at >= 0 and ordered[at] > low[t][0]:
+                low[t] = (ordered[at], below[at])
+            at = bisect.bisect_left(below, t)
+            if at < len(below) and ordered[at] < high[t][0]:
+                high[t] = (ordered[at], below[at])
             best = min((low[t], high[t]), key=lambda x: abs(x[1] - t))
-            if abs(best[1] - t) <= tolerance or high[t][0] - low[t][0] <= 1:
+            if abs(best[1] - t) <= targets[t] or high[t][0] - low[t][0] <= 1:
                 done[t] = best[0]
-    for t in targets:
-        done.setdefault(t, min((low[t], high[t]), key=lambda x: abs(x[1] - t))[0])
-    return sorted(done[t] for t in targets)
+    raise RuntimeError(f"{len(targets) - len(done)} cuts are not within their tolerance after {rounds} rounds")
 
 
-def shard_by_bytes(df: DataFrame, shards: int, text: str = "text", id_col: str = "doc_id", tolerance: float = 0.001, parts: int = 8) -> DataFrame:
+#: Bytes that one task should sort, and the most ranges over all shards that are counted for.
+PART_BYTES, MOST_PARTS = 256 << 20, 8192
+
+
+def shard_by_bytes(df: DataFrame, shards: int, text: str = "text", id_col: str = "doc_id", tolerance: float = 0.001, parts: int | None = None) -> DataFrame:
     """df with `size`, `shard` (0 to shards - 1) and `slot` (gapless from 0 in each shard).
 
     A row's size is its text's UTF-8 bytes plus 16; a null text counts as empty. Shards get equal bytes within
     `tolerance` of a shard, or the length of one row where a longer row lies across the boundary. Each shard is
-    exchanged as `parts` ranges whose row counts give the slots, so no task holds a whole shard.
+    exchanged as `parts` ranges whose row counts give the slots, so no task holds a whole large shard; without
+    `parts` there are as many as it takes for PART_BYTES each, at most MOST_PARTS in all.
     Rows with equal text and id are ordered arbitrarily among themselves. A null id counts as the lowest id.
     An empty table gives an empty result. Columns named shard, slot or size are replaced.
     """
     spark = df.sparkSession
     size = (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("long")
-    rows = df.drop("size", "shard", "slot").withColumn("size", size).withColumn("_key_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.withColumn("_key_id", F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)))
-    keyed = cut(rows.select(F.col("_key_hash").alias("key_hash"), F.col("_key_id").alias("key_id"), "size"))
+    kept = df.drop("size", "shard", "slot")
+    key_hash, key_id, cut_no, base_no, rank = (unused(kept, n) for n in ("key_hash", "key_id", "cut", "base", "rank"))
+    rows = kept.withColumn("size", size).withColumn(key_hash, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.withColumn(key_id, F.coalesce(F.col(id_col).cast("long"), F.lit(_LOW)))
+    keyed = cut(rows.select(F.col(key_hash).alias("key_hash"), F.col(key_id).alias("key_id"), "size"))
     total, low, high = keyed.agg(F.sum("size"), F.min("key_id"), F.max("key_id")).first()
     if not total:
-        return rows.drop("_key_hash", "_key_id").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+        return rows.drop(key_hash, key_id).withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     keys = Keys(low, high - low + 1)
+    parts = parts or max(1, min(MOST_PARTS // shards, -(-total // (shards * PART_BYTES))))
     fine = shards * parts
     exact, loose = max(1, int(tolerance * total / shards)), max(1, int(0.25 * total / fine))
-    at_shard = [total * i // shards for i in range(1, shards)]
-    within = [total * i // fine for i in range(1, fine) if i % parts]
-    main = find_cuts(keyed, keys, sorted(set(at_shard)), total, exact)
-    finer = find_cuts(keyed, keys, sorted(set(within) - set(at_shard)), total, loose, probes=4)
-    cuts = sorted({*main, *finer})
+    targets = {total * i // fine: loose for i in range(1, fine)} | {total * i // shards: exact for i in range(1, shards)}
+    found = find_cuts(keyed, keys, targets, total)
+    cuts = sorted(set(found.values()))
     halves = [keys.split(k) for k in cuts]
-    _, below = bytes_below(keyed, halves)
-    starts = [0, *below]
-    shard_of, first_of = [], {}
-    edges = sorted(main)
+    _, below = bytes_below(keyed, halves) if cuts else ([], [])
+    edges = sorted(found[total * i // shards] for i in range(1, shards))
+    starts, shard_of, first_of = [0, *below], [], {}
     for i, begin in enumerate(starts):
         s = bisect.bisect_right(edges, cuts[i - 1]) if i else 0
         first_of.setdefault(s, begin)
@@ -151,13 +153,14 @@ def shard_by_bytes(df: DataFrame, shards: int, text: str = "text", id_col: str =
     base = [begin - first_of[s] for begin, s in zip(starts, shard_of)]
 
     @F.pandas_udf("int")
-    def cut_of(key_hash: pd.Series, key_id: pd.Series) -> pd.Series:
-        return pd.Series(_bucket(key_hash.to_numpy(), key_id.to_numpy(), halves).astype(np.int32))
-
-    placed = rows.withColumn("_cut", cut_of("_key_hash", "_key_id"))
-    levels = spark.createDataFrame([(i, s, b) for i, (s, b) in enumerate(zip(shard_of, base))], "_cut int, shard int, _base long")
-    order = Window.partitionBy("_cut").orderBy("_key_hash", "_key_id")
-    return placed.withColumn("_rank", F.row_number().over(order)).join(F.broadcast(levels), "_cut").withColumn("slot", F.col("_base") + F.col("_rank") - 1).drop("_cut", "_base", "_rank", "_key_hash", "_key_id")
+    def cut_of(high: pd.Series, low: pd.Series) -> pd.Series:
+        return pd.Series(_bucket(high.to_numpy(), low.to_numpy(), halves).astype(np.int32))
+
+    placed = rows.withColumn(cut_no, cut_of(key_hash, key_id))
+    levels = spark.createDataFrame([(i, s, b) for i, (s, b) in enumerate(zip(shard_of, base))], f"`{cut_no}` int, shard int, `{base_no}` long")
+    order = Window.partitionBy(cut_no).orderBy(key_hash, key_id)
+    ranked = placed.withColumn(rank, F.row_number().over(order)).join(F.broadcast(levels), cut_no)  # at most MOST_PARTS small rows
+    return ranked.withColumn("slot", F.col(base_no) + F.col(rank) - 1).drop(cut_no, base_no, rank, key_hash, key_id)
 
 
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,7 +115,3 @@ def grams(tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
             h = h * U64(0x9FB21C651E98DF25) + tokens.hash[k : len(tokens.hash) - n + 1 + k]
             h ^= h >> U64(31)
         return tokens.row[: len(inside)][inside], mix(h[inside] + U64(n))
-
-
-def row_sums(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
-    return np.bincount(row, weights=value, minlength=rows)

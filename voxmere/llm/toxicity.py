@@ -288,7 +288,8 @@ def fit(labelled: DataFrame, corpus: DataFrame, text: str = "text", label: str =
 
     A word counts once per text. It is kept as evidence if the log likelihood ratio of its counts in toxic and
     other texts is beyond what chance gives among as many words, and it is commoner in toxic ones. With no
-    labelled rows all scores are 0.5; with none that are toxic, low.
+    labelled rows all scores are 0.5; with none that are toxic, low. Null and empty texts have no evidence; rows that
+    repeat an id are sampled together, and toxic texts that are equal explain once.
     """
     characters = CharModel.fit(corpus.select(text))
     known = labelled.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
@@ -408,8 +409,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, out: str = "score") -> DataFrame:
+    """docs with the toxicity of each text as the column `out`, learned from the labels that are not held out."""
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)).select("doc_id", F.col("toxic").alias("label")).where("label is not null")
     chosen = bounded_sample(labels, "doc_id", TRAIN_ROWS)
     model = fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), docs)  # at most about TRAIN_ROWS small rows
-    return with_score(docs, model)
+    return with_score(docs, model, out=out)

@@ -742,6 +742,34 @@ def test_benchmark_repeated_ids_and_clashing_names(spark):
     assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()) == [(7, 1), (7, 1), (8, 1)]
 
 
+def test_rows_that_repeat_an_id(spark):
+    """Defined results where an id stands twice, with the same text or another."""
+    one, two = "the quick brown fox jumps over the lazy dog today", "an entirely different line of words that stands alone"
+    rows = [(1, one), (1, one), (1, two), (2, f"{one}\n{two}"), (3, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = sorted((r.key, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, size=3, percent=85).collect())
+    assert near == [(1, 7, 1), (1, 8, 1), (1, 8, 1), (2, 17, 2), (3, 1, 3)]
+    lines = {r.doc: list(r.removed) for r in linededup.duplicate_lines(df).collect()}
+    assert lines == {2: [0, 1]}
+    assert sorted(r.doc_id for r in linededup.without_duplicate_lines(df).collect()) == [1, 1, 1, 3]
+    packed = packing.pack_documents(df).collect()
+    assert len(packed) == 5 and sum(r.length for r in packed) == sum(len(packing.encoder_of("byte_bpe_50k.json")(t)) + 1 for _, t in rows)
+    assert len({(r.sequence_id, r.offset) for r in packed}) == 5
+
+
+def test_clashing_names_stay(spark):
+    """Columns that carry the names operators use inside come through with their values."""
+    names = ["score", "maybe", "gone", "removed", "doc", "near", "letter", "key_hash", "key_id", "cut", "base", "rank", "n_chars"]
+    df = spark.createDataFrame([(i, t, *(f"{n}{i}" for n in names)) for i, t in enumerate(["a line of some thirty characters", "a line of some thirty characters\nand more", None, ""])], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    kept = lambda found, leave=(): {r.doc_id: [r[n] for n in names if n not in leave] for r in found.collect()}
+    want = lambda ids, leave=(): {i: [f"{n}{i}" for n in names if n not in leave] for i in ids}
+    assert kept(linededup.without_duplicate_lines(df)) == want(range(4))
+    assert kept(sharding.shard_by_bytes(df, 2)) == want(range(4))
+    model = langid.fit(spark.createDataFrame([(1, "some line of characters", "en")], "doc_id long, text string, lang string"))
+    assert kept(langid.with_language(df, model), ("score",)) == want(range(4), ("score",))
+    assert kept(corpus_pipeline.drop_toxic(spark, df, SF)) == want(range(4))
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------
 
 

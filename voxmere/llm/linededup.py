@@ -62,8 +62,9 @@ def _variants() -> str:
 def duplicate_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
     """(doc, removed): the sorted numbers (from 0) of the lines that go, for documents that lose any.
 
-    Lines are parted by \\n. max_edits is 0 (equal lines only) or 1. Keys are distinct integers; rows with a null
-    key or text have no lines.
+    Lines are parted by \\n. max_edits is 0 (equal lines only) or 1. Keys are integers; of rows that repeat one the
+    lines of a number stand at one place, of which no line goes as a copy of another. Lines under `min_chars`
+    characters stay, equal ones too. Rows with a null key or text have no lines.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
@@ -77,7 +78,7 @@ def duplicate_lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_
         edited = unique.select("h1", "h2", "first").join(near, "first").select("h1", "h2", "first", F.lit(True).alias("near"))
         repeated = repeated.unionByName(edited).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("near").alias("near"))
     gone = named.select("doc", "no", "at", "h1", "h2").join(cut(repeated), ["h1", "h2"]).where("near or at <> first")
-    return gone.groupBy("doc").agg(F.array_sort(F.collect_list("no")).alias("removed"))
+    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("removed"))
 
 
 def _near(docs: DataFrame, unique: DataFrame) -> DataFrame:

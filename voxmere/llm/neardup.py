@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import cut, table, written
+from voxmere.llm.common import cut, likely, table, written
 from voxmere.llm.textvec import LOWER, U64, Tokens, grams, mix, slices, text_buffers, words
 from voxmere.operators.graph import connected_components
 
@@ -160,8 +160,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], names=["a", "b"])
 
-    left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    of = lambda side: likely(texts, "key", pairs.select(side).distinct(), side).select(F.col("key").alias(side), F.col("text").alias(f"text_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
@@ -181,7 +181,8 @@ def _apart(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     shape = counts.groupBy("cluster").agg(F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
     shape = shape.where("kinds > 1 and all > 2")  # the two of a pair have been compared as hub and member
     shape = shape.select("cluster", F.col("top.component").alias("largest"), F.ceil(F.col("all") / BLOCK).cast("int").alias("g"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("s"))
-    mixed = members.join(cut(shape), "cluster").join(texts, "key")
+    inside = cut(members.join(cut(shape), "cluster"))
+    mixed = inside.join(likely(texts, "key", inside, "key"), "key")
     everyone = mixed.select("cluster", "key", "component", "signature", "text", F.lit(False).alias("minor"), F.pmod(F.xxhash64("key"), F.col("g")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"))
     minors = mixed.where("component <> largest").select("cluster", "key", "component", "signature", "text", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i"), F.pmod(F.xxhash64("key"), F.col("s")).cast("int").alias("j"))
     least = in_reach(percent / 100)
@@ -225,8 +226,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     """(key, n_shingles, component_id) of each row.
 
     Rows are linked where 100 * shared shingles >= percent * all shingles of the two, and component_id is the
-    smallest key reachable by links. A null, empty or blank text has no shingles and no links. Keys are distinct
-    integers; rows with a null key are left out.
+    smallest key reachable by links. A null, empty or blank text has no shingles and no links. Keys are integers;
+    rows that repeat a key are one node with the links of all their texts, and each keeps its own row. Equal texts
+    are linked. Rows with a null key are left out.
     """
     threshold = percent / 100
     sketch = written(sketches(df.where(F.col(key).isNotNull()), text, key, size, threshold))
@@ -239,7 +241,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     signed = sketch.select("key", "signature")
     stars = cut(crowded.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
     pairs = stars.join(signed.select(F.col("key").alias("a"), F.col("signature").alias("sa")), "a").join(signed.select(F.col("key").alias("b"), F.col("signature").alias("sb")), "b")
-    links = cut(confirm(pairs.where(estimate(F.col("sa"), F.col("sb")) >= in_reach(threshold)).select("a", "b"), texts, size, percent))
+    near = cut(pairs.where(estimate(F.col("sa"), F.col("sb")) >= in_reach(threshold)).select("a", "b"))
+    links = cut(confirm(near, texts, size, percent))
     labels = connected_components(links)
     clusters = connected_components(stars).withColumnRenamed("component", "cluster")
     named = cut(clusters.join(labels, "node", "left").select("cluster", F.col("node").alias("key"), F.coalesce("component", "node").alias("component")))

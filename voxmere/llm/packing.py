@@ -236,10 +236,10 @@ def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[l
 
 
 def _packed(df: DataFrame, groups: int, salt: int, sequence: int) -> DataFrame:
-    """df (key, piece, length) with its bin: a number within its group, the place in it, and the bin's fill."""
+    """df (row, key, piece, length) with its bin: a number within its group, the place in it, and the bin's fill."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "key", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["length", "key", "piece", "row"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].tolist()
         group = int(pdf["part"].iloc[0])
         bins = local_search(best_fit(lengths, sequence), lengths, sequence)
@@ -251,29 +251,30 @@ def _packed(df: DataFrame, groups: int, salt: int, sequence: int) -> DataFrame:
                 place += lengths[i]
             for i in b:
                 fill[i] = place
-        return pdf[["key", "piece", "length"]].assign(bin=np.array(at, np.int64) * groups + group, offset=np.array(offset, np.int64), fill=np.array(fill, np.int64))
+        return pdf[["row", "key", "piece", "length"]].assign(bin=np.array(at, np.int64) * groups + group, offset=np.array(offset, np.int64), fill=np.array(fill, np.int64))
 
-    dealt = df.withColumn("part", F.pmod(F.xxhash64(F.lit(salt), "key", "piece"), F.lit(groups)))
-    return dealt.repartition(min(groups, 4096), "part").groupBy("part").applyInPandas(pack, "key long, piece int, length long, bin long, offset long, fill long")
+    dealt = df.withColumn("part", F.pmod(F.xxhash64(F.lit(salt), "key", "piece", "row"), F.lit(groups)))
+    return dealt.repartition(min(groups, 4096), "part").groupBy("part").applyInPandas(pack, "row long, key long, piece int, length long, bin long, offset long, fill long")
 
 
 def pack_documents(df: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str = "byte_bpe_50k.json", sequence: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """(key, piece, start, length, ids, sequence_id, offset) of each piece of each document.
 
-    A null text counts as empty and gives the end id alone. Keys are distinct integers; rows with a null key are
-    left out.
+    A null text counts as empty and gives the end id alone. Keys are integers; rows that repeat one are packed each
+    for itself, with the same keys and piece numbers. Equal lengths are taken in order of key and piece. Rows with a
+    null key are left out.
     """
-    pieces = written(pieces_of(df, text, key, tokenizer, sequence))
-    short = pieces.where(F.col("length") < sequence).select("key", "piece", "length")
+    pieces = written(pieces_of(df, text, key, tokenizer, sequence).withColumn("row", F.monotonically_increasing_id()))
+    short = pieces.where(F.col("length") < sequence).select("row", "key", "piece", "length")
     count = short.count()
     first = cut(_packed(short, max(1, round(count / group)), 1, sequence))
     least = sequence * 31 // 32  # what is missing in fuller bins adds up to less than their number divided by 32
     done = first.where(F.col("fill") > least)
-    left = first.where(F.col("fill") <= least).select("key", "piece", "length")
+    left = first.where(F.col("fill") <= least).select("row", "key", "piece", "length")
     again = _packed(left, max(1, round(left.count() / group)), 2, sequence)
-    placed = done.select("key", "piece", (F.col("bin") * 3).alias("sequence_id"), "offset").unionByName(again.select("key", "piece", (F.col("bin") * 3 + 1).alias("sequence_id"), "offset"))
-    full = pieces.where(F.col("length") == sequence).withColumns({"sequence_id": F.monotonically_increasing_id() * 3 + 2, "offset": F.lit(0).cast("long")})
-    return pieces.where(F.col("length") < sequence).join(placed, ["key", "piece"]).unionByName(full)
+    placed = done.select("row", (F.col("bin") * 3).alias("sequence_id"), "offset").unionByName(again.select("row", (F.col("bin") * 3 + 1).alias("sequence_id"), "offset"))
+    full = pieces.where(F.col("length") == sequence).withColumns({"sequence_id": F.col("row") * 3 + 2, "offset": F.lit(0).cast("long")})
+    return pieces.where(F.col("length") < sequence).join(placed, "row").unionByName(full).drop("row")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

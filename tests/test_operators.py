@@ -306,3 +306,71 @@ def test_cell_pipeline(spark):
     assert cells.count() > 100 and cells.where("no_voxels < 1 or sphericity > 1 or intensity < 0.85").isEmpty()
     nodes, links = pipelines.network(P.structures(spark, SF), pipelines.structure_totals(P.brain_masses(spark, SF), P.structures(spark, SF)))
     assert nodes.count() == links.count() + 1
+
+
+def test_volumes_stay_apart(spark):
+    """Every kernel gives for two volumes together what it gives for each alone."""
+    from pyspark.sql import functions as F
+
+    from voxmere.operators import edges, inference
+
+    rng = random.Random(3)
+    rows = [(n, z, y, x, rng.random()) for n in "ab" for z in range(3) for y in range(6) for x in range(6) if rng.random() < 0.6]
+    both = spark.createDataFrame(rows, "volume_id string, z int, y int, x int, v double").cache()
+    dims = (3, 6, 6)
+    tiles = lambda d: d.withColumn("x_tile", (F.col("x") / 3).cast("int")).withColumn("x", F.col("x") % 3)
+    patched = lambda d: windows.patches(d, dims, (2, 3, 3), (3, 4, 4))
+    kernels = [
+        raster.project, raster.scaled, lambda d: raster.box_filter(d, (1, 1, 1)), lambda d: raster.median_filter(d, (0, 1, 1)), lambda d: raster.gaussian_filter(d, (0.5, 0.5, 0.5), dims=dims),
+        lambda d: raster.dilate(d, (0, 1, 1), dims), lambda d: raster.erode(d, (0, 0, 1)), lambda d: raster.closed(d, (0, 1, 1)), lambda d: raster.stamp(d, raster.ball(1), dims), lambda d: raster.stitch(tiles(d), 3, 1),
+        lambda d: raster.blend_sheets(d, d.withColumn("v", F.col("v") * 0.5), 6), lambda d: raster.block_mean(d, (2, 2, 2)), lambda d: raster.resample(d, dims, (2, 9, 5)),
+        lambda d: windows.merged_by_max(patched(d), dims), lambda d: windows.blended(patched(d)), lambda d: windows.bump_blended(patched(d), (3, 4, 4)), lambda d: windows.overwritten(patched(d), "patch_id"), lambda d: windows.set_patch(d, d.where("x < 2"), "sum"),
+        lambda d: edges.gradient_edges(d, 6, 6, 0.1, 0.2), lambda d: augment.warp(d, dims, [[1, 0, 0], [0, 0.8, 0], [0, 0, 1]]), lambda d: augment.blur_sections(d, dims, [1], 0.7), lambda d: inference.infer(inference.dense_patches(d, dims, (2, 3, 3), (3, 4, 4)), (3, 4, 4), lambda a: a * 2),
+    ]
+    for k, kernel in enumerate(kernels):
+        found = kernel(both)
+        rows_of = lambda d: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in d.select(*found.columns).collect())
+        for n in "ab":
+            assert rows_of(found.where(F.col("volume_id") == n)) == rows_of(kernel(both.where(F.col("volume_id") == n))), (k, n)
+        if {"z", "y", "x"} <= set(found.columns) and k not in (9, 12):
+            assert found.where("z < 0 or y < 0 or x < 0 or z > 2 or y > 5 or x > 5").isEmpty(), k
+
+
+def test_outlines_of_pieces_and_branches(spark):
+    from voxmere.operators import edges
+
+    squares = [("a", 7, 1, y, x) for y in range(4) for x in range(4)] + [("a", 7, 1, y, x) for y in range(10, 14) for x in range(10)]
+    found = edges.contours(spark.createDataFrame(squares, "volume_id string, label long, z int, y int, x int")).orderBy("piece").collect()
+    assert [(r.area, r.perimeter) for r in found] == [(9.0, 12.0), (27.0, 24.0)]
+    branch = {(0, 3), (1, 2), (2, 1), (1, 4), (2, 5), (2, 6)}
+    assert {(2, 1), (2, 6), (0, 3)} <= set(edges.outline(branch))
+    rng = random.Random(1)
+    for _ in range(200):
+        pixels = {(rng.randrange(6), rng.randrange(6)) for _ in range(rng.randrange(1, 20))}
+        pieces = edges.pieces_of(pixels)
+        assert set().union(*pieces) == pixels and sum(map(len, pieces)) == len(pixels)
+        for piece in pieces:
+            path = edges.outline(piece)
+            # the outline reaches as far as the piece on each side, and stays in it
+            assert set(path) <= piece
+            for axis in (0, 1):
+                assert (min(p[axis] for p in path), max(p[axis] for p in path)) == (min(p[axis] for p in piece), max(p[axis] for p in piece))
+
+
+def test_greedy_says_when_it_is_not_done(spark):
+    pairs = spark.createDataFrame([(i, i, float(i)) for i in range(3)] + [(0, 1, 0.5), (1, 2, 0.7)], "truth_idx long, pred_idx long, dist double")
+    with pytest.raises(RuntimeError):
+        matching.greedy(pairs, most_rounds=1)
+
+
+def test_cell_table_round_trip(spark, tmp_path):
+    cells = spark.createDataFrame([(1.0, 2.5, 3.0, "a"), (4.0, 5.0, 6.0, "b")], "z double, y double, x double, kind string")
+    exchange.write_cells(cells, str(tmp_path / "cells"))
+    assert sorted(map(tuple, exchange.read_cells(spark, str(tmp_path / "cells")).collect())) == sorted(map(tuple, cells.collect()))
+    (tmp_path / "bare.csv").write_text("3,2,1\\n6,5,4\\nx,y,z\\n")
+    assert sorted((r.z, r.y, r.x) for r in exchange.read_cells(spark, str(tmp_path / "bare.csv"), ("x", "y", "z"), header=False).collect()) == [(1, 2, 3), (4, 5, 6)]
+
+
+def test_random_points_are_drawn_again(spark):
+    a, b = (augment.random_points(spark, 500, (3, 40, 500), 9).collect() for _ in range(2))
+    assert a == b and {r.z for r in a} == {0, 1, 2} and max(r.x for r in a) < 500

@@ -41,7 +41,7 @@ def region_counts(located: DataFrame, structure: DataFrame, *by: str) -> DataFra
     With `by` columns (as brain) each of their values gets all structures.
     """
     counts = located.groupBy(*by, "id").agg(F.count(F.lit(1)).alias("cell_count"))
-    rows = structure.crossJoin(F.broadcast(located.select(*by).distinct())) if by else structure
+    rows = structure.crossJoin(located.select(*by).distinct()) if by else structure
     return rows.join(counts, [*by, "id"], "left").fillna(0, ["cell_count"])
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmere.functions.maths import grayscale
+from voxmere.operators.edges import by_section
+from voxmere.operators.raster import by_volume
 
 
 def flip(voxels: DataFrame, dims: tuple[int, int, int], axes: str) -> DataFrame:
@@ -72,7 +74,8 @@ def warp(voxels: DataFrame, dims: tuple[int, int, int], matrix: list[list[float]
     middle = [(d - 1) / 2 for d in dims]
     grid = voxels.sparkSession.range(dims[0] * dims[1] * dims[2]).select(F.expr(f"id div {dims[1] * dims[2]}").cast("int").alias("z"), F.expr(f"id div {dims[2]} % {dims[1]}").cast("int").alias("y"), (F.col("id") % dims[2]).cast("int").alias("x"))
     back = [F.round(sum((F.lit(inverse[r][c]) * (F.col(a) - middle[c]) for c, a in enumerate("zyx")), F.lit(middle[r]))).cast("int").alias(f"o{'zyx'[r]}") for r in range(3)]
-    return grid.select("z", "y", "x", *back).join(voxels.select(F.col("z").alias("oz"), F.col("y").alias("oy"), F.col("x").alias("ox"), "v"), ["oz", "oy", "ox"]).select("z", "y", "x", "v")
+    by = by_volume(voxels)
+    return grid.select("z", "y", "x", *back).join(voxels.select(*by, F.col("z").alias("oz"), F.col("y").alias("oy"), F.col("x").alias("ox"), "v"), ["oz", "oy", "ox"]).select(*by, "z", "y", "x", "v")
 
 
 def blur_sections(voxels: DataFrame, dims: tuple[int, int, int], sections: list[int], sigma: float) -> DataFrame:
@@ -85,12 +88,23 @@ def blur_sections(voxels: DataFrame, dims: tuple[int, int, int], sections: list[
         kernel = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
         kernel /= kernel.sum()
         for axis in (0, 1):
-            image = np.apply_along_axis(lambda m: np.convolve(m, kernel, "same"), axis, image)
+            image = np.apply_along_axis(lambda m: np.convolve(m, kernel)[r : r + len(m)], axis, image)  # also where the kernel is longer
         y, x = np.nonzero(image)
         return pd.DataFrame({"z": int(pdf["z"].iloc[0]), "y": y, "x": x, "v": image[y, x]})
 
-    blurred = voxels.where(F.col("z").isin(sections)).select("z", "y", "x", "v").groupBy("z").applyInPandas(blur, "z int, y int, x int, v double")
-    return voxels.where(~F.col("z").isin(sections)).select("z", "y", "x", "v").unionByName(blurred)
+    blurred = by_section(voxels.where(F.col("z").isin(sections)), blur)
+    return voxels.where(~F.col("z").isin(sections)).select(*by_volume(voxels), "z", "y", "x", "v").unionByName(blurred)
+
+
+def with_mask(samples: DataFrame, masks: DataFrame, key: str) -> DataFrame:
+    """P20: the samples whose mask has any voxel."""
+    return samples.join(masks.where("v <> 0").select(key).distinct(), key, "left_semi")
+
+
+def random_points(spark: SparkSession, n: int, dims: tuple[int, int, int], seed: int) -> DataFrame:
+    """(idx, z, y, x) of n points in a volume; they follow from the seed and the number, so a rerun draws the same."""
+    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
+    return spark.range(n).select(F.col("id").alias("idx"), *(F.floor(u(k) * d).cast("int").alias(c) for k, (c, d) in enumerate(zip("zyx", dims))))
 
 
 def composed(voxels: DataFrame, *steps) -> DataFrame:

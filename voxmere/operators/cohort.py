@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,12 +66,38 @@ def bic(points: DataFrame, cluster: str, vector: str, dims: int) -> DataFrame:
     return total.select((fit - 0.5 * F.col("m") * F.log("r") * (dims + 1)).alias("bic"))
 
 
-def silhouette(points: DataFrame, cluster: str, vector: str, idx: str) -> DataFrame:
-    """Mean silhouette with plain Euclidean distance. Every pair is measured, so this is for samples of the points."""
-    other = points.select(F.col(idx).alias("_j"), F.col(cluster).alias("_c"), F.col(vector).alias("_w"))
-    square = F.aggregate(F.zip_with(vector, "_w", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    means = points.crossJoin(other).where(F.col(idx) != F.col("_j")).groupBy(idx, cluster, "_c").agg(F.avg(F.sqrt(square)).alias("d"))
-    ab = means.groupBy(idx, cluster).agg(F.max(F.when(F.col(cluster) == F.col("_c"), F.col("d"))).alias("a"), F.min(F.when(F.col(cluster) != F.col("_c"), F.col("d"))).alias("b"))
+def silhouette(points: DataFrame, cluster: str, vector: str, idx: str, block: int = 2048) -> DataFrame:
+    """Mean silhouette with plain Euclidean distance.
+
+    Every pair of points is measured, which the measure demands. Points are dealt to blocks of about `block` by a
+    hash of their id, and each task measures one block against another, so memory is bounded whatever a cluster's
+    size; only sums by point and cluster leave a task.
+    """
+    blocks = max(1, -(-points.count() // block))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    rows = points.select(F.col(idx).cast("long").alias("id"), F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("x"))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = rows.select("*", F.lit(True).alias("asked"), own.alias("i"), F.explode(every).alias("j")).unionByName(rows.select("*", F.lit(False).alias("asked"), F.explode(every).alias("i"), own.alias("j")))
+    kind = points.schema[cluster].dataType.simpleString()
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["asked"]], pdf[~pdf["asked"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "c": [], "other": [], "total": [], "n": []})
+        y, c = np.stack(b["x"]), b["c"].to_numpy()
+        parts = []
+        for k in range(0, len(a), 64):
+            some = a.iloc[k : k + 64]
+            d = np.sqrt(((np.stack(some["x"])[:, None, :] - y[None]) ** 2).sum(axis=2))
+            differ = some["id"].to_numpy()[:, None] != b["id"].to_numpy()[None]
+            for other in pd.unique(c):
+                mine = differ & (c == other)[None]
+                parts.append(pd.DataFrame({"id": some["id"].to_numpy(), "c": some["c"].to_numpy(), "other": other, "total": np.where(mine, d, 0).sum(axis=1), "n": mine.sum(axis=1)}))
+        return pd.concat(parts)
+
+    sums = dealt.groupBy("i", "j").applyInPandas(measure, f"id long, c {kind}, other {kind}, total double, n long")
+    means = sums.groupBy("id", "c", "other").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
+    ab = means.groupBy("id", "c").agg(F.max(F.when(F.col("c") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("c") != F.col("other"), F.col("d"))).alias("b"))
     return ab.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))
 
 

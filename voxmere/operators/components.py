@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmere.operators.graph import connected_components
+from voxmere.operators.raster import by_volume, otsu
 
 
 def at_least(voxels: DataFrame, lo: float, hi: float | None = None) -> DataFrame:
@@ -71,7 +72,7 @@ def size_filter(labelled: DataFrame, lower: int = 50, upper: int = 50000) -> Dat
 
 def centres(labelled: DataFrame, weighted: bool = False) -> DataFrame:
     """A7, A7w: size and centre (cut towards zero) of each component, weighted by value where asked."""
-    mean = (lambda c: F.sum(F.col(c) * F.col("v")) / F.sum("v")) if weighted else F.avg
+    mean = (lambda c: F.round(F.sum(F.col(c) * F.col("v")) / F.sum("v"), 9)) if weighted else F.avg  # rounded, as sums depend on their order
     return labelled.groupBy("volume_id", "label").agg(*(mean(c).cast("int").alias(c) for c in ("z", "y", "x")), F.count(F.lit(1)).alias("no_voxels"))
 
 
@@ -95,12 +96,62 @@ def owned(centres_: DataFrame, depth: int) -> DataFrame:
     return centres_.where(F.floor(F.col("z") / depth) == F.col("chunk"))
 
 
-def measures(labelled: DataFrame, box: tuple[int, int, int] = (5, 10, 10)) -> DataFrame:
+def in_box(centres_: DataFrame, voxels: DataFrame, box: tuple[int, int, int], *keep: str) -> DataFrame:
+    """Voxels within a box around each centre: the columns `keep` of the centre, then z, y, x, v of the voxel.
+
+    Space is cut into cubes as long as half a box; a centre goes to those that its box touches (three on an axis at
+    most) and meets their voxels by equality of the cube.
+    """
+    by = by_volume(voxels)
+    around = centres_.select(*by, *keep, *(F.col(c).alias(f"c{c}") for c in "zyx"))
+    for c, b in zip("zyx", box):
+        around = around.withColumn(f"g{c}", F.explode(F.sequence(F.floor((F.col(f"c{c}") - b) / (b + 1)), F.floor((F.col(f"c{c}") + b) / (b + 1)))))
+    cubes = voxels.select(*by, "z", "y", "x", "v", *(F.floor(F.col(c) / (b + 1)).alias(f"g{c}") for c, b in zip("zyx", box)))
+    inside = F.lit(True)
+    for c, b in zip("zyx", box):
+        inside &= F.col(c).between(F.col(f"c{c}") - b, F.col(f"c{c}") + b)
+    return around.join(cubes, [*by, "gz", "gy", "gx"]).where(inside).select(*by, *keep, "cz", "cy", "cx", "z", "y", "x", "v")
+
+
+def object_windows(labelled: DataFrame, box: tuple[int, int, int] = (30, 75, 75)) -> DataFrame:
+    """V3: each object's own voxels within a box around its centre, at their places in that box."""
+    middle = centres(labelled).select("volume_id", "label", *(F.col(c).alias(f"c{c}") for c in "zyx"))
+    own = labelled.join(middle, ["volume_id", "label"])
+    for c, b in zip("zyx", box):
+        own = own.withColumn(f"p{c}", F.col(c) - F.col(f"c{c}") + b).where(F.col(f"p{c}").between(0, 2 * b))
+    return own.select("volume_id", "label", "pz", "py", "px")
+
+
+def threshold_sweep(voxels: DataFrame, thresholds: list[float], ydim: int, xdim: int, neighbours: int = 18) -> DataFrame:
+    """V6: components of the voxels at or above each threshold, with `threshold`; centres(...) and pixels follow from them.
+
+    All thresholds are labelled in one run, as volumes of their own.
+    """
+    each = voxels.withColumn("threshold", F.explode(F.array(*map(F.lit, map(float, thresholds))))).where("v >= threshold")
+    own = each.withColumn("volume_id", F.to_json(F.struct("volume_id", "threshold")))
+    found = label(own, ydim, xdim, neighbours)
+    return found.withColumn("volume_id", F.get_json_object(F.col("volume_id"), "$.volume_id"))
+
+
+def sweep_centres(swept: DataFrame) -> DataFrame:
+    """V6: centre and size of each component of each threshold."""
+    return swept.groupBy("volume_id", "threshold", "label").agg(*(F.avg(c).cast("int").alias(c) for c in "zyx"), F.count(F.lit(1)).alias("no_voxels"))
+
+
+def training_labels(points: DataFrame, voxels: DataFrame, box: tuple[int, int, int], bins: int, lo: float, hi: float, factor: float = 1.0) -> DataFrame:
+    """The voxels around points (idx, z, y, x) that reach Otsu's threshold of the point's own box over `factor`; a voxel counts once, its value is 1."""
+    near = in_box(points, voxels, box, "idx")
+    by = by_volume(voxels)
+    limits = otsu(near, bins, lo, hi, *by, "idx").select(*by, "idx", ((lo + (F.col("bin") + 1) * ((hi - lo) / bins)) / factor).alias("limit"))
+    return near.join(limits, [*by, "idx"]).where("v >= limit").select(*by, "z", "y", "x").distinct().withColumn("v", F.lit(1.0))
+
+
+def measures(labelled: DataFrame, box: tuple[int, int, int] = (5, 10, 10), volume: DataFrame | None = None) -> DataFrame:
     """The cell table without contours.
 
     z_depth counts planes; max_perimeter is the longest outline of a plane, as the number of voxel sides that face
     out; sphericity is the mean circularity 4 pi A / P**2 of the planes; intensity is the largest value within the
-    box around the centre, taken from all voxels of the volume.
+    box around the centre, taken from all voxels of `volume` (of the labelled ones where none is given).
     """
     sides = [(0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0)]
     steps = F.array(*(F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for _, y, x in sides))
@@ -110,9 +161,7 @@ def measures(labelled: DataFrame, box: tuple[int, int, int] = (5, 10, 10)) -> Da
     planes = labelled.groupBy("volume_id", "label", "z").agg(F.count(F.lit(1)).alias("a")).join(outline, ["volume_id", "label", "z"])
     shape = planes.groupBy("volume_id", "label").agg(F.max("p").cast("double").alias("max_perimeter"), F.avg(4 * 3.141592653589793 * F.col("a") / (F.col("p") * F.col("p"))).alias("sphericity"), F.count(F.lit(1)).cast("int").alias("z_depth"))
     middle = centres(labelled)
-    bz, by, bx = box
-    around = middle.select("volume_id", "label", F.explode(F.sequence(F.col("z") - bz, F.col("z") + bz)).alias("z"), F.col("y").alias("cy"), F.col("x").alias("cx"))
-    seen = around.join(labelled.select("volume_id", "z", "y", "x", "v"), ["volume_id", "z"]).where(F.abs(F.col("y") - F.col("cy")).between(0, by) & F.abs(F.col("x") - F.col("cx")).between(0, bx))
+    seen = in_box(middle, labelled if volume is None else volume, box, "label")
     peak = seen.groupBy("volume_id", "label").agg(F.max("v").alias("intensity"))
     return middle.join(shape, ["volume_id", "label"]).join(peak, ["volume_id", "label"], "left")
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmere.operators import windows
+from voxmere.operators.edges import by_section
+from voxmere.operators.raster import by_volume
 
 _PATCH = "patch_id int, z0 int, y0 int, x0 int, data binary"
 
@@ -18,27 +20,30 @@ _PATCH = "patch_id int, z0 int, y0 int, x0 int, data binary"
 def dense_patches(voxels: DataFrame, shape: tuple[int, int, int], stride: tuple[int, int, int], window: tuple[int, int, int]) -> DataFrame:
     """Each patch as one float32 array, filled up with zeros; patches without voxels are left out."""
     placed = windows.patches(voxels, shape, stride, window)
+    by = by_volume(voxels)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.zeros(window, np.float32)
         a[pdf["pz"], pdf["py"], pdf["px"]] = pdf["v"]
         first = pdf.iloc[0]
-        return pd.DataFrame({"patch_id": [int(first["patch_id"])], "z0": [int(first["z"] - first["pz"])], "y0": [int(first["y"] - first["py"])], "x0": [int(first["x"] - first["px"])], "data": [a.tobytes()]})
+        return pd.DataFrame({**{c: [first[c]] for c in by}, "patch_id": [int(first["patch_id"])], "z0": [int(first["z"] - first["pz"])], "y0": [int(first["y"] - first["py"])], "x0": [int(first["x"] - first["px"])], "data": [a.tobytes()]})
 
-    return placed.select("patch_id", "z", "y", "x", "pz", "py", "px", "v").groupBy("patch_id").applyInPandas(pack, _PATCH)
+    return placed.select(*by, "patch_id", "z", "y", "x", "pz", "py", "px", "v").groupBy(*by, "patch_id").applyInPandas(pack, ", ".join([*(f"{c} string" for c in by), _PATCH]))
 
 
 def infer(patches: DataFrame, window: tuple[int, int, int], model: Callable[[np.ndarray], np.ndarray], background: float = 0.0) -> DataFrame:
     """A model over dense patches; its output's voxels that are not background, at their places in the volume and in the patch."""
 
+    by = by_volume(patches)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p in pdf.itertuples():
                 out = model(np.frombuffer(p.data, np.float32).reshape(window))
                 z, y, x = np.nonzero(out != background)
-                yield pd.DataFrame({"patch_id": p.patch_id, "z": (z + p.z0).astype(np.int32), "y": (y + p.y0).astype(np.int32), "x": (x + p.x0).astype(np.int32), "pz": z.astype(np.int32), "py": y.astype(np.int32), "px": x.astype(np.int32), "v": out[z, y, x].astype(np.float64)})
+                yield pd.DataFrame({**{c: getattr(p, c) for c in by}, "patch_id": p.patch_id, "z": (z + p.z0).astype(np.int32), "y": (y + p.y0).astype(np.int32), "x": (x + p.x0).astype(np.int32), "pz": z.astype(np.int32), "py": y.astype(np.int32), "px": x.astype(np.int32), "v": out[z, y, x].astype(np.float64)})
 
-    return patches.mapInPandas(run, "patch_id int, z int, y int, x int, pz int, py int, px int, v double")
+    return patches.mapInPandas(run, ", ".join([*(f"{c} string" for c in by), "patch_id int, z int, y int, x int, pz int, py int, px int, v double"]))
 
 
 def activated(voxels: DataFrame, function: Callable[[pd.Series], pd.Series]) -> DataFrame:
@@ -48,7 +53,7 @@ def activated(voxels: DataFrame, function: Callable[[pd.Series], pd.Series]) ->
 
 def per_section(voxels: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """A caller's function over whole sections (z, y, x, v)."""
-    return voxels.select("z", "y", "x", "v").groupBy("z").applyInPandas(function, "z int, y int, x int, v double")
+    return by_section(voxels, function)
 
 
 def mapped(items: DataFrame, function: Callable[[str], str]) -> DataFrame:

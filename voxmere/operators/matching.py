@@ -42,6 +42,8 @@ def greedy(pairs: DataFrame, *by: str, most_rounds: int = 10_000) -> DataFrame:
         both = cut(ranked.where("rt = 1 and rp = 1").drop("rt", "rp"))
         taken = both if taken is None else cut(taken.unionByName(both))
         left = cut(left.join(both.select(*by, "truth_idx"), [*by, "truth_idx"], "left_anti").join(both.select(*by, "pred_idx"), [*by, "pred_idx"], "left_anti"))
+    else:
+        raise RuntimeError(f"pairs are left after {most_rounds} rounds")
     return pairs.select(*by, "truth_idx", "pred_idx", "dist").limit(0) if taken is None else taken
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxmere.operators.graph import cut
+
 #: Rows that are left out of ancestor chains and of their result.
 TOP_NAMES = ("root", "Basic cell groups and regions")
 
@@ -16,9 +18,10 @@ def closure(structure: DataFrame, deepest: int = 64) -> DataFrame:
     """
     child = structure.select(F.col("id").alias("child"), F.col("parent_structure_id").alias("parent")).where("parent is not null and parent <> child").distinct()
     level = structure.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id")).distinct().withColumn("depth", F.lit(0))
+    level = cut(level)
     out = level
     for depth in range(1, deepest + 1):
-        level = level.join(child, F.col("descendant_id") == F.col("parent")).select("ancestor_id", F.col("child").alias("descendant_id"), F.lit(depth).alias("depth"))
+        level = cut(level.join(child, F.col("descendant_id") == F.col("parent")).select("ancestor_id", F.col("child").alias("descendant_id"), F.lit(depth).alias("depth")))
         if level.isEmpty():
             return out
         out = out.unionByName(level)
@@ -30,7 +33,7 @@ def rollup(counts: DataFrame, closed: DataFrame, *by: str, count: str = "cell_co
     own = counts.select(*by, F.col("id").alias("descendant_id"), count)
     summed = closed.join(own, "descendant_id").groupBy(*by, F.col("ancestor_id").alias("id")).agg(F.sum(count).alias("total"))
     nodes = closed.where("depth = 0").select(F.col("ancestor_id").alias("id"))
-    every = nodes.crossJoin(F.broadcast(counts.select(*by).distinct())) if by else nodes
+    every = nodes.crossJoin(counts.select(*by).distinct()) if by else nodes
     return every.join(summed, [*by, "id"], "left").fillna(0, ["total"])
 
 

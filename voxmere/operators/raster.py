@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def by_volume(voxels: DataFrame) -> list[str]:
+    """The column that keeps volumes apart, where there is one."""
+    return [c for c in ("volume_id",) if c in voxels.columns]
+
+
 def statistics(voxels: DataFrame, *by: str) -> DataFrame:
     """A10."""
     return voxels.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.median("v").alias("median"), F.percentile("v", F.lit(0.95)).alias("p95"))
@@ -15,14 +20,16 @@ def statistics(voxels: DataFrame, *by: str) -> DataFrame:
 
 def project(voxels: DataFrame, axis: str = "z") -> DataFrame:
     """Maximum along an axis."""
-    return voxels.groupBy(*(c for c in "zyx" if c != axis)).agg(F.max("v").alias("v"))
+    return voxels.groupBy(*by_volume(voxels), *(c for c in "zyx" if c != axis)).agg(F.max("v").alias("v"))
 
 
 def scaled(voxels: DataFrame, top: float = 1.0, lo: float | None = None, hi: float | None = None) -> DataFrame:
     """values from 0 (least) to `top` (most); with percentiles lo and hi (0 to 1) clipped to these first."""
-    ends = voxels.agg(*((F.min("v").alias("a"), F.max("v").alias("b")) if lo is None else (F.percentile("v", F.lit(lo)).alias("a"), F.percentile("v", F.lit(hi)).alias("b"))))
+    by = by_volume(voxels)
+    ends = voxels.groupBy(*by).agg(*((F.min("v").alias("a"), F.max("v").alias("b")) if lo is None else (F.percentile("v", F.lit(lo)).alias("a"), F.percentile("v", F.lit(hi)).alias("b"))))
     v = F.least(F.col("b"), F.greatest(F.col("a"), F.col("v")))
-    return voxels.crossJoin(F.broadcast(ends)).withColumn("v", F.when(F.col("b") > F.col("a"), (v - F.col("a")) * top / (F.col("b") - F.col("a"))).otherwise(0.0)).drop("a", "b")
+    both = voxels.join(ends, by) if by else voxels.crossJoin(F.broadcast(ends))
+    return both.withColumn("v", F.when(F.col("b") > F.col("a"), (v - F.col("a")) * top / (F.col("b") - F.col("a"))).otherwise(0.0)).drop("a", "b")
 
 
 def steps(radius: tuple[int, int, int]):
@@ -35,6 +42,7 @@ def neighbourhood(voxels: DataFrame, radius: tuple[int, int, int], agg, *by: str
 
     A voxel sends its value to the places around it and the voxels that exist there gather: one shuffle, no self join on ranges.
     """
+    by = tuple(dict.fromkeys([*by_volume(voxels), *by]))
     sent = voxels.select(*by, "v", "z", "y", "x", F.explode(steps(radius)).alias("s")).select(*by, *((F.col(c) + F.col(f"s.d{c}")).alias(c) for c in "zyx"), "v", (F.expr("s.dz = 0 and s.dy = 0 and s.dx = 0")).alias("own"))
     return sent.groupBy(*by, "z", "y", "x").agg(agg.alias("w"), F.max("own").alias("there")).where("there").select(*by, "z", "y", "x", F.col("w").alias("v"))
 
@@ -50,9 +58,17 @@ def median_filter(voxels: DataFrame, radius: tuple[int, int, int]) -> DataFrame:
     return neighbourhood(voxels, radius, F.median("v"))
 
 
-def gaussian_filter(voxels: DataFrame, sigma: tuple[float, float, float], reach: float = 4.0) -> DataFrame:
-    """Gaussian blur as three passes, one axis each, background as 0; places that gain value are kept."""
-    out = voxels.select("z", "y", "x", "v")
+def within(voxels: DataFrame, dims: tuple[int, int, int] | None) -> DataFrame:
+    """The voxels inside a volume of these dimensions; all where none are given."""
+    for axis, d in zip("zyx", dims or ()):
+        voxels = voxels.where(F.col(axis).between(0, d - 1))
+    return voxels
+
+
+def gaussian_filter(voxels: DataFrame, sigma: tuple[float, float, float], reach: float = 4.0, dims: tuple[int, int, int] | None = None) -> DataFrame:
+    """Gaussian blur as three passes, one axis each, background as 0; places inside `dims` that gain value are kept."""
+    by = by_volume(voxels)
+    out = voxels.select(*by, "z", "y", "x", "v")
     for axis, s in zip("zyx", sigma):
         r = int(reach * s + 0.5)
         if not r:
@@ -61,21 +77,25 @@ def gaussian_filter(voxels: DataFrame, sigma: tuple[float, float, float], reach:
         total = sum(2.718281828459045 ** (-k * k / (2 * s * s)) for k in range(-r, r + 1))
         weight = F.exp(-F.col("d") * F.col("d") / (2 * s * s)) / total
         moved = out.withColumn("d", offset).withColumn("v", F.col("v") * weight).withColumn(axis, F.col(axis) + F.col("d"))
-        out = moved.groupBy("z", "y", "x").agg(F.sum("v").alias("v"))
+        out = within(moved, dims).groupBy(*by, "z", "y", "x").agg(F.sum("v").alias("v"))
     return out
 
 
-def dilate(voxels: DataFrame, radius: tuple[int, int, int]) -> DataFrame:
-    """V8: each place within reach of a voxel gets the largest value there."""
-    sent = voxels.select("v", "z", "y", "x", F.explode(steps(radius)).alias("s")).select(*((F.col(c) + F.col(f"s.d{c}")).alias(c) for c in "zyx"), "v")
-    return sent.groupBy("z", "y", "x").agg(F.max("v").alias("v"))
+def sent(voxels: DataFrame, radius: tuple[int, int, int]) -> DataFrame:
+    """Every voxel's value at all places of a box around it."""
+    by = by_volume(voxels)
+    return voxels.select(*by, "v", "z", "y", "x", F.explode(steps(radius)).alias("s")).select(*by, *((F.col(c) + F.col(f"s.d{c}")).alias(c) for c in "zyx"), "v")
+
+
+def dilate(voxels: DataFrame, radius: tuple[int, int, int], dims: tuple[int, int, int] | None = None) -> DataFrame:
+    """V8: each place (inside `dims`) within reach of a voxel gets the largest value there."""
+    return within(sent(voxels, radius), dims).groupBy(*by_volume(voxels), "z", "y", "x").agg(F.max("v").alias("v"))
 
 
 def erode(voxels: DataFrame, radius: tuple[int, int, int]) -> DataFrame:
     """V8: voxels whose whole box is there, with its smallest value."""
     n = (2 * radius[0] + 1) * (2 * radius[1] + 1) * (2 * radius[2] + 1)
-    sent = voxels.select("v", "z", "y", "x", F.explode(steps(radius)).alias("s")).select(*((F.col(c) + F.col(f"s.d{c}")).alias(c) for c in "zyx"), "v")
-    return sent.groupBy("z", "y", "x").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).where(F.col("n") == n).drop("n")
+    return sent(voxels, radius).groupBy(*by_volume(voxels), "z", "y", "x").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).where(F.col("n") == n).drop("n")
 
 
 def opened(voxels: DataFrame, radius: tuple[int, int, int]) -> DataFrame:
@@ -83,14 +103,16 @@ def opened(voxels: DataFrame, radius: tuple[int, int, int]) -> DataFrame:
 
 
 def closed(voxels: DataFrame, radius: tuple[int, int, int]) -> DataFrame:
+    """The dilation may reach beyond the volume here, since the erosion takes that away again."""
     return erode(dilate(voxels, radius), radius)
 
 
 def stamp(points: DataFrame, element: list[tuple[int, int, int, float]], dims: tuple[int, int, int]) -> DataFrame:
     """The largest of an element's values (dz, dy, dx, v) put at each point, inside the volume."""
     cells = F.array(*(F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx"), F.lit(float(v)).alias("v")) for a, b, c, v in element))
-    put = points.select(*(F.col(c).cast("int").alias(c) for c in "zyx"), F.explode(cells).alias("s")).select(*((F.col(c) + F.col(f"s.d{c}")).alias(c) for c in "zyx"), F.col("s.v").alias("v"))
-    return put.where(F.col("z").between(0, dims[0] - 1) & F.col("y").between(0, dims[1] - 1) & F.col("x").between(0, dims[2] - 1)).groupBy("z", "y", "x").agg(F.max("v").alias("v"))
+    by = by_volume(points)
+    put = points.select(*by, *(F.col(c).cast("int").alias(c) for c in "zyx"), F.explode(cells).alias("s")).select(*by, *((F.col(c) + F.col(f"s.d{c}")).alias(c) for c in "zyx"), F.col("s.v").alias("v"))
+    return within(put, dims).groupBy(*by, "z", "y", "x").agg(F.max("v").alias("v"))
 
 
 def ball(radius: int) -> list[tuple[int, int, int, float]]:
@@ -113,30 +135,34 @@ def ramp(place, n: int, steep: float = 10.0, logistic: bool = True):
 
 def stitch(tiles: DataFrame, width: int, overlap: int, logistic: bool = True) -> DataFrame:
     """Tiles (x_tile, z, y, x, v; x within a tile of `width`) side by side; where two overlap their weights add up to 1."""
-    last = tiles.agg(F.max("x_tile").alias("last"))
+    by = by_volume(tiles)
+    last = tiles.groupBy(*by).agg(F.max("x_tile").alias("last"))
     into = F.when((F.col("x") < overlap) & (F.col("x_tile") > 0), ramp(F.col("x"), overlap, logistic=logistic)).otherwise(1.0)
     out = F.when((F.col("x") >= width - overlap) & (F.col("x_tile") < F.col("last")), 1 - ramp(F.col("x") - (width - overlap), overlap, logistic=logistic)).otherwise(1.0)
-    w = tiles.crossJoin(F.broadcast(last)).withColumn("w", into * out)
-    return w.groupBy("z", "y", (F.col("x_tile") * (width - overlap) + F.col("x")).alias("x")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    w = (tiles.join(last, by) if by else tiles.crossJoin(F.broadcast(last))).withColumn("w", into * out)
+    return w.groupBy(*by, "z", "y", (F.col("x_tile") * (width - overlap) + F.col("x")).alias("x")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
 def blend_sheets(left: DataFrame, right: DataFrame, xdim: int, steep: float = 10.0) -> DataFrame:
     """Two light sheets over the same voxels; the right one is shifted to the left one's median, values stay at least 0."""
-    shift = left.agg(F.median("v").alias("ml")).crossJoin(right.agg(F.median("v").alias("mr")))
-    both = left.select("z", "y", "x", F.col("v").alias("a")).join(right.select("z", "y", "x", F.col("v").alias("b")), ["z", "y", "x"]).crossJoin(F.broadcast(shift))
+    by = by_volume(left)
+    ml, mr = left.groupBy(*by).agg(F.median("v").alias("ml")), right.groupBy(*by).agg(F.median("v").alias("mr"))
+    both = left.select(*by, "z", "y", "x", F.col("v").alias("a")).join(right.select(*by, "z", "y", "x", F.col("v").alias("b")), [*by, "z", "y", "x"])
+    both = both.join(ml, by).join(mr, by) if by else both.crossJoin(F.broadcast(ml)).crossJoin(F.broadcast(mr))
     w = ramp(F.col("x"), xdim, steep)
-    return both.select("z", "y", "x", (F.col("a") * (1 - w) + F.greatest(F.lit(0.0), F.col("b") + F.col("ml") - F.col("mr")) * w).alias("v"))
+    return both.select(*by, "z", "y", "x", (F.col("a") * (1 - w) + F.greatest(F.lit(0.0), F.col("b") + F.col("ml") - F.col("mr")) * w).alias("v"))
 
 
 def block_mean(voxels: DataFrame, factor: tuple[int, int, int]) -> DataFrame:
     """The volume shrunk by whole factors; background counts as 0."""
     n = float(factor[0] * factor[1] * factor[2])
-    return voxels.groupBy(*(F.floor(F.col(c) / f).cast("int").alias(c) for c, f in zip("zyx", factor))).agg((F.sum("v") / n).alias("v"))
+    return voxels.groupBy(*by_volume(voxels), *(F.floor(F.col(c) / f).cast("int").alias(c) for c, f in zip("zyx", factor))).agg((F.sum("v") / n).alias("v"))
 
 
 def resample(voxels: DataFrame, old: tuple[int, int, int], new: tuple[int, int, int]) -> DataFrame:
     """Trilinear resizing. Every voxel adds to the new places that lie within one old step of it; these are a box that it computes."""
-    out = voxels.select("z", "y", "x", "v")
+    by = by_volume(voxels)
+    out = voxels.select(*by, "z", "y", "x", "v")
     for axis, o, n in zip("zyx", old, new):
         if o == n:
             continue
@@ -148,7 +174,7 @@ def resample(voxels: DataFrame, old: tuple[int, int, int], new: tuple[int, int,
         spread = out.where(lo <= hi).withColumn("k", F.explode(F.sequence(lo, hi)))
         at = F.least(F.lit(float(o - 1)), F.greatest(F.lit(0.0), (F.col("k") + 0.5) * ratio - 0.5))
         weighted = spread.withColumn("v", F.col("v") * F.greatest(F.lit(0.0), 1 - F.abs(at - F.col(axis)))).drop(axis).withColumnRenamed("k", axis)
-        out = weighted.groupBy("z", "y", "x").agg(F.sum("v").alias("v"))
+        out = weighted.groupBy(*by, "z", "y", "x").agg(F.sum("v").alias("v"))
     return out.where("v <> 0")
 
 
@@ -185,17 +211,17 @@ def otsu(voxels: DataFrame, bins: int, lo: float, hi: float, *by: str) -> DataFr
     return h.withColumn("score", between).groupBy(*by).agg(F.max_by("bin", F.struct("score", -F.col("bin"))).alias("bin"))
 
 
-def expression_mask(pairs: DataFrame, slope_above: float, most_rounds: int = 1000) -> DataFrame:
+def expression_mask(pairs: DataFrame, slope_above: float, most_rounds: int = 99) -> DataFrame:
     """Pixels (y: signal, x: autofluorescence) with their residual over its deviation, after trimming.
 
     The line is fitted again without the pixels whose residual is beyond a falling percentile, until the slope is
-    above its bound; each round is one aggregate over the pixels.
+    above its bound or the percentiles are used up (99 rounds); each round is one aggregate over the pixels.
     """
     limit, fit = None, None
     for k in range(most_rounds):
         kept = pairs if limit is None else pairs.where(F.col("y") - (fit["a"] * F.col("x") + fit["b"]) <= limit)
         fit = kept.agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b")).first()
-        if fit["a"] is None or fit["a"] > slope_above or k >= 99:
+        if fit["a"] is None or fit["a"] > slope_above:
             break
         rest = F.col("y") - (fit["a"] * F.col("x") + fit["b"])
         limit = kept.agg(F.percentile(F.when(rest > 0, rest), F.lit(1 - (k + 1) / 100))).first()[0]

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxmere.operators.raster import by_volume
+
 
 def patch_grid(spark: SparkSession, shape: tuple[int, int, int], stride: tuple[int, int, int]) -> DataFrame:
     """(patch_id, z0, y0, x0); starts 0, stride, 2 stride ... on each axis, z slowest. The id is arithmetic, not a count of rows."""
@@ -32,7 +34,7 @@ def patches(voxels: DataFrame, shape: tuple[int, int, int], stride: tuple[int, i
 
 def merged_by_max(placed: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """Overlapping patches' voxels (z, y, x in the volume) as their maximum; what reaches beyond the volume is cut."""
-    return placed.where((F.col("z") < shape[0]) & (F.col("y") < shape[1]) & (F.col("x") < shape[2])).groupBy("z", "y", "x").agg(F.max("v").alias("v"))
+    return placed.where((F.col("z") < shape[0]) & (F.col("y") < shape[1]) & (F.col("x") < shape[2])).groupBy(*by_volume(placed), "z", "y", "x").agg(F.max("v").alias("v"))
 
 
 def scan_starts(dim: int, patch: int, stride: float) -> list[int]:
@@ -51,12 +53,12 @@ def scan_grid(spark: SparkSession, dims: tuple[int, int, int], patch: tuple[int,
 def blended(pushed: DataFrame, weight: str | None = None) -> DataFrame:
     """Overlapping outputs as their (weighted) mean."""
     w = F.col(weight) if weight else F.lit(1.0)
-    return pushed.groupBy("z", "y", "x").agg((F.sum(F.col("v") * w) / F.sum(w)).alias("v"))
+    return pushed.groupBy(*by_volume(pushed), "z", "y", "x").agg((F.sum(F.col("v") * w) / F.sum(w)).alias("v"))
 
 
 def overwritten(pushed: DataFrame, order: str) -> DataFrame:
     """The value that was pushed last."""
-    return pushed.groupBy("z", "y", "x").agg(F.max_by("v", order).alias("v"))
+    return pushed.groupBy(*by_volume(pushed), "z", "y", "x").agg(F.max_by("v", order).alias("v"))
 
 
 def bump_logit(place: Column, n: int, exponent: float = 1.5) -> Column:
@@ -71,7 +73,7 @@ def bump_blended(placed: DataFrame, window: tuple[int, int, int], exponent: floa
     placed has z, y, x, v and the places pz, py, px in the window. Grouping twice by the voxel is one shuffle.
     """
     logit = bump_logit(F.col("pz"), window[0], exponent) + bump_logit(F.col("py"), window[1], exponent) + bump_logit(F.col("px"), window[2], exponent)
-    per_voxel = Window.partitionBy("z", "y", "x")
+    per_voxel = Window.partitionBy(*by_volume(placed), "z", "y", "x")
     weighted = placed.withColumn("l", logit).withColumn("w", F.exp(F.col("l") - F.max("l").over(per_voxel)))
     return blended(weighted, "w")
 
@@ -103,5 +105,6 @@ COMBINE = {"max": F.max, "min": F.min, "sum": F.sum, "last": lambda c: F.max_by(
 
 def set_patch(voxels: DataFrame, patch: DataFrame, op: str = "last") -> DataFrame:
     """A patch (z, y, x, v in the volume's places) put into a volume."""
-    both = voxels.select("z", "y", "x", "v", F.lit(0).alias("_order")).unionByName(patch.select("z", "y", "x", "v", F.lit(1).alias("_order")))
-    return both.groupBy("z", "y", "x").agg(COMBINE[op]("v").alias("v"))
+    names = [*by_volume(voxels), "z", "y", "x", "v"]
+    both = voxels.select(*names, F.lit(0).alias("_order")).unionByName(patch.select(*names, F.lit(1).alias("_order")))
+    return both.groupBy(*names[:-1]).agg(COMBINE[op]("v").alias("v"))

@@ -15,7 +15,7 @@ def detect_cells(probability: DataFrame, ydim: int, xdim: int, lo: float, hi: fl
     labelled = components.label(components.at_least(probability, lo, hi), ydim, xdim)
     if size:
         labelled = components.size_filter(labelled, *size)
-    return components.measures(labelled)
+    return components.measures(labelled, volume=probability)
 
 
 def sites(volumes: DataFrame, ydim: int, xdim: int, k: float, n: int = 1) -> DataFrame:

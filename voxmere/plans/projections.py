@@ -87,14 +87,14 @@ LOG = "log as (select case when event_id % 5 = 0 then 'test' else 'train' end as
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names of planes built from orders; a few planes lack a tile."""
-    return table(spark, sf_dir, "orders").where("o_orderkey < 3000").selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "format_string('/raw/b1/x_[%02d x %02d]_C%02d_xyz-Table Z%04d_UltraII Filter%04d.ome.tif', cast(o_orderkey % 3 as int), cast((o_orderkey div 3) % 2 as int), cast((o_orderkey div 6) % 2 as int), cast(o_orderkey div 24 as int), cast((o_orderkey div 12) % 2 as int)) as path",
         "cast(1000 + o_totalprice % 97 as bigint) as length",
     ).where("path not like '%Z0007%Filter0001%' or path like '%[00%'")
 
 
-TILES = """raw as (select o_orderkey as k, o_totalprice from orders where o_orderkey < 3000),
-tiles as (select (k % 3)::int as y, ((k // 3) % 2)::int as x, ((k // 6) % 2)::int as ls, (k // 24)::int as z, ((k // 12) % 2)::int as ch, (1000 + o_totalprice % 97) as f from raw where not ((k // 24) = 7 and ((k // 12) % 2) = 1 and k % 3 <> 0))"""
+TILES = """raw as (select o_orderkey as k, o_totalprice from orders),
+tiles as (select k, (k % 3)::int as y, ((k // 3) % 2)::int as x, ((k // 6) % 2)::int as ls, (k // 24)::int as z, ((k // 12) % 2)::int as ch, (1000 + o_totalprice % 97) as f from raw where not ((k // 24) = 7 and ((k // 12) % 2) = 1 and k % 3 <> 0))"""
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

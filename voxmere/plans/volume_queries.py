@@ -11,7 +11,6 @@ from voxmere.operators import augment, components, matching, raster, windows
 from voxmere.plans import projections as P
 from voxmere.sources import catalog, exchange
 
-_SLAB = "z < 12 and x < 60"  # of the volume, for kernels that multiply rows
 _XDIM = "(select max(x) + 1 from voxels)"
 
 
@@ -19,8 +18,13 @@ def _voxels(s, d):
     return P.voxels(s, d)
 
 
-def _slab(s, d):
-    return P.voxels(s, d).where(_SLAB)
+def _dims(s, d):
+    return 60, 40, P.table(s, d, "lineitem").agg(F.max(F.expr("l_orderkey div 100"))).first()[0] + 1
+
+
+def _in_place(df):
+    """Of the one volume."""
+    return df.drop("volume_id")
 
 
 def _labelled(s, d):
@@ -32,17 +36,22 @@ def _r(df, *columns: str, digits: int = 6):
 
 
 def _patches(s, d):
-    return windows.patches(_voxels(s, d), (60, 40, 600), (30, 20, 100), (40, 30, 120)).select("patch_id", "pz", "py", "px", "v")
+    return windows.patches(_voxels(s, d), _dims(s, d), (30, 20, 100), (40, 30, 120)).select("patch_id", "pz", "py", "px", "v")
 
 
 def _back(s, d):
     """Patches' voxels at their places in the volume, each with its patch's own small error."""
-    p = windows.patches(_slab(s, d), (12, 40, 60), (6, 20, 30), (8, 30, 40))
+    p = windows.patches(_voxels(s, d), _dims(s, d), (30, 20, 100), (40, 30, 120))
     return p.withColumn("v", F.col("v") + F.col("patch_id") % 7 / 10)
 
 
+def _missing(s, d):
+    found = catalog.parsed(P.tiles(s, d))
+    return catalog.missing(found, found.agg(F.max("z")).first()[0] + 10, "z")
+
+
 def _bump(s, d):
-    return _r(windows.bump_blended(_back(s, d), (8, 30, 40)), "v")
+    return _in_place(_r(windows.bump_blended(_back(s, d), (40, 30, 120)), "v"))
 
 
 def _pairs(s, d):
@@ -71,15 +80,58 @@ def _vectors(s, d):
     return P.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(G.dot(a, b), 6).alias("dot"), F.round(x["z"], 6).alias("cz"), F.round(x["y"], 6).alias("cy"), F.round(x["x"], 6).alias("cx"), F.round(G.length(G.projection(a, b)), 6).alias("projected"), F.round(G.mod(a, G.vec(7.0, 7.0, 7.0))["z"], 6).alias("remainder"))
 
 
-_PATCHES = "grid as (select a.k as kz, b.k as ky, c.k as kx, (a.k * 2 + b.k) * 6 + c.k as patch_id from (select unnest(range(2)) as k) a, (select unnest(range(2)) as k) b, (select unnest(range(6)) as k) c)"
-_BACK = f"with {P.VOXELS}, slab as (select * from voxels where {_SLAB}), grid as (select a.k as kz, b.k as ky, c.k as kx, (a.k * 2 + b.k) * 2 + c.k as patch_id from (select unnest(range(2)) as k) a, (select unnest(range(2)) as k) b, (select unnest(range(2)) as k) c), back as (select z, y, x, z - kz * 6 as pz, y - ky * 20 as py, x - kx * 30 as px, v + patch_id % 7 / 10 as v, patch_id from slab, grid where z between kz * 6 and kz * 6 + 7 and y between ky * 20 and ky * 20 + 29 and x between kx * 30 and kx * 30 + 39)"
+_PATCHES = "n as (select (max(x) + 100) // 100 as n from voxels), grid as (select a.k as kz, b.k as ky, c.k as kx, (a.k * 2 + b.k) * n + c.k as patch_id from n, (select unnest(range(2)) as k) a, (select unnest(range(2)) as k) b, (select unnest(range((select n from n))) as k) c)"
+_BACK = f"with {P.VOXELS}, {_PATCHES}, back as (select z, y, x, z - kz * 30 as pz, y - ky * 20 as py, x - kx * 100 as px, v + patch_id % 7 / 10 as v, patch_id from voxels, grid where z between kz * 30 and kz * 30 + 39 and y between ky * 20 and ky * 20 + 29 and x between kx * 100 and kx * 100 + 119)"
+_NEAR = "k as (select unnest([-1, 0, 1])::int as d), s as (select v.z + a.d as z, v.y + b.d as y, v.x + c.d as x, v.v from voxels v, k a, k b, k c)"
 _L = "pow((({0} + 1) / {1}::double) * (1 - ({0} + 1) / {1}::double), -1.5)"
-_LABELS = f"""with recursive {P.VOXELS}, hot as (select z, y, x, v, (z::bigint * 40 + y) * 1000000 + x as p from voxels where v >= 0.85),
+def _labels_of(hot: str, link: str = "true") -> str:
+    """Labelled voxels; hot: rows (t, z, y, x, v), of which those of one t connect where `link` holds."""
+    return f"""with recursive {P.VOXELS}, hot as (select *, (z::bigint * 40 + y) * 1000000 + x as p from ({hot})),
 steps as (select a as dz, b as dy, c as dx from (select unnest([-1, 0, 1]) as a), (select unnest([-1, 0, 1]) as b), (select unnest([-1, 0, 1]) as c) where abs(a) + abs(b) + abs(c) between 1 and 2),
-links as (select h.p as a, o.p as b from hot h, steps s join hot o on o.z = h.z + s.dz and o.y = h.y + s.dy and o.x = h.x + s.dx),
-reach as (select p as a, p as b from hot union select r.a, l.b from reach r join links l on l.a = r.b),
-labelled as (select h.*, m.label from hot h join (select b as p, min(a) as label from reach group by b) m using (p))"""
-_PAIRS = f"with {P.ANNOTATORS}, pairs as (select t.day, t.idx as truth_idx, p.idx as pred_idx, sqrt((t.z - p.z) * (t.z - p.z) + (t.y - p.y) * (t.y - p.y) + (t.x - p.x) * (t.x - p.x)) as dist from truth t join pred p using (day))"
+links as (select h.t, h.p as a, o.p as b from hot h, steps s join hot o on o.t = h.t and o.z = h.z + s.dz and o.y = h.y + s.dy and o.x = h.x + s.dx where {link}),
+reach as (select t, p as a, p as b from hot union select r.t, r.a, l.b from reach r join links l on l.a = r.b and l.t = r.t),
+labelled as (select h.*, m.label from hot h join (select t, b as p, min(a) as label from reach group by t, b) m using (t, p))"""
+
+
+_LABELS = _labels_of("select 0 as t, z, y, x, v from voxels where v >= 0.85")
+_CENTRES = "centres as (select label, trunc(avg(z))::int as z, trunc(avg(y))::int as y, trunc(avg(x))::int as x, count(*) as no_voxels from labelled group by 1)"
+_PAIRS = f"with recursive {P.ANNOTATORS}, pairs as (select t.day, t.idx as truth_idx, p.idx as pred_idx, sqrt((t.z - p.z) * (t.z - p.z) + (t.y - p.y) * (t.y - p.y) + (t.x - p.x) * (t.x - p.x)) as dist from truth t join pred p using (day))"
+#: Greedy pairs by walking each day's pairs in their order, with the members that are used up.
+_WALK = """ranked as (select c as cutoff, pairs.*, row_number() over (partition by c, day order by dist, truth_idx, pred_idx) as r from pairs, (select unnest([{0}]) as c) where dist <= c),
+walk as (
+  select cutoff, day, 0::bigint as r, []::bigint[] as ts, []::bigint[] as ps from (select distinct cutoff, day from ranked)
+  union all select w.cutoff, w.day, k.r, case when list_contains(ts, k.truth_idx) or list_contains(ps, k.pred_idx) then ts else list_append(ts, k.truth_idx) end,
+    case when list_contains(ts, k.truth_idx) or list_contains(ps, k.pred_idx) then ps else list_append(ps, k.pred_idx) end
+  from walk w join ranked k on k.cutoff = w.cutoff and k.day = w.day and k.r = w.r + 1),
+ends as (select cutoff, day, arg_max(ts, r) as ts, arg_max(ps, r) as ps from walk group by 1, 2),
+taken as (select cutoff, day, unnest(ts) as truth_idx, unnest(ps) as pred_idx from ends)"""
+_STATS = """sides as (select c as cutoff, day, count(*) filter (where side = 0) as nt, count(*) filter (where side = 1) as np from e, (select unnest([1.0, 1.5]) as c) group by 1, 2),
+stats as (select s.cutoff, s.day, coalesce(n, 0)::bigint as tp, np - coalesce(n, 0)::bigint as fp, nt - coalesce(n, 0)::bigint as fn, coalesce(n, 0) / nullif(np, 0)::double as precision, coalesce(n, 0) / nullif(nt, 0)::double as recall
+  from sides s left join (select cutoff, day, count(*) as n from taken group by 1, 2) using (cutoff, day))"""
+
+
+def _flat(s, d):
+    """One annotator's points as 2-D cells of a volume for each day."""
+    return P.annotators(s, d)[0].selectExpr("cast(day as string) as volume_id", "idx as cell_id", "cast(z as int) as z", "y", "x")
+
+
+def _swept(s, d):
+    return components.sweep_centres(components.threshold_sweep(_voxels(s, d), [0.85, 0.95], 40, 1_000_000)).drop("volume_id")
+
+
+def _trained(s, d):
+    points = components.centres(_labelled(s, d)).withColumnRenamed("label", "idx")
+    return _in_place(components.training_labels(points, _voxels(s, d), (2, 3, 3), 16, 0.0, 1.0)).select("z", "y", "x", "v")
+
+
+def _trees(s, d):
+    rows = P.table(s, d, "orders").selectExpr("cast(o_orderkey as string) as path", "cast(o_totalprice as long) as length", "o_orderstatus as digest")
+    return catalog.tree_differences(rows, rows.withColumn("length", F.expr("length + cast(path % 5 = 0 as int)")))
+
+
+def _transformed(s, d):
+    lines = P.points(s, d).select(F.format_string("Point\t%d\t; InputPoint = [ 0 0 0 ]\t; OutputPoint = [ %.2f %.2f %.2f ]\t; Deformation = [ 0 0 0 ]", "point_id", "x", "y", "z").alias("value"))
+    return exchange.read_transformed(lines).select("point_id", *(F.round(c, 2).alias(c) for c in "zyx"))
 
 QUERIES = {
     "p1_threshold": lambda s, d: components.at_least(_voxels(s, d), 0.3, 0.6).select("z", "y", "x", "v"),
@@ -88,35 +140,35 @@ QUERIES = {
     "v1_components": lambda s, d: _labelled(s, d).select("z", "y", "x", "label"),
     "p6_size_filter": lambda s, d: components.size_filter(_labelled(s, d), 2, 6).select("z", "y", "x", "label"),
     "a7_centres": lambda s, d: components.centres(_labelled(s, d)).select("label", "z", "y", "x", "no_voxels"),
-    "a7w_weighted_centres": lambda s, d: components.centres(_labelled(s, d), True).select("label", "no_voxels"),
+    "a7w_weighted_centres": lambda s, d: components.centres(_labelled(s, d), True).select("label", "z", "y", "x", "no_voxels"),
     "o3_largest": lambda s, d: components.largest(_labelled(s, d), 3).select("z", "y", "x", "label"),
     "o4_largest_high": lambda s, d: components.largest(_labelled(s, d), 3, True).select("z", "y", "x", "label"),
     "v1_numbered": lambda s, d: components.numbered(_labelled(s, d)).select("label", F.col("val").cast("long").alias("val")).distinct(),
-    "v5_measures": lambda s, d: _r(components.measures(_labelled(s, d)), "sphericity").select("label", "max_perimeter", "sphericity", F.col("z_depth").cast("long").alias("z_depth"), "no_voxels"),
+    "v5_measures": lambda s, d: _r(components.measures(_labelled(s, d), volume=_voxels(s, d)), "sphericity", "intensity").select("label", "z", "y", "x", "max_perimeter", "sphericity", F.col("z_depth").cast("long").alias("z_depth"), "no_voxels", "intensity"),
     "w7_halo": lambda s, d: components.halo_chunks(_voxels(s, d), 20, 3).groupBy("chunk").agg(F.count(F.lit(1)).alias("n")),
     "p5_owned": lambda s, d: components.owned(components.halo_chunks(_voxels(s, d), 20, 3), 20).groupBy("chunk").agg(F.count(F.lit(1)).alias("n")),
     "w1_patch_grid": lambda s, d: windows.patch_grid(s, (5, 4, 3), (2, 2, 2)),
     "w2_patches": _patches,
-    "w3_max_merge": lambda s, d: windows.merged_by_max(_back(s, d), (12, 40, 60)),
-    "w5_blend": lambda s, d: _r(windows.blended(_back(s, d)), "v"),
-    "w5_overwrite": lambda s, d: _r(windows.overwritten(_back(s, d), "patch_id"), "v"),
+    "w3_max_merge": lambda s, d: _in_place(windows.merged_by_max(_back(s, d), _dims(s, d))),
+    "w5_blend": lambda s, d: _in_place(_r(windows.blended(_back(s, d)), "v")),
+    "w5_overwrite": lambda s, d: _in_place(_r(windows.overwritten(_back(s, d), "patch_id"), "v")),
     "w6_bump_blend": _bump,
     "w9_centred_patch": lambda s, d: windows.centred_patch(_voxels(s, d), (30, 20, 50), (11, 12, 13)).select("z", "y", "x", "v"),
-    "w9_set_patch": lambda s, d: windows.set_patch(_slab(s, d), _slab(s, d).where("x < 20").withColumn("v", 0.5 - F.col("v") / 2), "max"),
+    "w9_set_patch": lambda s, d: _in_place(windows.set_patch(_voxels(s, d), _voxels(s, d).where("x < 20").withColumn("v", 0.5 - F.col("v") / 2), "max")),
     "j6_distance_join": lambda s, d: _r(_pairs(s, d), "dist"),
     "j7_greedy": lambda s, d: matching.greedy(_pairs(s, d), "day"),
     "a13_match_stats": _match_stats,
     "a10_statistics": lambda s, d: _r(raster.statistics(_voxels(s, d), "z"), "lo", "hi", "mean", "std", "median", "p95"),
-    "a11_projection": lambda s, d: raster.project(_voxels(s, d)),
+    "a11_projection": lambda s, d: _in_place(raster.project(_voxels(s, d))),
     "f11_scaled": lambda s, d: _r(raster.scaled(_voxels(s, d), 255.0, 0.05, 0.95), "v").select("z", "y", "x", "v"),
-    "w10_box_filter": lambda s, d: _r(raster.box_filter(_slab(s, d), (1, 1, 1)), "v"),
-    "w10_median_filter": lambda s, d: _r(raster.median_filter(_slab(s, d), (1, 1, 1)), "v"),
-    "v8_dilate": lambda s, d: raster.dilate(_slab(s, d), (0, 1, 1)),
-    "v8_erode": lambda s, d: raster.erode(components.at_least(_slab(s, d), 0.1), (0, 1, 1)),
-    "v7_stamp": lambda s, d: _r(raster.stamp(P.annotators(s, d)[0].where("day < 4"), raster.ball(2), (40, 24, 50)), "v"),
-    "v11_stitch": lambda s, d: _r(raster.stitch(_slab(s, d).withColumn("x_tile", (F.col("x") / 20).cast("int")).withColumn("x", F.col("x") % 20), 20, 5, False), "v"),
-    "v12_blend_sheets": lambda s, d: _r(raster.blend_sheets(_slab(s, d), _slab(s, d).withColumn("v", F.col("v") / 2 + 0.1), 60), "v"),
-    "v14_block_mean": lambda s, d: _r(raster.block_mean(_voxels(s, d), (2, 4, 8)), "v"),
+    "w10_box_filter": lambda s, d: _in_place(_r(raster.box_filter(_voxels(s, d), (1, 1, 1)), "v")),
+    "w10_median_filter": lambda s, d: _in_place(_r(raster.median_filter(_voxels(s, d), (1, 1, 1)), "v")),
+    "v8_dilate": lambda s, d: _in_place(raster.dilate(_voxels(s, d), (0, 1, 1), _dims(s, d))),
+    "v8_erode": lambda s, d: _in_place(raster.erode(_voxels(s, d), (0, 0, 1))),
+    "v7_stamp": lambda s, d: _r(raster.stamp(P.annotators(s, d)[0], raster.ball(2), (40, 24, 50)), "v"),
+    "v11_stitch": lambda s, d: _in_place(_r(raster.stitch(_voxels(s, d).withColumn("x_tile", (F.col("x") / 20).cast("int")).withColumn("x", F.col("x") % 20), 20, 5, False), "v")),
+    "v12_blend_sheets": lambda s, d: _in_place(_r(raster.blend_sheets(_voxels(s, d), _voxels(s, d).withColumn("v", F.col("v") / 2 + 0.1), _dims(s, d)[2]), "v")),
+    "v14_block_mean": lambda s, d: _in_place(_r(raster.block_mean(_voxels(s, d), (2, 4, 8)), "v")),
     "a17_histogram": lambda s, d: _r(raster.histogram(_voxels(s, d), 16, 0.0, 1.0), "cdf"),
     "a17_match": lambda s, d: _r(raster.match_histogram(raster.histogram(_voxels(s, d), 16, 0.0, 1.0), raster.histogram(_voxels(s, d).withColumn("v", F.col("v") * F.col("v")), 16, 0.0, 1.0)), "target"),
     "a27_otsu": lambda s, d: raster.otsu(_voxels(s, d), 32, 0.0, 1.0, "z"),
@@ -134,20 +186,37 @@ QUERIES = {
     "f3_moved": lambda s, d: P.tiles(s, d).select(text.moved(F.col("path"), "/raw/b1", "/scratch").alias("path")),
     "f21_stamp": lambda s, d: P.table(s, d, "orders").select("o_orderkey", text.stamp(F.col("o_orderdate")).alias("v")),
     "f23_first_int": lambda s, d: P.table(s, d, "supplier").select("s_suppkey", text.first_int(F.col("s_name")).alias("v")),
-    "s2_planes": lambda s, d: catalog.planes(catalog.parsed(P.tiles(s, d))).select("ch", "z", "n"),
+    "s2_planes": lambda s, d: catalog.planes(catalog.parsed(P.tiles(s, d))).select("ch", "z", "n", F.array_join("paths", ";").alias("paths")),
     "s3_geometry": lambda s, d: catalog.geometry(catalog.parsed(P.tiles(s, d))).select(*(F.col(c).cast("long").alias(c) for c in ("xtile", "ytile", "lightsheets", "channels", "planes"))),
     "s3_bad_planes": lambda s, d: catalog.bad_planes(catalog.parsed(P.tiles(s, d))),
     "s3_complete": lambda s, d: catalog.complete(catalog.parsed(P.tiles(s, d))).select("z", "ch", "ls", "y", "x"),
     "a8_size_outliers": lambda s, d: catalog.size_outliers(P.table(s, d, "orders").selectExpr("o_orderkey", "o_totalprice as length"), 1.5),
-    "a9_missing": lambda s, d: catalog.missing(P.tiles(s, d).transform(catalog.parsed), 140, "z"),
+    "a9_missing": _missing,
     "u1_pooled": lambda s, d: catalog.pooled([P.table(s, d, "region"), P.table(s, d, "nation").selectExpr("n_regionkey as r_regionkey", "n_name as extra")]).select("extra", "r_name", "r_regionkey"),
     "s14_point_lines": lambda s, d: exchange.point_lines(P.annotators(s, d)[0].selectExpr("idx as point_id", "cast(z as int) as z", "cast(y as int) as y", "cast(x as int) as x")),
     "m3_flip": lambda s, d: augment.flip(_voxels(s, d), (60, 40, 600), "zy").select("z", "y", "x", "v"),
     "m3_transpose": lambda s, d: augment.transpose(_voxels(s, d)).select("z", "y", "x", "v"),
     "m4_gray": lambda s, d: _r(augment.gray(_voxels(s, d), 0.8, 0.1, -0.5), "v").select("z", "y", "x", "v"),
     "m5_fill_sections": lambda s, d: augment.fill_sections(_voxels(s, d), [3, 9], 0.5, F.col("y") < 20).select("z", "y", "x", "v"),
-    "m6_misalign": lambda s, d: augment.misalign(_voxels(s, d), (60, 40, 600), 20, 3, -2).select("z", "y", "x", "v"),
+    "m6_misalign": lambda s, d: augment.misalign(_voxels(s, d), _dims(s, d), 20, 3, -2).select("z", "y", "x", "v"),
     "m7_lost": lambda s, d: augment.lose_sections(_voxels(s, d), [5, 17, 18]).select("z", "y", "x", "v"),
+    "v2_same_value": lambda s, d: components.label(components.at_least(_voxels(s, d), 0.85), 40, 1_000_000, same_value=True).select("z", "y", "x", "label"),
+    "v3_object_windows": lambda s, d: components.object_windows(_labelled(s, d)).select("label", "pz", "py", "px"),
+    "v6_threshold_sweep": _swept,
+    "v21_training_labels": _trained,
+    "p7_sphericity": lambda s, d: components.sphericity_filter(components.measures(_labelled(s, d)), 0.7).select("label", "no_voxels"),
+    "j9_unpaired": lambda s, d: matching.unpaired(P.annotators(s, d)[0], matching.greedy(_pairs(s, d), "day"), "truth_idx", "day").select("day", "idx"),
+    "a14_curve_area": lambda s, d: _r(matching.curve_area(_match_stats(s, d), "cutoff", "day"), "area"),
+    "v10_merge_planes": lambda s, d: components.merge_planes(_flat(s, d), 3).select("cell_id", "object_id"),
+    "w4_scan_grid": lambda s, d: windows.scan_grid(s, (60, 40, 20), (20, 10, 20), (0.75, 0, 0.75)),
+    "w10_gaussian_filter": lambda s, d: _in_place(_r(raster.gaussian_filter(_voxels(s, d), (0.0, 0.5, 0.5), dims=_dims(s, d)), "v")),
+    "m10_warp": lambda s, d: _in_place(augment.warp(_voxels(s, d), _dims(s, d), [[1, 0, 0], [0, 2, 0], [0, 0, 1]])),
+    "s15_transformed": _transformed,
+    "u2_tree_differences": _trees,
+    "g8_full_dims": lambda s, d: catalog.full_dims(catalog.parsed(P.tiles(s, d)), (100, 200)),
+    "e5_own_pattern": lambda s, d: catalog.parsed(P.tiles(s, d), patterns={r"^x_\[(\d+) x \d+\]_C\d+_xyz-Table Z(\d+)_.*$": ("y", "z")}).select("y", "x", "z"),
+    "p20_with_mask": lambda s, d: augment.with_mask(P.table(s, d, "orders").select("o_orderkey"), P.table(s, d, "lineitem").selectExpr("l_orderkey as o_orderkey", "cast(l_quantity > 45 as int) as v"), "o_orderkey"),
+    "s20_loss_log": lambda s, d: catalog.loss_log(P.log(s, d).select(F.concat_ws("\t", F.col("iter").cast("string"), "metric", F.format_string("%.3f", "num")).alias("value"))),
     "m8_occlude": lambda s, d: augment.occlude(_voxels(s, d), [((0, 0, 0), (10, 10, 10)), ((20, 5, 5), (40, 20, 30))]).select("z", "y", "x", "v"),
 }
 
@@ -159,11 +228,11 @@ ORACLES = {
     "v1_components": f"{_LABELS} select z, y, x, label from labelled",
     "p6_size_filter": f"{_LABELS} select z, y, x, label from labelled where label in (select label from labelled group by 1 having count(*) between 2 and 6)",
     "a7_centres": f"{_LABELS} select label, trunc(avg(z))::int as z, trunc(avg(y))::int as y, trunc(avg(x))::int as x, count(*) as no_voxels from labelled group by 1",
-    "a7w_weighted_centres": f"{_LABELS} select label, count(*) as no_voxels from labelled group by 1",
+    "a7w_weighted_centres": f"{_LABELS} select label, trunc(round(sum(z * v) / sum(v), 9))::int as z, trunc(round(sum(y * v) / sum(v), 9))::int as y, trunc(round(sum(x * v) / sum(v), 9))::int as x, count(*) as no_voxels from labelled group by 1",
     "o3_largest": f"{_LABELS} select z, y, x, label from labelled where label in (select label from labelled group by 1 order by count(*) desc, label limit 3)",
     "o4_largest_high": f"{_LABELS} select z, y, x, label from labelled where label in (select label from labelled group by 1 order by count(*) desc, label desc limit 3)",
     "v1_numbered": f"{_LABELS} select distinct label, dense_rank() over (order by label) as val from labelled",
-    "v5_measures": f"{_LABELS}, plane as (select label, z, count(*) as a, sum(4 - (select count(*) from labelled o where o.label = l.label and o.z = l.z and abs(o.y - l.y) + abs(o.x - l.x) = 1)) as p from labelled l group by 1, 2) select label, max(p)::double as max_perimeter, round(avg(4 * 3.141592653589793 * a / (p * p)), 6) as sphericity, count(*) as z_depth, sum(a)::bigint as no_voxels from plane group by 1",
+    "v5_measures": f"{_LABELS}, {_CENTRES}, plane as (select label, z, count(*) as a, sum(4 - (select count(*) from labelled o where o.label = l.label and o.z = l.z and abs(o.y - l.y) + abs(o.x - l.x) = 1)) as p from labelled l group by 1, 2), shape as (select label, max(p)::double as max_perimeter, round(avg(4 * 3.141592653589793 * a / (p * p)), 6) as sphericity, count(*) as z_depth from plane group by 1), wide as (select label, y, x, unnest(range(z - 5, z + 6))::int as cz from centres), peak as (select c.label, round(max(v.v), 6) as intensity from wide c join voxels v on v.z = c.cz and v.y between c.y - 10 and c.y + 10 and v.x between c.x - 10 and c.x + 10 group by 1) select label, z, y, x, max_perimeter, sphericity, z_depth, no_voxels, intensity from centres join shape using (label) left join peak using (label)",
     "w7_halo": f"with {P.VOXELS} select c as chunk, count(*) as n from voxels, (select unnest(range(-1, 5))::int as c) where z >= c * 20 - 3 and z < c * 20 + 23 and c >= 0 group by 1",
     "p5_owned": f"with {P.VOXELS} select z // 20 as chunk, count(*) as n from voxels group by 1",
     "w1_patch_grid": "select ((a.k * 2 + b.k) * 2 + c.k)::int as patch_id, (a.k * 2)::int as z0, (b.k * 2)::int as y0, (c.k * 2)::int as x0 from (select unnest(range(3)) as k) a, (select unnest(range(2)) as k) b, (select unnest(range(2)) as k) c",
@@ -171,20 +240,20 @@ ORACLES = {
     "w3_max_merge": f"{_BACK} select z, y, x, max(v) as v from back group by 1, 2, 3",
     "w5_blend": f"{_BACK} select z, y, x, round(avg(v), 6) as v from back group by 1, 2, 3",
     "w5_overwrite": f"{_BACK} select z, y, x, round(max_by(v, patch_id), 6) as v from back group by 1, 2, 3",
-    "w6_bump_blend": f"{_BACK}, l as (select z, y, x, v, -({_L.format('pz', 9)} + {_L.format('py', 31)} + {_L.format('px', 41)}) as l from back), w as (select *, exp(l - max(l) over (partition by z, y, x)) as w from l) select z, y, x, round(sum(v * w) / sum(w), 6) as v from w group by 1, 2, 3",
+    "w6_bump_blend": f"{_BACK}, l as (select z, y, x, v, -({_L.format('pz', 41)} + {_L.format('py', 31)} + {_L.format('px', 121)}) as l from back), w as (select *, exp(l - max(l) over (partition by z, y, x)) as w from l) select z, y, x, round(sum(v * w) / sum(w), 6) as v from w group by 1, 2, 3",
     "w9_centred_patch": f"with {P.VOXELS} select z - 25 as z, y - 14 as y, x - 44 as x, v from voxels where z between 25 and 35 and y between 14 and 25 and x between 44 and 56",
-    "w9_set_patch": f"with {P.VOXELS} select z, y, x, case when x < 20 then greatest(v, 0.5 - v / 2) else v end as v from voxels where {_SLAB}",
+    "w9_set_patch": f"with {P.VOXELS} select z, y, x, case when x < 20 then greatest(v, 0.5 - v / 2) else v end as v from voxels",
     "j6_distance_join": f"{_PAIRS} select day, truth_idx, pred_idx, round(dist, 6) as dist from pairs where dist <= 1.5",
     "a10_statistics": f"with {P.VOXELS} select z, round(min(v), 6) as lo, round(max(v), 6) as hi, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, round(median(v), 6) as median, round(quantile_cont(v, 0.95), 6) as p95 from voxels group by 1",
     "a11_projection": f"with {P.VOXELS} select y, x, max(v) as v from voxels group by 1, 2",
     "f11_scaled": f"with {P.VOXELS}, e as (select quantile_cont(v, 0.05) as a, quantile_cont(v, 0.95) as b from voxels) select z, y, x, round((least(b, greatest(a, v)) - a) * 255 / (b - a), 6) as v from voxels, e",
-    "w10_box_filter": f"with {P.VOXELS}, s as (select * from voxels where {_SLAB}) select a.z, a.y, a.x, round(sum(b.v) / 27, 6) as v from s a join s b on b.z between a.z - 1 and a.z + 1 and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 group by 1, 2, 3",
-    "w10_median_filter": f"with {P.VOXELS}, s as (select * from voxels where {_SLAB}) select a.z, a.y, a.x, round(median(b.v), 6) as v from s a join s b on b.z between a.z - 1 and a.z + 1 and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 group by 1, 2, 3",
-    "v8_dilate": f"with {P.VOXELS}, s as (select z, y + dy as y, x + dx as x, v from voxels, (select unnest([-1, 0, 1])::int as dy), (select unnest([-1, 0, 1])::int as dx) where {_SLAB}) select z, y, x, max(v) as v from s group by 1, 2, 3",
-    "v8_erode": f"with {P.VOXELS}, s as (select z, y + dy as y, x + dx as x, v from voxels, (select unnest([-1, 0, 1])::int as dy), (select unnest([-1, 0, 1])::int as dx) where {_SLAB} and v >= 0.1) select z, y, x, min(v) as v from s group by 1, 2, 3 having count(*) = 9",
-    "v7_stamp": f"with {P.ANNOTATORS}, o as (select a as dz, b as dy, c as dx, 1 - sqrt(a * a + b * b + c * c) / 3 as v from (select unnest(range(-2, 3)) as a), (select unnest(range(-2, 3)) as b), (select unnest(range(-2, 3)) as c) where a * a + b * b + c * c <= 4), p as (select (t.z::int + dz)::int as z, (t.y::int + dy)::int as y, (t.x::int + dx)::int as x, v from truth t, o where day < 4) select z, y, x, round(max(v), 6) as v from p where z between 0 and 39 and y between 0 and 23 and x between 0 and 49 group by 1, 2, 3",
-    "v11_stitch": f"with {P.VOXELS}, t as (select z, y, x % 20 as x, x // 20 as t, v from voxels where {_SLAB}) select z, y, (t * 15 + x)::int as x, round(sum(v * case when x < 5 and t > 0 then x / 4.0::double else 1 end * case when x >= 15 and t < 2 then 1 - (x - 15) / 4.0::double else 1 end), 6) as v from t group by 1, 2, 3",
-    "v12_blend_sheets": f"with {P.VOXELS}, s as (select *, v / 2 + 0.1 as b, 1 / (1 + exp(-(-10 + 20 * x / 59::double))) as w from voxels where {_SLAB}), m as (select median(v) as ml, median(b) as mr from s) select z, y, x, round(v * (1 - w) + greatest(0, b + ml - mr) * w, 6) as v from s, m",
+    "w10_box_filter": f"with {P.VOXELS}, {_NEAR} select z, y, x, round(sum(s.v) / 27, 6) as v from voxels o join s using (z, y, x) group by 1, 2, 3",
+    "w10_median_filter": f"with {P.VOXELS}, {_NEAR} select z, y, x, round(median(s.v), 6) as v from voxels o join s using (z, y, x) group by 1, 2, 3",
+    "v8_dilate": f"with {P.VOXELS}, k as (select unnest([-1, 0, 1])::int as d), s as (select z, y + a.d as y, x + b.d as x, v from voxels, k a, k b) select z, y, x, max(v) as v from s where y between 0 and 39 and x between 0 and (select max(x) from voxels) group by 1, 2, 3",
+    "v8_erode": f"with {P.VOXELS}, s as (select z, y, x + d as x, v from voxels, (select unnest([-1, 0, 1])::int as d)) select z, y, x, min(v) as v from s group by 1, 2, 3 having count(*) = 3",
+    "v7_stamp": f"with {P.ANNOTATORS}, o as (select a as dz, b as dy, c as dx, 1 - sqrt(a * a + b * b + c * c) / 3 as v from (select unnest(range(-2, 3)) as a), (select unnest(range(-2, 3)) as b), (select unnest(range(-2, 3)) as c) where a * a + b * b + c * c <= 4), p as (select (t.z::int + dz)::int as z, (t.y::int + dy)::int as y, (t.x::int + dx)::int as x, v from truth t, o) select z, y, x, round(max(v), 6) as v from p where z between 0 and 39 and y between 0 and 23 and x between 0 and 49 group by 1, 2, 3",
+    "v11_stitch": f"with {P.VOXELS}, t as (select z, y, x % 20 as x, x // 20 as t, v from voxels), m as (select max(t) as last from t) select z, y, (t * 15 + x)::int as x, round(sum(v * case when x < 5 and t > 0 then x / 4.0::double else 1 end * case when x >= 15 and t < last then 1 - (x - 15) / 4.0::double else 1 end), 6) as v from t, m group by 1, 2, 3",
+    "v12_blend_sheets": f"with {P.VOXELS}, s as (select *, v / 2 + 0.1 as b, 1 / (1 + exp(-(-10 + 20 * x / (select max(x) from voxels)::double))) as w from voxels), m as (select median(v) as ml, median(b) as mr from s) select z, y, x, round(v * (1 - w) + greatest(0, b + ml - mr) * w, 6) as v from s, m",
     "v14_block_mean": f"with {P.VOXELS} select z // 2 as z, y // 4 as y, x // 8 as x, round(sum(v) / 64, 6) as v from voxels group by 1, 2, 3",
     "a17_histogram": f"with {P.VOXELS}, h as (select least(15, floor(v * 16))::int as bin, count(*) as n from voxels group by 1) select bin, n, round(sum(n) over (order by bin) / sum(n) over ()::double, 6) as cdf from h",
     "a17_match": f"with {P.VOXELS}, a as (select least(15, floor(v * 16))::int as bin, count(*) as n from voxels group by 1), ca as (select bin, sum(n) over (order by bin) / sum(n) over ()::double as c from a), b as (select least(15, floor(v * v * 16))::int as bin, count(*) as n from voxels group by 1), cb as (select bin, sum(n) over (order by bin) / sum(n) over ()::double as c from b), legs as (select bin as b0, c as c0, lead(bin) over (order by c) as b1, lead(c) over (order by c) as c1 from cb), e as (select arg_min(bin, c) as f, min(c) as fc, arg_max(bin, c) as l, max(c) as lc from cb) select ca.bin as source_bin, round(case when ca.c <= fc then f::double when ca.c >= lc then l::double else b0 + (ca.c - c0) * (b1 - b0) / (c1 - c0) end, 6) as target from ca cross join e left join legs on ca.c >= c0 and ca.c < c1",
@@ -203,19 +272,38 @@ ORACLES = {
     "f3_moved": f"with {P.TILES} select printf('/scratch/x_[%02d x %02d]_C%02d_xyz-Table Z%04d_UltraII Filter%04d.ome.tif', y, x, ls, z, ch) as path from tiles",
     "f21_stamp": "select o_orderkey, strftime(o_orderdate, '%d%m%y_%H%M%S') as v from orders",
     "f23_first_int": "select s_suppkey, regexp_extract(s_name, '(\\d+)', 1)::bigint as v from supplier",
-    "s2_planes": f"with {P.TILES} select ch, z, count(*) as n from tiles group by 1, 2",
+    "s2_planes": f"with {P.TILES} select ch, z, count(*) as n, string_agg(printf('/raw/b1/x_[%02d x %02d]_C%02d_xyz-Table Z%04d_UltraII Filter%04d.ome.tif', y, x, ls, z, ch), ';' order by ls, y, x, k) as paths from tiles group by 1, 2",
     "s3_geometry": f"with {P.TILES} select max(x) + 1::bigint as xtile, max(y) + 1::bigint as ytile, count(distinct ls) as lightsheets, count(distinct ch) as channels, count(distinct z) as planes from tiles",
     "s3_bad_planes": f"with {P.TILES}, p as (select ch, z, count(*) as n from tiles group by 1, 2) select z from p group by z having max((n <> 12)::int) = 1 or count(*) <> 2",
     "s3_complete": f"with {P.TILES}, p as (select ch, z, count(*) as n from tiles group by 1, 2) select z, ch, ls, y, x from tiles where z not in (select z from p group by z having max((n <> 12)::int) = 1 or count(*) <> 2)",
     "a8_size_outliers": "select o_orderkey, o_totalprice as length from orders where abs(o_totalprice - (select avg(o_totalprice) from orders)) > 1.5 * (select stddev_pop(o_totalprice) from orders)",
-    "a9_missing": f"with {P.TILES} select z::int as z from (select unnest(range(140)) as z) where z not in (select z from tiles)",
+    "a9_missing": f"with {P.TILES} select z::int as z from (select unnest(range((select max(z) + 10 from tiles))) as z) where z not in (select z from tiles)",
     "u1_pooled": "select null as extra, r_name, r_regionkey from region union all select n_name, null, n_regionkey from nation",
     "s14_point_lines": f"with {P.ANNOTATORS} select (-2)::bigint as ord, 'index' as value union all select -1, count(*)::varchar from truth union all select idx, x::int::varchar || ' ' || y::int::varchar || ' ' || z::int::varchar from truth",
     "m3_flip": f"with {P.VOXELS} select 59 - z as z, 39 - y as y, x, v from voxels",
     "m3_transpose": f"with {P.VOXELS} select z, x as y, y as x, v from voxels",
     "m4_gray": f"with {P.VOXELS} select z, y, x, round(pow(least(1, greatest(0, v * 0.8 + 0.1)), pow(2, -0.5)), 6) as v from voxels",
     "m5_fill_sections": f"with {P.VOXELS} select z, y, x, case when z in (3, 9) and y < 20 then 0.5 else v end as v from voxels",
-    "m6_misalign": f"with {P.VOXELS}, s as (select z, y + case when z >= 20 then 3 else 0 end as y, x + case when z >= 20 then -2 else 0 end as x, v from voxels) select * from s where y between 0 and 39 and x between 0 and 599",
+    "m6_misalign": f"with {P.VOXELS}, s as (select z, y + case when z >= 20 then 3 else 0 end as y, x + case when z >= 20 then -2 else 0 end as x, v from voxels) select * from s where y between 0 and 39 and x between 0 and (select max(x) from voxels)",
     "m7_lost": f"with {P.VOXELS} select z - (z > 5)::int - (z > 17)::int - (z > 18)::int as z, y, x, v from voxels where z not in (5, 17, 18)",
+    "j7_greedy": f"{_PAIRS}, {_WALK.format('1.5')} select day, truth_idx, pred_idx, dist from taken join pairs using (day, truth_idx, pred_idx)",
+    "j9_unpaired": f"{_PAIRS}, {_WALK.format('1.5')} select day, idx from truth where (day, idx) not in (select (day, truth_idx) from taken)",
+    "a13_match_stats": f"{_PAIRS}, {_WALK.format('1.0, 1.5')}, {_STATS} select day, cutoff::double as cutoff, tp, fp, fn, precision, recall, 2 * tp / nullif(2 * tp + fp + fn, 0)::double as f1 from stats",
+    "a14_curve_area": f"{_PAIRS}, {_WALK.format('1.0, 1.5')}, {_STATS}, p as (select day, 1 - recall as x, precision as y, lag(1 - recall) over w as x0, lag(precision) over w as y0 from stats window w as (partition by day order by cutoff)) select day, round(sum((x - x0) * (y + y0) / 2), 6) as area from p group by 1",
+    "v2_same_value": f"{_labels_of('select 0 as t, z, y, x, v from voxels where v >= 0.85', 'h.v = o.v')} select z, y, x, label from labelled",
+    "v3_object_windows": f"{_LABELS}, {_CENTRES} select label, l.z - c.z + 30 as pz, l.y - c.y + 75 as py, l.x - c.x + 75 as px from labelled l join centres c using (label) where abs(l.z - c.z) <= 30 and abs(l.y - c.y) <= 75 and abs(l.x - c.x) <= 75",
+    "v6_threshold_sweep": f"{_labels_of('select t, z, y, x, v from voxels, (select unnest([0.85, 0.95]) as t) where v >= t')} select t::double as threshold, label, trunc(avg(z))::int as z, trunc(avg(y))::int as y, trunc(avg(x))::int as x, count(*) as no_voxels from labelled group by 1, 2",
+    "v21_training_labels": f"{_LABELS}, {_CENTRES}, wide as (select label, y, x, unnest(range(z - 2, z + 3))::int as cz from centres), near as (select c.label, v.z, v.y, v.x, v.v from wide c join voxels v on v.z = c.cz and v.y between c.y - 3 and c.y + 3 and v.x between c.x - 3 and c.x + 3), h as (select label, least(15, floor(v * 16))::int as bin, count(*) as n from near group by 1, 2), c as (select label, bin, sum(n) over w as n0, sum(n * bin) over w as s0, sum(n) over (partition by label) as n, sum(n * bin) over (partition by label) as s from h window w as (partition by label order by bin)), f as (select label, bin, n0 * (n - n0) * pow(s0 / n0::double - (s - s0) / (n - n0)::double, 2) as score from c where n0 < n), o as (select label, (bin + 1) / 16::double as lim from f qualify row_number() over (partition by label order by score desc, bin) = 1) select distinct z, y, x, 1.0::double as v from near join o using (label) where v >= lim",
+    "p7_sphericity": f"{_LABELS}, plane as (select label, z, count(*) as a, sum(4 - (select count(*) from labelled o where o.label = l.label and o.z = l.z and abs(o.y - l.y) + abs(o.x - l.x) = 1)) as p from labelled l group by 1, 2) select label, sum(a)::bigint as no_voxels from plane group by 1 having avg(4 * 3.141592653589793 * a / (p * p)) >= 0.7",
+    "v10_merge_planes": f"with recursive {P.ANNOTATORS}, links as (select a.day, a.idx as a, b.idx as b from truth a join truth b on a.day = b.day and b.z = a.z + 1 and b.y - a.y >= -3 and b.y - a.y < 3 and b.x - a.x >= -3 and b.x - a.x < 3), both_ways as (select a, b from links union select b, a from links), reach as (select idx as a, idx as b from truth union select r.a, l.b from reach r join both_ways l on l.a = r.b) select b as cell_id, min(a) as object_id from reach group by 1",
+    "w4_scan_grid": "select z, y, x from (select unnest([10, 25, 40, 50])::int as z), (select unnest([5, 15, 25, 35])::int as y), (select 10::int as x)",
+    "w10_gaussian_filter": f"with {P.VOXELS}, k as (select unnest(range(-2, 3))::int as d), g as (select d, exp(-d * d / 0.5::double) / (select sum(exp(-d * d / 0.5::double)) from k) as w from k) select z, (y + a.d)::int as y, (x + b.d)::int as x, round(sum(v * a.w * b.w), 6) as v from voxels, g a, g b where y + a.d between 0 and 39 and x + b.d between 0 and (select max(x) from voxels) group by 1, 2, 3",
+    "m10_warp": f"with {P.VOXELS}, g as (select unnest(range(40))::int as y) select v.z, g.y, v.x, v.v from g join voxels v on v.y = round(19.5 + 0.5 * (g.y - 19.5))",
+    "s15_transformed": f"with {P.POINTS} select point_id, round(printf('%.2f', z)::double, 2) as z, round(printf('%.2f', y)::double, 2) as y, round(printf('%.2f', x)::double, 2) as x from points",
+    "u2_tree_differences": "with a as (select o_orderkey::varchar as path, trunc(o_totalprice)::bigint as length, o_orderstatus as digest from orders), b as (select path, length + (path::bigint % 5 = 0)::int as length, digest from a) select *, 'left' as side from (select * from a except all select * from b) union all select *, 'right' from (select * from b except all select * from a)",
+    "g8_full_dims": f"with {P.TILES} select max(z) + 1 as zdim, (max(y) + 1) * 100 as ydim, (max(x) + 1) * 200 as xdim from tiles",
+    "e5_own_pattern": f"with {P.TILES} select y, 0 as x, z from tiles",
+    "p20_with_mask": "select o_orderkey from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity > 45)",
+    "s20_loss_log": f"with {P.LOG} select iter, metric, round(num, 3) as value from log",
     "m8_occlude": f"with {P.VOXELS} select z, y, x, v from voxels where not (z < 10 and y < 10 and x < 10) and not (z between 20 and 39 and y between 5 and 19 and x between 5 and 29)",
 }

@@ -53,7 +53,7 @@ def stacked(voxels: DataFrame, shapes: DataFrame) -> DataFrame:
     depth = F.when(F.size("shape") > 2, F.element_at("shape", 1)).otherwise(1)
     before = F.sum(depth).over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))  # over files, not voxels
     offsets = shapes.select("path", F.coalesce(before, F.lit(0)).cast("int").alias("z0"))
-    return voxels.join(F.broadcast(offsets), "path").withColumn("z", F.col("z") + F.col("z0")).drop("z0", "path")
+    return voxels.join(offsets, "path").withColumn("z", F.col("z") + F.col("z0")).drop("z0", "path")
 
 
 def to_blocks(voxels: DataFrame, edge: tuple[int, int, int], dtype: str = "float32") -> DataFrame:

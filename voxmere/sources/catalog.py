@@ -23,16 +23,20 @@ def files(spark: SparkSession, folder: str, keyword: str = "", recursive: bool =
     return reader.load(folder).select("path", "length").where(~name.startswith(".") & ~name.contains("~") & (name != "Thumbs.db") & name.contains(keyword))
 
 
-def parsed(listing: DataFrame, path: str = "path") -> DataFrame:
-    """Y, x, ls, z, ch of each name by the first pattern that matches it; fields a pattern lacks are 0, names that none matches are dropped."""
+def parsed(listing: DataFrame, path: str = "path", patterns: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Y, x, ls, z, ch of each name by the first pattern that matches it; fields a pattern lacks are 0, names that none matches are dropped.
+
+    A caller's own patterns (expression: names of its groups) take the place of the fixed ones.
+    """
+    own = patterns or dict(zip(PATTERNS, FIELDS))
     name = F.element_at(F.split(path, "/"), -1)
 
     def number(field: str) -> Column:
-        options = [F.when(name.rlike(p), F.regexp_extract(name, p, names.index(field) + 1).cast("int") if field in names else F.lit(0)) for p, names in zip(PATTERNS, FIELDS)]
+        options = [F.when(name.rlike(p), F.regexp_extract(name, p, names.index(field) + 1).cast("int") if field in names else F.lit(0)) for p, names in own.items()]
         return F.coalesce(*options).alias(field)
 
     matched = F.lit(False)
-    for p in PATTERNS:
+    for p in own:
         matched |= name.rlike(p)
     return listing.where(matched).select("*", *(number(f) for f in ("y", "x", "ls", "z", "ch")))
 
@@ -98,6 +102,18 @@ def paired(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select(stem.alias("stem"), F.col("path").alias("left_path")).join(right.select(stem.alias("stem"), F.col("path").alias("right_path")), "stem")
 
 
+def full_dims(catalog: DataFrame, tile: tuple[int, int]) -> DataFrame:
+    """Planes of the full-size volume, and its rows and columns from the tiles of (height, width) side by side."""
+    return catalog.agg((F.max("z") + 1).alias("zdim"), ((F.max("y") + 1) * tile[0]).alias("ydim"), ((F.max("x") + 1) * tile[1]).alias("xdim"))
+
+
+def loss_log(lines: DataFrame) -> DataFrame:
+    """(iter, metric, value) of the statistics lines `iter<TAB>metric<TAB>value` of a training run; other lines are left out."""
+    parts = F.split("value", "\t")
+    named = lines.select(F.get(parts, F.lit(0)).try_cast("long").alias("iter"), F.get(parts, F.lit(1)).alias("metric"), F.get(parts, F.lit(2)).try_cast("double").alias("value"))
+    return named.where("iter is not null and value is not null")
+
+
 def jobs(catalog: DataFrame, factor: int) -> DataFrame:
     """C4: which array job each plane belongs to, planes in order of z."""
     order = Window.orderBy("z")  # over planes, of which a volume has thousands

@@ -26,6 +26,23 @@ def read_transformed(lines: DataFrame, marker: str = "OutputPoint") -> DataFrame
     return tokens.select(F.get("t", F.lit(1)).try_cast("long").alias("point_id"), axis["z"], axis["y"], axis["x"])
 
 
+CELLS = "z double, y double, x double"
+
+
+def read_cells(spark: SparkSession, path: str, order: tuple[str, str, str] = ("z", "y", "x"), header: bool = True) -> DataFrame:
+    """Cell centres (z, y, x and further columns) of CSV files; without a header the first three columns are `order`."""
+    raw = spark.read.option("header", header).csv(path)
+    if not header:
+        raw = raw.toDF(*order, *raw.columns[3:])
+    rest = [c for c in raw.columns if c not in "zyx"]
+    return raw.select(*(F.col(c).try_cast("double").alias(c) for c in "zyx"), *rest).where("z is not null and y is not null and x is not null")
+
+
+def write_cells(cells: DataFrame, path: str) -> None:
+    """The cell table as CSV files with a header, in as many files as it has partitions."""
+    cells.write.option("header", True).csv(path)
+
+
 def hierarchy(spark: SparkSession, path: str, deepest: int = 16) -> DataFrame:
     """The nested JSON of regions as rows (id, name, acronym, parent_structure_id).
 

@@ -367,7 +367,7 @@ def test_cell_table_round_trip(spark, tmp_path):
     cells = spark.createDataFrame([(1.0, 2.5, 3.0, "a"), (4.0, 5.0, 6.0, "b")], "z double, y double, x double, kind string")
     exchange.write_cells(cells, str(tmp_path / "cells"))
     assert sorted(map(tuple, exchange.read_cells(spark, str(tmp_path / "cells")).collect())) == sorted(map(tuple, cells.collect()))
-    (tmp_path / "bare.csv").write_text("3,2,1\\n6,5,4\\nx,y,z\\n")
+    (tmp_path / "bare.csv").write_text("3,2,1\n6,5,4\nx,y,z\n")
     assert sorted((r.z, r.y, r.x) for r in exchange.read_cells(spark, str(tmp_path / "bare.csv"), ("x", "y", "z"), header=False).collect()) == [(1, 2, 3), (4, 5, 6)]
 
 

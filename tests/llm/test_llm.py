@@ -770,6 +770,63 @@ def test_clashing_names_stay(spark):
     assert kept(corpus_pipeline.drop_toxic(spark, df, SF)) == want(range(4))
 
 
+def test_encoder_uses_every_part_of_the_format(monkeypatch, texts):
+    """Stored texts and pictures are read back through each kind of reference and transform."""
+    used = collections.Counter()
+
+    def counted(name, real, when=lambda *a: True):
+        def call(*a):
+            used[name] += bool(when(*a))
+            return real(*a)
+
+        monkeypatch.setattr(webp, name, call)
+
+    counted("undo_predictor", webp.undo_predictor)
+    counted("cross_colour", webp.cross_colour, lambda *a: a[3] > 0)
+    counted("undo_palette", webp.undo_palette)
+    resolve = webp._resolved
+
+    def resolved(value, key, copies, cache_bits):
+        used["cache"] += cache_bits > 0
+        used["runs"] += any(far == 1 for _, _, far in copies)
+        used["sequences"] += any(far > 1 for _, _, far in copies)
+        return resolve(value, key, copies, cache_bits)
+
+    monkeypatch.setattr(webp, "_resolved", resolved)
+    for t in texts.values():
+        payload = webp.payload_of((t or "").encode())
+        assert webp.load(webp.store(payload)).tobytes() == payload
+    long_text = " ".join(t for t in texts.values() if t).encode() + b"*" * 5000
+    payload = webp.payload_of(long_text + long_text[:3000])
+    assert webp.load(webp.store(payload)).tobytes() == payload
+    y, x = np.mgrid[0:70, 0:90]
+    rng = np.random.default_rng(1)
+    first = []
+    for noise in (1, 2, 4):
+        for red, blue in ((1.0, 1.0), (0.6, -0.5), (0.2, 0.3)):
+            light = 128 + 90 * np.sin(x / 17) * np.cos(y / 23) + rng.integers(0, noise, x.shape)
+            image = np.stack([light * red, light, light * blue, np.full(x.shape, 255)], axis=2).astype(np.int64).astype(np.uint8)
+            stored = webp.encode(image)
+            assert np.array_equal(webp.decode(stored), image)
+            bits = webp.Bits(stored, 21 * 8 + 32)
+            first.append(bits.read(2) if bits.read(1) else None)
+    assert 2 in first  # subtract-green
+    assert all(used[k] for k in ("undo_predictor", "cross_colour", "undo_palette", "cache", "runs", "sequences")), used
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32), st.integers(2, 12), st.integers(2, 12))
+def test_predictor_rows_at_once(seed, height, width):
+    """As pixel by pixel, for every mode and for tiles of different modes in a row."""
+    rng = np.random.default_rng(seed)
+    residue, modes = rng.integers(0, 256, (height, width, 4), np.uint8), rng.integers(0, 16, (3, 3, 4), np.uint8)
+    out = residue.astype(np.int64)
+    for y in range(height):
+        for x in range(width):
+            out[y, x] = (out[y, x] + webp.prediction(out, y, x, int(modes[y >> 2, x >> 2, 1]))) & 255
+    assert np.array_equal(webp.undo_predictor(residue, modes, 2), out)
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------
 
 

@@ -1,11 +1,14 @@
 """Lossless WebP (VP8L) as a column codec: bytes to images of 8-bit RGBA samples and back.
 
 The decoder reads prefix codes, back-references and the colour cache, and inverts the predictor, cross-colour,
-subtract-green and palette transforms. The encoder writes prefix codes fitted to each image, back-references for
-runs of equal pixels, and a palette where an image has few colours.
-
-An image without colour cache and with one group of prefix codes, as the encoder writes them, is decoded without
-a step per bit: the code at every bit position is looked up at once, and pixels are found by following positions.
+subtract-green and palette transforms. The encoder writes prefix codes fitted to each image, back-references to
+runs of equal pixels and to sequences seen before, and a colour cache where it saves bits; an image of few colours
+gets a palette, a smooth one (a picture rather than a text) those of the predictor, cross-colour and subtract-green
+transforms that lower its entropy.
+
+An image with one group of prefix codes, as the encoder writes them, is decoded without a step per bit: the code at
+every bit position is looked up at once, pixels are found by following positions, and references to pixels and to
+the cache are resolved for all pixels together.
 """
 
 from __future__ import annotations
@@ -273,8 +276,50 @@ def _counting(n: int) -> np.ndarray:
     return _COUNTING[0][:n]
 
 
-def _read_lengths_at_once(bits: Bits, codes: list[Code], width: int, pixels: int) -> np.ndarray:
-    """Pixels (RGBA rows) where one group of codes holds throughout and no colour cache is used."""
+def _cache_keys(value: np.ndarray, bits: int) -> np.ndarray:
+    """Places in a colour cache of 2**bits pixels of RGBA values as little-endian numbers."""
+    argb = (value & 0xFF00FF00) | ((value & 0xFF) << 16) | ((value >> 16) & 0xFF)
+    return ((argb.astype(np.uint64) * np.uint64(0x1E35A7BD)) & np.uint64(0xFFFFFFFF)).astype(np.int64) >> (32 - bits)
+
+
+def _before(key: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with the same key, or -1."""
+    order = np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")  # numpy sorts short numbers by radix
+    out = np.full(len(key), -1)
+    same = key[order[1:]] == key[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _resolved(value: np.ndarray, key: np.ndarray, copies: list[tuple[int, int, int]], cache_bits: int) -> np.ndarray:
+    """The pixels' values: known ones, copies (first, number, distance), and those at a key of the cache (key -1: not from there)."""
+    n = len(value)
+    source = np.arange(n)  # the pixel that a copied one comes from in the end, read from the stream itself
+    copied = np.zeros(n, bool)
+    for first, count, far in copies:
+        if far > first:
+            raise ValueError("reference before the first pixel")
+        source[first : first + count] = source[first - far : first - far + count] if far >= count else np.resize(source[first - far : first], count)
+        copied[first : first + count] = True
+    from_cache = key >= 0
+    if from_cache.any():
+        keys = np.where(from_cache, key, _cache_keys(value, cache_bits))[source]
+        order = np.argsort(keys.astype(np.uint16), kind="stable")
+        # the last pixel before it with its key that is not itself from the cache; n, the cache as it is at first, where there is none
+        place = np.arange(n)
+        filled = np.maximum.accumulate(np.where(from_cache[order] & ~copied[order], -1, place))
+        first_of_key = np.maximum.accumulate(np.where(np.diff(keys[order], prepend=-1) != 0, place, 0))
+        last = np.empty(n, np.int64)
+        last[order] = np.where(filled >= first_of_key, order[np.maximum(filled, 0)], n)
+        value, source = np.append(value, np.uint32(0)), np.append(source, n)
+        unknown = np.append(from_cache, False)
+        while (open_ := unknown[source]).any():  # through copies of pixels from the cache
+            source = np.where(open_, source[np.append(last, n)[source]], source)
+    return value[source[:n]]
+
+
+def _read_lengths_at_once(bits: Bits, codes: list[Code], width: int, pixels: int, cache_bits: int) -> np.ndarray:
+    """Pixels (RGBA rows) where one group of codes holds throughout."""
     green, red, blue, alpha, distance = codes
     origin = bits.at >> 3
     raw = np.frombuffer(bits.data[origin:] + bytes(16), np.uint8).astype(np.int64)
@@ -291,13 +336,14 @@ def _read_lengths_at_once(bits: Bits, codes: list[Code], width: int, pixels: int
     after = to_alpha + size[3][to_alpha]
     symbol = green.symbol[at_green[:last]]
     after[symbol >= LITERALS] = -1
+    if cache_bits:
+        cached = symbol >= LITERALS + LENGTHS
+        after[cached] = to_red[cached]
     step = memoryview(after)  # few of its places are visited
     base = origin * 8
     here, done = bits.at - base, 0
     literal: list[int] = []
-    place: list[tuple[int, int]] = []  # (first pixel, number of literals) between copies
     copies: list[tuple[int, int, int]] = []
-    begun = 0
     while done < pixels:
         then = step[here]
         if then >= 0:
@@ -305,7 +351,6 @@ def _read_lengths_at_once(bits: Bits, codes: list[Code], width: int, pixels: int
             here = then
             done += 1
             continue
-        place.append((begun, done - begun))
         sub = Bits(bits.data, base + int(to_red[here]))
         n = value_of(int(symbol[here]) - LITERALS, sub)
         far = distance_of(value_of(distance.read(sub), sub), width)
@@ -313,27 +358,23 @@ def _read_lengths_at_once(bits: Bits, codes: list[Code], width: int, pixels: int
         copies.append((done, n, far))
         here = sub.at - base
         done += n
-        begun = done
-    place.append((begun, done - begun))
     bits.at = base + here
-    out = np.empty((pixels, 4), np.uint8)
+    value, key = np.zeros(pixels, np.uint32), np.full(pixels, -1)
     if literal:
         q = np.array(literal)
         values = np.empty((len(q), 4), np.uint8)
         values[:, 1] = symbol[q]
         for channel, code, where in ((0, red, to_red[q]), (2, blue, to_blue[q]), (3, alpha, to_alpha[q])):
             values[:, channel] = code.symbol[window[where] & ((1 << code.bits) - 1)]
-    used = 0
-    for (first, n), copy in zip(place, [*copies, None]):
-        if n:
-            out[first : first + n] = values[used : used + n]
-            used += n
-        if copy:
-            start, n, far = copy
-            if far > start:
-                raise ValueError("reference before the first pixel")
-            out[start : start + n] = out[start - far : start - far + n] if far >= n else np.resize(out[start - far : start], (n, 4))
-    return out
+        there = np.ones(pixels, bool)
+        for first, n, _ in copies:
+            there[first : first + n] = False
+        value[there] = values.view("<u4").ravel()
+        if cache_bits:
+            key[there] = np.where(symbol[q] >= LITERALS + LENGTHS, symbol[q] - LITERALS - LENGTHS, -1)
+    if copies or cache_bits:
+        value = _resolved(value, key, copies, cache_bits)
+    return value.astype("<u4").view(np.uint8).reshape(pixels, 4)
 
 
 def _read_one_by_one(bits: Bits, groups: list[list[Code]], group_of, width: int, pixels: int, cache_bits: int) -> np.ndarray:
@@ -380,8 +421,8 @@ def read_image(bits: Bits, width: int, height: int, outer: bool = False) -> np.n
         groups = int(tiles.max()) + 1
     sizes = (LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
     codes = [_read_codes(bits, sizes) for _ in range(groups)]
-    if groups == 1 and not cache_bits:
-        flat = _read_lengths_at_once(bits, codes[0], width, width * height)
+    if groups == 1:
+        flat = _read_lengths_at_once(bits, codes[0], width, width * height, cache_bits)
     else:
         flat = _read_one_by_one(bits, codes, (lambda i: int(tiles[(i // width) >> shift, (i % width) >> shift])) if tiles is not None else (lambda i: 0), width, width * height, cache_bits)
     return flat.reshape(height, width, 4)
@@ -428,14 +469,57 @@ def prediction(image: np.ndarray, y: int, x: int, mode: int) -> np.ndarray:
     return _PREDICT[mode if mode < 14 else 0](image[y, x - 1], image[y - 1, x], corner, image[y - 1, x - 1])
 
 
+#: Modes that need nothing of the pixel's own row, by what they need of the row above: itself, its right or left neighbour, or a mean of these.
+_FROM_ABOVE = {2: lambda t, tr, tl: t, 3: lambda t, tr, tl: tr, 4: lambda t, tr, tl: tl, 8: lambda t, tr, tl: _half(tl, t), 9: lambda t, tr, tl: _half(t, tr)}
+
+
 def undo_predictor(residue: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
+    """A row's stretches of one mode at once where the mode allows it (the pixel above and its neighbours, or sums from the left), pixel by pixel in the others."""
     out = residue.astype(np.int64)
-    for y in range(out.shape[0]):
-        for x in range(out.shape[1]):
-            out[y, x] = (out[y, x] + prediction(out, y, x, int(modes[y >> shift, x >> shift, 1]))) & 255
+    height, width = out.shape[:2]
+    out[0, 0] = (out[0, 0] + BLACK) & 255
+    out[0] = np.cumsum(out[0], axis=0) & 255
+    for y in range(1, height):
+        out[y, 0] = (out[y, 0] + out[y - 1, 0]) & 255
+        row = np.repeat(modes[y >> shift, :, 1], 1 << shift)[:width]
+        ends = [*(np.flatnonzero(np.diff(row[1:])) + 2).tolist(), width]
+        begin = 1
+        for end in ends:
+            if begin >= end:
+                continue
+            mode = int(row[begin]) if row[begin] < 14 else 0
+            here = slice(begin, end)
+            if mode == 0:
+                out[y, here] = (out[y, here] + BLACK) & 255
+            elif mode == 1:
+                out[y, here] = (out[y, begin - 1] + np.cumsum(out[y, here], axis=0)) & 255
+            elif mode in _FROM_ABOVE:
+                right = np.concatenate([out[y - 1, begin + 1 : min(end + 1, width)], out[y, :1]])[: end - begin]  # beyond the right edge: the row's first
+                out[y, here] = (out[y, here] + _FROM_ABOVE[mode](out[y - 1, here], right, out[y - 1, begin - 1 : end - 1])) & 255
+            else:
+                for x in range(begin, end):
+                    out[y, x] = (out[y, x] + prediction(out, y, x, mode)) & 255
+            begin = end
     return out.astype(np.uint8)
 
 
+def predictor_residue(image: np.ndarray, mode: int) -> np.ndarray:
+    """What is left of each pixel after mode 1 (left) or 2 (above)."""
+    a = image.astype(np.int64)
+    out = a.copy()
+    out[0, 1:] -= a[0, :-1]
+    out[0, 0] -= BLACK
+    out[1:, 0] -= a[:-1, 0]
+    out[1:, 1:] -= a[1:, :-1] if mode == 1 else a[:-1, 1:]
+    return (out & 255).astype(np.uint8)
+
+
+def entropy(image: np.ndarray) -> float:
+    """Bits of the image's samples by the frequencies of each channel's values."""
+    counts = np.stack([np.bincount(image[..., k].ravel(), minlength=256) for k in range(4)]).astype(float)
+    return float(-(counts * np.log2(np.maximum(counts, 1) / counts.sum(axis=1, keepdims=True))).sum())
+
+
 def _signed(v: np.ndarray) -> np.ndarray:
     return v.astype(np.int8).astype(np.int64)
 
@@ -500,27 +584,89 @@ def decode(data: bytes) -> np.ndarray:
     return image
 
 
+#: Images whose neighbouring samples differ by less than this on average are smooth.
+SMOOTH = 12
+#: Fewest pixels of a back-reference and how far back it may go.
+LEAST_COPY, FURTHEST = 6, 100_000
+#: Bits that a colour cache must save by estimate; its codes take some thousands to write.
+CACHE_GAIN = 4000
+
+
+def _copies(value: np.ndarray, same: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first pixel, number, distance): runs of equal pixels, and sequences that equal an earlier one."""
+    n = len(value)
+    out: list[tuple[int, int, int]] = []
+    if same.any():
+        change = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+        out = [(a, b - a, 1) for a, b in zip(change[::2].tolist(), change[1::2].tolist()) if b - a >= 3]
+    if n > 2 * LEAST_COPY:
+        with np.errstate(over="ignore"):
+            h = value.astype(np.uint64)
+            whole = np.zeros(n - LEAST_COPY + 1, np.uint64)
+            for k in range(LEAST_COPY):
+                whole = whole * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(whole)]
+            last = _before((whole >> np.uint64(48)).astype(np.int64))
+        maybe = np.flatnonzero(last >= 0)
+        maybe = maybe[(whole[maybe] == whole[last[maybe]]) & (maybe - last[maybe] <= FURTHEST)]
+        runs = iter(out)
+        run = next(runs, None)
+        found, done = [], 0
+        for i, j in zip(maybe.tolist(), last[maybe].tolist()):
+            if i < done:
+                continue
+            while run is not None and run[0] + run[1] <= i:
+                run = next(runs, None)
+            stop = n if run is None else max(i, run[0])
+            most = min(4096, stop - i)
+            if most < LEAST_COPY:
+                continue
+            differ = np.flatnonzero(value[i : i + most] != value[j : j + most])
+            m = int(differ[0]) if len(differ) else most
+            if m >= LEAST_COPY:
+                found.append((i, m, i - j))
+                done = i + m
+        out = sorted(out + found)
+    return [(a + k, min(4096, m - k), far) for a, m, far in out for k in range(0, m, 4096)]
+
+
 def _write_pixels(out: Writer, flat: np.ndarray, outer: bool) -> bytes:
-    """Ends the stream: prefix codes, then literals and copies of runs of equal pixels."""
+    """Ends the stream: prefix codes, then literals, copies and, where it saves bits, keys of the colour cache."""
     value = np.ascontiguousarray(flat).view("<u4").ravel()
     n = len(value)
     same = np.zeros(n, bool)
     same[1:] = value[1:] == value[:-1]
-    change = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
-    keep, copies = np.ones(n, bool), []
-    for a, b in zip(change[::2].tolist(), change[1::2].tolist()):
-        if b - a >= 3:
-            keep[a:b] = False
-            copies += [(i, min(4096, b - i)) for i in range(a, b, 4096)]
-    at = [i for i, _ in copies]
+    keep, copies = np.ones(n, bool), _copies(value, same)
+    for i, m, _ in copies:
+        keep[i : i + m] = False
+    at = [i for i, _, _ in copies]
+    cache_bits, hit = 0, np.zeros(n, bool)
+    if n * 16 > CACHE_GAIN:
+        width = 8 if n < 4096 else 10
+        keys = _cache_keys(value, width)
+        last = _before(keys)
+        hit = keep & (last >= 0) & (value == value[last])
+        share = np.bincount(flat.ravel(), minlength=256) / (4 * n)
+        if int(hit.sum()) * (-4 * float(share @ np.log2(np.maximum(share, 1e-12))) - width - 1) > CACHE_GAIN:
+            cache_bits = width
+        else:
+            hit[:] = False
+    cached = hit[keep]
     literal = flat[keep] if copies else flat
-    lengths_coded = [prefix_of(m) for _, m in copies]
-    green = np.bincount(literal[:, 1], minlength=LITERALS + LENGTHS)
-    rest = np.bincount(literal.ravel(), minlength=256) - green[:LITERALS]
+    plain = literal[~cached] if cache_bits else literal
+    symbol = literal[:, 1].astype(np.int64)
+    if cache_bits:
+        symbol[cached] = LITERALS + LENGTHS + keys[keep][cached]
+    lengths_coded = [prefix_of(m) for _, m, _ in copies]
+    near = NEAR.index((1, 0)) + 1
+    distances_coded = [prefix_of(near if far == 1 else far + 120) for _, _, far in copies]
+    green = np.bincount(symbol, minlength=LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0))
+    rest = np.bincount(plain.ravel(), minlength=256) - np.bincount(plain[:, 1], minlength=256)
     for s, _, _ in lengths_coded:
         green[LITERALS + s] += 1
     size_g, size_x = code_lengths(green), code_lengths(rest)
-    out.put(0, 1)
+    out.put(1 if cache_bits else 0, 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
     if outer:
         out.put(0, 1)
     write_code(out, size_g)
@@ -528,19 +674,21 @@ def _write_pixels(out: Writer, flat: np.ndarray, outer: bool) -> bytes:
     write_code(one, size_x)
     for _ in range(3):
         out.put(one.value, one.n)
-    distance = np.zeros(DISTANCES, np.int64)
-    distance[prefix_of(NEAR.index((1, 0)) + 1)[0]] = 1
-    write_code(out, distance)
-    code_g, code_x = codes_of(size_g), codes_of(size_x)
-    bits_g, bits_x = (s if np.count_nonzero(s) > 1 else s * 0 for s in (size_g, size_x))
+    distance = np.bincount([s for s, _, _ in distances_coded] or [prefix_of(near)[0]], minlength=DISTANCES)
+    size_d = code_lengths(distance)
+    write_code(out, size_d)
+    code_g, code_x, code_d = codes_of(size_g), codes_of(size_x), codes_of(size_d)
+    bits_g, bits_x, bits_d = (s if np.count_nonzero(s) > 1 else s * 0 for s in (size_g, size_x, size_d))
     m = len(literal)
     values, sizes = np.zeros((m + len(copies), 4), np.int64), np.zeros((m + len(copies), 4), np.int64)
-    values[:m, 0], sizes[:m, 0] = code_g[literal[:, 1]], bits_g[literal[:, 1]]
+    values[:m, 0], sizes[:m, 0] = code_g[symbol], bits_g[symbol]
     for k, channel in ((1, 0), (2, 2), (3, 3)):
         values[:m, k], sizes[:m, k] = code_x[literal[:, channel]], bits_x[literal[:, channel]]
-    for k, (s, extra, count) in enumerate(lengths_coded):
-        values[m + k, :2], sizes[m + k, :2] = (code_g[LITERALS + s], extra), (bits_g[LITERALS + s], count)
-    if copies and at[0] < m:  # otherwise all copies stand at the end
+    if cache_bits:
+        values[:m, 1:][cached], sizes[:m, 1:][cached] = 0, 0
+    for k, ((s, extra, count), (d, more, places)) in enumerate(zip(lengths_coded, distances_coded)):
+        values[m + k], sizes[m + k] = (code_g[LITERALS + s], extra, code_d[d], more), (bits_g[LITERALS + s], count, bits_d[d], places)
+    if copies:
         order = np.argsort(np.concatenate([np.flatnonzero(keep), np.array(at, np.int64)]), kind="stable")
         values, sizes = values[order], sizes[order]
     values, sizes = values.ravel(), sizes.ravel()
@@ -552,6 +700,39 @@ def _write_pixels(out: Writer, flat: np.ndarray, outer: bool) -> bytes:
     return (body.astype(np.int64) + head).astype(np.uint8)[:-3].tobytes()
 
 
+def _smoothed(out: Writer, image: np.ndarray) -> np.ndarray:
+    """Writes those of the subtract-green, predictor and cross-colour transforms that lower the entropy; what is left of the image."""
+    height, width = image.shape[:2]
+    shift = 9
+    tiles = np.zeros((-(-height >> shift), -(-width >> shift), 4), np.uint8)
+    tiles[..., 3] = 255
+    best = entropy(image)
+    green = image.copy()
+    green[..., 0] -= image[..., 1]
+    green[..., 2] -= image[..., 1]
+    if (now := entropy(green)) < 0.98 * best:
+        out.put(1, 1), out.put(2, 2)
+        image, best = green, now
+    mode, residue, now = min(((k, r, entropy(r)) for k in (1, 2) for r in [predictor_residue(image, k)]), key=lambda x: x[2])
+    if now < 0.98 * best:
+        out.put(1, 1), out.put(0, 2), out.put(shift - 2, 3)
+        modes = tiles.copy()
+        modes[..., 1] = mode
+        _write_plain(out, modes)
+        image, best = residue, now
+    g, r, b = (_signed(image[..., k]).ravel() for k in (1, 0, 2))
+    slope = lambda x, y: int(np.clip(round(32 * float(x @ y) / max(1.0, float(x @ x))), -128, 127))
+    element = tiles.copy()
+    element[..., 2] = slope(g, r) & 255
+    element[..., 1] = slope(g, b) & 255
+    crossed = cross_colour(image, element, shift, -1)
+    if entropy(crossed) < 0.98 * best:
+        out.put(1, 1), out.put(1, 2), out.put(shift - 2, 3)
+        _write_plain(out, element)
+        image = crossed
+    return image
+
+
 def _write_plain(out: Writer, image: np.ndarray) -> None:
     """An inner image (such as a palette) as literals."""
     inner = Writer()
@@ -572,10 +753,12 @@ def encode(image: np.ndarray) -> bytes:
     out = Writer()
     out.put(0x2F, 8), out.put(width - 1, 14), out.put(height - 1, 14), out.put(1, 1), out.put(0, 3)
     flat = image.reshape(-1, 4)
-    colours = np.unique(np.ascontiguousarray(flat).view("<u4").ravel())[:17] if len(flat) <= 1 << 16 else np.zeros(17)
+    value = np.ascontiguousarray(flat).view("<u4").ravel()
+    colours = np.unique(value[:64])
+    colours = np.unique(value) if len(colours) <= 16 else colours
     if len(colours) <= 16:
         palette = colours.astype("<u4").view(np.uint8).reshape(-1, 4)
-        index = np.searchsorted(colours, np.ascontiguousarray(flat).view("<u4").ravel()).reshape(height, width)
+        index = np.searchsorted(colours, value).reshape(height, width)
         shift = shift_of_palette(len(palette))
         padded = np.zeros((height, -(-width >> shift) << shift), np.int64)
         padded[:, :width] = index
@@ -585,6 +768,8 @@ def encode(image: np.ndarray) -> bytes:
         _write_plain(out, np.diff(palette.astype(np.int64), axis=0, prepend=0).astype(np.uint8)[None])
         flat = np.zeros((bundled.size, 4), np.uint8)
         flat[:, 1], flat[:, 3] = bundled.ravel(), 255
+    elif width > 1 and np.abs(_signed(image[:, 1:] - image[:, :-1])).mean() < SMOOTH:
+        flat = _smoothed(out, image).reshape(-1, 4)
     out.put(0, 1)
     data = _write_pixels(out, flat, outer=True)
     return b"RIFF" + struct.pack("<I", 12 + len(data) + len(data) % 2) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)

@@ -13,7 +13,7 @@ from voxmere.operators.graph import checkpoint_dir, cut  # noqa: F401  (used by
 
 #: Rows of a text column are handled in slices of about this many bytes inside a task, so that numpy's
 #: intermediate arrays stay small whatever the length of the Arrow batch.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,12 +14,23 @@ from voxmere.operators.graph import checkpoint_dir, cut  # noqa: F401  (used by
 #: Rows of a text column are handled in slices of about this many bytes inside a task, so that numpy's
 #: intermediate arrays stay small whatever the length of the Arrow batch.
 SLICE_BYTES = 1 << 19
+#: Rows are handed to Python in Arrow batches of about this many bytes (and at most the session's number of rows),
+#: so that neither side holds more of long texts at once. A longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that bounds the bytes of an Arrow batch: by BATCH_BYTES, unless the session names a bound itself."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(bound, None) is None:
+        df.sparkSession.conf.set(bound, str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the one the cluster names. Only a local session may do without; it gets a temporary one."""
     named = checkpoint_dir(spark)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import table
+from voxmere.llm.common import in_batches, table
 from voxmere.llm.textvec import LOWER, U64, Tokens, mix, run_hashes, runs, slices, text_buffers
 
 BITS, RANK, SKETCH, PASSAGE = 14, 64, 128, 32
@@ -278,7 +278,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
         raise ValueError(f"the benchmark has more than {MOST_ITEMS} items")
     schema = "doc_id long, item_id long, n_words int, n_common int, n_answer int"
     source = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    df, n = document_frequencies(source.select("text"))
+    df, n = document_frequencies(in_batches(source).select("text"))
     if not rows or not n:
         return docs.sparkSession.createDataFrame([], schema)
     idf = np.log((1 + n) / (1 + df)) + 0.01

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import held_out, table, unused
+from voxmere.llm.common import held_out, in_batches, table, unused
 from voxmere.llm.textvec import slices
 
 DIMS = 4096
@@ -156,7 +156,7 @@ def with_language(df: DataFrame, model: Centroids, text: str = "text") -> DataFr
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["lang", "score", "rejected"])
 
     near, letter = unused(df, "near"), unused(df, "letter")
-    found = df.withColumn(near, nearest(F.col(text))).withColumn(letter, has_letter)
+    found = in_batches(df).withColumn(near, nearest(F.col(text))).withColumn(letter, has_letter)
     return found.withColumns({
         "lang_pred": F.when(F.col(letter), F.col(f"{near}.lang")).otherwise("und"),
         "score": F.when(F.col(letter), F.col(f"{near}.score")).otherwise(0.0),

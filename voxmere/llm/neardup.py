@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import cut, likely, table, written
+from voxmere.llm.common import cut, in_batches, likely, table, written
 from voxmere.llm.textvec import LOWER, U64, Tokens, grams, mix, slices, text_buffers, words
 from voxmere.operators.graph import connected_components
 
@@ -113,7 +113,7 @@ def sketches(df: DataFrame, text: str, key: str, size: int, threshold: float) ->
                 yield pa.RecordBatch.from_arrays([batch["key"].slice(first, m), pa.array(n), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), *lists], names=names)
 
     source = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return source.mapInArrow(sketch, "key long, n long, set_a long, set_b long, signature array<long>, bands array<long>")
+    return in_batches(source).mapInArrow(sketch, "key long, n long, set_a long, set_b long, signature array<long>, bands array<long>")
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -162,7 +162,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
     of = lambda side: likely(texts, "key", pairs.select(side).distinct(), side).select(F.col("key").alias(side), F.col("text").alias(f"text_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return in_batches(both.select("a", "b", "text_a", "text_b")).mapInArrow(check, "a long, b long")
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import cut, table, written
+from voxmere.llm.common import cut, in_batches, table, written
 from voxmere.llm.textvec import slices
 
 SEQUENCE = 2048
@@ -105,7 +105,7 @@ def pieces_of(df: DataFrame, text: str, key: str, tokenizer: str, sequence: int
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), lists], names=["key", "piece", "start", "length", "ids"])
 
     source = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return source.mapInArrow(tokenise, "key long, piece int, start long, length long, ids array<int>")
+    return in_batches(source).mapInArrow(tokenise, "key long, piece int, start long, length long, ids array<int>")
 
 
 def crc32_of(ids: Column) -> Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import bounded_sample, held_out, table
+from voxmere.llm.common import bounded_sample, held_out, in_batches, table
 from voxmere.llm.textvec import U64, Tokens, grams, mix, run_hashes, slices
 
 BITS = 18
@@ -144,7 +144,7 @@ def with_score(df: DataFrame, model, text: str = "text", out: str = "score") ->
     def score(column: pa.Array) -> pa.Array:
         return pa.array(shared.value.score(column), pa.float64())
 
-    return df.withColumn(out, score(F.col(text)))
+    return in_batches(df).withColumn(out, score(F.col(text)))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

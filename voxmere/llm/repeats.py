@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import cut, likely, table, written
+from voxmere.llm.common import cut, in_batches, likely, table, written
 from voxmere.llm.textvec import U64, mix, slices, text_buffers
 
 GRAM, SHALLOW, HOT = 32, 96, 32768  # a bucket of HOT anchors takes about 60 MB in a task
@@ -224,7 +224,7 @@ def _find_anchors(df: DataFrame, length: int, gram: int) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64))), pa.ListArray.from_arrays(pa.array(at), pa.array((place - offs[row]).astype(np.int32))),
                 ], names=["key", "n_bytes", "digest", "hashes", "places"])
 
-    return df.mapInArrow(find, f"key {KEY}, n_bytes long, digest binary, hashes array<long>, places array<int>")
+    return in_batches(df).mapInArrow(find, f"key {KEY}, n_bytes long, digest binary, hashes array<long>, places array<int>")
 
 
 def _selected(batch: pa.RecordBatch, length: int, gram: int):
@@ -284,7 +284,7 @@ def _contexts(df: DataFrame, length: int, gram: int) -> DataFrame:
                 hashes = np.concatenate([h[shown], mix(start.astype(U64) + U64(len(view)))]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes), keys, pa.array(at), pa.array(lows.astype(np.int32)), pa.array(highs.astype(np.int32)), pa.array(around + [None] * len(start), pa.binary())], names=["hash", "key", "place", "low", "high", "around"])
 
-    return df.mapInArrow(find, f"hash long, key {KEY}, place long, low int, high int, around binary")
+    return in_batches(df).mapInArrow(find, f"hash long, key {KEY}, place long, low int, high int, around binary")
 
 
 def _split(contexts: DataFrame, length: int, hot: int) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import bounded_sample, held_out, table
+from voxmere.llm.common import bounded_sample, held_out, in_batches, table
 from voxmere.llm.quality import with_score
 from voxmere.llm.textvec import LOWER, SPACE, U64, grams, mix, run_hashes, runs, slices
 from voxmere.llm.textvec import words as split_words
@@ -291,7 +291,7 @@ def fit(labelled: DataFrame, corpus: DataFrame, text: str = "text", label: str =
     labelled rows all scores are 0.5; with none that are toxic, low. Null and empty texts have no evidence; rows that
     repeat an id are sampled together, and toxic texts that are equal explain once.
     """
-    characters = CharModel.fit(corpus.select(text))
+    characters = CharModel.fit(in_batches(corpus.select(text)))
     known = labelled.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
     sample = bounded_sample(known, "key", rows)
     shared = labelled.sparkSession.sparkContext.broadcast(characters)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import table
+from voxmere.llm.common import in_batches, table
 
 #: Fixed values of the format: in which order the lengths of the code for code lengths come.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -833,7 +833,7 @@ def read_media(df: DataFrame, media: str = "media", out: str = "read") -> DataFr
         kinds = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
         return pa.array(rows, kinds)
 
-    return df.withColumn(out, read(F.col(media)))
+    return in_batches(df).withColumn(out, read(F.col(media)))
 
 
 def pixels(df: DataFrame, media: str = "media", out: str = "samples") -> DataFrame:
@@ -844,7 +844,7 @@ def pixels(df: DataFrame, media: str = "media", out: str = "samples") -> DataFra
         rows = [None if x is None else load(x) for x in column.to_pylist()]
         return pa.array([None if s is None else {"height": s.shape[0], "width": s.shape[1], "data": s.tobytes()} for s in rows], pa.struct([("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary())]))
 
-    return df.withColumn(out, read(F.col(media)))
+    return in_batches(df).withColumn(out, read(F.col(media)))
 
 
 def op2_webp(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxmere.llm import decontam, langid, linededup, neardup, packing, quality, repeats, sharding, toxicity, webp
+from voxmere.llm import decontam, langid, linededup, neardup, neighbours, packing, quality, repeats, sharding, toxicity, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_repeats": repeats.op10_repeats,
+    "op11_neighbours": neighbours.op11_neighbours,
 }
 ORACLES: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxmere.llm import decontam, langid, linededup, neardup, neighbours, packing, quality, repeats, sharding, toxicity, webp
+from voxmere.llm import decontam, langid, linededup, neardup, neighbours, packing, quality, repair, repeats, sharding, toxicity, variants, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_repeats": repeats.op10_repeats,
     "op11_neighbours": neighbours.op11_neighbours,
+    "op12_variants": variants.op12_variants,
+    "op13_repair": repair.op13_repair,
 }
 ORACLES: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE,

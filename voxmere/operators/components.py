@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxmere.functions.maths import mean_radius
+from voxmere.operators.edges import covered
 from voxmere.operators.graph import connected_components
 from voxmere.operators.raster import by_volume, otsu
 
@@ -171,17 +173,58 @@ def sphericity_filter(measured: DataFrame, cutoff: float) -> DataFrame:
     return measured.where(F.col("sphericity") >= cutoff)
 
 
-def merge_planes(contours: DataFrame, most: int) -> DataFrame:
-    """2-D cells (volume_id, cell_id, z, y, x) joined to 3-D ones across neighbouring planes.
+#: Runs of a row meet in squares of so many columns.
+RUN = 64
 
-    Two are the same where z differs by one and both other offsets are in [-most, most). Cells of a plane are
-    dealt to squares of `most` so that only neighbouring squares meet.
+
+def overlapping(cells: DataFrame, most: int) -> DataFrame:
+    """Pairs (volume_id, a, b) of cells (volume_id, cell_id, z, y, x, pts) of a plane and the next that cover a common pixel, with both offsets of their centres in [-most, most).
+
+    Outlines are not compared in pairs: each becomes runs of pixels by row, dealt to stretches of RUN columns, and
+    runs of the same stretch in neighbouring planes are joined.
     """
-    square = lambda c, d=0: (F.floor(F.col(c) / most) + d).cast("int")
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    left = contours.select("volume_id", F.col("cell_id").alias("a"), (F.col("z") + 1).alias("z"), F.col("y").alias("ya"), F.col("x").alias("xa"), F.explode(steps).alias("s"), square("y").alias("gy"), square("x").alias("gx"))
+    runs = covered(cells.select("volume_id", "cell_id", "z", F.col("y").alias("cy"), F.col("x").alias("cx"), "pts"), "volume_id", "cell_id", "z", "cy", "cx")
+    dealt = runs.withColumn("g", F.explode(F.sequence(F.floor(F.col("a") / RUN), F.floor(F.col("b") / RUN))))
+    side = lambda s, z: dealt.select("volume_id", z.alias("z"), "y", "g", *(F.col(c).alias(f"{s}_{c}") for c in ("cell_id", "cy", "cx", "a", "b")))
+    met = side("l", F.col("z") + 1).join(side("r", F.col("z")), ["volume_id", "z", "y", "g"]).where("l_a <= r_b and r_a <= l_b")
+    near = met.where(" and ".join(f"r_{c} - l_{c} >= -{most} and r_{c} - l_{c} < {most}" for c in ("cy", "cx")))
+    return near.select("volume_id", F.col("l_cell_id").alias("a"), F.col("r_cell_id").alias("b")).distinct()
+
+
+def in_window(cells: DataFrame, most: int) -> DataFrame:
+    """J10 without outlines: pairs (volume_id, a, b) of cells of a plane and the next with both offsets in [-most, most). Cells of a plane are dealt to squares of `most` so that only neighbouring squares meet."""
+    square = lambda c: F.floor(F.col(c) / most).cast("int")
+    steps_ = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    left = cells.select("volume_id", F.col("cell_id").alias("a"), (F.col("z") + 1).alias("z"), F.col("y").alias("ya"), F.col("x").alias("xa"), F.explode(steps_).alias("s"), square("y").alias("gy"), square("x").alias("gx"))
     left = left.withColumn("gy", F.col("gy") + F.col("s.i")).withColumn("gx", F.col("gx") + F.col("s.j"))
-    right = contours.select("volume_id", F.col("cell_id").alias("b"), "z", F.col("y").alias("yb"), F.col("x").alias("xb"), square("y").alias("gy"), square("x").alias("gx"))
-    met = left.join(right, ["volume_id", "z", "gy", "gx"]).where(F.expr(f"yb - ya >= -{most} and yb - ya < {most} and xb - xa >= -{most} and xb - xa < {most}"))
-    found = connected_components(met.select("a", "b"), "a", "b")
-    return contours.join(found.withColumnRenamed("node", "cell_id"), "cell_id", "left").withColumn("object_id", F.coalesce("component", "cell_id")).drop("component")
+    right = cells.select("volume_id", F.col("cell_id").alias("b"), "z", F.col("y").alias("yb"), F.col("x").alias("xb"), square("y").alias("gy"), square("x").alias("gx"))
+    met = left.join(right, ["volume_id", "z", "gy", "gx"]).where(f"yb - ya >= -{most} and yb - ya < {most} and xb - xa >= -{most} and xb - xa < {most}")
+    return met.select("volume_id", "a", "b")
+
+
+def merge_planes(cells: DataFrame, most: int) -> DataFrame:
+    """2-D cells (volume_id, cell_id, z, y, x, and pts where there are outlines) with the 3-D cell (object_id, its smallest cell_id) that they belong to.
+
+    Cells of neighbouring planes are of one object if their centres are near and, where there are outlines, these
+    overlap; an object is all that hangs together so.
+    """
+    links = overlapping(cells, most) if "pts" in cells.columns else in_window(cells, most)
+    node = lambda c: F.struct("volume_id", F.col(c).alias("cell_id"))
+    found = connected_components(links.select(node("a").alias("a"), node("b").alias("b")))
+    of = found.select("node.*", F.col("component.cell_id").alias("object_id"))
+    return cells.join(of, ["volume_id", "cell_id"], "left").withColumn("object_id", F.coalesce("object_id", "cell_id"))
+
+
+def merged_cells(merged: DataFrame) -> DataFrame:
+    """(volume_id, object_id, z, y, x, planes, radius) of the 3-D cells of merge_planes.
+
+    Of several cells in a plane the one with the smallest id counts. The centre is that of the middle plane, or
+    between the two middle ones; the radius is the mean distance from it to the corners of these planes' outlines.
+    """
+    cell = F.struct("y", "x", "pts")
+    planes = merged.groupBy("volume_id", "object_id", "z").agg(F.min_by(cell, "cell_id").alias("c"))
+    by = Window.partitionBy("volume_id", "object_id")
+    placed = planes.withColumns({"k": F.row_number().over(by.orderBy("z")) - 1, "planes": F.count(F.lit(1)).over(by)})
+    middle = placed.where("k between (planes - 1) div 2 and planes div 2")
+    centre = middle.groupBy("volume_id", "object_id", "planes").agg(*(F.avg(F.col(c) if c == "z" else F.col(f"c.{c}")).alias(c) for c in "zyx"), F.flatten(F.collect_list("c.pts")).alias("pts"))
+    return centre.withColumn("radius", mean_radius(F.col("y"), F.col("x"), F.col("pts"))).drop("pts")

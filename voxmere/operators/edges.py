@@ -131,6 +131,29 @@ def filled(polygons: DataFrame) -> DataFrame:
     return ends.select(*by, F.col("y").cast("int").alias("y"), F.explode(F.sequence(F.col("a").cast("int"), F.col("b").cast("int"))).alias("x")).distinct()
 
 
+def covered(polygons: DataFrame, *keep: str) -> DataFrame:
+    """Runs (keep, y, a, b) of the pixels that (pts) polygons cover, inside and under their outline; runs of a polygon may overlap.
+
+    Between rows an outline is where its edge is nearest: a steep edge has one pixel in a row, a flat one a run.
+    """
+    after = F.concat(F.slice("pts", 2, F.size("pts")), F.slice("pts", 1, 1))
+    edges = polygons.withColumn("k", F.xxhash64("pts", *keep)).select(*keep, "k", F.explode(F.arrays_zip(F.col("pts").alias("p"), after.alias("q"))).alias("e")).select(*keep, "k", "e.p", "e.q")
+    lo, hi = F.least("p.y", "q.y"), F.greatest("p.y", "q.y")
+    dy, dx = F.col("q.y") - F.col("p.y"), F.col("q.x") - F.col("p.x")
+    at = lambda y: F.when(dy == 0, F.col("p.x")).otherwise(F.col("p.x") + (F.greatest(lo, F.least(hi, y)) - F.col("p.y")) * dx / F.nullif(dy, F.lit(0.0)))
+    nearest = lambda v: F.floor(v + 0.5)
+    inside = edges.where(F.ceil(lo) <= F.ceil(hi) - 1).withColumn("y", F.explode(F.sequence(F.ceil(lo), F.ceil(hi) - 1)))
+    crossed = inside.groupBy(*keep, "k", "y").agg(F.array_sort(F.collect_list(at(F.col("y")))).alias("xs"))
+    halves = crossed.withColumn("i", F.explode(F.sequence(F.lit(0), (F.size("xs") / 2 - 1).cast("int"))))
+    runs = halves.select(*keep, "y", F.ceil(F.get("xs", F.col("i") * 2)).alias("a"), F.floor(F.get("xs", F.col("i") * 2 + 1)).alias("b")).where("a <= b")
+    rows = edges.withColumn("y", F.explode(F.sequence(nearest(lo), nearest(hi))))
+    steep = F.abs(dx) <= F.abs(dy)
+    up, down = F.when(steep, at(F.col("y"))).otherwise(at(F.col("y") - 0.5)), F.when(steep, at(F.col("y"))).otherwise(at(F.col("y") + 0.5))
+    flat = dy == 0
+    ends = F.when(flat, F.least("p.x", "q.x")).otherwise(F.least(up, down)), F.when(flat, F.greatest("p.x", "q.x")).otherwise(F.greatest(up, down))
+    return runs.unionByName(rows.select(*keep, "y", nearest(ends[0]).alias("a"), nearest(ends[1]).alias("b")))
+
+
 def erase(voxels: DataFrame, polygons: DataFrame) -> DataFrame:
     """Voxels outside the polygons of their plane."""
     return voxels.join(filled(polygons), [*(c for c in by_volume(polygons) if c in voxels.columns), "z", "y", "x"], "left_anti")

@@ -105,14 +105,21 @@ walk as (
   from walk w join ranked k on k.cutoff = w.cutoff and k.day = w.day and k.r = w.r + 1),
 ends as (select cutoff, day, arg_max(ts, r) as ts, arg_max(ps, r) as ps from walk group by 1, 2),
 taken as (select cutoff, day, unnest(ts) as truth_idx, unnest(ps) as pred_idx from ends)"""
+#: Pairs of cells of neighbouring planes by their centres alone, and with overlapping rectangles; and what hangs together.
+_WINDOWS = "links as (select a.idx as a, b.idx as b from e a join e b on a.day = b.day and b.z = a.z + 1 and b.y - a.y >= -3 and b.y - a.y < 3 and b.x - a.x >= -3 and b.x - a.x < 3)"
+_OVERLAPS = _WINDOWS[:-1] + " and abs(b.y - a.y) <= a.idx % 3 + b.idx % 3 and abs(b.x - a.x) <= a.idx // 3 % 3 + b.idx // 3 % 3)"
+_OBJECTS = "both_ways as (select a, b from links union select b, a from links), reach as (select idx as a, idx as b from e union select r.a, l.b from reach r join both_ways l on l.a = r.b), objects as (select b as cell_id, min(a) as object_id from reach group by 1)"
 _STATS = """sides as (select c as cutoff, day, count(*) filter (where side = 0) as nt, count(*) filter (where side = 1) as np from e, (select unnest([1.0, 1.5]) as c) group by 1, 2),
 stats as (select s.cutoff, s.day, coalesce(n, 0)::bigint as tp, np - coalesce(n, 0)::bigint as fp, nt - coalesce(n, 0)::bigint as fn, coalesce(n, 0) / nullif(np, 0)::double as precision, coalesce(n, 0) / nullif(nt, 0)::double as recall
   from sides s left join (select cutoff, day, count(*) as n from taken group by 1, 2) using (cutoff, day))"""
 
 
 def _flat(s, d):
-    """One annotator's points as 2-D cells of a volume for each day."""
-    return P.annotators(s, d)[0].selectExpr("cast(day as string) as volume_id", "idx as cell_id", "cast(z as int) as z", "y", "x")
+    """All events as rectangular 2-D cells of a volume for each day."""
+    t, p = P.annotators(s, d)
+    cells = t.unionByName(p).selectExpr("cast(day as string) as volume_id", "idx as cell_id", "cast(z as int) as z", "y", "x", "cast(idx % 3 as double) as h", "cast(idx div 3 % 3 as double) as w")
+    corners = F.array(*(F.struct((F.col("y") + i * F.col("h")).alias("y"), (F.col("x") + j * F.col("w")).alias("x")) for i, j in ((-1, -1), (-1, 1), (1, 1), (1, -1))))
+    return cells.withColumn("pts", corners).drop("h", "w")
 
 
 def _swept(s, d):
@@ -207,7 +214,10 @@ QUERIES = {
     "p7_sphericity": lambda s, d: components.sphericity_filter(components.measures(_labelled(s, d)), 0.7).select("label", "no_voxels"),
     "j9_unpaired": lambda s, d: matching.unpaired(P.annotators(s, d)[0], matching.greedy(_pairs(s, d), "day"), "truth_idx", "day").select("day", "idx"),
     "a14_curve_area": lambda s, d: _r(matching.curve_area(_match_stats(s, d), "cutoff", "day"), "area"),
+    "j10_overlapping": lambda s, d: components.overlapping(_flat(s, d), 3).select("a", "b"),
     "v10_merge_planes": lambda s, d: components.merge_planes(_flat(s, d), 3).select("cell_id", "object_id"),
+    "v10_windows_only": lambda s, d: components.merge_planes(_flat(s, d).drop("pts"), 3).select("cell_id", "object_id"),
+    "v10_merged_cells": lambda s, d: _r(components.merged_cells(components.merge_planes(_flat(s, d), 3)), "radius").select("object_id", "planes", "z", "y", "x", "radius"),
     "w4_scan_grid": lambda s, d: windows.scan_grid(s, (60, 40, 20), (20, 10, 20), (0.75, 0, 0.75)),
     "w10_gaussian_filter": lambda s, d: _in_place(_r(raster.gaussian_filter(_voxels(s, d), (0.0, 0.5, 0.5), dims=_dims(s, d)), "v")),
     "m10_warp": lambda s, d: _in_place(augment.warp(_voxels(s, d), _dims(s, d), [[1, 0, 0], [0, 2, 0], [0, 0, 1]])),
@@ -295,7 +305,10 @@ ORACLES = {
     "v6_threshold_sweep": f"{_labels_of('select t, z, y, x, v from voxels, (select unnest([0.85, 0.95]) as t) where v >= t')} select t::double as threshold, label, trunc(avg(z))::int as z, trunc(avg(y))::int as y, trunc(avg(x))::int as x, count(*) as no_voxels from labelled group by 1, 2",
     "v21_training_labels": f"{_LABELS}, {_CENTRES}, wide as (select label, y, x, unnest(range(z - 2, z + 3))::int as cz from centres), near as (select c.label, v.z, v.y, v.x, v.v from wide c join voxels v on v.z = c.cz and v.y between c.y - 3 and c.y + 3 and v.x between c.x - 3 and c.x + 3), h as (select label, least(15, floor(v * 16))::int as bin, count(*) as n from near group by 1, 2), c as (select label, bin, sum(n) over w as n0, sum(n * bin) over w as s0, sum(n) over (partition by label) as n, sum(n * bin) over (partition by label) as s from h window w as (partition by label order by bin)), f as (select label, bin, n0 * (n - n0) * pow(s0 / n0::double - (s - s0) / (n - n0)::double, 2) as score from c where n0 < n), o as (select label, (bin + 1) / 16::double as lim from f qualify row_number() over (partition by label order by score desc, bin) = 1) select distinct z, y, x, 1.0::double as v from near join o using (label) where v >= lim",
     "p7_sphericity": f"{_LABELS}, plane as (select label, z, count(*) as a, sum(4 - (select count(*) from labelled o where o.label = l.label and o.z = l.z and abs(o.y - l.y) + abs(o.x - l.x) = 1)) as p from labelled l group by 1, 2) select label, sum(a)::bigint as no_voxels from plane group by 1 having avg(4 * 3.141592653589793 * a / (p * p)) >= 0.7",
-    "v10_merge_planes": f"with recursive {P.ANNOTATORS}, links as (select a.day, a.idx as a, b.idx as b from truth a join truth b on a.day = b.day and b.z = a.z + 1 and b.y - a.y >= -3 and b.y - a.y < 3 and b.x - a.x >= -3 and b.x - a.x < 3), both_ways as (select a, b from links union select b, a from links), reach as (select idx as a, idx as b from truth union select r.a, l.b from reach r join both_ways l on l.a = r.b) select b as cell_id, min(a) as object_id from reach group by 1",
+    "j10_overlapping": f"with {P.ANNOTATORS}, {_OVERLAPS} select a, b from links",
+    "v10_merge_planes": f"with recursive {P.ANNOTATORS}, {_OVERLAPS}, {_OBJECTS} select cell_id, object_id from objects",
+    "v10_windows_only": f"with recursive {P.ANNOTATORS}, {_WINDOWS}, {_OBJECTS} select cell_id, object_id from objects",
+    "v10_merged_cells": f"with recursive {P.ANNOTATORS}, {_OVERLAPS}, {_OBJECTS}, planes as (select object_id, z, arg_min(idx, idx) as idx, arg_min(y, idx) as y, arg_min(x, idx) as x from objects join e on idx = cell_id group by 1, 2), placed as (select *, row_number() over (partition by object_id order by z) - 1 as k, count(*) over (partition by object_id) as planes from planes), middle as (select * from placed where k between (planes - 1) // 2 and planes // 2), centre as (select object_id, planes, avg(z) as z, avg(y) as y, avg(x) as x from middle group by 1, 2), corners as (select m.object_id, m.y + i * (m.idx % 3) as y, m.x + j * (m.idx // 3 % 3) as x from middle m, (select unnest([-1, 1]) as i), (select unnest([-1, 1]) as j)) select c.object_id, c.planes, c.z, c.y, c.x, round(avg(sqrt((p.y - c.y) * (p.y - c.y) + (p.x - c.x) * (p.x - c.x))), 6) as radius from centre c join corners p using (object_id) group by 1, 2, 3, 4, 5",
     "w4_scan_grid": "select z, y, x from (select unnest([10, 25, 40, 50])::int as z), (select unnest([5, 15, 25, 35])::int as y), (select 10::int as x)",
     "w10_gaussian_filter": f"with {P.VOXELS}, k as (select unnest(range(-2, 3))::int as d), g as (select d, exp(-d * d / 0.5::double) / (select sum(exp(-d * d / 0.5::double)) from k) as w from k) select z, (y + a.d)::int as y, (x + b.d)::int as x, round(sum(v * a.w * b.w), 6) as v from voxels, g a, g b where y + a.d between 0 and 39 and x + b.d between 0 and (select max(x) from voxels) group by 1, 2, 3",
     "m10_warp": f"with {P.VOXELS}, g as (select unnest(range(40))::int as y) select v.z, g.y, v.x, v.v from g join voxels v on v.y = round(19.5 + 0.5 * (g.y - 19.5))",

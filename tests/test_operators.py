@@ -141,12 +141,6 @@ def test_gaussian_keeps_mass(spark):
     assert sum(r.v for r in out) == pytest.approx(2.0)
 
 
-def test_expression_mask(spark):
-    pairs = spark.createDataFrame([(2.0 * x + (30 if x % 10 == 0 else 0), float(x)) for x in range(100)], "y double, x double")
-    scored = raster.expression_mask(pairs, 0.5)
-    assert scored.where("score > 1").count() == 10
-
-
 def test_polygons(spark):
     from pyspark.sql import functions as F
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxmere.operators import dense
+from voxmere.operators.graph import written
+from voxmere.operators.quantiles import quantiles, with_quantiles
 
 def by_volume(voxels: DataFrame) -> list[str]:
     """The column that keeps volumes apart, where there is one."""
@@ -15,7 +16,9 @@ def by_volume(voxels: DataFrame) -> list[str]:
 
 def statistics(voxels: DataFrame, *by: str) -> DataFrame:
     """A10."""
-    return voxels.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.median("v").alias("median"), F.percentile("v", F.lit(0.95)).alias("p95"))
+    moments = voxels.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    places = with_quantiles(voxels, "v", {"median": 0.5, "p95": 0.95}, *by)
+    return moments.join(places, list(by), "left") if by else moments.join(places, F.lit(True), "left")
 
 
 def project(voxels: DataFrame, axis: str = "z") -> DataFrame:
@@ -26,36 +29,21 @@ def project(voxels: DataFrame, axis: str = "z") -> DataFrame:
 def scaled(voxels: DataFrame, top: float = 1.0, lo: float | None = None, hi: float | None = None) -> DataFrame:
     """values from 0 (least) to `top` (most); with percentiles lo and hi (0 to 1) clipped to these first."""
     by = by_volume(voxels)
-    ends = voxels.groupBy(*by).agg(*((F.min("v").alias("a"), F.max("v").alias("b")) if lo is None else (F.percentile("v", F.lit(lo)).alias("a"), F.percentile("v", F.lit(hi)).alias("b"))))
+    ends = voxels.groupBy(*by).agg(F.min("v").alias("a"), F.max("v").alias("b")) if lo is None else with_quantiles(voxels, "v", {"a": lo, "b": hi}, *by)
     v = F.least(F.col("b"), F.greatest(F.col("a"), F.col("v")))
     both = voxels.join(ends, by) if by else voxels.crossJoin(F.broadcast(ends))
     return both.withColumn("v", F.when(F.col("b") > F.col("a"), (v - F.col("a")) * top / (F.col("b") - F.col("a"))).otherwise(0.0)).drop("a", "b")
 
 
-def steps(radius: tuple[int, int, int]):
-    """All offsets within a box, as an array column."""
-    return F.array(*(F.struct(*(F.lit(d).alias(n) for d, n in zip(o, ("dz", "dy", "dx")))) for o in product(*(range(-r, r + 1) for r in radius))))
-
-
-def neighbourhood(voxels: DataFrame, radius: tuple[int, int, int], agg, *by: str) -> DataFrame:
-    """Each voxel's value from those within a box around it that are there; background has no rows.
-
-    A voxel sends its value to the places around it and the voxels that exist there gather: one shuffle, no self join on ranges.
-    """
-    by = tuple(dict.fromkeys([*by_volume(voxels), *by]))
-    sent = voxels.select(*by, "v", "z", "y", "x", F.explode(steps(radius)).alias("s")).select(*by, *((F.col(c) + F.col(f"s.d{c}")).alias(c) for c in "zyx"), "v", (F.expr("s.dz = 0 and s.dy = 0 and s.dx = 0")).alias("own"))
-    return sent.groupBy(*by, "z", "y", "x").agg(agg.alias("w"), F.max("own").alias("there")).where("there").select(*by, "z", "y", "x", F.col("w").alias("v"))
-
-
 def box_filter(voxels: DataFrame, radius: tuple[int, int, int]) -> DataFrame:
-    """Mean over the whole box, background as 0."""
+    """Mean over the whole box at each voxel, background as 0."""
     n = float((2 * radius[0] + 1) * (2 * radius[1] + 1) * (2 * radius[2] + 1))
-    return neighbourhood(voxels, radius, F.sum("v") / n)
+    return dense.by_block(voxels, radius, dense.total(radius, scale=1 / n))
 
 
 def median_filter(voxels: DataFrame, radius: tuple[int, int, int]) -> DataFrame:
-    """Median of the values that are there."""
-    return neighbourhood(voxels, radius, F.median("v"))
+    """At each voxel the median of the values that are there."""
+    return dense.by_block(voxels, radius, dense.median(radius))
 
 
 def within(voxels: DataFrame, dims: tuple[int, int, int] | None) -> DataFrame:
@@ -66,36 +54,23 @@ def within(voxels: DataFrame, dims: tuple[int, int, int] | None) -> DataFrame:
 
 
 def gaussian_filter(voxels: DataFrame, sigma: tuple[float, float, float], reach: float = 4.0, dims: tuple[int, int, int] | None = None) -> DataFrame:
-    """Gaussian blur as three passes, one axis each, background as 0; places inside `dims` that gain value are kept."""
-    by = by_volume(voxels)
-    out = voxels.select(*by, "z", "y", "x", "v")
-    for axis, s in zip("zyx", sigma):
-        r = int(reach * s + 0.5)
-        if not r:
-            continue
-        offset = F.explode(F.sequence(F.lit(-r), F.lit(r)))
-        total = sum(2.718281828459045 ** (-k * k / (2 * s * s)) for k in range(-r, r + 1))
-        weight = F.exp(-F.col("d") * F.col("d") / (2 * s * s)) / total
-        moved = out.withColumn("d", offset).withColumn("v", F.col("v") * weight).withColumn(axis, F.col(axis) + F.col("d"))
-        out = within(moved, dims).groupBy(*by, "z", "y", "x").agg(F.sum("v").alias("v"))
-    return out
-
-
-def sent(voxels: DataFrame, radius: tuple[int, int, int]) -> DataFrame:
-    """Every voxel's value at all places of a box around it."""
-    by = by_volume(voxels)
-    return voxels.select(*by, "v", "z", "y", "x", F.explode(steps(radius)).alias("s")).select(*by, *((F.col(c) + F.col(f"s.d{c}")).alias(c) for c in "zyx"), "v")
+    """Gaussian blur, one axis after the other, background as 0; places inside `dims` that gain value are kept."""
+    radius = tuple(int(reach * s + 0.5) for s in sigma)
+    weights = []
+    for s, r in zip(sigma, radius):
+        bell = [2.718281828459045 ** (-k * k / (2 * s * s)) for k in range(-r, r + 1)] if r else [1.0]
+        weights.append([w / sum(bell) for w in bell])
+    return within(dense.by_block(voxels, radius, dense.total(radius, tuple(weights), everywhere=True)), dims)
 
 
 def dilate(voxels: DataFrame, radius: tuple[int, int, int], dims: tuple[int, int, int] | None = None) -> DataFrame:
     """V8: each place (inside `dims`) within reach of a voxel gets the largest value there."""
-    return within(sent(voxels, radius), dims).groupBy(*by_volume(voxels), "z", "y", "x").agg(F.max("v").alias("v"))
+    return within(dense.by_block(voxels, radius, dense.largest(radius)), dims)
 
 
 def erode(voxels: DataFrame, radius: tuple[int, int, int]) -> DataFrame:
     """V8: voxels whose whole box is there, with its smallest value."""
-    n = (2 * radius[0] + 1) * (2 * radius[1] + 1) * (2 * radius[2] + 1)
-    return sent(voxels, radius).groupBy(*by_volume(voxels), "z", "y", "x").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).where(F.col("n") == n).drop("n")
+    return dense.by_block(voxels, radius, dense.least_of_full(radius))
 
 
 def opened(voxels: DataFrame, radius: tuple[int, int, int]) -> DataFrame:
@@ -109,10 +84,18 @@ def closed(voxels: DataFrame, radius: tuple[int, int, int]) -> DataFrame:
 
 def stamp(points: DataFrame, element: list[tuple[int, int, int, float]], dims: tuple[int, int, int]) -> DataFrame:
     """The largest of an element's values (dz, dy, dx, v) put at each point, inside the volume."""
-    cells = F.array(*(F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx"), F.lit(float(v)).alias("v")) for a, b, c, v in element))
-    by = by_volume(points)
-    put = points.select(*by, *(F.col(c).cast("int").alias(c) for c in "zyx"), F.explode(cells).alias("s")).select(*by, *((F.col(c) + F.col(f"s.d{c}")).alias(c) for c in "zyx"), F.col("s.v").alias("v"))
-    return within(put, dims).groupBy(*by, "z", "y", "x").agg(F.max("v").alias("v"))
+    radius = tuple(max(abs(e[k]) for e in element) for k in range(3))
+    put = points.select(*by_volume(points), *(F.col(c).cast("int").alias(c) for c in "zyx"), F.lit(1.0).alias("v"))
+    return within(dense.by_block(put, radius, dense.element(element, radius)), dims)
+
+
+def stamped(points: DataFrame, element: list[tuple[int, int, int, float]], dims: tuple[int, int, int], top: float = 1.0) -> DataFrame:
+    """V7: a stamped volume scaled to 0 to `top`, as the annotation's probability maps are; places that stay empty are background, so 0 is the least value."""
+    put = stamp(points, element, dims)
+    by = by_volume(put)
+    most = put.groupBy(*by).agg(F.max("v").alias("most"))
+    both = put.join(most, by) if by else put.crossJoin(F.broadcast(most))
+    return both.withColumn("v", F.greatest(F.lit(0.0), F.col("v")) * top / F.nullif(F.col("most"), F.lit(0.0))).drop("most")
 
 
 def ball(radius: int) -> list[tuple[int, int, int, float]]:
@@ -146,7 +129,7 @@ def stitch(tiles: DataFrame, width: int, overlap: int, logistic: bool = True) ->
 def blend_sheets(left: DataFrame, right: DataFrame, xdim: int, steep: float = 10.0) -> DataFrame:
     """Two light sheets over the same voxels; the right one is shifted to the left one's median, values stay at least 0."""
     by = by_volume(left)
-    ml, mr = left.groupBy(*by).agg(F.median("v").alias("ml")), right.groupBy(*by).agg(F.median("v").alias("mr"))
+    ml, mr = with_quantiles(left, "v", {"ml": 0.5}, *by), with_quantiles(right, "v", {"mr": 0.5}, *by)
     both = left.select(*by, "z", "y", "x", F.col("v").alias("a")).join(right.select(*by, "z", "y", "x", F.col("v").alias("b")), [*by, "z", "y", "x"])
     both = both.join(ml, by).join(mr, by) if by else both.crossJoin(F.broadcast(ml)).crossJoin(F.broadcast(mr))
     w = ramp(F.col("x"), xdim, steep)
@@ -211,22 +194,48 @@ def otsu(voxels: DataFrame, bins: int, lo: float, hi: float, *by: str) -> DataFr
     return h.withColumn("score", between).groupBy(*by).agg(F.max_by("bin", F.struct("score", -F.col("bin"))).alias("bin"))
 
 
-def expression_mask(pairs: DataFrame, slope_above: float, most_rounds: int = 99) -> DataFrame:
-    """Pixels (y: signal, x: autofluorescence) with their residual over its deviation, after trimming.
+def line(rows: DataFrame, x: str, y: str, n: str, *by: str) -> DataFrame:
+    """(by, slope, intercept) of rows that count n times; null where x does not vary."""
+    sums = rows.groupBy(*by).agg(F.sum(n).cast("double").alias("w"), *(F.sum(F.col(n) * e).cast("double").alias(k) for k, e in (("sx", F.col(x)), ("sy", F.col(y)), ("sxx", F.col(x) * F.col(x)), ("sxy", F.col(x) * F.col(y)))))
+    slope = (F.col("w") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(F.col("w") * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0))
+    return sums.withColumn("slope", slope).select(*by, "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("w")).alias("intercept"))
+
+
+def expression_mask(pixels: DataFrame, step: float = 0.05, slope: float = 0.4, window: int = 300, kernel: int = 5, most_rounds: int = 1000) -> DataFrame:
+    """(z, y, x, v) of the pixels (z, y, x, signal, background; of one volume) that express, in deviations from the line of those that do not.
+
+    A line is fitted to the pixels whose signal is beyond the first window of `window` levels in which the slope
+    reaches `slope` (all pixels where no window does). As long as residuals above the line reach further than those
+    below it, at the percentile 100 - step of either side, or the slope is not above its bound, those beyond the
+    upper percentile are taken out and the line is fitted again, at most `most_rounds` times. Taken-out pixels above
+    the line get their residual over the deviation of those that are left; then each plane's speckles go by a median
+    of kernel x kernel pixels (none: 0), where everything beyond the plane counts as 0.
 
-    The line is fitted again without the pixels whose residual is beyond a falling percentile, until the slope is
-    above its bound or the percentiles are used up (99 rounds); each round is one aggregate over the pixels.
+    Only how often each pair of levels occurs matters for the fit, so the rounds work on these counts, not on pixels.
     """
-    limit, fit = None, None
-    for k in range(most_rounds):
-        kept = pairs if limit is None else pairs.where(F.col("y") - (fit["a"] * F.col("x") + fit["b"]) <= limit)
-        fit = kept.agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b")).first()
-        if fit["a"] is None or fit["a"] > slope_above:
+    counts = written(pixels.where("signal is not null and background is not null").groupBy(F.col("signal").cast("double").alias("signal"), F.col("background").cast("double").alias("background")).agg(F.count(F.lit(1)).alias("n")))
+    steep = line(counts.withColumn("window", F.floor(F.col("signal") / window)), "signal", "background", "n", "window").where(F.col("slope") >= slope).agg(F.min("window").alias("first")).first()["first"]
+    kept, q = counts.where(F.col("signal") >= (steep + 1) * window) if steep is not None else counts, 1 - step / 100
+    for k in range(most_rounds + 1):
+        fit = line(kept, "signal", "background", "n").first()
+        if fit["slope"] is None:
             break
-        rest = F.col("y") - (fit["a"] * F.col("x") + fit["b"])
-        limit = kept.agg(F.percentile(F.when(rest > 0, rest), F.lit(1 - (k + 1) / 100))).first()[0]
-        if limit is None:
+        rest = F.lit(fit["slope"]) * F.col("signal") + F.lit(fit["intercept"]) - F.col("background")
+        sides = kept.select(F.abs(rest).alias("far"), (rest > 0).alias("above"), "n").where(F.col("far") > 0)
+        ends = {r["above"]: r["value"] for r in quantiles(sides, "far", [q], "above", weight="n").collect()}
+        above, below = ends.get(True), ends.get(False, 0.0)
+        if above is None or k == most_rounds or (above < below and fit["slope"] > slope):
             break
-    rest = F.col("y") - (F.lit(fit["a"]) * F.col("x") + F.lit(fit["b"]))
-    spread = pairs.agg(F.stddev_pop(rest).alias("sd"))
-    return pairs.crossJoin(F.broadcast(spread)).withColumn("score", rest / F.nullif(F.col("sd"), F.lit(0.0))).drop("sd")
+        kept = written(kept.where(rest <= above))
+    if fit["slope"] is None:
+        return pixels.select("z", "y", "x", F.lit(0.0).alias("v")).limit(0)
+    rest = F.lit(fit["slope"]) * F.col("signal") + F.lit(fit["intercept"]) - F.col("background")
+    total = kept.select(rest.alias("r"), "n").agg(*(F.sum(F.col("n") * e).alias(c) for c, e in (("w", F.lit(1.0)), ("s", F.col("r")), ("ss", F.col("r") * F.col("r"))))).first()
+    deviation = max(0.0, total["ss"] / total["w"] - (total["s"] / total["w"]) ** 2) ** 0.5
+    if not deviation:
+        return pixels.select("z", "y", "x", F.lit(0.0).alias("v")).limit(0)
+    scores = counts.join(kept.select("signal", "background"), ["signal", "background"], "left_anti").where(rest > 0).select("signal", "background", (rest / deviation).alias("v"))
+    same = (pixels["signal"].cast("double") == scores["signal"]) & (pixels["background"].cast("double") == scores["background"])
+    found = pixels.join(scores, same).select("z", "y", "x", "v")
+    half = kernel // 2
+    return dense.by_block(found, (0, half, half), dense.median((0, half, half), gaps=0.0)).where("v > 0") if half else found

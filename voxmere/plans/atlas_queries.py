@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxmere.operators import atlas, cohort, ontology
+from voxmere.operators import atlas, cohort, linkage, ontology
 from voxmere.plans import pipelines
 from voxmere.plans import projections as P
 
@@ -52,7 +52,13 @@ def _sunburst(s, d):
     return ontology.sunburst(P.masses(s, d), ontology.closure(st), st).select("id", "parent_structure_id", "total", F.round("arc_from", 9).alias("arc_from"), F.round("arc_to", 9).alias("arc_to"))
 
 
+def _distances(s, d):
+    return linkage.distances(P.brain_masses(s, d), "id", "brain", "cell_count")
+
+
 QUERIES = {
+    "h10_distances": lambda s, d: _distances(s, d).withColumn("d", F.round("d", 6)),
+    "h10_linkage": lambda s, d: linkage.linkage(_distances(s, d)).withColumn("height", F.round("height", 6)),
     "j1_lookup": lambda s, d: _located(s, d).select("brain", "point_id", "id"),
     "j2_region_counts": lambda s, d: atlas.region_counts(_located(s, d), P.structures(s, d)).select("id", "name", "cell_count"),
     "j2_region_counts_by_brain": lambda s, d: atlas.region_counts(_located(s, d), P.structures(s, d), "brain").select("brain", "id", "cell_count"),
@@ -98,6 +104,7 @@ QUERIES = {
 
 _C = f"with recursive {P.STRUCTURES}, {P.CLOSURE}"
 ORACLES = {
+    "h10_distances": f"with {P.BRAIN_MASSES}, m as (select i.id, b.brain, coalesce(n.cell_count, 0)::double as v from (select distinct id from brain_masses) i cross join (select distinct brain from brain_masses) b left join brain_masses n on n.id = i.id and n.brain = b.brain), k as (select id from m group by 1 having max(v) > min(v)) select a.id as a, b.id as b, round(1 - corr(a.v, b.v), 6) as d from m a join m b on a.brain = b.brain and a.id < b.id where a.id in (select id from k) and b.id in (select id from k) group by 1, 2",
     "j1_lookup": f"with {_LOOKUP} select brain, point_id, id from located",
     "j2_region_counts": f"with {_LOOKUP}, {P.STRUCTURES} select s.id, s.name, count(l.id) as cell_count from structures s left join located l using (id) group by s.id, s.name",
     "j2_region_counts_by_brain": f"with {_LOOKUP}, {P.STRUCTURES} select b.brain, s.id, count(l.id) as cell_count from structures s cross join (select distinct brain from located) b left join located l on l.id = s.id and l.brain = b.brain group by 1, 2",

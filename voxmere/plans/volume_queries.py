@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxmere.functions import geometry as G
 from voxmere.functions import maths, text
 from voxmere.operators import augment, components, matching, raster, windows
+from voxmere.operators.graph import checkpoint_dir
 from voxmere.plans import projections as P
-from voxmere.sources import catalog, exchange
+from voxmere.sources import catalog, exchange, volumes
 
 _XDIM = "(select max(x) + 1 from voxels)"
 
@@ -84,10 +87,12 @@ _PATCHES = "n as (select (max(x) + 100) // 100 as n from voxels), grid as (selec
 _BACK = f"with {P.VOXELS}, {_PATCHES}, back as (select z, y, x, z - kz * 30 as pz, y - ky * 20 as py, x - kx * 100 as px, v + patch_id % 7 / 10 as v, patch_id from voxels, grid where z between kz * 30 and kz * 30 + 39 and y between ky * 20 and ky * 20 + 29 and x between kx * 100 and kx * 100 + 119)"
 _NEAR = "k as (select unnest([-1, 0, 1])::int as d), s as (select v.z + a.d as z, v.y + b.d as y, v.x + c.d as x, v.v from voxels v, k a, k b, k c)"
 _L = "pow((({0} + 1) / {1}::double) * (1 - ({0} + 1) / {1}::double), -1.5)"
-def _labels_of(hot: str, link: str = "true") -> str:
+
+
+def _labels_of(hot: str, link: str = "true", most: int = 2) -> str:
     """Labelled voxels; hot: rows (t, z, y, x, v), of which those of one t connect where `link` holds."""
     return f"""with recursive {P.VOXELS}, hot as (select *, (z::bigint * 40 + y) * 1000000 + x as p from ({hot})),
-steps as (select a as dz, b as dy, c as dx from (select unnest([-1, 0, 1]) as a), (select unnest([-1, 0, 1]) as b), (select unnest([-1, 0, 1]) as c) where abs(a) + abs(b) + abs(c) between 1 and 2),
+steps as (select a as dz, b as dy, c as dx from (select unnest([-1, 0, 1]) as a), (select unnest([-1, 0, 1]) as b), (select unnest([-1, 0, 1]) as c) where abs(a) + abs(b) + abs(c) between 1 and {most}),
 links as (select h.t, h.p as a, o.p as b from hot h, steps s join hot o on o.t = h.t and o.z = h.z + s.dz and o.y = h.y + s.dy and o.x = h.x + s.dx where {link}),
 reach as (select t, p as a, p as b from hot union select r.t, r.a, l.b from reach r join links l on l.a = r.b and l.t = r.t),
 labelled as (select h.*, m.label from hot h join (select t, b as p, min(a) as label from reach group by t, b) m using (t, p))"""
@@ -122,6 +127,57 @@ def _flat(s, d):
     return cells.withColumn("pts", corners).drop("h", "w")
 
 
+def _all_events(s, d):
+    t, p = P.annotators(s, d)
+    return t.unionByName(p)
+
+
+def _owned(s, d):
+    """Objects of each chunk with its halo, kept by the chunk that holds their centre."""
+    chunks = components.halo_chunks(components.at_least(_voxels(s, d), 0.85), 20, 3).withColumn("volume_id", F.col("chunk").cast("string")).drop("chunk")
+    found = components.centres(components.label(chunks, 40, 1_000_000)).withColumn("chunk", F.col("volume_id").cast("int"))
+    return components.owned(found, 20).select("chunk", "z", "y", "x", "no_voxels")
+
+
+def _grid(s, d):
+    """All patches with the number of voxels they hold."""
+    dims = _dims(s, d)
+    held = windows.patches(_voxels(s, d), dims, (30, 20, 100), (40, 30, 120)).groupBy("patch_id").agg(F.count(F.lit(1)).alias("n"))
+    return windows.patch_grid(s, dims, (30, 20, 100)).join(held, "patch_id", "left").fillna(0, ["n"])
+
+
+def _scan(s, d):
+    """All patches of a scan by their centres, with the number of voxels they hold."""
+    centres = windows.scan_grid(s, _dims(s, d), (20, 10, 20), (0.75, 0, 0.75))
+    inside = components.in_box(centres.withColumn("volume_id", F.lit("a")), _voxels(s, d), (10, 5, 10)).where("z < cz + 10 and y < cy + 5 and x < cx + 10")
+    held = inside.groupBy(F.col("cz").alias("z"), F.col("cy").alias("y"), F.col("cx").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    return centres.join(held, ["z", "y", "x"], "left").fillna(0, ["n"])
+
+
+def _folder(s) -> str:
+    return f"{checkpoint_dir(s).rstrip('/')}/volumes-{uuid.uuid4().hex}"
+
+
+def _npy(s, d):
+    """Voxels written as dense slabs and read back in ranges of planes."""
+    path, dims = _folder(s), _dims(s, d)
+    volumes.write_volume(_in_place(_voxels(s, d)), path, dims, 20, "float64", background=-1.0)
+    return volumes.combined(volumes.read_volume(s, path, background=-1.0), dims)
+
+
+def _tiff(s, d):
+    """Voxels written as a TIFF file for each plane, read back as one volume and turned."""
+    path, dims = _folder(s), _dims(s, d)
+    volumes.write_volume(_in_place(_voxels(s, d)).withColumn("v", F.round(F.col("v") * 49)), path, dims, 1, "int16", "tiff_volume", background=-1.0)
+    return volumes.combined(volumes.read_volume(s, path, "tiff_volume", background=-1.0), dims, ("1", "-2", "0"))
+
+
+def _pixels(s, d):
+    """Two channels of the line items' volume."""
+    rows = P.table(s, d, "lineitem").selectExpr("cast(l_partkey % 60 as int) as z", "cast(l_suppkey % 40 as int) as y", "cast(l_orderkey div 100 as int) as x", "l_extendedprice", "l_quantity")
+    return rows.groupBy("z", "y", "x").agg(F.max(F.floor(F.col("l_extendedprice") / 100)).alias("signal"), F.max(F.col("l_quantity") * 20).alias("background"))
+
+
 def _swept(s, d):
     return components.sweep_centres(components.threshold_sweep(_voxels(s, d), [0.85, 0.95], 40, 1_000_000)).drop("volume_id")
 
@@ -152,9 +208,9 @@ QUERIES = {
     "o4_largest_high": lambda s, d: components.largest(_labelled(s, d), 3, True).select("z", "y", "x", "label"),
     "v1_numbered": lambda s, d: components.numbered(_labelled(s, d)).select("label", F.col("val").cast("long").alias("val")).distinct(),
     "v5_measures": lambda s, d: _r(components.measures(_labelled(s, d), volume=_voxels(s, d)), "sphericity", "intensity").select("label", "z", "y", "x", "max_perimeter", "sphericity", F.col("z_depth").cast("long").alias("z_depth"), "no_voxels", "intensity"),
-    "w7_halo": lambda s, d: components.halo_chunks(_voxels(s, d), 20, 3).groupBy("chunk").agg(F.count(F.lit(1)).alias("n")),
-    "p5_owned": lambda s, d: components.owned(components.halo_chunks(_voxels(s, d), 20, 3), 20).groupBy("chunk").agg(F.count(F.lit(1)).alias("n")),
-    "w1_patch_grid": lambda s, d: windows.patch_grid(s, (5, 4, 3), (2, 2, 2)),
+    "w7_halo": lambda s, d: components.halo_chunks(_voxels(s, d), 20, 3).select("chunk", "z", "y", "x", "v"),
+    "p5_owned": _owned,
+    "w1_patch_grid": _grid,
     "w2_patches": _patches,
     "w3_max_merge": lambda s, d: _in_place(windows.merged_by_max(_back(s, d), _dims(s, d))),
     "w5_blend": lambda s, d: _in_place(_r(windows.blended(_back(s, d)), "v")),
@@ -172,7 +228,8 @@ QUERIES = {
     "w10_median_filter": lambda s, d: _in_place(_r(raster.median_filter(_voxels(s, d), (1, 1, 1)), "v")),
     "v8_dilate": lambda s, d: _in_place(raster.dilate(_voxels(s, d), (0, 1, 1), _dims(s, d))),
     "v8_erode": lambda s, d: _in_place(raster.erode(_voxels(s, d), (0, 0, 1))),
-    "v7_stamp": lambda s, d: _r(raster.stamp(P.annotators(s, d)[0], raster.ball(2), (40, 24, 50)), "v"),
+    "v7_stamp": lambda s, d: _r(raster.stamp(_all_events(s, d), raster.ball(2), (40, 24, 50)), "v"),
+    "v7_stamped": lambda s, d: _r(raster.stamped(_all_events(s, d), raster.cylinder(1, 3), (40, 24, 50), 255.0), "v"),
     "v11_stitch": lambda s, d: _in_place(_r(raster.stitch(_voxels(s, d).withColumn("x_tile", (F.col("x") / 20).cast("int")).withColumn("x", F.col("x") % 20), 20, 5, False), "v")),
     "v12_blend_sheets": lambda s, d: _in_place(_r(raster.blend_sheets(_voxels(s, d), _voxels(s, d).withColumn("v", F.col("v") / 2 + 0.1), _dims(s, d)[2]), "v")),
     "v14_block_mean": lambda s, d: _in_place(_r(raster.block_mean(_voxels(s, d), (2, 4, 8)), "v")),
@@ -200,14 +257,17 @@ QUERIES = {
     "a8_size_outliers": lambda s, d: catalog.size_outliers(P.table(s, d, "orders").selectExpr("o_orderkey", "o_totalprice as length"), 1.5),
     "a9_missing": _missing,
     "u1_pooled": lambda s, d: catalog.pooled([P.table(s, d, "region"), P.table(s, d, "nation").selectExpr("n_regionkey as r_regionkey", "n_name as extra")]).select("extra", "r_name", "r_regionkey"),
-    "s14_point_lines": lambda s, d: exchange.point_lines(P.annotators(s, d)[0].selectExpr("idx as point_id", "cast(z as int) as z", "cast(y as int) as y", "cast(x as int) as x")),
+    "s14_point_lines": lambda s, d: exchange.point_lines(_all_events(s, d).selectExpr("idx as point_id", "cast(z as int) as z", "cast(y as int) as y", "cast(x as int) as x")),
+    "s17_npy_round_trip": _npy,
+    "v15_combined_planes": _tiff,
+    "v17_expression_mask": lambda s, d: _r(raster.expression_mask(_pixels(s, d), 5.0, 0.4, 300, 1), "v"),
     "m3_flip": lambda s, d: augment.flip(_voxels(s, d), (60, 40, 600), "zy").select("z", "y", "x", "v"),
     "m3_transpose": lambda s, d: augment.transpose(_voxels(s, d)).select("z", "y", "x", "v"),
     "m4_gray": lambda s, d: _r(augment.gray(_voxels(s, d), 0.8, 0.1, -0.5), "v").select("z", "y", "x", "v"),
     "m5_fill_sections": lambda s, d: augment.fill_sections(_voxels(s, d), [3, 9], 0.5, F.col("y") < 20).select("z", "y", "x", "v"),
     "m6_misalign": lambda s, d: augment.misalign(_voxels(s, d), _dims(s, d), 20, 3, -2).select("z", "y", "x", "v"),
     "m7_lost": lambda s, d: augment.lose_sections(_voxels(s, d), [5, 17, 18]).select("z", "y", "x", "v"),
-    "v2_same_value": lambda s, d: components.label(components.at_least(_voxels(s, d), 0.85), 40, 1_000_000, same_value=True).select("z", "y", "x", "label"),
+    "v2_same_value": lambda s, d: components.label(components.at_least(_voxels(s, d), 0.85), 40, 1_000_000, 26, same_value=True).select("z", "y", "x", "label"),
     "v3_object_windows": lambda s, d: components.object_windows(_labelled(s, d)).select("label", "pz", "py", "px"),
     "v6_threshold_sweep": _swept,
     "v21_training_labels": _trained,
@@ -218,7 +278,7 @@ QUERIES = {
     "v10_merge_planes": lambda s, d: components.merge_planes(_flat(s, d), 3).select("cell_id", "object_id"),
     "v10_windows_only": lambda s, d: components.merge_planes(_flat(s, d).drop("pts"), 3).select("cell_id", "object_id"),
     "v10_merged_cells": lambda s, d: _r(components.merged_cells(components.merge_planes(_flat(s, d), 3)), "radius").select("object_id", "planes", "z", "y", "x", "radius"),
-    "w4_scan_grid": lambda s, d: windows.scan_grid(s, (60, 40, 20), (20, 10, 20), (0.75, 0, 0.75)),
+    "w4_scan_grid": _scan,
     "w10_gaussian_filter": lambda s, d: _in_place(_r(raster.gaussian_filter(_voxels(s, d), (0.0, 0.5, 0.5), dims=_dims(s, d)), "v")),
     "m10_warp": lambda s, d: _in_place(augment.warp(_voxels(s, d), _dims(s, d), [[1, 0, 0], [0, 2, 0], [0, 0, 1]])),
     "s15_transformed": _transformed,
@@ -243,9 +303,9 @@ ORACLES = {
     "o4_largest_high": f"{_LABELS} select z, y, x, label from labelled where label in (select label from labelled group by 1 order by count(*) desc, label desc limit 3)",
     "v1_numbered": f"{_LABELS} select distinct label, dense_rank() over (order by label) as val from labelled",
     "v5_measures": f"{_LABELS}, {_CENTRES}, plane as (select label, z, count(*) as a, sum(4 - (select count(*) from labelled o where o.label = l.label and o.z = l.z and abs(o.y - l.y) + abs(o.x - l.x) = 1)) as p from labelled l group by 1, 2), shape as (select label, max(p)::double as max_perimeter, round(avg(4 * 3.141592653589793 * a / (p * p)), 6) as sphericity, count(*) as z_depth from plane group by 1), wide as (select label, y, x, unnest(range(z - 5, z + 6))::int as cz from centres), peak as (select c.label, round(max(v.v), 6) as intensity from wide c join voxels v on v.z = c.cz and v.y between c.y - 10 and c.y + 10 and v.x between c.x - 10 and c.x + 10 group by 1) select label, z, y, x, max_perimeter, sphericity, z_depth, no_voxels, intensity from centres join shape using (label) left join peak using (label)",
-    "w7_halo": f"with {P.VOXELS} select c as chunk, count(*) as n from voxels, (select unnest(range(-1, 5))::int as c) where z >= c * 20 - 3 and z < c * 20 + 23 and c >= 0 group by 1",
-    "p5_owned": f"with {P.VOXELS} select z // 20 as chunk, count(*) as n from voxels group by 1",
-    "w1_patch_grid": "select ((a.k * 2 + b.k) * 2 + c.k)::int as patch_id, (a.k * 2)::int as z0, (b.k * 2)::int as y0, (c.k * 2)::int as x0 from (select unnest(range(3)) as k) a, (select unnest(range(2)) as k) b, (select unnest(range(2)) as k) c",
+    "w7_halo": f"with {P.VOXELS} select c as chunk, z, y, x, v from voxels, (select unnest(range(-1, 5))::int as c) where z >= c * 20 - 3 and z < c * 20 + 23 and c >= 0",
+    "p5_owned": f"{_labels_of('select c as t, z, y, x, v from voxels, (select unnest(range(0, 4))::int as c) where v >= 0.85 and z >= c * 20 - 3 and z < c * 20 + 23')}, centres as (select t, label, trunc(avg(z))::int as z, trunc(avg(y))::int as y, trunc(avg(x))::int as x, count(*) as no_voxels from labelled group by 1, 2) select t as chunk, z, y, x, no_voxels from centres where z // 20 = t",
+    "w1_patch_grid": f"with {P.VOXELS}, {_PATCHES} select patch_id, kz * 30 as z0, ky * 20 as y0, kx * 100 as x0, count(v) as n from grid left join voxels on z between kz * 30 and kz * 30 + 39 and y between ky * 20 and ky * 20 + 29 and x between kx * 100 and kx * 100 + 119 group by 1, 2, 3, 4",
     "w2_patches": f"with {P.VOXELS}, {_PATCHES} select patch_id::int as patch_id, (z - kz * 30)::int as pz, (y - ky * 20)::int as py, (x - kx * 100)::int as px, v from voxels, grid where z between kz * 30 and kz * 30 + 39 and y between ky * 20 and ky * 20 + 29 and x between kx * 100 and kx * 100 + 119",
     "w3_max_merge": f"{_BACK} select z, y, x, max(v) as v from back group by 1, 2, 3",
     "w5_blend": f"{_BACK} select z, y, x, round(avg(v), 6) as v from back group by 1, 2, 3",
@@ -261,7 +321,8 @@ ORACLES = {
     "w10_median_filter": f"with {P.VOXELS}, {_NEAR} select z, y, x, round(median(s.v), 6) as v from voxels o join s using (z, y, x) group by 1, 2, 3",
     "v8_dilate": f"with {P.VOXELS}, k as (select unnest([-1, 0, 1])::int as d), s as (select z, y + a.d as y, x + b.d as x, v from voxels, k a, k b) select z, y, x, max(v) as v from s where y between 0 and 39 and x between 0 and (select max(x) from voxels) group by 1, 2, 3",
     "v8_erode": f"with {P.VOXELS}, s as (select z, y, x + d as x, v from voxels, (select unnest([-1, 0, 1])::int as d)) select z, y, x, min(v) as v from s group by 1, 2, 3 having count(*) = 3",
-    "v7_stamp": f"with {P.ANNOTATORS}, o as (select a as dz, b as dy, c as dx, 1 - sqrt(a * a + b * b + c * c) / 3 as v from (select unnest(range(-2, 3)) as a), (select unnest(range(-2, 3)) as b), (select unnest(range(-2, 3)) as c) where a * a + b * b + c * c <= 4), p as (select (t.z::int + dz)::int as z, (t.y::int + dy)::int as y, (t.x::int + dx)::int as x, v from truth t, o) select z, y, x, round(max(v), 6) as v from p where z between 0 and 39 and y between 0 and 23 and x between 0 and 49 group by 1, 2, 3",
+    "v7_stamp": f"with {P.ANNOTATORS}, o as (select a as dz, b as dy, c as dx, 1 - sqrt(a * a + b * b + c * c) / 3 as v from (select unnest(range(-2, 3)) as a), (select unnest(range(-2, 3)) as b), (select unnest(range(-2, 3)) as c) where a * a + b * b + c * c <= 4), p as (select (t.z::int + dz)::int as z, (t.y::int + dy)::int as y, (t.x::int + dx)::int as x, v from e t, o) select z, y, x, round(max(v), 6) as v from p where z between 0 and 39 and y between 0 and 23 and x between 0 and 49 group by 1, 2, 3",
+    "v7_stamped": f"with {P.ANNOTATORS}, o as (select a as dz, b as dy, c as dx from (select unnest([-1, 0, 1]) as a), (select unnest([-1, 0, 1]) as b), (select unnest([-1, 0, 1]) as c) where b * b + c * c <= 1), p as (select distinct (t.z::int + dz)::int as z, (t.y::int + dy)::int as y, (t.x::int + dx)::int as x from e t, o) select z, y, x, 255.0::double as v from p where z between 0 and 39 and y between 0 and 23 and x between 0 and 49",
     "v11_stitch": f"with {P.VOXELS}, t as (select z, y, x % 20 as x, x // 20 as t, v from voxels), m as (select max(t) as last from t) select z, y, (t * 15 + x)::int as x, round(sum(v * case when x < 5 and t > 0 then x / 4.0::double else 1 end * case when x >= 15 and t < last then 1 - (x - 15) / 4.0::double else 1 end), 6) as v from t, m group by 1, 2, 3",
     "v12_blend_sheets": f"with {P.VOXELS}, s as (select *, v / 2 + 0.1 as b, 1 / (1 + exp(-(-10 + 20 * x / (select max(x) from voxels)::double))) as w from voxels), m as (select median(v) as ml, median(b) as mr from s) select z, y, x, round(v * (1 - w) + greatest(0, b + ml - mr) * w, 6) as v from s, m",
     "v14_block_mean": f"with {P.VOXELS} select z // 2 as z, y // 4 as y, x // 8 as x, round(sum(v) / 64, 6) as v from voxels group by 1, 2, 3",
@@ -289,7 +350,9 @@ ORACLES = {
     "a8_size_outliers": "select o_orderkey, o_totalprice as length from orders where abs(o_totalprice - (select avg(o_totalprice) from orders)) > 1.5 * (select stddev_pop(o_totalprice) from orders)",
     "a9_missing": f"with {P.TILES} select z::int as z from (select unnest(range((select max(z) + 10 from tiles))) as z) where z not in (select z from tiles)",
     "u1_pooled": "select null as extra, r_name, r_regionkey from region union all select n_name, null, n_regionkey from nation",
-    "s14_point_lines": f"with {P.ANNOTATORS} select (-2)::bigint as ord, 'index' as value union all select -1, count(*)::varchar from truth union all select idx, x::int::varchar || ' ' || y::int::varchar || ' ' || z::int::varchar from truth",
+    "s14_point_lines": f"with {P.ANNOTATORS} select (-2)::bigint as ord, 'index' as value union all select -1, count(*)::varchar from e union all select idx, x::int::varchar || ' ' || y::int::varchar || ' ' || z::int::varchar from e",
+    "s17_npy_round_trip": f"with {P.VOXELS} select z, y, x, v from voxels",
+    "v15_combined_planes": f"with {P.VOXELS} select x::int as z, (59 - z)::int as y, y::int as x, (v * 49)::int::double as v from voxels",
     "m3_flip": f"with {P.VOXELS} select 59 - z as z, 39 - y as y, x, v from voxels",
     "m3_transpose": f"with {P.VOXELS} select z, x as y, y as x, v from voxels",
     "m4_gray": f"with {P.VOXELS} select z, y, x, round(pow(least(1, greatest(0, v * 0.8 + 0.1)), pow(2, -0.5)), 6) as v from voxels",
@@ -300,7 +363,7 @@ ORACLES = {
     "j9_unpaired": f"{_PAIRS}, {_WALK.format('1.5')} select day, idx from truth where (day, idx) not in (select (day, truth_idx) from taken)",
     "a13_match_stats": f"{_PAIRS}, {_WALK.format('1.0, 1.5')}, {_STATS} select day, cutoff::double as cutoff, tp, fp, fn, precision, recall, 2 * tp / nullif(2 * tp + fp + fn, 0)::double as f1 from stats",
     "a14_curve_area": f"{_PAIRS}, {_WALK.format('1.0, 1.5')}, {_STATS}, p as (select day, 1 - recall as x, precision as y, lag(1 - recall) over w as x0, lag(precision) over w as y0 from stats window w as (partition by day order by cutoff)) select day, round(sum((x - x0) * (y + y0) / 2), 6) as area from p group by 1",
-    "v2_same_value": f"{_labels_of('select 0 as t, z, y, x, v from voxels where v >= 0.85', 'h.v = o.v')} select z, y, x, label from labelled",
+    "v2_same_value": f"{_labels_of('select 0 as t, z, y, x, v from voxels where v >= 0.85', 'h.v = o.v', 3)} select z, y, x, label from labelled",
     "v3_object_windows": f"{_LABELS}, {_CENTRES} select label, l.z - c.z + 30 as pz, l.y - c.y + 75 as py, l.x - c.x + 75 as px from labelled l join centres c using (label) where abs(l.z - c.z) <= 30 and abs(l.y - c.y) <= 75 and abs(l.x - c.x) <= 75",
     "v6_threshold_sweep": f"{_labels_of('select t, z, y, x, v from voxels, (select unnest([0.85, 0.95]) as t) where v >= t')} select t::double as threshold, label, trunc(avg(z))::int as z, trunc(avg(y))::int as y, trunc(avg(x))::int as x, count(*) as no_voxels from labelled group by 1, 2",
     "v21_training_labels": f"{_LABELS}, {_CENTRES}, wide as (select label, y, x, unnest(range(z - 2, z + 3))::int as cz from centres), near as (select c.label, v.z, v.y, v.x, v.v from wide c join voxels v on v.z = c.cz and v.y between c.y - 3 and c.y + 3 and v.x between c.x - 3 and c.x + 3), h as (select label, least(15, floor(v * 16))::int as bin, count(*) as n from near group by 1, 2), c as (select label, bin, sum(n) over w as n0, sum(n * bin) over w as s0, sum(n) over (partition by label) as n, sum(n * bin) over (partition by label) as s from h window w as (partition by label order by bin)), f as (select label, bin, n0 * (n - n0) * pow(s0 / n0::double - (s - s0) / (n - n0)::double, 2) as score from c where n0 < n), o as (select label, (bin + 1) / 16::double as lim from f qualify row_number() over (partition by label order by score desc, bin) = 1) select distinct z, y, x, 1.0::double as v from near join o using (label) where v >= lim",
@@ -309,7 +372,7 @@ ORACLES = {
     "v10_merge_planes": f"with recursive {P.ANNOTATORS}, {_OVERLAPS}, {_OBJECTS} select cell_id, object_id from objects",
     "v10_windows_only": f"with recursive {P.ANNOTATORS}, {_WINDOWS}, {_OBJECTS} select cell_id, object_id from objects",
     "v10_merged_cells": f"with recursive {P.ANNOTATORS}, {_OVERLAPS}, {_OBJECTS}, planes as (select object_id, z, arg_min(idx, idx) as idx, arg_min(y, idx) as y, arg_min(x, idx) as x from objects join e on idx = cell_id group by 1, 2), placed as (select *, row_number() over (partition by object_id order by z) - 1 as k, count(*) over (partition by object_id) as planes from planes), middle as (select * from placed where k between (planes - 1) // 2 and planes // 2), centre as (select object_id, planes, avg(z) as z, avg(y) as y, avg(x) as x from middle group by 1, 2), corners as (select m.object_id, m.y + i * (m.idx % 3) as y, m.x + j * (m.idx // 3 % 3) as x from middle m, (select unnest([-1, 1]) as i), (select unnest([-1, 1]) as j)) select c.object_id, c.planes, c.z, c.y, c.x, round(avg(sqrt((p.y - c.y) * (p.y - c.y) + (p.x - c.x) * (p.x - c.x))), 6) as radius from centre c join corners p using (object_id) group by 1, 2, 3, 4, 5",
-    "w4_scan_grid": "select z, y, x from (select unnest([10, 25, 40, 50])::int as z), (select unnest([5, 15, 25, 35])::int as y), (select 10::int as x)",
+    "w4_scan_grid": f"with {P.VOXELS}, far as (select max(x) + 1 - 10 as m from voxels), c as (select z, y, x from (select unnest([10, 25, 40, 50])::int as z), (select unnest([5, 15, 25, 35])::int as y), (select unnest(range(10, (select m from far) + 1, 15))::int as x union select m::int from far)) select c.z, c.y, c.x, count(v) as n from c left join voxels v on v.z between c.z - 10 and c.z + 9 and v.y between c.y - 5 and c.y + 4 and v.x between c.x - 10 and c.x + 9 group by 1, 2, 3",
     "w10_gaussian_filter": f"with {P.VOXELS}, k as (select unnest(range(-2, 3))::int as d), g as (select d, exp(-d * d / 0.5::double) / (select sum(exp(-d * d / 0.5::double)) from k) as w from k) select z, (y + a.d)::int as y, (x + b.d)::int as x, round(sum(v * a.w * b.w), 6) as v from voxels, g a, g b where y + a.d between 0 and 39 and x + b.d between 0 and (select max(x) from voxels) group by 1, 2, 3",
     "m10_warp": f"with {P.VOXELS}, g as (select unnest(range(40))::int as y) select v.z, g.y, v.x, v.v from g join voxels v on v.y = round(19.5 + 0.5 * (g.y - 19.5))",
     "s15_transformed": f"with {P.POINTS} select point_id, round(printf('%.2f', z)::double, 2) as z, round(printf('%.2f', y)::double, 2) as y, round(printf('%.2f', x)::double, 2) as x from points",

@@ -241,16 +241,6 @@ def test_trees_and_listing(spark, tmp_path):
     assert sorted((r.path, r.side) for r in d.collect()) == [("own.txt", "left"), ("own.txt", "right")]
 
 
-def test_follow_objects(spark, tmp_path):
-    rows = [("v", 0, 5.0, 5.0), ("v", 1, 6.0, 5.0), ("v", 2, 7.0, 6.0), ("v", 1, 30.0, 30.0), ("v", 9, 0.0, 0.0)]
-    spark.createDataFrame(rows, "volume_id string, z int, y double, x double").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = monitors.files_as_stream(spark, str(tmp_path / "in"), "volume_id string, z int, y double, x double", 1)
-    got = monitors.as_table(monitors.follow_objects(stream, 3.0), str(tmp_path / "out"), "append").collect()
-    assert sorted((r.z_first, r.z_last, r.n_planes) for r in got) == [(0, 2, 3), (1, 1, 1)]
-
-
-
-
 def test_edges_outlines_and_filling(spark):
     from pyspark.sql import functions as F
 

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from voxmere.operators.raster import by_volume
 
 
 def files_as_stream(spark: SparkSession, path: str, schema: str, per_trigger: int = 10) -> DataFrame:
@@ -35,26 +37,36 @@ def completed(done: DataFrame, job: str, time: str, late: str) -> DataFrame:
     return done.withWatermark(time, late).dropDuplicatesWithinWatermark([job])
 
 
-_OBJECT = "volume_id string, object_id long, z_first int, z_last int, n_planes int, y double, x double"
+_OBJECT = "volume_id string, object_id long, z_first int, z_last int, n_planes int, y double, x double, late long"
+_OPEN = "number long, plane int, late long, open array<array<double>>"
 
 
-def follow_objects(cells: DataFrame, most: float) -> DataFrame:
-    """2-D cells (volume_id, z, y, x) in rising order of z joined to objects; an object is emitted when a plane does not extend it.
+class ObjectFollower(StatefulProcessor):
+    """State of a volume: its open objects, the plane it has come to, and how many cells came too late for theirs."""
 
-    State of a volume is its open objects. A plane's cells each go to the nearest open object of the plane before
-    that is within `most` on both axes, in order of (y, x); others begin an object. A plane far ahead closes all.
-    """
+    def __init__(self, most: float, quiet_ms: int):
+        self.most, self.quiet_ms = most, quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("followed", _OPEN)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, open_objects = state.get if state.exists else (0, [])
-        open_objects = [tuple(o) for o in open_objects]
-        rows, closed = pd.concat(list(batches)).sort_values(["z", "y", "x"]), []
-        for z, plane in rows.groupby("z"):
-            active = [o for o in open_objects if o[2] == z - 1 or o[2] == z]
-            closed += [o for o in open_objects if o[2] < z - 1]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        number, plane, late, opened = self.state.get() if self.state.exists() else (0, None, 0, [])
+        opened, closed = [tuple(o) for o in opened], []
+        cells = pd.concat(list(rows))
+        ended = cells["z"].isna().any()
+        seen = cells["time"].max()
+        cells = cells.dropna(subset=["z", "y", "x"]).sort_values(["z", "y", "x"])
+        for z, here in cells.groupby("z"):
+            if plane is not None and z < plane:
+                late += len(here)
+                continue
+            plane = int(z)
+            active = [o for o in opened if o[2] in (z - 1, z)]
+            closed += [o for o in opened if o[2] < z - 1]
             free, grown = [o for o in active if o[2] == z - 1], [o for o in active if o[2] == z]
-            for y, x in zip(plane["y"], plane["x"]):
-                near = [o for o in free if -most <= y - o[4] < most and -most <= x - o[5] < most]
+            for y, x in zip(here["y"], here["x"]):
+                near = [o for o in free if -self.most <= y - o[4] < self.most and -self.most <= x - o[5] < self.most]
                 if near:
                     o = min(near, key=lambda o: ((y - o[4]) ** 2 + (x - o[5]) ** 2, o[0]))
                     free.remove(o)
@@ -62,37 +74,79 @@ def follow_objects(cells: DataFrame, most: float) -> DataFrame:
                 else:
                     grown.append((number, int(z), int(z), 1, float(y), float(x)))
                     number += 1
-            closed += free
-            open_objects = grown
-        state.update((number, [list(map(float, o)) for o in open_objects]))
-        yield pd.DataFrame([(key[0], int(o[0]), int(o[1]), int(o[2]), int(o[3]), o[4], o[5]) for o in closed], columns=["volume_id", "object_id", "z_first", "z_last", "n_planes", "y", "x"])
-
-    return cells.groupBy("volume_id").applyInPandasWithState(step, _OBJECT, "number long, open array<array<double>>", "append", GroupStateTimeout.NoTimeout)
+            # an object may still grow in this plane: its cells may come in several batches
+            opened = grown + free
+        if ended:
+            closed, opened = closed + opened, []
+        self.state.update((number, plane, late, [list(map(float, o)) for o in opened]))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if opened and not pd.isna(seen):
+            due = int(pd.Timestamp(seen).timestamp() * 1000) + self.quiet_ms
+            self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._rows(key, closed, late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        number, plane, late, opened = self.state.get()
+        self.state.update((number, plane, late, []))
+        yield self._rows(key, opened, late)
+
+    def close(self) -> None:
+        pass
+
+    def _rows(self, key, objects: list, late: int) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], int(o[0]), int(o[1]), int(o[2]), int(o[3]), o[4], o[5], late) for o in objects], columns=["volume_id", "object_id", "z_first", "z_last", "n_planes", "y", "x", "late"])
+
+
+def follow_objects(cells: DataFrame, most: float, late: str = "1 minute", quiet_ms: int = 60_000) -> DataFrame:
+    """2-D cells (volume_id, z, y, x, time) in rising order of z joined to objects; an object is emitted when it can grow no more.
+
+    A plane's cells each go to the nearest open object of the plane before that is within `most` on both axes, in
+    order of (y, x); others begin an object. An object is closed by cells two planes on, by a row without a z, which
+    ends the volume, or by an event-time timer when its volume has been quiet for `quiet_ms`. Cells of planes before
+    the last one seen are not followed; `late` counts those of the volume so far.
+    """
+    cells.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the only one with timers
+    return cells.withWatermark("time", late).groupBy("volume_id").transformWithStateInPandas(statefulProcessor=ObjectFollower(most, quiet_ms), outputStructType=_OBJECT, outputMode="Append", timeMode="EventTime")
 
 
 def merge_patches(stream: DataFrame, folder: str, checkpoint: str):
-    """Finished patches written per micro-batch under the batch's own folder, so a repeated batch replaces itself; reading takes the maximum."""
+    """Finished patches' voxels (volume_id where there are several volumes, z, y, x, v) merged by maximum; each micro-batch is written under its own folder, so a repeated batch replaces itself. merged_so_far reads them."""
+    keys = [*by_volume(stream), "z", "y", "x"]
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.groupBy("z", "y", "x").agg(F.max("v").alias("v")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        batch.groupBy(*keys).agg(F.max("v").alias("v")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merged_so_far(spark: SparkSession, folder: str, schema: str = "volume_id string, z int, y int, x int, v double") -> DataFrame:
+    """T5: the maximum over all micro-batches of merge_patches."""
+    batches = _batches(spark, folder, schema)
+    return batches.groupBy(*(c for c in batches.columns if c not in ("v", "batch"))).agg(F.max("v").alias("v"))
+
+
+def _batches(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The micro-batches' tables in a folder, with `batch`; none if there are none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    empty = spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return empty
+    return spark.read.schema(empty.schema).parquet(folder)
+
+
 def as_table(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there now and returns its result; each micro-batch is written where all executors can read it.
 
-    With `complete` the last batch is the result, with `append` all of them are.
+    With `complete` the last batch is the result, with `append` all of them are; those of earlier runs with the same
+    folder count, since the stream goes on where they ended.
     """
-    last: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
-        last.append(number)
 
     stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    spark = stream.sparkSession
-    if not last:
-        return spark.createDataFrame([], stream.schema)
-    kept = last if mode == "append" else last[-1:]
-    return spark.read.schema(stream.schema).parquet(*(f"{folder}/result/batch={n}" for n in kept))
+    found = _batches(stream.sparkSession, f"{folder}/result", stream.schema)
+    if mode != "append":
+        found = found.where(F.col("batch") == F.lit(found.agg(F.max("batch")).first()[0]))
+    return found.drop("batch")

@@ -244,7 +244,7 @@ def test_trees_and_listing(spark, tmp_path):
 def test_edges_outlines_and_filling(spark):
     from pyspark.sql import functions as F
 
-    from voxmere.operators import edges
+    from voxmere.operators import edges, ridges
 
     block = [("a", 1, y, x, 1.0) for y in range(4, 9) for x in range(3, 10)]
     v = spark.createDataFrame(block, "volume_id string, z int, y int, x int, v double")
@@ -254,7 +254,7 @@ def test_edges_outlines_and_filling(spark):
     assert edges.largest_contour(found, 20).count() == 1 and edges.largest_contour(found, 25).count() == 0
     inside = edges.filled(found.select("z", F.transform("pts", lambda p: F.struct((p["y"] + 0.5).alias("y"), (p["x"] - 0.5).alias("x"))).alias("pts")))
     assert {(r.y, r.x) for r in inside.collect()} == {(y, x) for y in range(5, 9) for x in range(3, 9)}
-    rim = {(r.y, r.x) for r in edges.gradient_edges(v, 20, 20, 1.0, 2.0).collect()}
+    rim = {(r.y, r.x) for r in ridges.gradient_edges(v, 20, 20, 1.0, 2.0).collect()}
     assert rim and all(3 <= y <= 9 and 2 <= x <= 10 for y, x in rim) and (6, 6) not in rim
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxmere.functions.maths import grayscale
@@ -68,14 +68,41 @@ def sampled_boxes(dims: tuple[int, int, int], size: tuple[int, int, int], densit
     return [(a, tuple(x + s for x, s in zip(a, size))) for a in lo]
 
 
+def linear_map(rotation: float = 0.0, shear: tuple[float, float] = (0.0, 0.0), stretch: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> list[list[float]]:
+    """(z, y, x) stretched, then sheared within sections (y by x, x by y), then turned by `rotation` degrees within sections."""
+    c, s = float(np.cos(np.radians(rotation))), float(np.sin(np.radians(rotation)))
+    turn = np.array([[1, 0, 0], [0, c, -s], [0, s, c]])
+    slant = np.array([[1, 0, 0], [0, 1, shear[0]], [0, shear[1], 1]])
+    return (turn @ slant @ np.diag(stretch)).tolist()
+
+
+def _pulled(voxels: DataFrame, dims: tuple[int, int, int], forward: list, back, extent: list) -> DataFrame:
+    """New places that look up an old voxel: each voxel lists the places near where it goes and keeps those that come back to it, so the cost is in proportion to the voxels and not to the volume."""
+    by = by_volume(voxels)
+    out = voxels.select(*by, *(F.col(c).alias(f"o{c}") for c in "zyx"), "v")
+    for c, to, e, d in zip("zyx", forward, extent, dims):
+        lo, hi = F.greatest(F.lit(0), F.ceil(to - e - 1e-6).cast("int")), F.least(F.lit(d - 1), F.floor(to + e + 1e-6).cast("int"))
+        out = out.where(lo <= hi).withColumn(c, F.explode(F.sequence(lo, hi)))
+    same = [F.round(b).cast("int") == F.col(f"o{c}") for c, b in zip("zyx", back)]
+    return out.where(same[0] & same[1] & same[2]).select(*by, "z", "y", "x", "v")
+
+
 def warp(voxels: DataFrame, dims: tuple[int, int, int], matrix: list[list[float]]) -> DataFrame:
     """Nearest-neighbour affine map about the sample's centre; every new place looks up the old one it comes from."""
     inverse = np.linalg.inv(np.array(matrix, float)).tolist()
     middle = [(d - 1) / 2 for d in dims]
-    grid = voxels.sparkSession.range(dims[0] * dims[1] * dims[2]).select(F.expr(f"id div {dims[1] * dims[2]}").cast("int").alias("z"), F.expr(f"id div {dims[2]} % {dims[1]}").cast("int").alias("y"), (F.col("id") % dims[2]).cast("int").alias("x"))
-    back = [F.round(sum((F.lit(inverse[r][c]) * (F.col(a) - middle[c]) for c, a in enumerate("zyx")), F.lit(middle[r]))).cast("int").alias(f"o{'zyx'[r]}") for r in range(3)]
-    by = by_volume(voxels)
-    return grid.select("z", "y", "x", *back).join(voxels.select(*by, F.col("z").alias("oz"), F.col("y").alias("oy"), F.col("x").alias("ox"), "v"), ["oz", "oy", "ox"]).select(*by, "z", "y", "x", "v")
+    at = lambda m, names: [sum((F.lit(float(m[r][c])) * (F.col(a) - middle[c]) for c, a in enumerate(names)), F.lit(middle[r])) for r in range(3)]
+    extent = [F.lit(0.5 * sum(abs(v) for v in row)) for row in matrix]
+    return _pulled(voxels, dims, at(matrix, ("oz", "oy", "ox")), at(inverse, "zyx"), extent)
+
+
+def twist(voxels: DataFrame, dims: tuple[int, int, int], degrees: float) -> DataFrame:
+    """Sections turned about the sample's axis, the first by -degrees / 2 and the last by degrees / 2."""
+    middle = [(d - 1) / 2 for d in dims]
+    angle = lambda z: F.radians(F.lit(float(degrees)) * ((F.col(z) - middle[0]) / max(1, dims[0] - 1)))
+    turned = lambda a, y, x: (F.cos(a) * (F.col(y) - middle[1]) - F.sin(a) * (F.col(x) - middle[2]) + middle[1], F.sin(a) * (F.col(y) - middle[1]) + F.cos(a) * (F.col(x) - middle[2]) + middle[2])
+    reach = 0.5 * (F.abs(F.cos(angle("oz"))) + F.abs(F.sin(angle("oz"))))
+    return _pulled(voxels, dims, [F.col("oz"), *turned(angle("oz"), "oy", "ox")], [F.col("z"), *turned(-angle("oz"), "y", "x")], [F.lit(0.0), reach, reach])
 
 
 def blur_sections(voxels: DataFrame, dims: tuple[int, int, int], sections: list[int], sigma: float) -> DataFrame:
@@ -133,3 +160,19 @@ def sample_places(datasets: DataFrame, n: int, seed: int) -> DataFrame:
     known = spark.createDataFrame([(i, r["dataset"], list(r["lo"]), list(r["hi"])) for i, r in enumerate(rows)], "k int, dataset string, lo array<int>, hi array<int>")
     drawn = spark.range(n).withColumn("k", index).join(F.broadcast(known), "k")
     return drawn.select("id", "dataset", *((F.col("lo")[i] + F.floor(u(i + 1) * (F.col("hi")[i] - F.col("lo")[i]))).cast("int").alias(a) for i, a in enumerate("zyx")))
+
+
+def mask_places(masks: DataFrame, ranges: DataFrame, n: int, seed: int) -> DataFrame:
+    """M1: up to n places of each dataset, drawn evenly and without repeats among its mask's voxels that are in its valid range.
+
+    masks: (dataset, z, y, x, v), voxels with v <> 0 count; ranges: (dataset, lo, hi) arrays of valid places, hi not
+    included. Each valid voxel has a priority of its own, a digest of the seed, its dataset and place, and the n
+    first are drawn; invalid places take no part, so none has to be drawn again. Tasks keep their n first before
+    anything is moved.
+    """
+    valid = masks.where("v <> 0").join(ranges, "dataset")
+    for k, c in enumerate("zyx"):
+        valid = valid.where((F.col(c) >= F.col("lo")[k]) & (F.col(c) < F.col("hi")[k]))
+    keyed = valid.select("dataset", "z", "y", "x", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("dataset").cast("string"), *(F.col(c).cast("string") for c in "zyx")).cast("binary")).alias("priority")).distinct()
+    order = Window.partitionBy("dataset").orderBy("priority")
+    return keyed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).select("dataset", "k", "z", "y", "x")

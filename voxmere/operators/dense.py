@@ -41,8 +41,8 @@ def dealt(voxels: DataFrame, radius: Radius, by: list[str]) -> DataFrame:
     return out
 
 
-def by_block(voxels: DataFrame, radius: Radius, kernel: Kernel) -> DataFrame:
-    """The kernel's voxels, from every block that it gives any in."""
+def by_block(voxels: DataFrame, radius: Radius, kernel: Kernel, placed: bool = False) -> DataFrame:
+    """The kernel's voxels, from every block that it gives any in; with `placed` it also gets the place of the block's first voxel."""
     by = [c for c in ("volume_id",) if c in voxels.columns]
     edge = edges(radius)
 
@@ -52,7 +52,7 @@ def by_block(voxels: DataFrame, radius: Radius, kernel: Kernel) -> DataFrame:
         at = tuple(pdf[c].to_numpy() - s + r for c, s, r in zip("zyx", start, radius))
         block = np.full([e + 2 * r for e, r in zip(edge, radius)], -np.inf)
         np.maximum.at(block, at, pdf["v"].to_numpy())
-        out = kernel(block)
+        out = kernel(block, start) if placed else kernel(block)
         z, y, x = np.nonzero(~np.isnan(out))
         place = {c: (k + s).astype(np.int32) for c, k, s in zip("zyx", (z, y, x), start)}
         return pd.DataFrame({**{c: np.full(len(z), first[c], object) for c in by}, **place, "v": out[z, y, x]})

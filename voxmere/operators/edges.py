@@ -1,4 +1,4 @@
-"""Edges and contours of sections: gradient edges, outlines as polygons, filling of polygons."""
+"""Contours of sections: outlines as polygons, filling of polygons."""
 
 from __future__ import annotations
 
@@ -11,35 +11,6 @@ from voxmere.functions.maths import polygon_area, polygon_perimeter
 from voxmere.operators.raster import by_volume
 
 
-def gradient_edges(voxels: DataFrame, ydim: int, xdim: int, low: float, high: float) -> DataFrame:
-    """V9: pixels on ridges of the gradient, above `high` or joined to such pixels by ones above `low`; a section is one task's image."""
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((ydim + 2, xdim + 2))
-        image[pdf["y"] + 1, pdf["x"] + 1] = pdf["v"]
-        image[0], image[-1], image[:, 0], image[:, -1] = image[1], image[-2], image[:, 1], image[:, -2]
-        dy = sum(w * (image[2:, k : k + xdim] - image[:-2, k : k + xdim]) for k, w in ((0, 1), (1, 2), (2, 1)))
-        dx = sum(w * (image[k : k + ydim, 2:] - image[k : k + ydim, :-2]) for k, w in ((0, 1), (1, 2), (2, 1)))
-        size = np.pad(np.hypot(dy, dx), 1)
-        turn = (np.round(np.arctan2(dy, dx) / (np.pi / 4)).astype(int)) % 4
-        inner = size[1:-1, 1:-1]
-        keep = np.zeros_like(inner, bool)
-        for k, (a, b) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
-            ahead, back = size[1 + a : ydim + 1 + a, 1 + b : xdim + 1 + b], size[1 - a : ydim + 1 - a, 1 - b : xdim + 1 - b]
-            keep |= (turn == k) & (inner >= ahead) & (inner > back)
-        weak, strong = keep & (inner >= low), keep & (inner >= high)
-        while True:
-            wide = np.pad(strong, 1)
-            grown = weak & np.logical_or.reduce([wide[i : i + ydim, j : j + xdim] for i in range(3) for j in range(3)])
-            if (grown == strong).all():
-                break
-            strong = grown
-        y, x = np.nonzero(strong)
-        return pd.DataFrame({"z": int(pdf["z"].iloc[0]), "y": y, "x": x, "v": inner[y, x]})
-
-    return by_section(voxels, find)
-
-
 def by_section(voxels: DataFrame, function) -> DataFrame:
     """A function from a section's voxels (z, y, x, v) to others, applied to every section of every volume."""
     by = by_volume(voxels)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxmere.functions import geometry as G
 from voxmere.functions import maths, text
-from voxmere.operators import augment, components, matching, raster, windows
+from voxmere.operators import augment, components, matching, raster, ridges, windows
 from voxmere.operators.graph import checkpoint_dir
 from voxmere.plans import projections as P
 from voxmere.sources import catalog, exchange, volumes
@@ -172,6 +172,13 @@ def _tiff(s, d):
     return volumes.combined(volumes.read_volume(s, path, "tiff_volume", background=-1.0), dims, ("1", "-2", "0"))
 
 
+def _mask_places(s, d):
+    """Places to train at in three datasets, which share the volume's planes."""
+    masks = _voxels(s, d).where("v >= 0.8").withColumn("dataset", F.concat(F.lit("d"), (F.col("z") % 3).cast("string")))
+    ranges = masks.select("dataset").distinct().select("dataset", F.expr("array(5, 5, 2)").alias("lo"), F.expr("array(50, 35, 1000000)").alias("hi"))
+    return augment.mask_places(masks, ranges, 20, 7)
+
+
 def _pixels(s, d):
     """Two channels of the line items' volume."""
     rows = P.table(s, d, "lineitem").selectExpr("cast(l_partkey % 60 as int) as z", "cast(l_suppkey % 40 as int) as y", "cast(l_orderkey div 100 as int) as x", "l_extendedprice", "l_quantity")
@@ -281,6 +288,10 @@ QUERIES = {
     "w4_scan_grid": _scan,
     "w10_gaussian_filter": lambda s, d: _in_place(_r(raster.gaussian_filter(_voxels(s, d), (0.0, 0.5, 0.5), dims=_dims(s, d)), "v")),
     "m10_warp": lambda s, d: _in_place(augment.warp(_voxels(s, d), _dims(s, d), [[1, 0, 0], [0, 2, 0], [0, 0, 1]])),
+    "m10_sheared": lambda s, d: _in_place(augment.warp(_voxels(s, d), _dims(s, d), augment.linear_map(shear=(0.0, 0.5)))),
+    "m10_twist": lambda s, d: _in_place(augment.twist(_voxels(s, d), _dims(s, d), 30.0)),
+    "m1_mask_places": _mask_places,
+    "v9_gradient_edges": lambda s, d: _in_place(_r(ridges.gradient_edges(_voxels(s, d), 40, _dims(s, d)[2], 2.0, 3.0), "v")),
     "s15_transformed": _transformed,
     "u2_tree_differences": _trees,
     "g8_full_dims": lambda s, d: catalog.full_dims(catalog.parsed(P.tiles(s, d)), (100, 200)),
@@ -375,6 +386,8 @@ ORACLES = {
     "w4_scan_grid": f"with {P.VOXELS}, far as (select max(x) + 1 - 10 as m from voxels), c as (select z, y, x from (select unnest([10, 25, 40, 50])::int as z), (select unnest([5, 15, 25, 35])::int as y), (select unnest(range(10, (select m from far) + 1, 15))::int as x union select m::int from far)) select c.z, c.y, c.x, count(v) as n from c left join voxels v on v.z between c.z - 10 and c.z + 9 and v.y between c.y - 5 and c.y + 4 and v.x between c.x - 10 and c.x + 9 group by 1, 2, 3",
     "w10_gaussian_filter": f"with {P.VOXELS}, k as (select unnest(range(-2, 3))::int as d), g as (select d, exp(-d * d / 0.5::double) / (select sum(exp(-d * d / 0.5::double)) from k) as w from k) select z, (y + a.d)::int as y, (x + b.d)::int as x, round(sum(v * a.w * b.w), 6) as v from voxels, g a, g b where y + a.d between 0 and 39 and x + b.d between 0 and (select max(x) from voxels) group by 1, 2, 3",
     "m10_warp": f"with {P.VOXELS}, g as (select unnest(range(40))::int as y) select v.z, g.y, v.x, v.v from g join voxels v on v.y = round(19.5 + 0.5 * (g.y - 19.5))",
+    "m10_sheared": f"with {P.VOXELS}, m as (select max(x) / 2.0::double as mx, max(x) as far from voxels), p as (select v.z, v.y, unnest(range(greatest(0, floor(v.x + 0.5 * (v.y - 19.5) - 1)::bigint), least(far, ceil(v.x + 0.5 * (v.y - 19.5) + 1)::bigint) + 1)) as nx, v.x, v.v, m.mx from voxels v, m) select z, y, nx as x, v from p where round(mx + (nx - mx) - 0.5 * (y - 19.5)) = x",
+    "m1_mask_places": f"with {P.VOXELS}, m as (select 'd' || (z % 3) as dataset, z, y, x, md5('7:d' || (z % 3) || ':' || z || ':' || y || ':' || x) as p from voxels where v >= 0.8 and z between 5 and 49 and y between 5 and 34 and x >= 2) select dataset, row_number() over (partition by dataset order by p) as k, z, y, x from m qualify k <= 20",
     "s15_transformed": f"with {P.POINTS} select point_id, round(printf('%.2f', z)::double, 2) as z, round(printf('%.2f', y)::double, 2) as y, round(printf('%.2f', x)::double, 2) as x from points",
     "u2_tree_differences": "with a as (select o_orderkey::varchar as path, trunc(o_totalprice)::bigint as length, o_orderstatus as digest from orders), b as (select path, length + (path::bigint % 5 = 0)::int as length, digest from a) select *, 'left' as side from (select * from a except all select * from b) union all select *, 'right' from (select * from b except all select * from a)",
     "g8_full_dims": f"with {P.TILES} select max(z) + 1 as zdim, (max(y) + 1) * 100 as ydim, (max(x) + 1) * 200 as xdim from tiles",

@@ -50,3 +50,8 @@ def sorted_entries(pairs: Column) -> Column:
 def literal(value: Column, kind: str) -> Column:
     """A stored parameter as a number where it is one, else null."""
     return F.try_to_number(value, F.lit("999999999999")).cast(kind) if kind == "long" else value.try_cast(kind)
+
+
+def json_value(column: Column, path: str, kind: str) -> Column:
+    """a scalar of a JSON text, null where it is absent or no such value."""
+    return F.get_json_object(column, path).try_cast(kind)

@@ -149,3 +149,10 @@ def p_between(rows: DataFrame, column: str, lo: float, hi: float) -> DataFrame:
 def ranked(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Members of a group by value, largest first."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(value).desc(), *(c for c in rows.columns if c not in (value, *by)))))
+
+
+def first_match(rows: DataFrame, condition, order: list[str], *by: str) -> DataFrame:
+    """Of each group the first row, in a stated order, that meets a condition; nothing is sorted."""
+    rest = [c for c in rows.columns if c not in by]
+    best = F.min_by(F.struct(*rest), F.struct(*order)).alias("first")
+    return rows.where(condition).groupBy(*by).agg(best).select(*by, "first.*")

@@ -57,6 +57,19 @@ def structure_totals(counts: DataFrame, structure: DataFrame, names: list[str] |
     return ontology.rollup(counts, closed, "brain").join(chosen, "id").select("brain", "id", "name", "total")
 
 
+def structure_objects(structure: DataFrame, counts: DataFrame) -> DataFrame:
+    """H4: (id, name, parent_name, children, level, below, own, total): a structure with its sorted children, its depth below the root, how many are below it, and its own and rolled-up counts (id, cell_count)."""
+    closed = ontology.closure(structure)
+    parents = structure.select(F.col("id").alias("parent_structure_id"), F.col("name").alias("parent_name"))
+    children = structure.where("parent_structure_id is not null").groupBy(F.col("parent_structure_id").alias("id")).agg(F.array_sort(F.collect_list(F.col("id"))).alias("children"))
+    level = closed.groupBy(F.col("descendant_id").alias("id")).agg(F.max("depth").alias("level"))
+    below = closed.groupBy(F.col("ancestor_id").alias("id")).agg((F.count(F.lit(1)) - 1).alias("below"))
+    own = counts.groupBy("id").agg(F.sum("cell_count").alias("own"))
+    total = closed.join(own, closed["descendant_id"] == own["id"]).groupBy(F.col("ancestor_id").alias("id")).agg(F.sum("own").alias("total"))
+    out = structure.join(parents, "parent_structure_id", "left").join(children, "id", "left").join(level, "id").join(below, "id").join(own, "id", "left").join(total, "id", "left")
+    return out.select("id", "name", "parent_name", F.coalesce("children", F.array().cast("array<bigint>")).alias("children"), "level", "below", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
 def network(structure: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """H8: nodes with their size and edges of weight 1 from parents to children."""
     nodes = structure.select("id", "name").join(totals.groupBy("id").agg(F.sum("total").alias("size")), "id", "left").fillna(0, ["size"])

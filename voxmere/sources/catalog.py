@@ -125,6 +125,32 @@ def parameters(rows: DataFrame) -> DataFrame:
     return rows.withColumn("number", F.col("value").try_cast("double"))
 
 
+def save_parameters(rows: DataFrame, path: str) -> None:
+    """Parameters (expt, key, value) stored for other runs; values are text, keys of nested parameters are parted by dots."""
+    rows.select(*(F.col(c).cast("string").alias(c) for c in ("expt", "key", "value"))).write.mode("overwrite").parquet(path)
+
+
+def flat_parameters(spark: SparkSession, expt: str, values: dict) -> DataFrame:
+    """A (nested) dictionary of a run's parameters as rows."""
+
+    def rows(prefix: str, part: dict):
+        for k, v in part.items():
+            if isinstance(v, dict):
+                yield from rows(f"{prefix}{k}.", v)
+            else:
+                yield expt, f"{prefix}{k}", None if v is None else str(v)
+
+    return spark.createDataFrame(list(rows("", values)), "expt string, key string, value string")
+
+
+def load_parameters(spark: SparkSession, path: str, changes: DataFrame | None = None) -> DataFrame:
+    """Stored parameters with their numbers; `changes` (expt, key, value) replace or add to them."""
+    stored = spark.read.schema("expt string, key string, value string").parquet(path)
+    if changes is not None:
+        stored = stored.join(changes.select("expt", "key"), ["expt", "key"], "left_anti").unionByName(changes.select("expt", "key", "value"))
+    return parameters(stored)
+
+
 def last_metric(lines: DataFrame) -> DataFrame:
     """the number of the last `Final metric value` line of each log (log, line_no, line)."""
     hit = lines.where(F.col("line").startswith("Final metric value"))

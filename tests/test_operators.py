@@ -296,7 +296,7 @@ def test_volumes_stay_apart(spark):
     """Every kernel gives for two volumes together what it gives for each alone."""
     from pyspark.sql import functions as F
 
-    from voxmere.operators import edges, inference
+    from voxmere.operators import inference, ridges
 
     rng = random.Random(3)
     rows = [(n, z, y, x, rng.random()) for n in "ab" for z in range(3) for y in range(6) for x in range(6) if rng.random() < 0.6]
@@ -309,7 +309,7 @@ def test_volumes_stay_apart(spark):
         lambda d: raster.dilate(d, (0, 1, 1), dims), lambda d: raster.erode(d, (0, 0, 1)), lambda d: raster.closed(d, (0, 1, 1)), lambda d: raster.stamp(d, raster.ball(1), dims), lambda d: raster.stitch(tiles(d), 3, 1),
         lambda d: raster.blend_sheets(d, d.withColumn("v", F.col("v") * 0.5), 6), lambda d: raster.block_mean(d, (2, 2, 2)), lambda d: raster.resample(d, dims, (2, 9, 5)),
         lambda d: windows.merged_by_max(patched(d), dims), lambda d: windows.blended(patched(d)), lambda d: windows.bump_blended(patched(d), (3, 4, 4)), lambda d: windows.overwritten(patched(d), "patch_id"), lambda d: windows.set_patch(d, d.where("x < 2"), "sum"),
-        lambda d: edges.gradient_edges(d, 6, 6, 0.1, 0.2), lambda d: augment.warp(d, dims, [[1, 0, 0], [0, 0.8, 0], [0, 0, 1]]), lambda d: augment.blur_sections(d, dims, [1], 0.7), lambda d: inference.infer(inference.dense_patches(d, dims, (2, 3, 3), (3, 4, 4)), (3, 4, 4), lambda a: a * 2),
+        lambda d: ridges.gradient_edges(d, 6, 6, 0.1, 0.2), lambda d: augment.warp(d, dims, [[1, 0, 0], [0, 0.8, 0], [0, 0, 1]]), lambda d: augment.blur_sections(d, dims, [1], 0.7), lambda d: inference.infer(inference.dense_patches(d, dims, (2, 3, 3), (3, 4, 4)), (3, 4, 4), lambda a: a * 2),
     ]
     for k, kernel in enumerate(kernels):
         found = kernel(both)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxmere.functions.maths import mean_radius
 from voxmere.operators.edges import covered
-from voxmere.operators.graph import connected_components
+from voxmere.operators.graph import connected_components, cut
 from voxmere.operators.raster import by_volume, otsu
 
 
@@ -60,9 +60,17 @@ def label(voxels: DataFrame, ydim: int, xdim: int, neighbours: int = 18, same_va
 
 
 def numbered(labelled: DataFrame) -> DataFrame:
-    """Labels as 1, 2, 3 ... in order of first appearance, as raster scans give them; ranks components, not voxels."""
-    order = Window.partitionBy("volume_id").orderBy("label")
-    numbers = labelled.select("volume_id", "label").distinct().withColumn("val", F.row_number().over(order))
+    """Labels as 1, 2, 3 ... in order of first appearance, as raster scans give them.
+
+    Components, not voxels, are dealt by ranges of their labels, numbered within a range, and moved on by the number
+    of components in the ranges before it, so no task holds a volume's components.
+    """
+    labels = labelled.select("volume_id", "label").distinct().repartitionByRange("volume_id", "label")
+    placed = cut(labels.withColumn("part", F.spark_partition_id()))
+    ranges = Window.partitionBy("volume_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("volume_id", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(ranges), F.lit(0)))
+    own = placed.withColumn("k", F.row_number().over(Window.partitionBy("volume_id", "part").orderBy("label")))
+    numbers = own.join(before, ["volume_id", "part"]).select("volume_id", "label", (F.col("before") + F.col("k")).cast("int").alias("val"))
     return labelled.join(numbers, ["volume_id", "label"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, Window
@@ -31,7 +32,7 @@ def greedy(pairs: DataFrame, *by: str, most_rounds: int = 10_000) -> DataFrame:
     Each round takes the pairs that are the best of both their members; these are exactly pairs that the
     sequential order takes, and what touches them is out. Every round settles at least one pair of each group.
     """
-    left, taken = cut(pairs.select(*by, "truth_idx", "pred_idx", "dist")), None
+    left, taken = cut(pairs.select(*by, "truth_idx", "pred_idx", "dist")), []
     order = [F.col("dist"), F.col("truth_idx"), F.col("pred_idx")]
     for _ in range(most_rounds):
         if left.isEmpty():
@@ -40,11 +41,13 @@ def greedy(pairs: DataFrame, *by: str, most_rounds: int = 10_000) -> DataFrame:
         best_p = Window.partitionBy(*by, "pred_idx").orderBy(*order)
         ranked = left.withColumn("rt", F.row_number().over(best_t)).withColumn("rp", F.row_number().over(best_p))
         both = cut(ranked.where("rt = 1 and rp = 1").drop("rt", "rp"))
-        taken = both if taken is None else cut(taken.unionByName(both))
+        taken.append(both)
+        if len(taken) == 32:  # pairs are written again once in 31 rounds
+            taken = [cut(reduce(DataFrame.unionByName, taken))]
         left = cut(left.join(both.select(*by, "truth_idx"), [*by, "truth_idx"], "left_anti").join(both.select(*by, "pred_idx"), [*by, "pred_idx"], "left_anti"))
     else:
         raise RuntimeError(f"pairs are left after {most_rounds} rounds")
-    return pairs.select(*by, "truth_idx", "pred_idx", "dist").limit(0) if taken is None else taken
+    return reduce(DataFrame.unionByName, taken) if taken else pairs.select(*by, "truth_idx", "pred_idx", "dist").limit(0)
 
 
 def match_stats(truth: DataFrame, pred: DataFrame, matched: DataFrame, *by: str) -> DataFrame:

@@ -267,7 +267,7 @@ QUERIES = {
     "s14_point_lines": lambda s, d: exchange.point_lines(_all_events(s, d).selectExpr("idx as point_id", "cast(z as int) as z", "cast(y as int) as y", "cast(x as int) as x")),
     "s17_npy_round_trip": _npy,
     "v15_combined_planes": _tiff,
-    "v17_expression_mask": lambda s, d: _r(raster.expression_mask(_pixels(s, d), 5.0, 0.4, 300, 1), "v"),
+    "v17_expression_mask": lambda s, d: _r(raster.expression_mask(_pixels(s, d), 5.0, 0.4, 300, 1, most_rounds=6), "v"),
     "m3_flip": lambda s, d: augment.flip(_voxels(s, d), (60, 40, 600), "zy").select("z", "y", "x", "v"),
     "m3_transpose": lambda s, d: augment.transpose(_voxels(s, d)).select("z", "y", "x", "v"),
     "m4_gray": lambda s, d: _r(augment.gray(_voxels(s, d), 0.8, 0.1, -0.5), "v").select("z", "y", "x", "v"),

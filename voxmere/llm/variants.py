@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,39 +45,50 @@ def number(c: np.ndarray, at: np.ndarray, lane: int) -> np.ndarray:
         return mix(mix(c.astype(U64) + U64(0x9E3779B97F4A7C15 if lane else 1)) + at.astype(U64) * U64(0xD1B54A32D192ED03))
 
 
-def lanes(c: np.ndarray, shift: int) -> list[np.ndarray]:
-    """Sums of the numbers of the first 0, 1, 2 ... characters, each put `shift` places on."""
-    at = np.arange(len(c)) + shift
-    with np.errstate(over="ignore"):
-        return [np.concatenate([np.zeros(1, U64), np.cumsum(number(c, at, k), dtype=U64)]) for k in (0, 1)]
+def characters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all words one after the other, and where each word begins (and the last ends)."""
+    joined = "".join(words.to_pylist())
+    ends = np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)
+    return np.frombuffer(joined.encode("utf-32-le"), np.uint32), np.concatenate([np.zeros(1, np.int64), ends])
 
 
-def whole(word: str) -> tuple[int, int]:
-    c = np.frombuffer(word.encode("utf-32-le"), np.uint32)
-    return tuple(int(x[-1].view(np.int64)) for x in lanes(c, 0))
+def whole(words: pa.Array) -> list[np.ndarray]:
+    """The two halves of each word's number; words are not empty."""
+    c, begin = characters(words)
+    at = np.arange(len(c)) - np.repeat(begin[:-1], np.diff(begin))
+    with np.errstate(over="ignore"):
+        return [np.add.reduceat(number(c, at, k), begin[:-1]).view(np.int64) if len(c) else np.zeros(0, np.int64) for k in (0, 1)]
 
 
-def places(word: str) -> dict[str, np.ndarray]:
-    """A row for each character of a word and one for its end.
+def places(words: pa.Array) -> dict[str, np.ndarray]:
+    """A row for each character of each word and one for its end; words are not empty.
 
     a: the whole word. p: what is before the place. b: the word without the character there, its place left open.
     d: the word with it skipped; skips: not if the next is the same, since skipping that one gives the same word.
     s: what is before, and from there on everything one place later, so that a character fits in between.
     """
-    c = np.frombuffer(word.encode("utf-32-le"), np.uint32)
-    n = len(c)
-    own, back, on = lanes(c, 0), lanes(c, -1), lanes(c, 1)
-    after = np.minimum(np.arange(n + 1) + 1, n)
-    out = {"c": np.append(c.astype(np.int32), np.int32(END)), "at": np.arange(n + 1, dtype=np.int32)}
+    c, begin = characters(words)
+    length = np.diff(begin)
+    word = np.repeat(np.arange(len(length)), length + 1)
+    start = begin[:-1] + np.arange(len(length))  # of each word's rows
+    at = np.arange(len(word)) - start[word]
+    end = at == length[word]
+    char = np.full(len(word), END, np.int32)
+    char[~end] = c
+    out = {"c": char, "at": at.astype(np.int32)}
     with np.errstate(over="ignore"):
         for k, lane in enumerate("12"):
-            total = own[k][-1]
-            out[f"a{lane}"] = np.full(n + 1, total)
-            out[f"p{lane}"] = own[k]
-            out[f"b{lane}"] = own[k] + total - own[k][after]
-            out[f"d{lane}"] = own[k] + back[k][-1] - back[k][after]
-            out[f"s{lane}"] = own[k] + on[k][-1] - on[k]
-    out["skips"] = np.append(np.append(c[:-1] != c[1:], n > 0)[:n], False)
+            own, back, on = (np.where(end, U64(0), number(char, at + shift, k)) for shift in (0, -1, 1))
+            upto, back_upto, on_upto = (np.cumsum(x, dtype=U64) for x in (own, back, on))
+            last = start + length  # the row of a word's end: sums up to there hold the whole word
+            before = upto - own - (upto - own)[start][word]  # what precedes a row in its word
+            out[f"a{lane}"] = (upto[last] - (upto - own)[start])[word]
+            out[f"p{lane}"] = before
+            out[f"b{lane}"] = out[f"a{lane}"] - own
+            out[f"d{lane}"] = before + back_upto[last][word] - back_upto
+            out[f"s{lane}"] = before + on_upto[last][word] - (on_upto - on)
+    follows = np.append(char[1:], np.int32(END))
+    out["skips"] = ~end & (char != follows)
     return out
 
 
@@ -84,25 +96,23 @@ def spelt(words: DataFrame) -> DataFrame:
     """The rows of `places` of every word."""
     names = [x.split()[0] for x in f"{_EDGE}, {_WAYS}".split(", ")]
 
-    def batches_of(batches):
-        held, rows = [], 0
+    def rows(batches):
         for b in batches:
-            for word in b["word"].to_pylist():
-                found = places(word)
-                for i in range(0, len(word) + 1, ROWS):
-                    held.append({k: v[i : i + ROWS] for k, v in found.items()})
-                    rows += len(held[-1]["c"])
-                    if rows >= ROWS:
-                        yield joined(held)
-                        held, rows = [], 0
-        if held:
-            yield joined(held)
+            for first, last in slices_of(b["word"]):
+                found = places(b["word"].slice(first, last - first))
+                columns = [v.view(np.int64) if v.dtype == U64 else v for v in (found[k] for k in names)]
+                for i in range(0, len(columns[0]), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(v[i : i + ROWS]) for v in columns], names=names)
+
+    return in_batches(words.select("word")).mapInArrow(rows, f"{_EDGE}, {_WAYS}")
 
-    def joined(held):
-        whole_columns = [np.concatenate([h[k] for h in held]) for k in names]
-        return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == U64 else v) for v in whole_columns], names=names)
 
-    return in_batches(words.select("word")).mapInArrow(batches_of, f"{_EDGE}, {_WAYS}")
+def slices_of(words: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of words with about ROWS characters together; a longer word is a range of its own."""
+    ends = np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // ROWS)) + 1
+    bounds = [0, *cuts.tolist(), len(ends)]
+    return [(i, j) for i, j in zip(bounds, bounds[1:]) if i < j]
 
 
 def heavy_paths(rows: DataFrame) -> DataFrame:
@@ -141,8 +151,8 @@ def near_words(words: DataFrame) -> DataFrame:
 
     def keys(batches):
         for b in batches:
-            found = [whole(w) for w in b["word"].to_pylist()]
-            yield b.append_column("w1", pa.array([f[0] for f in found], pa.int64())).append_column("w2", pa.array([f[1] for f in found], pa.int64()))
+            found = whole(b["word"])
+            yield b.append_column("w1", pa.array(found[0])).append_column("w2", pa.array(found[1]))
 
     keyed = written(in_batches(words.select("word", "n")).mapInArrow(keys, "word string, n long, w1 long, w2 long"))
     rows = written(spelt(words))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmere.llm.common import cut, in_batches, table, written
+from voxmere.llm.common import cut, in_batches, may_be_in, table, written
 from voxmere.llm.textvec import U64, mix
 
 LETTERS = "A-Za-z\\u00C0-\\u00FF"
@@ -31,8 +31,8 @@ DAMAGE = 97
 #: Prefixes of up to so many characters are sent to all tasks: words are runs of 90 characters (26 + 64), so there
 #: are at most 1 + 90 + 8100 of them.
 SHORT = 2
-#: Rows of positions in one Arrow batch.
-ROWS = 1 << 17
+#: About so many characters are spelt at a time.
+ROWS = 1 << 14
 END = -1
 
 _EDGE = "c int, p1 long, p2 long, at int"
@@ -161,7 +161,9 @@ def near_words(words: DataFrame) -> DataFrame:
     on = ["p1", "p2", "at"]
     short = rows.where(F.col("at") <= SHORT).join(F.broadcast(nodes.where(F.col("at") <= SHORT)), on).where(light)
     deep = rows.where(F.col("at") > SHORT).join(nodes.where(F.col("at") > SHORT), on).where(light)
-    changed = written(merged(short.unionByName(deep)))
+    changed = merged(short.unionByName(deep))
+    # most changed words are none of the trie's: those that cannot be are neither written nor moved
+    changed = written(changed.where(F.col("open").isNotNull() | F.coalesce(may_be_in(changed, "t1", keyed, "w1"), F.lit(False))))
 
     word_of = lambda side: keyed.select(F.col("w1").alias(f"{side}1"), F.col("w2").alias(f"{side}2"), F.struct((-F.col("n")).alias("minus"), "word").alias(f"{side}_is"))
     met = changed.where("open is null").join(word_of("t"), ["t1", "t2"]).join(word_of("a"), ["a1", "a2"])

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -267,10 +268,70 @@ def test_lines_within_one_edit(spark):
     rows = [(1, base + "\nshort"), (2, base[:-1] + "\nX" + base[1:]), (3, base + "!\nshort"), (4, None), (5, ""), (6, base[:5] + base[6:]), (7, "ab" + base[2:20] + "__" + base[22:]), (8, base + "\n" + base)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc: r.removed for r in linededup.duplicate_lines(df).collect()}
-    assert got == {2: [0, 1], 3: [0], 6: [0], 8: [0, 1]}
+    assert got == {2: [0, 1], 3: [0, 1], 6: [0], 8: [0, 1]}
     kept = {r.doc_id: r.text for r in linededup.without_duplicate_lines(df).collect()}
-    assert kept[3] == "short" and 2 not in kept and 8 not in kept and kept[4] is None and kept[5] == "" and kept[7] == rows[6][1]
-    assert {r.doc for r in linededup.duplicate_lines(df, max_edits=0).collect()} == {8}
+    assert not kept.keys() & {2, 3, 8} and kept[4] is None and kept[5] == "" and kept[7] == rows[6][1]
+    assert {r.doc: r.removed for r in linededup.duplicate_lines(df, max_edits=0).collect()} == {3: [1], 8: [0, 1]}
+
+
+@given(st.lists(st.text("aé🙂", min_size=1, max_size=9), min_size=1, max_size=12), st.integers(1, 5))
+@settings(max_examples=200, deadline=None)
+def test_variants_are_equal_where_texts_are(lines, most):
+    """Every wanted place once, and hashes that agree exactly where what remains does."""
+    masks = np.arange(len(lines)) * 7 % 15 + 1
+    made = [x for part in linededup.variants(pa.array([x.encode() for x in lines]), masks, most) for x in zip(*(y.tolist() for y in part), strict=True)]
+    wanted = []
+    for row, (line, mask) in enumerate(zip(lines, masks.tolist(), strict=True)):
+        for bits, n in ((3, len(line)), (12, len(line) + 1)):
+            places = [i for i in range(n) if mask & bits & (0b0101 if i < n // 2 else 0b1010)]
+            wanted += [(row, n, i, line[:i] + line[i + 1 :] if bits == 3 else line) for i in places]
+    assert sorted(x[:3] for x in made) == sorted(x[:3] for x in wanted)
+    remains = {x[:3]: x[3] for x in wanted}
+    hashes = collections.defaultdict(set)
+    for row, n, i, v in made:
+        hashes[remains[row, n, i]].add(v)
+    assert all(len(x) == 1 for x in hashes.values()) and len(set().union(*hashes.values())) == len(hashes)
+
+
+@given(st.text("ab🙂", max_size=7), st.text("ab🙂", max_size=7))
+@settings(max_examples=400, deadline=None)
+def test_one_edit(a, b):
+    assert linededup.within_one_edit(a, b) == (brute_edits(a, b) <= 1)
+
+
+def test_lines_against_all_pairs(spark):
+    """Lines of two letters, so that most have partners; the shortest only go as copies."""
+    rng = np.random.default_rng(5)
+    rows = [(d, "\n".join("".join(rng.choice(list("ab"), rng.integers(0, 9))) for _ in range(6))) for d in range(30)]
+    lines = [(d, no, x) for d, t in rows for no, x in enumerate(t.split("\n")) if x]
+    close = lambda a, b: a == b or min(len(a), len(b)) >= 5 and brute_edits(a, b) <= 1
+    want = collections.defaultdict(list)
+    for k, (d, no, x) in enumerate(lines):
+        if any(close(x, y) for _, _, y in lines[:k]):
+            want[d].append(no)
+    got = linededup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=5).collect()
+    assert {r.doc: r.removed for r in got} == dict(want)
+
+
+def brute_edits(a: str, b: str) -> int:
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
+def test_lines_of_a_million_characters(spark):
+    """Work is in proportion to a line's length; blank lines stay where they are."""
+    base = " ".join(f"w{i * 7919 % 100_003}" for i in range(150_000))
+    rows = [(1, f"{base}\n \n"), (2, base[:400_000] + "#" + base[400_000:]), (3, f" \n{base[:700_000]}#{base[700_001:]}\n\nmore"), (4, base[:300] + "?" + base[302:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    begun = time.time()
+    kept = {r.doc_id: r.text for r in linededup.without_duplicate_lines(df).collect()}
+    assert len(base) > 900_000 and time.time() - begun < 120
+    assert kept == {1: rows[0][1], 3: " \n\nmore", 4: rows[3][1]}
 
 
 def test_lines_odd_inputs(spark, odd, empty):

@@ -13,6 +13,7 @@ import pytest
 from common import DATA, duck, rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from voxmere.llm import decontam, langid, linededup, neardup, packing, quality, queries, repeats, sharding, toxicity, webp
@@ -364,6 +365,26 @@ def test_shards_are_even(spark, texts):
         assert (r["size"], r["text_crc32"]) == (len(raw) + 16, zlib.crc32(raw))
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_shards_against_a_sort(spark, hot):
+    """Shards are ranges of the rows as sorted in memory, and no other cut of that order is nearer, beyond the tolerance."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    if hot:
+        docs = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.lit("one text that a third of all rows hold")).otherwise(F.col("text")))
+    keys = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    rows = sorted(sharding.shard_by_bytes(docs, 8).select("doc_id", "size", "shard", "slot").collect(), key=lambda r: (keys[r.doc_id], r.doc_id))
+    seen = collections.Counter()
+    for before, r in zip([rows[0], *rows], rows):
+        assert r.shard >= before.shard and r.slot == seen[r.shard]
+        seen[r.shard] += 1
+    below = np.concatenate([[0], np.cumsum([r["size"] for r in rows])])
+    total = int(below[-1])
+    for s in range(1, 8):
+        cut = sum(n for shard, n in seen.items() if shard < s)
+        target = total * s // 8
+        assert abs(below[cut] - target) <= max(total * 0.001 / 8, np.abs(below - target).min())
+
+
 def test_shards_move_the_texts(spark):
     """The digest is taken from what arrives in the shards."""
     plan = queries.QUERIES["op6_histogram_sort"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()

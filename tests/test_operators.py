@@ -90,6 +90,15 @@ def test_distance_join_plans_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_distance_join_broadcasts_no_side_and_keeps_every_pair(spark):
+    rng = random.Random(8)
+    t, p = ([tuple(rng.choice((rng.uniform(-9, 9), rng.randrange(-9, 9) * 0.7)) for _ in range(3)) for _ in range(150)] for _ in range(2))
+    pairs = matching.distance_join(_frame(spark, t), _frame(spark, p), 2.1)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    want = sorted((i, j) for i, a in enumerate(t) for j, b in enumerate(p) if sum((x - y) * (x - y) for x, y in zip(a, b)) ** 0.5 <= 2.1)
+    assert sorted((r.truth_idx, r.pred_idx) for r in pairs.collect()) == want
+
+
 @pytest.mark.parametrize("n,expected", [(6, 4), (18, 1), (26, 1)])
 def test_component_neighbours(spark, n, expected):
     v = spark.createDataFrame([("a", *c, 1.0) for c in ((0, 0, 0), (0, 1, 1), (1, 2, 1), (2, 2, 2))], "volume_id string, z int, y int, x int, v double")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,16 +13,18 @@ from voxmere.operators.graph import cut
 def distance_join(truth: DataFrame, pred: DataFrame, cutoff: float, *by: str) -> DataFrame:
     """(by, truth_idx, pred_idx, dist) of all pairs at most `cutoff` apart; inputs are (by, idx, z, y, x).
 
-    Space is cut into cubes of side `cutoff`; truth goes to its own and the 26 cubes around, so pairs meet by
-    equality of the cube and only near ones are measured.
+    Space is cut into cubes of twice the cutoff; truth goes to those that its reach touches, two on an axis, so pairs
+    meet by equality of the cube and only near ones are measured. Both sides are shuffled: Spark's estimate of the
+    truth does not count its copies, and it would be broadcast whole.
     """
-    cube = [F.floor(F.col(c) / cutoff).alias(f"g{c}") for c in "zyx"]
-    steps = F.array(*(F.struct(*(F.lit(d).alias(n) for d, n in zip(o, ("dz", "dy", "dx")))) for o in product((-1, 0, 1), repeat=3)))
-    t = truth.select(*by, F.col("idx").alias("truth_idx"), *(F.col(c).alias(f"t{c}") for c in "zyx"), *cube, F.explode(steps).alias("s"))
-    t = t.withColumns({f"g{c}": F.col(f"g{c}") + F.col(f"s.d{c}") for c in "zyx"}).drop("s")
-    p = pred.select(*by, F.col("idx").alias("pred_idx"), *(F.col(c).alias(f"p{c}") for c in "zyx"), *cube)
+    side = 2.0 * cutoff
+    t = truth.select(*by, F.col("idx").alias("truth_idx"), *(F.col(c).alias(f"t{c}") for c in "zyx"))
+    for c in "zyx":
+        reach = cutoff * (1 + 1e-9) + F.abs(F.col(f"t{c}")) * 1e-14  # a little more than the cutoff, as the distance is rounded
+        t = t.withColumn(f"g{c}", F.explode(F.sequence(F.floor((F.col(f"t{c}") - reach) / side), F.floor((F.col(f"t{c}") + reach) / side))))
+    p = pred.select(*by, F.col("idx").alias("pred_idx"), *(F.col(c).alias(f"p{c}") for c in "zyx"), *(F.floor(F.col(c) / side).alias(f"g{c}") for c in "zyx"))
     square = sum(((F.col(f"t{c}") - F.col(f"p{c}")) * (F.col(f"t{c}") - F.col(f"p{c}")) for c in "zyx"), F.lit(0.0))
-    return t.join(p, [*by, "gz", "gy", "gx"]).withColumn("dist", F.sqrt(square)).where(F.col("dist") <= cutoff).select(*by, "truth_idx", "pred_idx", "dist")
+    return t.join(p.hint("merge"), [*by, "gz", "gy", "gx"]).withColumn("dist", F.sqrt(square)).where(F.col("dist") <= cutoff).select(*by, "truth_idx", "pred_idx", "dist")
 
 
 def greedy(pairs: DataFrame, *by: str, most_rounds: int = 10_000) -> DataFrame:

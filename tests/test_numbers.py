@@ -135,3 +135,25 @@ def test_distances_of_matrix_rows(spark, metric):
     rows = [i for i in range(9) if metric == "euclidean" or m[i].std() > 0]
     of = (lambda a, b: 1 - np.corrcoef(a, b)[0, 1]) if metric == "correlation" else (lambda a, b: np.linalg.norm(a - b))
     assert found == pytest.approx({(i, j): float(of(m[i], m[j])) for i, j in itertools.combinations(rows, 2)}, abs=1e-9)
+
+
+def test_distances_shuffle_rows_and_not_pairs(spark):
+    m = np.random.default_rng(6).integers(0, 9, (200, 4)).astype(float)
+    cells = spark.createDataFrame([(i, f"c{j}", float(m[i, j])) for i, j in np.ndindex(m.shape)], "region long, brain string, n double")
+    pairs = L.distances(cells, "region", "brain", "n", "euclidean", block=64)
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r.a, r.b): r.d for r in pairs.collect()}
+    assert found == pytest.approx({(i, j): float(np.linalg.norm(m[i] - m[j])) for i, j in itertools.combinations(range(200), 2)}, abs=1e-9)
+
+
+@pytest.mark.parametrize("method", ["weighted", "average"])
+def test_linkage_of_rows_against_one_at_a_time(spark, method):
+    rng = np.random.default_rng(7)
+    m = rng.integers(0, 50, (90, 5)).astype(float)
+    m[60:70], m[75:80] = m[3], m[70]  # copies
+    cells = spark.createDataFrame([(i, f"c{j}", float(m[i, j])) for i, j in np.ndindex(m.shape)], "region long, brain string, n double")
+    found = sorted(map(tuple, L.linkage_of_rows(cells, "region", "brain", "n", method, block=64).collect()), key=lambda r: (round(r[2], 6), r[:2]))
+    want = sorted(brute_linkage(np.maximum(0.0, 1 - np.corrcoef(m)), method), key=lambda r: (round(r[2], 6), r[:2]))
+    assert [r[:2] + r[3:] for r in found] == [r[:2] + r[3:] for r in want]
+    assert [r[2] for r in found] == pytest.approx([r[2] for r in want], abs=1e-7)
+    assert L.linkage_of_rows(cells.where("region = 1"), "region", "brain", "n").count() == 0

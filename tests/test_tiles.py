@@ -107,3 +107,13 @@ def test_places_among_masks(spark):
         valid.sort(key=lambda m: hashlib.md5(":".join(map(str, (4, *m))).encode()).hexdigest())
         want |= {(d, k + 1, *m[1:]) for k, m in enumerate(valid[:15])}
     assert {tuple(r) for r in augment.mask_places(frame, known, 15, 4).collect()} == want
+
+
+def test_parts_of_the_volume_follow_its_splits(spark):
+    from common import DATA
+
+    from voxmere.plans import projections as P
+
+    splits = P.table(spark, f"{DATA}/sf0.01", "lineitem").rdd.getNumPartitions()
+    held = P.voxels(spark, f"{DATA}/sf0.01").rdd.glom().map(len).collect()
+    assert len(held) == 8 * splits and max(held) < 2 * sum(held) / len(held)

@@ -12,7 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").selectExpr("cast(l_partkey % 60 as int) as z", "cast(l_suppkey % 40 as int) as y", "cast(l_orderkey div 100 as int) as x", "(l_quantity - 1) / 49 as v")
-    return rows.groupBy("z", "y", "x").agg(F.max("v").alias("v")).select(F.lit("a").alias("volume_id"), "z", "y", "x", "v")
+    # eight parts for each split that is read: what a task holds of the volume does not grow with the table
+    dealt = rows.repartition(8 * rows.rdd.getNumPartitions(), "z", "y", "x")
+    return dealt.groupBy("z", "y", "x").agg(F.max("v").alias("v")).select(F.lit("a").alias("volume_id"), "z", "y", "x", "v")
 
 
 VOXELS = "voxels as (select 'a' as volume_id, (l_partkey % 60)::int as z, (l_suppkey % 40)::int as y, (l_orderkey // 100)::int as x, max((l_quantity - 1) / 49) as v from lineitem group by 2, 3, 4)"

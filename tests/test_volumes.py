@@ -194,3 +194,23 @@ def test_tiff_kinds(spark, tmp_path):
     (tmp_path / "big.tiff").write_bytes(b"".join(out))
     frame = volumes.read_volume(spark, str(tmp_path / "big.tiff"), "tiff_volume", part_bytes=100)
     assert frame.rdd.getNumPartitions() == 3 and places(frame) == full(a)
+
+
+def test_writer_holds_one_plane_of_its_slab(tmp_path):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from voxmere.sources import volumes
+
+    writer = volumes.NpyVolumes({"path": str(tmp_path), "dims": "64,64,256", "depth": "64", "dtype": "float64", "background": "-1"}).writer(None, True)
+    rows = pa.RecordBatch.from_pydict({"volume_id": pa.array([None] * 3, pa.string()), "z": [0, 5, 63], "y": [0, 1, 63], "x": [0, 2, 255], "v": [None, 2.0, 3.0], "slab": [0, 0, 0]})
+    tracemalloc.start()
+    done = writer.write(iter([rows]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    writer.commit([done])
+    a = np.load(tmp_path / "z000000.npy")
+    assert a.shape == (64, 64, 256) and a[5, 1, 2] == 2 and a[63, 63, 255] == 3 and (a == -1).sum() == a.size - 2
+    assert peak < 2 << 20  # the slab is 8 MB

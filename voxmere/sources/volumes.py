@@ -167,27 +167,27 @@ class Written(WriterCommitMessage):
         self.moves, self.folder = moves, folder
 
 
-def npy_bytes(a: np.ndarray) -> bytes:
+def npy_ends(shape: tuple[int, int, int], dtype: np.dtype) -> tuple[bytes, bytes]:
+    """What stands before and after the planes in a .npy file."""
     out = io.BytesIO()
-    np.lib.format.write_array(out, a, allow_pickle=False)
-    return out.getvalue()
+    np.lib.format.write_array_header_1_0(out, {"descr": np.lib.format.dtype_to_descr(dtype), "fortran_order": False, "shape": shape})
+    return out.getvalue(), b""
 
 
-def tiff_bytes(a: np.ndarray) -> bytes:
-    """An uncompressed TIFF with a page for each plane, each in one strip."""
-    a = np.ascontiguousarray(a, a.dtype.newbyteorder("<"))
-    form = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
-    page = a[0].nbytes
+def tiff_ends(shape: tuple[int, int, int], dtype: np.dtype) -> tuple[bytes, bytes]:
+    """What stands before and after the planes in an uncompressed TIFF with a page for each plane, each in one strip."""
+    form = {"u": 1, "i": 2, "f": 3}[dtype.kind]
+    page = shape[1] * shape[2] * dtype.itemsize
     entries = 9
     step = 2 + 12 * entries + 4
-    if 8 + len(a) * (page + step) >= 1 << 32:
+    if 8 + shape[0] * (page + step) >= 1 << 32:
         raise ValueError("a TIFF file ends at 4 GB; use thinner slabs")
-    out = [struct.pack("<2sHI", b"II", 42, 8 + len(a) * page)] + [p.tobytes() for p in a]
-    for k in range(len(a)):
-        tags = [(256, 4, a.shape[2]), (257, 4, a.shape[1]), (258, 3, 8 * a.dtype.itemsize), (259, 3, 1), (262, 3, 1), (273, 4, 8 + k * page), (277, 3, 1), (279, 4, page), (339, 3, form)]
-        at = 8 + len(a) * page + (k + 1) * step
-        out.append(struct.pack("<H", entries) + b"".join(struct.pack("<HHII", tag, kind, 1, v) for tag, kind, v in tags) + struct.pack("<I", at if k + 1 < len(a) else 0))
-    return b"".join(out)
+    out = []
+    for k in range(shape[0]):
+        tags = [(256, 4, shape[2]), (257, 4, shape[1]), (258, 3, 8 * dtype.itemsize), (259, 3, 1), (262, 3, 1), (273, 4, 8 + k * page), (277, 3, 1), (279, 4, page), (339, 3, form)]
+        at = 8 + shape[0] * page + (k + 1) * step
+        out.append(struct.pack("<H", entries) + b"".join(struct.pack("<HHII", tag, kind, 1, v) for tag, kind, v in tags) + struct.pack("<I", at if k + 1 < shape[0] else 0))
+    return struct.pack("<2sHI", b"II", 42, 8 + shape[0] * page), b"".join(out)
 
 
 class _Writer(DataSourceArrowWriter):
@@ -196,26 +196,32 @@ class _Writer(DataSourceArrowWriter):
     A task that is run again leaves other files, which go with the folder they are in.
     """
 
-    def __init__(self, options: dict, overwrite: bool, ending: str, encode: Callable[[np.ndarray], bytes]):
-        self.path, self.ending, self.encode, self.overwrite = options["path"].rstrip("/"), ending, encode, overwrite
+    def __init__(self, options: dict, overwrite: bool, ending: str, ends: Callable[[tuple[int, int, int], np.dtype], tuple[bytes, bytes]]):
+        self.path, self.ending, self.ends, self.overwrite = options["path"].rstrip("/"), ending, ends, overwrite
         self.dims, self.depth, self.dtype = tuple(map(int, options["dims"].split(","))), int(options["depth"]), options.get("dtype", "float32")
         self.fill, self.folder = float(options.get("background", 0)), f"{self.path}/_writing-{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, folder = opened(self.folder)
         system.create_dir(folder, recursive=True)
-        moves, slab, a = [], None, None
+        dtype = np.dtype(self.dtype).newbyteorder("<")
+        moves, slab, at, plane, file, tail = [], None, 0, None, None, b""
+
+        def upto(z: int) -> None:
+            """Writes the planes before z; those without voxels are background."""
+            nonlocal at, plane
+            while at < z:
+                file.write((np.full(self.dims[1:], self.fill, dtype) if plane is None else plane).tobytes())
+                at, plane = at + 1, None
 
         def close() -> None:
-            name = f"{uuid.uuid4().hex}{self.ending}"
-            with system.open_output_stream(f"{folder}/{name}") as f:
-                f.write(self.encode(a))
-            volume, k = slab
-            moves.append((name, f"{volume}/z{k * self.depth:06d}{self.ending}" if volume else f"z{k * self.depth:06d}{self.ending}"))
+            upto(min((slab[1] + 1) * self.depth, self.dims[0]))
+            file.write(tail)
+            file.close()
 
         for b in batches:
-            volume, k = b["volume_id"].to_pylist(), b["slab"].to_numpy()
-            change = [0, *(i for i in range(1, len(b)) if k[i] != k[i - 1] or volume[i] != volume[i - 1]), len(b)]
+            volume, k, planes = b["volume_id"].to_pylist(), b["slab"].to_numpy(), b["z"].to_numpy()
+            change = [0, *(i for i in range(1, len(b)) if planes[i] != planes[i - 1] or k[i] != k[i - 1] or volume[i] != volume[i - 1]), len(b)]
             for i, j in zip(change, change[1:]):
                 if i == j:
                     continue
@@ -223,12 +229,19 @@ class _Writer(DataSourceArrowWriter):
                     if slab is not None:
                         close()
                     slab = (volume[i], int(k[i]))
-                    a = np.full((min(self.depth, self.dims[0] - slab[1] * self.depth), *self.dims[1:]), self.fill, self.dtype)
+                    at = slab[1] * self.depth
+                    name, place = f"{uuid.uuid4().hex}{self.ending}", f"z{at:06d}{self.ending}"
+                    moves.append((name, f"{volume[i]}/{place}" if volume[i] else place))
+                    head, tail = self.ends((min(self.depth, self.dims[0] - at), *self.dims[1:]), dtype)
+                    file = system.open_output_stream(f"{folder}/{name}")
+                    file.write(head)
+                upto(int(planes[i]))
+                plane = np.full(self.dims[1:], self.fill, dtype) if plane is None else plane
                 part = b.slice(i, j - i)
                 v = part["v"].to_numpy(zero_copy_only=False)
                 there = ~np.isnan(v)
-                z, y, x = (part[c].to_numpy()[there] for c in "zyx")
-                a[z - slab[1] * self.depth, y, x] = v[there]
+                y, x = (part[c].to_numpy()[there] for c in "yx")
+                plane[y, x] = v[there]
         if slab is not None:
             close()
         return Written(moves, self.folder)
@@ -272,7 +285,7 @@ class NpyVolumes(_Volumes):
         return _Reader(self.options, (".npy",), npy_planes)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options, overwrite, ".npy", npy_bytes)
+        return _Writer(self.options, overwrite, ".npy", npy_ends)
 
 
 class TiffVolumes(_Volumes):
@@ -286,7 +299,7 @@ class TiffVolumes(_Volumes):
         return _Reader(self.options, (".tif", ".tiff"), tiff_planes)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options, overwrite, ".tif", tiff_bytes)
+        return _Writer(self.options, overwrite, ".tif", tiff_ends)
 
 
 def read_volume(spark, path: str, kind: str = "npy_volume", background: float = 0.0, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -310,7 +323,7 @@ def combined(voxels: DataFrame, dims: tuple[int, int, int], orientation: tuple[s
 def write_volume(voxels: DataFrame, path: str, dims: tuple[int, int, int], depth: int = 30, dtype: str = "float32", kind: str = "npy_volume", background: float = 0.0, mode: str = "overwrite") -> None:
     """Dense slabs of `depth` planes, a file each (of a volume's own folder where there is a volume_id); slabs without voxels are written too.
 
-    A slab is one task's array. Voxels outside the dimensions are left out; of several at a place one counts.
+    A task holds one plane of its slab at a time. Voxels outside the dimensions are left out; of several at a place one counts.
     """
     spark = voxels.sparkSession
     for source in (NpyVolumes, TiffVolumes):
@@ -323,6 +336,6 @@ def write_volume(voxels: DataFrame, path: str, dims: tuple[int, int, int], depth
     volumes = voxels.select(by.alias("volume_id")).distinct()
     empty = volumes.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(dims[0] - 1), F.lit(depth)))).select("volume_id", "z", F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(None).cast("double").alias("v"))
     slabs = rows.unionByName(empty).withColumn("slab", F.floor(F.col("z") / depth).cast("int"))
-    dealt = slabs.repartition(math.ceil(dims[0] / depth), "volume_id", "slab").sortWithinPartitions("volume_id", "slab")
+    dealt = slabs.repartition(math.ceil(dims[0] / depth), "volume_id", "slab").sortWithinPartitions("volume_id", "slab", "z")
     writer = dealt.write.format(kind).mode(mode).option("dims", ",".join(map(str, dims))).option("depth", depth).option("dtype", dtype).option("background", background)
     writer.save(path)

@@ -1,6 +1,7 @@
 """Streams: objects followed through planes, patches merged by batch, results that outlive a run, late rows."""
 
 import datetime
+import random
 
 import pytest
 
@@ -90,3 +91,29 @@ def test_jobs_count_once(stream):
     put([("a", at(0)), ("a", at(1)), ("b", at(1))], job)
     put([("a", at(2)), ("c", at(3))], job)
     assert sorted(r.job for r in monitors.as_table(monitors.completed(opened(job), "job", "at", "1 hour"), out, "append").collect()) == ["a", "b", "c"]
+
+
+class Counting(dict):
+    looked = 0
+
+    def get(self, key, none=()):
+        found = super().get(key, none)
+        self.looked += len(found)
+        return found
+
+
+@pytest.mark.parametrize("side", [12, 4000])
+def test_a_cell_looks_at_the_objects_around_it(side):
+    rng = random.Random(side)
+    objects = [(k, 0, 0, 1, float(rng.randrange(side)) / 2, float(rng.randrange(side)) / 2) for k in range(3000)]
+    cells, most = [(rng.randrange(side) / 2, rng.randrange(side) / 2) for _ in range(3500)], 3.0
+    free = monitors._Free(list(objects), most)
+    free.squares = Counting(free.squares)
+    for y, x in cells:
+        near = [o for o in objects if -most <= y - o[4] < most and -most <= x - o[5] < most]
+        want = min(near, key=lambda o: ((y - o[4]) ** 2 + (x - o[5]) ** 2, o[0])) if near else None
+        assert free.take(y, x) == want
+        if want:
+            objects.remove(want)
+    assert sorted(free.rest()) == sorted(objects)
+    assert free.squares.looked < 60 * len(cells)  # of 3000 objects

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from heapq import heapify, heappop
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,57 @@ _OBJECT = "volume_id string, object_id long, z_first int, z_last int, n_planes i
 _OPEN = "number long, plane int, late long, open array<array<double>>"
 
 
+#: Closed objects leave in tables of so many rows.
+_ROWS = 1 << 16
+
+
+class _Free:
+    """Objects of a plane by their places, and places by squares of side `most`: a cell looks at the places around it, not at all objects."""
+
+    def __init__(self, objects: list, most: float):
+        self.most, self.places, self.squares = most, {}, {}
+        for o in objects:
+            self.places.setdefault((o[4], o[5]), []).append(o)
+        for place, here in self.places.items():
+            heapify(here)
+            if math.isfinite(place[0]) and math.isfinite(place[1]):
+                self.squares.setdefault(tuple(self._range(c, 0.0)[0] for c in place), set()).add(place)
+
+    def _range(self, c: float, most: float) -> range:
+        """The squares of an axis that reach from c - most to c + most, or a little further, as differences are rounded."""
+        if not math.isfinite(self.most):
+            return range(1)
+        reach = most * (1 + 1e-9) + (abs(c) * 1e-14 if most else 0.0)
+        return range(math.floor((c - reach) / self.most), math.floor((c + reach) / self.most) + 1)
+
+    def take(self, y: float, x: float) -> tuple | None:
+        """The nearest object within `most`, the first of equals; it is free no more."""
+        if self.most <= 0 or not (math.isfinite(y) and math.isfinite(x)):
+            return None
+        place = (y, x)
+        if place not in self.places:
+            best = None
+            for sy in self._range(y, self.most):
+                for sx in self._range(x, self.most):
+                    for p in self.squares.get((sy, sx), ()):
+                        dy, dx = y - p[0], x - p[1]
+                        if -self.most <= dy < self.most and -self.most <= dx < self.most:
+                            found = (dy**2 + dx**2, self.places[p][0][0], p)
+                            best = found if best is None or found < best else best
+            if best is None:
+                return None
+            place = best[2]
+        here = self.places[place]
+        o = heappop(here)
+        if not here:
+            del self.places[place]
+            self.squares[tuple(self._range(c, 0.0)[0] for c in place)].discard(place)
+        return o
+
+    def rest(self) -> list:
+        return [o for here in self.places.values() for o in here]
+
+
 class ObjectFollower(StatefulProcessor):
     """State of a volume: its open objects, the plane it has come to, and how many cells came too late for theirs."""
 
@@ -53,7 +106,7 @@ class ObjectFollower(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         number, plane, late, opened = self.state.get() if self.state.exists() else (0, None, 0, [])
         opened, closed = [tuple(o) for o in opened], []
-        cells = pd.concat(list(rows))
+        cells = pd.concat([r[["z", "y", "x", "time"]] for r in rows])
         ended = cells["z"].isna().any()
         seen = cells["time"].max()
         cells = cells.dropna(subset=["z", "y", "x"]).sort_values(["z", "y", "x"])
@@ -64,18 +117,18 @@ class ObjectFollower(StatefulProcessor):
             plane = int(z)
             active = [o for o in opened if o[2] in (z - 1, z)]
             closed += [o for o in opened if o[2] < z - 1]
-            free, grown = [o for o in active if o[2] == z - 1], [o for o in active if o[2] == z]
-            for y, x in zip(here["y"], here["x"]):
-                near = [o for o in free if -self.most <= y - o[4] < self.most and -self.most <= x - o[5] < self.most]
-                if near:
-                    o = min(near, key=lambda o: ((y - o[4]) ** 2 + (x - o[5]) ** 2, o[0]))
-                    free.remove(o)
-                    grown.append((o[0], o[1], int(z), o[3] + 1, float(y), float(x)))
+            free, grown = _Free([o for o in active if o[2] == z - 1], self.most), [o for o in active if o[2] == z]
+            for y, x in zip(map(float, here["y"]), map(float, here["x"])):
+                if o := free.take(y, x):
+                    grown.append((o[0], o[1], int(z), o[3] + 1, y, x))
                 else:
-                    grown.append((number, int(z), int(z), 1, float(y), float(x)))
+                    grown.append((number, int(z), int(z), 1, y, x))
                     number += 1
             # an object may still grow in this plane: its cells may come in several batches
-            opened = grown + free
+            opened = grown + free.rest()
+            if len(closed) >= _ROWS:  # late cells come first, so their number is final
+                yield self._rows(key, closed, late)
+                closed = []
         if ended:
             closed, opened = closed + opened, []
         self.state.update((number, plane, late, [list(map(float, o)) for o in opened]))

@@ -107,7 +107,7 @@ def _activated(s, d):
 
 def _sections(s, d):
     """Every section less its mean."""
-    return inference.per_section(P.voxels(s, d), lambda pdf: pdf.assign(v=pdf["v"] - pdf["v"].mean())).select("z", "y", "x", F.round("v", 6).alias("v"))
+    return inference.per_section(P.voxels(s, d), lambda pdf: pdf.assign(v=pdf["v"] - pdf["mean"]), {"mean": F.avg("v")}).select("z", "y", "x", F.round("v", 6).alias("v"))
 
 
 def _composed(s, d):

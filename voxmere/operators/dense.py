@@ -14,19 +14,22 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most places of a block, halo included.
-CELLS = 1 << 22
+#: Most places of a block, halo included, and so many that a block has as a rule: a group costs as much as some 10 000 places.
+CELLS, USUAL = 1 << 22, 1 << 16
 Radius = tuple[int, int, int]
 #: From values (-inf where nothing is) over a block and its halo to values over the block, NaN where there is none.
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
 def edges(radius: Radius) -> Radius:
-    """A block's lengths: eight radii, at least 16, less where a block would have more than CELLS places."""
+    """A block's lengths: eight radii, at least 16, more where it would have less than USUAL places and less where it would have more than CELLS."""
     out = [max(16, 8 * r) for r in radius]
+    while np.prod([e + 2 * r for e, r in zip(out, radius)]) < USUAL:
+        out[out.index(min(out))] *= 2
     while np.prod([e + 2 * r for e, r in zip(out, radius)]) > CELLS and any(e > max(16, r) for e, r in zip(out, radius)):
         k = max(range(3), key=lambda i: out[i] - max(16, radius[i]))
         out[k] = max(16, radius[k], out[k] // 2)
@@ -61,6 +64,33 @@ def by_block(voxels: DataFrame, radius: Radius, kernel: Kernel, placed: bool = F
     return dealt(voxels, radius, by).groupBy(*keys).applyInPandas(work, ", ".join([*(f"{c} string" for c in by), "z int, y int, x int, v double"]))
 
 
+def largest_around(points: DataFrame, voxels: DataFrame, radius: Radius, name: str) -> DataFrame:
+    """The points (volume_id, z, y, x and more) with `name`, the largest value in the box around each; null where it has none.
+
+    A point goes to the block it is in, and meets that block's voxels as an array: no pair of a point and a voxel is
+    formed, however many voxels a box holds.
+    """
+    by = [c for c in ("volume_id",) if c in voxels.columns]
+    edge = edges(radius)
+    keys = [*by, "gz", "gy", "gx"]
+    kept = points.columns
+    asked = points.withColumns({f"g{c}": F.floor(F.col(c) / e).cast("int") for c, e in zip("zyx", edge)})
+
+    def read(asked: pa.Table, held: pa.Table) -> pa.Table:
+        block = np.full([e + 2 * r for e, r in zip(edge, radius)], -np.inf)
+        if len(asked) and len(held):
+            start = [held[f"g{c}"][0].as_py() * e for c, e in zip("zyx", edge)]
+            np.maximum.at(block, tuple(held[c].to_numpy() - s + r for c, s, r in zip("zyx", start, radius)), held["v"].to_numpy())
+            block = along(block, radius, np.maximum)
+            found = block[tuple(asked[c].to_numpy() - s for c, s in zip("zyx", start))]
+        else:
+            found = np.full(len(asked), -np.inf)
+        return asked.select(kept).append_column(name, pa.array(found, mask=np.isneginf(found)))
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema), f"`{name}` double"])
+    return asked.groupBy(*keys).cogroup(dealt(voxels.where("v is not null"), radius, by).groupBy(*keys)).applyInArrow(read, schema)
+
+
 def along(block: np.ndarray, radius: Radius, join: np.ufunc, weights: tuple = (None, None, None)) -> np.ndarray:
     """The values of each box joined, one axis after the other; the result is as large as the block without its halo."""
     for axis, (r, w) in enumerate(zip(radius, weights)):

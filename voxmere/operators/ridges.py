@@ -22,19 +22,19 @@ def ridges(voxels: DataFrame, ydim: int, xdim: int, low: float) -> DataFrame:
         inside = ((rows >= 0) & (rows < ydim))[:, None] & ((columns >= 0) & (columns < xdim))
         if not inside.any():
             return out
-        for k, plane in enumerate(np.where(np.isneginf(block), 0.0, block)):
-            image = plane[np.clip(rows, 0, ydim - 1) - rows[0]][:, np.clip(columns, 0, xdim - 1) - columns[0]]
-            dy = sum(w * (image[2:, j : j + image.shape[1] - 2] - image[:-2, j : j + image.shape[1] - 2]) for j, w in ((0, 1), (1, 2), (2, 1)))
-            dx = sum(w * (image[j : j + image.shape[0] - 2, 2:] - image[j : j + image.shape[0] - 2, :-2]) for j, w in ((0, 1), (1, 2), (2, 1)))
-            size = np.where(inside[1:-1, 1:-1], np.hypot(dy, dx), 0.0)
-            turn = np.round(np.arctan2(dy, dx) / (np.pi / 4)).astype(int)[1:-1, 1:-1] % 4
-            inner, keep = size[1:-1, 1:-1], np.zeros(out.shape[1:], bool)
-            for t, (a, b) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
-                n, m = inner.shape
-                ahead, back = size[1 + a : 1 + a + n, 1 + b : 1 + b + m], size[1 - a : 1 - a + n, 1 - b : 1 - b + m]
-                keep |= (turn == t) & (inner >= ahead) & (inner > back)
-            keep &= (inner >= low) & inside[2:-2, 2:-2]
-            out[k] = np.where(keep, inner, np.nan)
+        image = np.where(np.isneginf(block), 0.0, block)[:, np.clip(rows, 0, ydim - 1) - rows[0]][:, :, np.clip(columns, 0, xdim - 1) - columns[0]]
+        n, m = (k - 2 for k in image.shape[1:])
+        dy = sum(w * (image[:, 2:, j : j + m] - image[:, :-2, j : j + m]) for j, w in ((0, 1), (1, 2), (2, 1)))
+        dx = sum(w * (image[:, j : j + n, 2:] - image[:, j : j + n, :-2]) for j, w in ((0, 1), (1, 2), (2, 1)))
+        size = np.where(inside[1:-1, 1:-1], np.hypot(dy, dx), 0.0)
+        turn = np.round(np.arctan2(dy, dx) / (np.pi / 4)).astype(int)[:, 1:-1, 1:-1] % 4
+        inner, keep = size[:, 1:-1, 1:-1], np.zeros(out.shape, bool)
+        n, m = inner.shape[1:]
+        for t, (a, b) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
+            ahead, back = size[:, 1 + a : 1 + a + n, 1 + b : 1 + b + m], size[:, 1 - a : 1 - a + n, 1 - b : 1 - b + m]
+            keep |= (turn == t) & (inner >= ahead) & (inner > back)
+        keep &= (inner >= low) & inside[2:-2, 2:-2]
+        out[keep] = inner[keep]
         return out
 
     return dense.by_block(in_section(voxels, ydim, xdim), _REACH, kernel, placed=True)
@@ -55,7 +55,7 @@ def gradient_edges(voxels: DataFrame, ydim: int, xdim: int, low: float, high: fl
     section = weak.withColumn("volume_id", F.to_json(F.struct(*by, "z")))
     found = label(section.select("volume_id", "z", "y", "x", "v"), ydim, xdim, 18)
     strong = found.groupBy("volume_id", "label").agg(F.max("v").alias("top")).where(F.col("top") >= high).select("volume_id", "label")
-    kept = found.join(strong, ["volume_id", "label"], "left_semi")
+    kept = found.join(strong.hint("merge"), ["volume_id", "label"], "left_semi")
     return kept.select(*(F.get_json_object("volume_id", f"$.{c}").alias(c) for c in by), "z", "y", "x", "v")
 
 

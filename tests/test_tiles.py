@@ -4,8 +4,9 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from voxmere.operators import augment, ridges
+from voxmere.operators import augment, components, dense, inference, raster, ridges
 
 VOXEL = "volume_id string, z int, y int, x int, v double"
 
@@ -117,3 +118,64 @@ def test_parts_of_the_volume_follow_its_splits(spark):
     splits = P.table(spark, f"{DATA}/sf0.01", "lineitem").rdd.getNumPartitions()
     held = P.voxels(spark, f"{DATA}/sf0.01").rdd.glom().map(len).collect()
     assert len(held) == 8 * splits and max(held) < 2 * sum(held) / len(held)
+
+
+def cloud(spark, n=4000):
+    """Voxels of two volumes, some below zero in place, with random values."""
+    rng = np.random.default_rng(5)
+    places = {(str(v), int(z), int(y), int(x)) for v, z, y, x in zip(rng.integers(0, 2, n), rng.integers(-9, 30, n), rng.integers(-40, 60, n), rng.integers(-70, 99, n))}
+    rows = {p: float(rng.integers(0, 16)) / 15 for p in sorted(places)}
+    return rows, spark.createDataFrame([(*p, v) for p, v in rows.items()], VOXEL)
+
+
+def plan(frame) -> str:
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_largest_value_around_points(spark):
+    rows, voxels = cloud(spark)
+    rng, radius = np.random.default_rng(6), (2, 3, 5)
+    points = [("01"[k % 2], int(z), int(y), int(x), k) for k, (z, y, x) in enumerate(zip(rng.integers(-12, 33, 300), rng.integers(-45, 65, 300), rng.integers(-80, 110, 300)))]
+    found = dense.largest_around(spark.createDataFrame(points, "volume_id string, z int, y int, x int, k long"), voxels, radius, "top")
+    inside = lambda p, q: p[0] == q[0] and all(abs(a - b) <= r for a, b, r in zip(p[1:4], q[1:4], radius))
+    want = {p[4]: max((v for q, v in rows.items() if inside(p, q)), default=None) for p in points}
+    assert {r.k: r.top for r in found.collect()} == want
+    assert None in want.values() and len(set(want.values())) > 3
+
+
+def test_labels_are_made_once_and_measured_without_pairs(spark):
+    _, voxels = cloud(spark)
+    labelled = components.label(voxels.where("v > 0.5"), 200, 1000)
+    assert "Join" not in plan(labelled) and "Aggregate" not in plan(labelled)
+    assert "CoGroup" in plan(components.measures(labelled)) and "CoGroup" not in plan(components.measures(labelled, intensity=False))
+    with_, without = components.measures(labelled, volume=voxels), components.measures(labelled, intensity=False)
+    assert sorted(with_.drop("intensity").collect()) == sorted(without.select(*with_.drop("intensity").columns).collect())
+
+
+def test_boxes_of_training_labels_are_formed_once(spark):
+    rows, voxels = cloud(spark, 1500)
+    points = spark.createDataFrame([(p[0], k, *p[1:]) for k, p in enumerate(sorted(rows)[::7])], "volume_id string, idx long, z int, y int, x int")
+    got = components.training_labels(points, voxels, (4, 9, 9), 8, 0.1, 0.9)
+    near = components.in_box(points, voxels, (4, 9, 9), "idx")
+    bins = raster.otsu(near, 8, 0.1, 0.9, "volume_id", "idx")
+    want = near.join(bins, ["volume_id", "idx"]).where(F.col("v") >= 0.1 + (F.col("bin") + 1) * ((0.9 - 0.1) / 8)).select("volume_id", "z", "y", "x").distinct()
+    assert sorted(map(tuple, got.drop("v").collect())) == sorted(map(tuple, want.collect())) and got.count() > 50
+    assert plan(got).count("explode(") == 3
+
+
+def test_blocks_are_not_many_small_ones():
+    for radius in ((0, 2, 2), (1, 1, 1), (0, 0, 1)):
+        edge = dense.edges(radius)
+        assert dense.USUAL <= np.prod([e + 2 * r for e, r in zip(edge, radius)]) < 4 * dense.USUAL
+
+
+def test_sections_in_parts_with_their_aggregates(spark):
+    rows, voxels = cloud(spark)
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = inference.per_section(voxels, lambda pdf: pdf.assign(v=pdf["v"] - pdf["mean"] + 1000 * (len(pdf) > 10)), {"mean": F.avg("v")}).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    mean = {k: np.mean([v for p, v in rows.items() if p[:2] == k]) for k in {p[:2] for p in rows}}
+    assert {tuple(r)[:4]: r.v for r in got} == pytest.approx({p: v - mean[p[:2]] for p, v in rows.items()})

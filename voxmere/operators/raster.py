@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxmere.operators import dense
 from voxmere.operators.graph import written
 from voxmere.operators.quantiles import quantiles, with_quantiles
 
+
 def by_volume(voxels: DataFrame) -> list[str]:
     """The column that keeps volumes apart, where there is one."""
     return [c for c in ("volume_id",) if c in voxels.columns]
@@ -161,10 +162,14 @@ def resample(voxels: DataFrame, old: tuple[int, int, int], new: tuple[int, int,
     return out.where("v <> 0")
 
 
+def bin_of(bins: int, lo: float, hi: float) -> Column:
+    """The bin of v, null beyond lo to hi."""
+    return F.when(F.col("v").between(lo, hi), F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / (hi - lo) * bins)).cast("int"))
+
+
 def histogram(voxels: DataFrame, bins: int, lo: float, hi: float, *by: str) -> DataFrame:
     """Counts of `bins` equal bins and the share of values up to each."""
-    b = F.least(F.lit(bins - 1), F.floor((F.col("v") - lo) / (hi - lo) * bins)).cast("int")
-    counts = voxels.where(F.col("v").between(lo, hi)).groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = voxels.where(F.col("v").between(lo, hi)).groupBy(*by, bin_of(bins, lo, hi).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*by).orderBy("bin")  # over at most `bins` rows of a group
     upto = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return counts.withColumn("cdf", upto / F.sum("n").over(Window.partitionBy(*by)))
@@ -184,14 +189,18 @@ def match_histogram(source: DataFrame, target: DataFrame) -> DataFrame:
     return hit.groupBy("source_bin").agg(F.max(mapped).alias("target"))
 
 
+def between() -> Column:
+    """How much two classes differ: n0 of n values, whose bins add up to s0 of s."""
+    return F.col("n0") * (F.col("n") - F.col("n0")) * F.pow(F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / (F.col("n") - F.col("n0")), F.lit(2.0))
+
+
 def otsu(voxels: DataFrame, bins: int, lo: float, hi: float, *by: str) -> DataFrame:
     """The bin after which two classes of values differ most (the first of equals)."""
     h = histogram(voxels, bins, lo, hi, *by)
     w = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*by)
     h = h.select(*by, "bin", F.sum("n").over(w).alias("n0"), F.sum(F.col("n") * F.col("bin")).over(w).alias("s0"), F.sum("n").over(every).alias("n"), F.sum(F.col("n") * F.col("bin")).over(every).alias("s")).where("n0 < n")
-    between = F.col("n0") * (F.col("n") - F.col("n0")) * F.pow(F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / (F.col("n") - F.col("n0")), F.lit(2.0))
-    return h.withColumn("score", between).groupBy(*by).agg(F.max_by("bin", F.struct("score", -F.col("bin"))).alias("bin"))
+    return h.withColumn("score", between()).groupBy(*by).agg(F.max_by("bin", F.struct("score", -F.col("bin"))).alias("bin"))
 
 
 def line(rows: DataFrame, x: str, y: str, n: str, *by: str) -> DataFrame:

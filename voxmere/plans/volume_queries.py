@@ -278,7 +278,7 @@ QUERIES = {
     "v3_object_windows": lambda s, d: components.object_windows(_labelled(s, d)).select("label", "pz", "py", "px"),
     "v6_threshold_sweep": _swept,
     "v21_training_labels": _trained,
-    "p7_sphericity": lambda s, d: components.sphericity_filter(components.measures(_labelled(s, d)), 0.7).select("label", "no_voxels"),
+    "p7_sphericity": lambda s, d: components.sphericity_filter(components.measures(_labelled(s, d), intensity=False), 0.7).select("label", "no_voxels"),
     "j9_unpaired": lambda s, d: matching.unpaired(P.annotators(s, d)[0], matching.greedy(_pairs(s, d), "day"), "truth_idx", "day").select("day", "idx"),
     "a14_curve_area": lambda s, d: _r(matching.curve_area(_match_stats(s, d), "cutoff", "day"), "area"),
     "j10_overlapping": lambda s, d: components.overlapping(_flat(s, d), 3).select("a", "b"),

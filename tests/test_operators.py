@@ -350,6 +350,31 @@ def test_outlines_of_pieces_and_branches(spark):
                 assert (min(p[axis] for p in path), max(p[axis] for p in path)) == (min(p[axis] for p in piece), max(p[axis] for p in piece))
 
 
+@pytest.mark.parametrize("side, near", [(None, 1 << 18), (1.5, 1 << 18), (2.0, 40)])
+def test_matching_of_copies_takes_few_rounds(spark, monkeypatch, side, near):
+    rng = random.Random(7)
+    places = [tuple(rng.randrange(4) for _ in range(3)) for _ in range(12)]
+    t, p = ([rng.choice(places) for _ in range(k)] for k in (150, 140))
+    tables, dealt = [], matching._dealt
+    for name in ("cut", "written"):
+        monkeypatch.setattr(matching, name, lambda df, old=getattr(matching, name): tables.append(name) or old(df))
+    monkeypatch.setattr(matching, "NEAR", near)
+    monkeypatch.setattr(matching, "_dealt", lambda links, a, b, s, *by: dealt(links, a, b, side or s, *by))
+    got = matching.matched(_frame(spark, t), _frame(spark, p), 1.5).collect()
+    assert sorted((r.truth_idx, r.pred_idx) for r in got) == _greedy(t, p, 1.5)
+    assert len(tables) < 20  # greedy writes two tables a round and takes one pair of a place in each
+    if side is None:
+        del tables[:]
+        assert matching.sweep(_frame(spark, t), _frame(spark, p), [1.5]).first().tp == len(got) and len(tables) == 5
+
+
+def test_points_of_several_places_match_by_the_nearest(spark):
+    t = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 0.0, 0.0, 9.0), (2, 0.0, 0.0, 0.0)], "idx long, z double, y double, x double")
+    p = spark.createDataFrame([(5, 0.0, 0.0, 9.5), (6, 0.0, 1.0, 0.0)], t.schema)
+    want = [(1, 5, 0.5), (2, 6, 1.0)]
+    assert sorted(map(tuple, matching.matched(t, p, 2.0).collect())) == want == sorted(map(tuple, matching.greedy(matching.distance_join(t, p, 2.0)).collect()))
+
+
 def test_greedy_says_when_it_is_not_done(spark):
     pairs = spark.createDataFrame([(i, i, float(i)) for i in range(3)] + [(0, 1, 0.5), (1, 2, 0.7)], "truth_idx long, pred_idx long, dist double")
     with pytest.raises(RuntimeError):

@@ -67,6 +67,11 @@ def _match_stats(s, d):
     return matching.sweep(t, p, [1.0, 1.5], "day")
 
 
+def _matched(s, d):
+    t, p = P.annotators(s, d)
+    return matching.matched(t, p, 1.5, "day").select("day", "truth_idx", "pred_idx", "dist")
+
+
 def _boxes(s, d):
     rows = P.table(s, d, "part").selectExpr("p_partkey", "p_partkey % 50 as a", "p_size as b", "p_partkey % 7 + 1 as w")
     v = lambda *c: G.vec(*(F.col(x).cast("double") if isinstance(x, str) else x for x in c))
@@ -226,7 +231,7 @@ QUERIES = {
     "w9_centred_patch": lambda s, d: windows.centred_patch(_voxels(s, d), (30, 20, 50), (11, 12, 13)).select("z", "y", "x", "v"),
     "w9_set_patch": lambda s, d: _in_place(windows.set_patch(_voxels(s, d), _voxels(s, d).where("x < 20").withColumn("v", 0.5 - F.col("v") / 2), "max")),
     "j6_distance_join": lambda s, d: _r(_pairs(s, d), "dist"),
-    "j7_greedy": lambda s, d: matching.greedy(_pairs(s, d), "day"),
+    "j7_greedy": _matched,
     "a13_match_stats": _match_stats,
     "a10_statistics": lambda s, d: _r(raster.statistics(_voxels(s, d), "z"), "lo", "hi", "mean", "std", "median", "p95"),
     "a11_projection": lambda s, d: _in_place(raster.project(_voxels(s, d))),
@@ -279,7 +284,7 @@ QUERIES = {
     "v6_threshold_sweep": _swept,
     "v21_training_labels": _trained,
     "p7_sphericity": lambda s, d: components.sphericity_filter(components.measures(_labelled(s, d), intensity=False), 0.7).select("label", "no_voxels"),
-    "j9_unpaired": lambda s, d: matching.unpaired(P.annotators(s, d)[0], matching.greedy(_pairs(s, d), "day"), "truth_idx", "day").select("day", "idx"),
+    "j9_unpaired": lambda s, d: matching.unpaired(P.annotators(s, d)[0], _matched(s, d), "truth_idx", "day").select("day", "idx"),
     "a14_curve_area": lambda s, d: _r(matching.curve_area(_match_stats(s, d), "cutoff", "day"), "area"),
     "j10_overlapping": lambda s, d: components.overlapping(_flat(s, d), 3).select("a", "b"),
     "v10_merge_planes": lambda s, d: components.merge_planes(_flat(s, d), 3).select("cell_id", "object_id"),

@@ -157,3 +157,17 @@ def test_linkage_of_rows_against_one_at_a_time(spark, method):
     assert [r[:2] + r[3:] for r in found] == [r[:2] + r[3:] for r in want]
     assert [r[2] for r in found] == pytest.approx([r[2] for r in want], abs=1e-7)
     assert L.linkage_of_rows(cells.where("region = 1"), "region", "brain", "n").count() == 0
+
+
+def test_distances_keep_their_digits():
+    """By a matrix product, but equal and nearly equal rows far from the origin keep their distance."""
+    from voxmere.operators import cohort
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(50, 64)), rng.normal(size=(70, 64)) + 1000
+    x[:30] += 1000
+    y[:20] = x[:20]
+    y[20:25] = x[20:25] + 1e-9
+    x[40, 3], y[60, 5] = np.nan, np.inf
+    exact = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    assert np.allclose(cohort.distances(x, y, (x * x).sum(axis=1), (y * y).sum(axis=1)), exact, rtol=1e-9, atol=0, equal_nan=True)

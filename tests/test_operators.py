@@ -375,6 +375,14 @@ def test_points_of_several_places_match_by_the_nearest(spark):
     assert sorted(map(tuple, matching.matched(t, p, 2.0).collect())) == want == sorted(map(tuple, matching.greedy(matching.distance_join(t, p, 2.0)).collect()))
 
 
+def test_unpaired_rows_are_found_without_a_broadcast(spark):
+    t = spark.createDataFrame([(1, k, 0.0, 0.0, float(k)) for k in range(9)], "day int, idx long, z double, y double, x double")
+    p = t.where("idx % 3 = 0").withColumn("idx", t["idx"] + 100)
+    left = matching.unpaired(t, matching.matched(t, p, 0.5, "day"), "truth_idx", "day")
+    assert "BroadcastHashJoin" not in left._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["idx"] for r in left.collect()) == [1, 2, 4, 5, 7, 8]
+
+
 def test_greedy_says_when_it_is_not_done(spark):
     pairs = spark.createDataFrame([(i, i, float(i)) for i in range(3)] + [(0, 1, 0.5), (1, 2, 0.7)], "truth_idx long, pred_idx long, dist double")
     with pytest.raises(RuntimeError):

@@ -205,8 +205,11 @@ def sweep(truth: DataFrame, pred: DataFrame, cutoffs: list[float], *by: str) ->
 
 
 def unpaired(side: DataFrame, matched: DataFrame, idx: str, *by: str) -> DataFrame:
-    """The rows of a side (its column idx) that no pair holds."""
-    return side.join(matched.select(*by, F.col(idx).alias("idx")), [*by, "idx"], "left_anti")
+    """The rows of a side (its column idx) that no pair holds.
+
+    Pairs are read from files that look small enough to be broadcast, though they grow with the points.
+    """
+    return side.join(matched.select(*by, F.col(idx).alias("idx")).hint("merge"), [*by, "idx"], "left_anti")
 
 
 def nearest_pairs(truth: DataFrame, pred: DataFrame, first: float, *by: str) -> DataFrame:

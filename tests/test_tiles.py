@@ -208,6 +208,21 @@ def test_boxes_of_training_labels_are_formed_once(spark):
     assert plan(got).count("explode(") == 3
 
 
+@pytest.mark.parametrize("kind,factor", [("int", 1.0), ("double", 1.25)])
+def test_training_labels_form_no_pair(spark, kind, factor):
+    rows, voxels = cloud(spark, 1500)
+    voxels = voxels.union(spark.createDataFrame([("0", 0, 200, k, v) for k, v in enumerate([None, float("nan"), 0.2, 0.7, 0.5])] + [("1", 0, 200, 0, 0.3)], VOXEL))
+    off = 0.5 if kind == "double" else 0
+    points = [(p[0], k, *(c + off for c in p[1:])) for k, p in enumerate(sorted(rows)[::7])] + [("0", 998, off, 200 + off, 2 + off), ("1", 999, off, 200 + off, off)]
+    points = spark.createDataFrame(points, f"volume_id string, idx long, z {kind}, y {kind}, x {kind}")
+    got = components.training_labels(points, voxels, (4, 9, 9), 8, 0.1, 0.9, factor)
+    near = components.in_box(points, voxels, (4, 9, 9), "idx")
+    bins = raster.otsu(near, 8, 0.1, 0.9, "volume_id", "idx")
+    want = near.join(bins, ["volume_id", "idx"]).where(F.col("v") >= (0.1 + (F.col("bin") + 1) * ((0.9 - 0.1) / 8)) / factor).select("volume_id", "z", "y", "x").distinct()
+    assert sorted(map(tuple, got.drop("v").collect())) == sorted(map(tuple, want.collect())) and got.count() > 50
+    assert "Join" not in plan(got) and "Window" not in plan(got)
+
+
 def test_blocks_are_not_many_small_ones():
     for radius in ((0, 2, 2), (1, 1, 1), (0, 0, 1)):
         edge = dense.edges(radius)

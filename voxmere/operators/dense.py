@@ -91,6 +91,53 @@ def largest_around(points: DataFrame, voxels: DataFrame, radius: Radius, name: s
     return asked.groupBy(*keys).cogroup(dealt(voxels.where("v is not null"), radius, by).groupBy(*keys)).applyInArrow(read, schema)
 
 
+def over_otsu(points: DataFrame, voxels: DataFrame, radius: Radius, bins: int, lo: float, hi: float, factor: float) -> DataFrame:
+    """(by, z, y, x) of the voxels that reach Otsu's threshold of the box around a point over `factor`; once for every block that finds them.
+
+    Values beyond lo to hi have no bin. A point meets its block's voxels as an array, as in largest_around.
+    """
+    by = [c for c in ("volume_id",) if c in voxels.columns]
+    edge = edges(radius)
+    keys = [*by, "gz", "gy", "gx"]
+    asked = points.select(*by, *(F.col(c).cast("double").alias(c) for c in "zyx")).where("z is not null and y is not null and x is not null")
+    asked = asked.withColumns({f"g{c}": F.floor(F.ceil(c) / e).cast("int") for c, e in zip("zyx", edge)})
+    schema = pa.schema([*((c, pa.string()) for c in by), ("z", pa.int32()), ("y", pa.int32()), ("x", pa.int32())])
+
+    def read(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not (len(asked) and len(held)):
+            return schema.empty_table()
+        start = [held[f"g{c}"][0].as_py() * e for c, e in zip("zyx", edge)]
+        block = np.full([e + 2 * r for e, r in zip(edge, radius)], -np.inf)
+        np.maximum.at(block, tuple(held[c].to_numpy() - s + r for c, s, r in zip("zyx", start, radius)), held["v"].to_numpy())
+        found = np.zeros(block.shape, dtype=bool)
+        steps = [k.ravel() for k in np.indices([2 * r + 1 for r in radius])]
+        middle = [asked[c].to_numpy() - s for c, s in zip("zyx", start)]
+        most = max(1, (1 << 20) // len(steps[0]))
+        for i in range(0, len(asked), most):
+            c = [m[i : i + most, None] for m in middle]
+            at = tuple(np.ceil(m).astype(np.int64) + k for m, k in zip(c, steps))
+            v = block[at]
+            for m, k, r in zip(c, at, radius):  # of a centre between places
+                v[k > m + 2 * r] = -np.inf
+            with np.errstate(divide="ignore", invalid="ignore"):
+                fits = (v >= lo) & (v <= hi)
+                bin_ = np.minimum(bins - 1, np.floor((v[fits] - lo) / (hi - lo) * bins)).astype(np.int64)
+                n0 = np.bincount(np.nonzero(fits)[0] * bins + bin_, minlength=len(v) * bins).reshape(len(v), bins)
+                n0, s0 = np.cumsum(n0, axis=1), np.cumsum(n0 * np.arange(bins), axis=1)
+                n, s = n0[:, -1:], s0[:, -1:]
+                apart = s0 / n0 - (s - s0) / (n - n0)
+                score = np.where((n0 > 0) & (n0 < n), n0 * (n - n0) * (apart * apart), -np.inf)
+            best = score.argmax(axis=1)
+            limit = np.where(np.isneginf(score.max(axis=1)), np.nan, (lo + (best + 1) * ((hi - lo) / bins)) / factor)[:, None]
+            reach = ~np.isneginf(v) & ((v >= limit) | (np.isnan(v) & ~np.isnan(limit)))  # NaN is the largest, as in Spark
+            found[tuple(k[reach] for k in at)] = True
+        places = np.nonzero(found)
+        names = [pa.array([held[c][0].as_py()] * len(places[0]), pa.string()) for c in by]
+        return pa.table([*names, *(pa.array((k + s - r).astype(np.int32)) for k, s, r in zip(places, start, radius))], schema=schema)
+
+    return asked.groupBy(*keys).cogroup(dealt(voxels.where("v is not null"), radius, by).groupBy(*keys)).applyInArrow(read, ", ".join([*(f"{c} string" for c in by), "z int, y int, x int"]))
+
+
 def along(block: np.ndarray, radius: Radius, join: np.ufunc, weights: tuple = (None, None, None)) -> np.ndarray:
     """The values of each box joined, one axis after the other; the result is as large as the block without its halo."""
     for axis, (r, w) in enumerate(zip(radius, weights)):

@@ -1,10 +1,12 @@
 """Quantiles, the expression mask and hierarchical clustering against computations in memory."""
 
+import inspect
 import itertools
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxmere.operators import linkage as L
 from voxmere.operators import raster
@@ -146,6 +148,24 @@ def test_distances_shuffle_rows_and_not_pairs(spark):
     assert found == pytest.approx({(i, j): float(np.linalg.norm(m[i] - m[j])) for i, j in itertools.combinations(range(200), 2)}, abs=1e-9)
 
 
+def test_copies_of_a_row_do_not_grow_with_the_rows(spark):
+    most = inspect.signature(L.distances).parameters["block"].default
+    rows = spark.range(100_000).withColumnRenamed("id", "r")
+    dealt = L._against(rows, 8, most)
+    assert dealt.count() <= 12 * 100_000  # blocks of 4096 rows made 25 copies of each
+    ends = {(r.i, r.j, r["first"]): (r.lo, r.hi) for r in dealt.groupBy("i", "j", "first").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
+    assert all(ends[i, j, True][1] < ends[i, j, False][0] for i, j, first in ends if i < j and first)
+
+
+def test_distances_are_rounded_as_spark_rounds(spark):
+    rng = np.random.default_rng(8)
+    d = np.r_[rng.random(2000) * 2, rng.integers(0, 4000, 500) / 128, (rng.integers(0, 10**7, 2000) + 0.5) / 1e6, 5e-7, 1.5e-6, 0.0, 1e15, 123456789012.3456785, 1e300, np.inf]
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in d], "d double").select(F.round("d", 6)).collect()]
+    assert L._rounded(d, 6).tolist() == want
+    cells = spark.createDataFrame([(f"r{i}", f"c{j}", float(v)) for (i, j), v in np.ndenumerate(rng.integers(0, 9, (70, 4)))], "region string, brain string, n double")
+    assert sorted(L.distances(cells, "region", "brain", "n", digits=6).collect()) == sorted(L.distances(cells, "region", "brain", "n", block=64).withColumn("d", F.round("d", 6)).collect())
+
+
 @pytest.mark.parametrize("method", ["weighted", "average"])
 def test_linkage_of_rows_against_one_at_a_time(spark, method):
     rng = np.random.default_rng(7)

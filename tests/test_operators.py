@@ -368,6 +368,36 @@ def test_matching_of_copies_takes_few_rounds(spark, monkeypatch, side, near):
         assert matching.sweep(_frame(spark, t), _frame(spark, p), [1.5]).first().tp == len(got) and len(tables) == 5
 
 
+def test_only_what_has_no_partner_in_its_place_is_joined(spark, monkeypatch):
+    rng = random.Random(9)
+    places = [tuple(rng.randrange(5) for _ in range(3)) for _ in range(30)]
+    t, p = ([rng.choice(places) for _ in range(k)] for k in (300, 280))
+    asked, dealt = [], matching._dealt
+    monkeypatch.setattr(matching, "_dealt", lambda links, a, b, *rest: asked.append((a.count(), b.count())) or dealt(links, a, b, *rest))
+    got = {r.cutoff: r.tp for r in matching.sweep(_frame(spark, t), _frame(spark, p), [0.5, 1.0, 1.5]).collect()}
+    assert got == {c: len(_greedy(t, p, c)) for c in (0.5, 1.0, 1.5)}
+    assert asked == [(300 - got[0.5], 280 - got[0.5])]  # all points were, once for each cutoff
+
+
+@pytest.mark.parametrize("near", [1 << 20, 3])
+def test_odd_places_match_as_the_pairs_of_the_distance_join(spark, monkeypatch, near):
+    monkeypatch.setattr(matching, "NEAR", near)
+    nan, inf = float("nan"), float("inf")
+    t = [(1, "a", 0.0, 0.0, 0.0), (1, "b", -0.0, 0.0, 0.0), (1, "c", 1e-200, 0.0, 0.0), (1, "d", 5.0, 5.0, 5.0), (1, "d", 7.0, 5.0, 5.0), (1, "e", 7.0, 5.0, 5.0), (1, "f", nan, 0.0, 0.0), (1, "g", inf, 0.0, 0.0)]
+    t += [(None, "a", 1.0, 1.0, 1.0), (1, None, 3.0, 3.0, 3.0), (2, "a", 3.0, 3.0, 3.0), (2, "b", 3.0, 3.0, 3.0), (2, "c", None, 3.0, 3.0), (2, "d", 3.0, 3.0, 4.0), (2, "d", 3.0, 3.0, 4.0)]
+    p = [(1, 9, 0.0, -0.0, 0.0), (1, 8, 1e-200, 1e-200, 0.0), (1, 7, 7.0, 5.0, 5.0), (1, 6, 5.0, 5.0, 5.5), (1, 5, nan, 0.0, 0.0), (1, 4, inf, 0.0, 0.0), (None, 1, 1.0, 1.0, 1.0), (2, 1, 3.0, 3.0, 3.0), (2, 2, 3.0, 3.0, 4.0), (2, 3, 3.0, 3.0, 4.5)]
+    t = spark.createDataFrame(t, "day int, idx string, z double, y double, x double")
+    p = spark.createDataFrame(p, "day int, idx long, z double, y double, x double")
+    near_all = [df.where("abs(z) < 1e300") for df in (t, p)]
+    pairs = matching.distance_join(*near_all, 1.0, "day").where("truth_idx is not null").groupBy("day", "truth_idx", "pred_idx").agg({"dist": "min"}).withColumnRenamed("min(dist)", "dist").orderBy("day", "dist", "truth_idx", "pred_idx").collect()
+    taken, want = set(), []
+    for r in pairs:
+        if not {(r.day, r.truth_idx), (r.day, r.pred_idx)} & taken:
+            taken |= {(r.day, r.truth_idx), (r.day, r.pred_idx)}
+            want.append(tuple(r))
+    assert len(want) == 5 and sorted(map(tuple, matching.matched(t, p, 1.0, "day").collect())) == sorted(want)
+
+
 def test_points_of_several_places_match_by_the_nearest(spark):
     t = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 0.0, 0.0, 9.0), (2, 0.0, 0.0, 0.0)], "idx long, z double, y double, x double")
     p = spark.createDataFrame([(5, 0.0, 0.0, 9.5), (6, 0.0, 1.0, 0.0)], t.schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,38 +55,86 @@ def greedy(pairs: DataFrame, *by: str, most_rounds: int = 10_000) -> DataFrame:
 
 
 #: So many rows and fewer of truths that are near each other are settled at once within a task.
-NEAR = 1 << 18
+NEAR = 1 << 20
 
 
-def _kinds(side: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
-    """The points (by, idx, of, cz, cy, cx) and the places (by, idx, z, y, x) of those that stand for all of the same place: `of` is their smallest idx."""
-    places = F.sort_array(F.collect_set(F.struct("z", "y", "x"))).alias("places")
-    points = side.where(F.col("idx").isNotNull()).groupBy(*by, "idx").agg(places)
-    points = written(points.withColumn("of", F.min("idx").over(Window.partitionBy(*by, "places"))))
-    first = F.col("places")[0]
-    return points.select(*by, "idx", "of", *(first[c].alias(f"c{c}") for c in "zyx")), points.where("idx = of").select(*by, "idx", F.inline("places"))
+def _sides(truth: DataFrame, pred: DataFrame, *by: str) -> DataFrame:
+    """(by, t, p, z, y, x) of the places where pairs can be: rows of truths have no p, those of predictions no t."""
+    some = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, "idx")] + [F.abs(F.col(c).cast("double")) < float("inf") for c in "zyx"])
+    none = lambda of, c: F.lit(None).cast(of.schema["idx"].dataType).alias(c)
+    places = [F.col(c).cast("double").alias(c) for c in "zyx"]
+    t = truth.where(some).select(*by, F.col("idx").alias("t"), none(pred, "p"), *places)
+    return t.unionByName(pred.where(some).select(*by, none(truth, "t"), F.col("idx").alias("p"), *places))
 
 
-def _settled(own: dict, lists: dict):
-    """(row, truth) of the pairs taken in order among kinds: own has each kind's truths in order, lists their (dist, p, row, holder) in order.
+def _in_place(rows: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs (by, truth_idx, pred_idx, dist) of `greedy` that have no distance, and the rows of `_sides` that these leave, with the smallest idx of their place and side (`of`).
 
-    A prediction that is held from elsewhere is taken only by a truth that comes before its holder (dist, truth).
+    They come before all others, and those of a place do not touch another place's: its first truth gets its first
+    prediction, and so on. Left as they are, without `of`: places with a point of several rows, and those so near to
+    an axis that the square of a distance may vanish.
     """
-    taken, at, used = set(), dict.fromkeys(lists, 0), dict.fromkeys(lists, 0)
-    turns = [(of[0][0], own[kind][0], kind) for kind, of in lists.items() if of and own.get(kind)]
+    keys = [f"k{c}" for c in "zyx"]
+    tiny = reduce(lambda a, b: a | b, [(F.abs(F.col(c)) < 1e-140) & (F.col(c) != 0) for c in "zyx"])
+    rows = rows.withColumn("odd", tiny | (F.count(F.lit(1)).over(Window.partitionBy(*by, "t", "p")) > 1))
+    rows = rows.withColumns({k: F.when(F.abs(F.col(c)) < 1e-140, 0.0).otherwise(F.col(c)) for k, c in zip(keys, "zyx")}).repartition(*by, *keys)
+    rows = rows.withColumn("side", F.col("t").isNull()).withColumn("rank", F.row_number().over(Window.partitionBy(*by, *keys, "side").orderBy("t", "p")))
+    place = Window.partitionBy(*by, *keys)
+    rows = rows.withColumns({"mate": F.lead("p").over(place.orderBy("rank", "side")), "plain": ~F.max("odd").over(place), "both": F.least(F.count("t").over(place), F.count("p").over(place))})
+    own = lambda c: F.min(F.when(F.col("rank") > F.col("both"), F.col(c))).over(place)
+    rows = rows.withColumns({"paired": F.col("plain") & (F.col("rank") <= F.col("both")), "ot": own("t"), "op": own("p")})
+    kept = [F.when(F.col("plain"), F.col(c)).alias(c) for c in ("ot", "op")]
+    state = written(rows.where("not (paired and side)").select(*by, "t", "p", *"zyx", "plain", *kept, F.when(F.col("paired"), F.col("mate")).alias("mate"), "paired"))
+    pairs = state.where("paired").select(*by, F.col("t").alias("truth_idx"), F.col("mate").alias("pred_idx"), F.lit(0.0).alias("dist"))
+    return pairs, state.where("not paired").drop("mate", "paired")
+
+
+def _kinds(rows: DataFrame, *by: str) -> list[DataFrame]:
+    """Of truths, then of predictions: the points (by, idx, of, cz, cy, cx) and the places (by, idx, z, y, x) of those that stand for all of the same place: `of` is their smallest idx."""
+    points = rows.where("not plain").groupBy(*by, "t", "p").agg(F.sort_array(F.collect_set(F.struct("z", "y", "x"))).alias("places"))
+    same = Window.partitionBy(*by, F.col("t").isNull(), "places")
+    points = written(points.withColumns({"ot": F.min("t").over(same), "op": F.min("p").over(same)}))
+    out = []
+    for c, of in (("t", "ot"), ("p", "op")):
+        plain = rows.where("plain").where(F.col(c).isNotNull()).select(*by, F.col(c).alias("idx"), F.col(of).alias("of"), *"zyx")
+        side = points.where(F.col(c).isNotNull()).select(*by, F.col(c).alias("idx"), F.col(of).alias("of"), "places")
+        at = [*by, "idx", "of", *(F.col(x).alias(f"c{x}") for x in "zyx")]
+        out.append(plain.select(*at).unionByName(side.withColumns({x: F.col("places")[0][x] for x in "zyx"}).select(*at)))
+        out.append(plain.where("idx = of").drop("of").unionByName(side.where("idx = of").select(*by, "idx", F.inline("places"))))
+    return out
+
+
+def _settled(d: list, t: list, p: list, starts: list[int], owns: list[int], rivals: dict):
+    """(row, truth) of the pairs taken in order among kinds: from its start a kind has rows of so many truths in order, then of the predictions in reach by (d, p).
+
+    A prediction that is held from elsewhere (rivals) is taken only by a truth that comes before its holder (d, t).
+    """
+    ends, at = starts[1:] + [len(d)], [start + own for start, own in zip(starts, owns)]
+    used, taken = [0] * len(starts), set()
+    turns = [(d[at[k]], t[starts[k]], k) for k in range(len(starts)) if owns[k] and at[k] < ends[k]]
     heapq.heapify(turns)
     while turns:
-        dist, truth, kind = heapq.heappop(turns)
-        of, i = lists[kind], at[kind]
-        while i < len(of) and of[i][0] == dist and (of[i][1] in taken or (of[i][3] is not None and of[i][3] <= (dist, truth))):
+        dist, truth, k = heapq.heappop(turns)
+        i, end = at[k], ends[k]
+        while i < end and d[i] == dist and (p[i] in taken or (i in rivals and rivals[i] <= (dist, truth))):
             i += 1
-        if i < len(of) and of[i][0] == dist:
-            taken.add(of[i][1])
-            yield of[i][2], truth
-            used[kind], i = used[kind] + 1, i + 1
-        at[kind] = i
-        if i < len(of) and used[kind] < len(own[kind]):
-            heapq.heappush(turns, (of[i][0], own[kind][used[kind]], kind))
+        if i < end and d[i] == dist:
+            taken.add(p[i])
+            yield i, truth
+            used[k], i = used[k] + 1, i + 1
+        at[k] = i
+        if i < end and used[k] < owns[k]:
+            heapq.heappush(turns, (d[i], t[starts[k] + used[k]], k))
+
+
+def _changes(batch: pa.RecordBatch, names: list[str], before: tuple | None) -> np.ndarray:
+    """Whether a row differs in these columns from the one before it; `before` is that of the first."""
+    out = np.zeros(len(batch), dtype=bool)
+    for c in names:
+        v = batch[c].to_numpy(zero_copy_only=False)
+        out[1:] |= v[1:] != v[:-1]
+    out[0] = before != tuple(batch[c][0].as_py() for c in names)
+    return out
 
 
 def _asked(rows: DataFrame, blocks: list[str], *by: str) -> DataFrame:
@@ -97,37 +146,38 @@ def _asked(rows: DataFrame, blocks: list[str], *by: str) -> DataFrame:
     names = [*by, "of", "cz", "cy", "cx", "dist", "t", "p"]
     wide = {f.name: f.dataType.simpleString() for f in rows.schema}
 
+    def out(parts, starts):
+        whole = pa.Table.from_batches(parts)
+        d, t, p = (whole[c].to_pylist() for c in ("dist", "t", "p"))
+        truths = np.concatenate([[0], np.cumsum(whole["dist"].is_null().to_numpy())])
+        owns = np.diff(truths[[*starts, len(whole)]]).tolist()
+        rivals = {}
+        if whole["other"].null_count < len(whole):
+            of, other, hd, ht = (whole[c].to_pylist() for c in ("of", "other", "hd", "ht"))
+            here = {of[start] for start in starts}  # kinds that settle here do not hold anything against each other
+            rivals = {i: (hd[i], ht[i]) for i, o in enumerate(other) if o is not None and o not in here}
+        pairs = list(_settled(d, t, p, starts, owns, rivals))
+        at, whole = pa.array([i for i, _ in pairs], pa.int64()), whole.select(names)
+        some = whole.take(at).set_column(names.index("t"), whole.schema.field("t"), pa.array([t for _, t in pairs], whole.schema.field("t").type))
+        return some.to_batches()
+
     def ask(batches):
-        parts, own, lists, here, last = [], {}, {}, None, None
-
-        def out():
-            for kind, of in lists.items():  # kinds that settle here do not hold anything against each other
-                lists[kind] = [(d, p, row, None if other is None or other in lists else (hd, ht)) for d, p, row, other, hd, ht in of]
-            pairs = list(_settled(own, lists))
-            whole = pa.Table.from_batches(parts).select(names)
-            at = pa.array([row for row, _ in pairs], pa.int64())
-            some = whole.take(at).set_column(names.index("t"), whole.schema.field("t"), pa.array([t for _, t in pairs], whole.schema.field("t").type))
-            return some.to_batches()
-
-        rows_ = base = 0
+        parts, starts, n, last = [], [], 0, (None, None)
         for batch in batches:
-            parts.append(batch)
-            start = 0
-            blocks_ = list(zip(*(batch[c].to_pylist() for c in (*by, *blocks))))
-            columns = [batch[c].to_pylist() for c in ("of", "dist", "t", "p", "other", "hd", "ht")]
-            for i, (block, of, d, t, p, other, hd, ht) in enumerate(zip(blocks_, *columns)):
-                if here is not None and (block != here or (of != last and rows_ >= NEAR)):
-                    yield from out()
-                    own, lists, rows_ = {}, {}, 0
-                    parts, base, start = [batch.slice(i)], 0, i
-                here, last, rows_ = block, of, rows_ + 1
-                if d is None:
-                    own.setdefault(of, []).append(t)
-                else:
-                    lists.setdefault(of, []).append((d, p, base + i - start, other, hd, ht))
-            base += len(batch) - start
+            if not len(batch):
+                continue
+            new = _changes(batch, [*by, *blocks], last[0])
+            kinds, done = new | _changes(batch, ["of"], last[1]), 0
+            for i in np.flatnonzero(kinds).tolist():
+                if starts and (new[i] or n + i - done >= NEAR):
+                    yield from out([*parts, batch.slice(done, i - done)], starts)
+                    parts, starts, n, done = [], [], 0, i
+                starts.append(n + i - done)
+            parts.append(batch.slice(done))
+            n += len(batch) - done
+            last = tuple(tuple(batch[c][len(batch) - 1].as_py() for c in some) for some in ([*by, *blocks], ["of"]))
         if parts:
-            yield from out()
+            yield from out(parts, starts)
 
     dealt = rows.repartition(*by, *blocks).sortWithinPartitions(*by, *blocks, "of", "dist", "t", "p")
     return dealt.mapInArrow(ask, ", ".join(f"`{c}` {wide[c]}" for c in names))
@@ -167,17 +217,32 @@ def _links(t: DataFrame, p: DataFrame, cutoff: float, *by: str) -> DataFrame:
     return distance_join(t, p, cutoff, *by).groupBy(*by, "truth_idx", "pred_idx").agg(F.min("dist").alias("dist"))
 
 
+def _side(truths: DataFrame, preds: DataFrame, least: float, *by: str) -> float:
+    """The largest of `least` doubled some times whose blocks hold few enough points to settle at once."""
+    if not least > 0:
+        return least
+    grid = [F.floor(F.col(c) / least).alias(c) for c in ("cz", "cy", "cx")]
+    cells = truths.select(*by, *grid).unionByName(preds.select(*by, *grid)).groupBy(*by, "cz", "cy", "cx").agg(F.count(F.lit(1)).alias("n"))
+    wider = cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(12)))).withColumns({c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("k"))) for c in ("cz", "cy", "cx")})
+    most = wider.groupBy(*by, "k", "cz", "cy", "cx").agg(F.sum("n").alias("n")).groupBy("k").agg(F.max("n").alias("n"))
+    return least * 2 ** (most.where(F.col("n") <= NEAR // 4).agg(F.max("k")).first()[0] or 0)
+
+
 def matched(truth: DataFrame, pred: DataFrame, cutoff: float, *by: str) -> DataFrame:
     """J6 and J7 in one: what `greedy` takes of the pairs of `distance_join`, without forming these.
 
-    Points of one place are of a kind, and only kinds are joined. Pairs have one order for both sides, so taking
-    them in that order is the one stable matching, and truths may ask in any order. In a round the truths of a block
-    of space settle among themselves and ask for predictions without a holder or with one that comes later; a
-    prediction keeps the first in order, and blocks of which a truth was turned away settle again, in a grid that is
-    moved with each round, until none is turned away.
+    Pairs without a distance are taken first, place by place. Points of one place are of a kind, and of what is left
+    only kinds are joined. Pairs have one order for both sides, so taking them in that order is the one stable
+    matching, and truths may ask in any order. In a round the truths of a block of space settle among themselves and
+    ask for predictions without a holder or with one that comes later; a prediction keeps the first in order, and
+    blocks of which a truth was turned away settle again, in a grid that is moved with each round, until none is
+    turned away.
     """
-    (truths, t), (preds, p) = _kinds(truth, *by), _kinds(pred, *by)
-    return _dealt(_links(t, p, cutoff, *by), truths, preds, 16 * cutoff, *by)
+    pairs, rows = _in_place(_sides(truth, pred, *by), *by)
+    truths, t, preds, p = _kinds(rows, *by)
+    side = _side(truths, preds, 16 * cutoff, *by)
+    rest = _dealt(_links(t, p, cutoff, *by), truths, preds, side, *by)
+    return pairs.where(F.lit(cutoff >= 0)).unionByName(rest)
 
 
 def match_stats(truth: DataFrame, pred: DataFrame, matched: DataFrame, *by: str) -> DataFrame:
@@ -196,11 +261,9 @@ def match_stats(truth: DataFrame, pred: DataFrame, matched: DataFrame, *by: str)
 
 
 def sweep(truth: DataFrame, pred: DataFrame, cutoffs: list[float], *by: str) -> DataFrame:
-    """match_stats for several cutoffs; one distance join at the largest serves all."""
+    """match_stats for several cutoffs. Pairs are taken from the nearest on, so those of a cutoff are the ones within it of the largest cutoff's."""
     each = lambda df: df.withColumn("cutoff", F.explode(F.array(*map(F.lit, map(float, cutoffs)))))
-    (truths, t), (preds, p) = _kinds(truth, *by), _kinds(pred, *by)
-    links = each(_links(t, p, max(cutoffs), *by)).where("dist <= cutoff")
-    taken = _dealt(links, each(truths), each(preds), 16 * max(cutoffs), *by, "cutoff")
+    taken = each(matched(truth, pred, max(cutoffs), *by)).where("dist <= cutoff")
     return match_stats(each(truth), each(pred), taken, *by, "cutoff")
 
 

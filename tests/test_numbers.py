@@ -179,6 +179,33 @@ def test_linkage_of_rows_against_one_at_a_time(spark, method):
     assert L.linkage_of_rows(cells.where("region = 1"), "region", "brain", "n").count() == 0
 
 
+@pytest.mark.parametrize("held", [1 << 21, 100])
+def test_silhouette_hands_on_sums_and_no_copies_of_points(spark, monkeypatch, held):
+    import duckdb
+    import pandas as pd
+
+    import __spark_entry__
+    from voxmere.operators import cohort
+
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[200:220] = x[:20]
+    label = [None if i % 29 == 0 else int(i % 5) for i in range(300)]
+    label[7] = 9  # alone in its cluster
+    rows = [(i - (i == 150), label[i] if i != 150 else label[149], None if i == 33 else x[i].tolist()) for i in range(300)]  # one id twice, one without a vector
+    points = spark.createDataFrame([*rows, (None, 1, x[0].tolist())], "vec_id long, label int, embedding array<float>")
+    seen, old = [], type(points).mapInArrow
+    monkeypatch.setattr(type(points), "mapInArrow", lambda self, *a: seen.append(old(self, *a)) or seen[-1])
+    monkeypatch.setattr(cohort, "SUMS", held)
+    got = cohort.silhouette(points, "label", "embedding", "vec_id", block=40).first()[0]
+    embeddings = pd.DataFrame({"vec_id": pd.array([r[0] for r in rows] + [None], "Int64"), "label": pd.array([r[1] for r in rows] + [1], "Int64"), "embedding": [r[2] for r in rows] + [x[0].tolist()]})
+    c = duckdb.connect()
+    c.register("embeddings", embeddings)
+    assert round(got, 5) == c.execute(__spark_entry__.oracle_sql()["a16_silhouette"]).fetchone()[0]
+    if held > 100:
+        assert seen[0].count() == 299 * 7  # for each point its sums by six clusters and a row without; blocks met in groups gave 8 times as many
+
+
 def test_distances_keep_their_digits():
     """By a matrix product, but equal and nearly equal rows far from the origin keep their distance."""
     from voxmere.operators import cohort
